@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakepress.llm import ann, media, packing, pii, secret_scan, sentencepiece_ffbs, sharding, toxicity
+from lakepress.llm import ann, line_chunks, media, ngram_join, packing, pii, secret_scan, sentencepiece_ffbs, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,11 @@ def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_table(spark, sf_dir, "embeddings"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = line_chunks.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars_left"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels").select("doc_id", "toxic")))
@@ -55,6 +60,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard_documents(_table(spark, sf_dir, "documents"), n_shards=24)
     return rows.select(
@@ -62,5 +71,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_pii, op3_ann, op5_toxicity, op6_media, op7_secrets, op8_packing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_pii, op3_ann, op4_line_dedup, op5_toxicity, op6_media, op7_secrets, op8_packing, op9_ngram_join, op10_sharding)}
 ORACLE_SQL: dict[str, str] = {}
