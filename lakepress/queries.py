@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+import importlib
 
+MODULES = ("text_queries",)
+FLAGSHIP = "exact_dup_summary"
 
-def documents_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"))
-
-
-FLAGSHIP = "documents_by_source"
-QUERIES = {"documents_by_source": documents_by_source}
-ORACLE_SQL = {"documents_by_source": "SELECT source, count(*) AS n_docs FROM documents GROUP BY source"}
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+for _m in MODULES:
+    _r = importlib.import_module(f"lakepress.plans.{_m}").R
+    QUERIES.update(_r.queries)
+    ORACLE_SQL.update(_r.sql)
