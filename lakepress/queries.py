@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("text_queries",)
+MODULES = ("text_queries", "view_queries")
 FLAGSHIP = "exact_dup_summary"
 
 QUERIES: dict = {}
