@@ -106,7 +106,7 @@ def _list(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _kept_bytes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The chunks that stay, with the lines around them."""
+    """The chunks that stay, with the lines around them: back and on to the next chunk that is listed itself."""
     for f in frames:
         out = []
         for text, kept in zip(f["text"], f["kept"], strict=True):
@@ -114,11 +114,17 @@ def _kept_bytes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             data = text.encode()
             bounds, chunks = chunk_spans(data)
-            by_line = dict(chunks)
+            listed = [_repeatable(data, bounds, c) for c in chunks]
+            by_line = {c[0]: i for i, c in enumerate(chunks)}
             for k in kept:
-                if (stop := by_line.get(k["line"])) is not None:
-                    a = k["line"]
-                    before, after = bounds[max(0, a - AROUND)], bounds[min(len(bounds) - 1, stop + AROUND)]
+                if (i := by_line.get(k["line"])) is not None:
+                    a, stop = chunks[i]
+                    lo, hi = max(i - 1, 0), min(i + 1, len(chunks) - 1)
+                    while lo > 0 and not listed[lo] and a - chunks[lo][0] < AROUND:
+                        lo -= 1
+                    while hi < len(chunks) - 1 and not listed[hi] and chunks[hi][1] - stop < AROUND:
+                        hi += 1
+                    before, after = bounds[chunks[lo][0]], bounds[chunks[hi][1]]
                     out.append((k["d1"], k["d2"], data[before : bounds[a]], data[bounds[a] : bounds[stop]], data[bounds[stop] : after]))
         yield pd.DataFrame({n: objects([o[i] for o in out]) for i, n in enumerate(("d1", "d2", "before", "body", "after"))}).astype({"d1": "int64", "d2": "int64"})
 
@@ -163,24 +169,26 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed", "__row", "__kept", "__repeats")]
     base = docs.select(*names).withColumn("__row", F.xxhash64(F.col(key), F.col(text)))
     listed = base.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("doc_id"), F.col("__row").alias("row"), F.col(text).alias("text"))
-    found = listed.mapInPandas(_list, "doc_id bigint, row bigint, line int, d1 bigint, d2 bigint").dropDuplicates(["row", "line", "d1", "d2"])
-    first = (
+    found = listed.mapInPandas(_list, "doc_id bigint, row bigint, line int, d1 bigint, d2 bigint")
+    again = (
         found.groupBy("d1", "d2")
-        .agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc_id", "row", "line")).alias("first"))
-        .where("times > 1")
-    )
-    marked = spill(found.join(first, ["d1", "d2"]).select("row", "line", "d1", "d2", ((F.col("row") == F.col("first.row")) & (F.col("line") == F.col("first.line"))).alias("stays")), "repeats")
-    kept = marked.where("stays").groupBy("row").agg(F.collect_list(F.struct("line", "d1", "d2")).alias("__kept")).withColumnRenamed("row", "__row")
-    frame = base.withColumn("text", F.col(text)) if text != "text" else base
-    bodies = (
-        frame.join(kept, "__row")
-        .dropDuplicates(["__row"])
-        .select("text", F.col("__kept").alias("kept"))
-        .mapInPandas(_kept_bytes, "d1 bigint, d2 bigint, before binary, body binary, after binary")
-        .dropDuplicates(["d1", "d2"])
+        .agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("line").alias("l0"), F.max("line").alias("l1"))
+        .where("r0 <> r1 or l0 <> l1")
+        .select("d1", "d2")
     )
+    stays = (F.col("row") == F.col("first.row")) & (F.col("line") == F.col("first.line"))
+    repeated = spill(found.join(again, ["d1", "d2"]).select("doc_id", "row", "line", "d1", "d2"), "repeated")
+    first = repeated.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "row", "line")).alias("first"))
+    marked = repeated.join(first, ["d1", "d2"]).select("row", "line", "d1", "d2", stays.alias("stays"))
+    kept = marked.where("stays").distinct().groupBy("row").agg(F.collect_list(F.struct("line", "d1", "d2")).alias("__kept")).withColumnRenamed("row", "__row")
+
+    def bodies_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _kept_bytes(f.rename(columns={text: "text"})[["text", "__kept"]].rename(columns={"__kept": "kept"}) for f in frames)
+
+    # both joins read the same exchange of whole rows by __row, so texts are shuffled once
+    bodies = base.join(kept, "__row").mapInPandas(bodies_of, "d1 bigint, d2 bigint, before binary, body binary, after binary").dropDuplicates(["d1", "d2"])
     repeats = (
-        marked.where("not stays").join(bodies, ["d1", "d2"]).groupBy("row").agg(F.collect_list(F.struct("line", "before", "body", "after")).alias("__repeats")).withColumnRenamed("row", "__row")
+        marked.where("not stays").distinct().join(bodies, ["d1", "d2"]).groupBy("row").agg(F.collect_list(F.struct("line", "before", "body", "after")).alias("__repeats")).withColumnRenamed("row", "__row")
     )
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
