@@ -51,6 +51,10 @@ def summary(rows: DataFrame, key: str, split: str) -> DataFrame:
     )
 
 
+def _windows(w: Column, n: int) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i: F.substr(w, i, F.lit(n)))
+
+
 def word_grams(text: Column, sizes: tuple[int, ...] = GRAMS) -> Column:
     """Character grams inside padded words; a padded word no longer than n gives itself once, for the first such n only."""
     words = F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda w: w != "")
@@ -59,7 +63,7 @@ def word_grams(text: Column, sizes: tuple[int, ...] = GRAMS) -> Column:
     def grams(w: Column) -> Column:
         parts = []
         for k, n in enumerate(sizes):
-            slide = F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i, n=n: F.substr(w, i, F.lit(n)))
+            slide = _windows(w, n)
             # past the first size that covers the word, it is not given again
             parts.append(slide if k == 0 else F.when(F.length(w) > sizes[k - 1], slide).otherwise(F.array().cast("array<string>")))
         return F.concat(*parts)

@@ -6,6 +6,7 @@ from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 
 def hold_out(rows: DataFrame, protected: DataFrame, group: str) -> tuple[DataFrame, DataFrame]:
@@ -46,7 +47,7 @@ def group_folds(rows: DataFrame, group: str, label: str, k: int = 5, seed: int =
             for x in s["shape"]:
                 held[f][x["label"]] += x["n"] * share
         plan.append((s["shape"], order))
-    dealt = rows.sparkSession.createDataFrame(plan, shape.select("shape").schema.add("order", "array<int>"))
+    dealt = rows.sparkSession.createDataFrame(plan, shape.select("shape").schema.add("order", ArrayType(IntegerType())))
     turn = F.row_number().over(Window.partitionBy("shape").orderBy(F.xxhash64(F.col(group), F.lit(seed)), group)) - 1
     folds = shape.withColumn("turn", turn).join(dealt, "shape").select(group, F.get("order", F.pmod("turn", F.lit(k))).alias("fold"))
     return rows.join(folds, group)
