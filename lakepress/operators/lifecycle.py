@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakepress.plans.workdir import spill
+
 ARTICLE_SCHEMA = (
     "article_id string, url string, url_hash string, headline string, headline_key string, body string, feed_text string, fetch_status string, "
     "fetch_attempts int, fetch_error string, source string, source_domain string, collected_at timestamp, relevant boolean, status string, resolved_hash string"
@@ -44,6 +46,7 @@ def ingest(items: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
         .join(known_urls, "url_hash", "left")
         .withColumn("dup_url", F.col("__u").isNotNull() | (F.col("__nth") > 1))
     )
+    tagged = spill(tagged, "tagged")
     fresh = tagged.where(~F.col("dup_url")).drop("__nth", "__u")
     # of equal keys the stored one counts first, then the earliest item
     stored_key = stored.where("headline_key is not null").groupBy("headline_key").agg(F.min_by(F.struct("article_id", F.col("body").isNotNull().alias("full")), F.struct("collected_at", "article_id")).alias("__s"))
@@ -52,7 +55,7 @@ def ingest(items: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
     by_key = Window.partitionBy("headline_key").orderBy("pos")
     keyed = keyed.withColumn("__nth", F.row_number().over(by_key)).withColumn("dup_headline", F.col("__s").isNotNull() | (F.col("__nth") > 1))
     none = fresh.where("headline_key is null").withColumn("__s", F.lit(None).cast(keyed.schema["__s"].dataType)).withColumn("__nth", F.lit(1)).withColumn("dup_headline", F.lit(False))
-    judged = keyed.unionByName(none)
+    judged = spill(keyed.unionByName(none), "judged")
     # the first body among the later copies of a key
     donors = judged.where("dup_headline and is_body").groupBy("headline_key").agg(F.min_by(F.struct("pos", "text"), "pos").alias("__d"))
     new = judged.where("not dup_headline").join(donors, "headline_key", "left")
