@@ -40,6 +40,8 @@ ALPHA = 1.0
 BATCH_CHARS = 6_000_000
 #: longest run that is one unit; longer runs are cut, which only forbids pieces across the cut
 LONGEST_UNIT = 512
+#: steps of a probability
+GRID = float(1 << 24)
 _UNITS = re.compile(r"[^ ]+|(?: +[^ ]+)| +")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xD6E8FEB86659FD93)
@@ -156,7 +158,8 @@ def filter_forward(units: list[str], v: Pieces) -> Lattice:
     place = stop - begin_of[of]
     first = begin_of + np.arange(len(units))
     node, source = first[of] + place, first[of] + start - begin_of[of]
-    order = np.argsort(node)
+    # stable: a node's pieces keep their order of length whatever else is in the batch
+    order = np.argsort(node, kind="stable")
     node, source, piece, weight, place = node[order], source[order], piece[order], weight[order], place[order]
     # by position in the word; small numbers sort by radix
     turn = np.argsort(place.astype(np.uint16), kind="stable")
@@ -177,8 +180,12 @@ def filter_forward(units: list[str], v: Pieces) -> Lattice:
     share[turn] = turned
     head = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
     n = np.diff(np.append(head, len(node)))
-    run = np.cumsum(share)
-    run -= np.repeat(run[head] - share[head], n)
+    run = share
+    for k in range(1, int(n.max())):
+        at = head[n > k] + k
+        run[at] += run[at - 1]
+    # on a grid, so that adding the node's number is exact
+    run = np.floor(run * GRID) / GRID
     run[head + n - 1] = 1.0
     return Lattice(node + np.minimum(run, 1.0), source, piece, first, size)
 
@@ -218,7 +225,7 @@ class Sampler:
         draw = 0
         while len(live):
             draw += 1
-            u = (_mix(state[live] + np.uint64(draw)) >> np.uint64(11)).astype(np.float64) * (1.0 / (1 << 53))
+            u = ((_mix(state[live] + np.uint64(draw)) >> np.uint64(40)).astype(np.float64) + 0.5) / GRID
             edge = np.searchsorted(line, node[live] + u, side="right")
             edge = np.minimum(edge, len(line) - 1)
             got_unit.append(beside[live])
