@@ -35,8 +35,10 @@ RATE = 8000
 MEAN_BITS = 12
 SHORTEST, LONGEST = 1024, 16384
 #: texts, by hash order, and bytes of the compression dictionary
-DICTIONARY_ROWS, DICTIONARY_BYTES = 1500, 64 * 1024
+DICTIONARY_ROWS, DICTIONARY_BYTES = 2000, 112 * 1024
 LEVEL = 6
+#: bytes of a chunk digest and of a media key
+DIGEST = 16
 
 
 def _gear() -> np.ndarray:
@@ -119,6 +121,14 @@ def _codec(dictionary: bytes):
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_checksum=False, write_dict_id=False), zstandard.ZstdDecompressor(dict_data=d)
 
 
+def digest(chunk: bytes) -> bytes:
+    return hashlib.blake2b(chunk, digest_size=DIGEST).digest()
+
+
+def media_key(text: str | None) -> bytes:
+    return hashlib.sha256((text or "").encode()).digest()[:DIGEST]
+
+
 def chunk_table(texts: DataFrame, dictionary: bytes, remembered: int = 200_000) -> DataFrame:
     """(digest, packed): each distinct chunk once."""
 
@@ -128,7 +138,7 @@ def chunk_table(texts: DataFrame, dictionary: bytes, remembered: int = 200_000)
             digests, packed = [], []
             for text in f["text"]:
                 for c in chunks(to_wave(payload(text))):
-                    d = hashlib.sha256(c).digest()
+                    d = digest(c)
                     if d not in seen:
                         if len(seen) < remembered:
                             seen.add(d)
@@ -140,14 +150,14 @@ def chunk_table(texts: DataFrame, dictionary: bytes, remembered: int = 200_000)
 
 
 def recipes(texts: DataFrame) -> DataFrame:
-    """(media, digests): each distinct text's key and its chunk digests in order."""
+    """(media, stored, digests): each distinct text's key, its file's SHA-256 and its chunk digests in order, joined."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[bytes] = set()
         for f in frames:
             keys, lists, stored = [], [], []
             for text in f["text"]:
-                key = hashlib.sha256((text or "").encode()).digest()
+                key = media_key(text)
                 if key in seen:
                     continue
                 if len(seen) < 500_000:
@@ -155,10 +165,10 @@ def recipes(texts: DataFrame) -> DataFrame:
                 data = to_wave(payload(text))
                 keys.append(key)
                 stored.append(hashlib.sha256(data).digest())
-                lists.append([hashlib.sha256(c).digest() for c in chunks(data)])
+                lists.append(b"".join(map(digest, chunks(data))))
             yield pd.DataFrame({"media": objects(keys), "stored": objects(stored), "digests": objects(lists)})
 
-    return texts.mapInPandas(run, "media binary, stored binary, digests array<binary>").dropDuplicates(["media"])
+    return texts.mapInPandas(run, "media binary, stored binary, digests binary").dropDuplicates(["media"])
 
 
 def _rebuild(dictionary: bytes):
@@ -168,11 +178,11 @@ def _rebuild(dictionary: bytes):
             rows = []
             for media, stored, parts in zip(f["media"], f["stored"], f["parts"], strict=True):
                 data = b"".join(unpack(p["packed"], max_output_size=LONGEST) for p in sorted(parts, key=lambda p: p["pos"]))
-                digest = hashlib.sha256(data).digest()
-                if digest != bytes(stored):
+                found = hashlib.sha256(data).digest()
+                if found != bytes(stored):
                     raise ValueError(f"media {bytes(media).hex()} was not rebuilt from its chunks")
                 samples = from_wave(data)
-                rows.append((media, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-BLOCK:]), len(data), digest.hex(), features(samples), len(parts)))
+                rows.append((media, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-BLOCK:]), len(data), found.hex(), features(samples), len(parts)))
             names = ("media", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_chunks")
             out = pd.DataFrame({n: objects([r[i] for r in rows]) for i, n in enumerate(names)})
             yield out.astype({n: "int64" for n in ("payload_bytes", "tail_crc32", "media_bytes", "n_chunks")})
@@ -187,14 +197,18 @@ def chunked_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     """Stores every text as media, rebuilds it from the chunk table and returns what was read back."""
     texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
     dictionary = _dictionary(texts)
-    lists = recipes(texts).select("media", "stored", F.posexplode("digests").alias("pos", "digest"))
+    at = F.sequence(F.lit(0), (F.octet_length("digests") / DIGEST).cast("int") - 1)
+    parts = F.transform(at, lambda i: F.substr(F.col("digests"), i * DIGEST + 1, F.lit(DIGEST)))
+    lists = recipes(texts).select("media", "stored", F.posexplode(parts).alias("pos", "digest"))
+    # the file's digest goes with its first chunk alone
+    lists = lists.withColumn("stored", F.when(F.col("pos") == 0, F.col("stored")))
     parts = lists.join(chunk_table(texts, dictionary), "digest")
-    whole = parts.groupBy("media").agg(F.first("stored").alias("stored"), F.collect_list(F.struct("pos", "packed")).alias("parts"))
+    whole = parts.groupBy("media").agg(F.first("stored", True).alias("stored"), F.collect_list(F.struct("pos", "packed")).alias("parts"))
     rebuilt = whole.mapInPandas(_rebuild(dictionary), REBUILT)
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(
         F.col(key).cast("bigint").alias("doc_id"),
         F.octet_length(body).cast("long").alias("n_bytes"),
-        F.unhex(F.sha2(body.cast("binary"), 256)).alias("media"),
+        F.substr(F.unhex(F.sha2(body.cast("binary"), 256)), F.lit(1), F.lit(DIGEST)).alias("media"),
     )
     return rows.join(rebuilt, "media").drop("media")
