@@ -14,7 +14,7 @@ from lakepress.sources import mapped as S
 from lakepress.sources import tables as X
 
 R = Registry()
-_NOW = F.lit("2024-01-20 00:00:00").cast("timestamp")
+NOW = "2024-01-20 00:00:00"
 
 
 def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,13 +67,13 @@ def ingest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.add(
-    f"{_ITEMS}, d AS (SELECT k, arg_min(body, pos) AS lent FROM f WHERE rk > 1 AND is_body GROUP BY k) SELECT substr(sha1(f.url), 1, 16) AS url_hash, f.k AS headline_key, CASE WHEN f.is_body THEN length(f.body) ELSE length(d.lent) END::INT AS body_chars, "
+    f"{_ITEMS}, d AS (SELECT k, arg_min(body, pos) AS lent FROM f WHERE rk > 1 AND is_body GROUP BY k) SELECT substr(sha1(f.url), 1, 16) AS url_hash, f.k AS headline_key, coalesce(CASE WHEN f.is_body THEN length(f.body) ELSE length(d.lent) END, -1)::INT AS body_chars, "
     "CASE WHEN f.is_body OR d.lent IS NOT NULL THEN CASE WHEN f.relevant OR d.lent IS NOT NULL AND NOT f.is_body THEN 'ok' ELSE 'skipped' END WHEN f.relevant THEN 'pending' ELSE 'skipped' END AS fetch_status, CASE WHEN f.relevant THEN 'new' ELSE 'irrelevant' END AS status FROM f LEFT JOIN d ON d.k = f.k WHERE f.rk = 1"
 )
 def ingest_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The store after two passes, with bodies that later copies lent."""
     stored, items = _stored(spark, sf_dir)
-    return L.ingest(items, stored)[0].select("url_hash", "headline_key", F.length("body").alias("body_chars"), "fetch_status", "status")
+    return L.ingest(items, stored)[0].select("url_hash", "headline_key", F.coalesce(F.length("body"), F.lit(-1)).alias("body_chars"), "fetch_status", "status")
 
 
 @R.add("SELECT 0::BIGINT AS new, 0::BIGINT AS upgraded")
@@ -89,11 +89,11 @@ def expire_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pending articles past the deadline fail; articles with a lent body are left out here."""
     stored, _ = _stored(spark, sf_dir)
     own = arrivals(spark, sf_dir).select("url_hash", "is_body").distinct().groupBy("url_hash").agg(F.max("is_body").alias("own_body"))
-    rows = L.expire(stored, _NOW).join(own, "url_hash")
+    rows = L.expire(stored, F.lit(NOW).cast("timestamp")).join(own, "url_hash")
     return rows.where("not (body is not null and feed_text is not null)").where("not (body is not null and not own_body)").select("url_hash", "fetch_status")
 
 
-@R.add(f"WITH {ART} SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 2 WHEN doc_id % 4 = 1 THEN 1 ELSE doc_id % 2 END::INT AS attempts, CASE WHEN doc_id % 4 = 0 OR doc_id % 12 = 1 THEN 'failed' ELSE 'pending' END AS fetch_status, CASE WHEN doc_id % 4 < 2 THEN 300 END::INT AS error_chars FROM art")
+@R.add(f"WITH {ART} SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 2 WHEN doc_id % 4 = 1 THEN 1 ELSE doc_id % 2 END::INT AS attempts, CASE WHEN doc_id % 4 = 0 OR doc_id % 12 = 1 THEN 'failed' ELSE 'pending' END AS fetch_status, CASE WHEN doc_id % 4 < 2 THEN 300 ELSE -1 END::INT AS error_chars FROM art")
 def retry_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P5: attempts counted, errors cut, given up at the second or when final."""
     d = S.articles(spark, sf_dir)
@@ -102,7 +102,7 @@ def retry_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").cast("string").alias("article_id"), "doc_id", F.lit("pending").alias("fetch_status"), F.when(m4 == 0, 1).when(m4 == 1, 0).otherwise(F.pmod("doc_id", F.lit(2)).cast("int")).alias("fetch_attempts"), F.lit(None).cast("string").alias("fetch_error")
     )
     failures = d.where(m4 < 2).select(F.col("doc_id").cast("string").alias("article_id"), F.repeat(F.lit("timeout "), 50).alias("error"), (F.pmod("doc_id", F.lit(12)) == 1).alias("final"))
-    return L.record_failures(state, failures).select("doc_id", F.col("fetch_attempts").alias("attempts"), "fetch_status", F.length("fetch_error").alias("error_chars"))
+    return L.record_failures(state, failures).select("doc_id", F.col("fetch_attempts").alias("attempts"), "fetch_status", F.coalesce(F.length("fetch_error"), F.lit(-1)).alias("error_chars"))
 
 
 @R.add("SELECT doc_id, CASE WHEN doc_id % 10 = 3 AND doc_id >= 2 THEN 'duplicate' ELSE 'new' END AS status, CASE WHEN doc_id % 10 = 3 AND doc_id >= 2 THEN 'skipped' ELSE 'pending' END AS fetch_status FROM documents")

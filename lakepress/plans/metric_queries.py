@@ -12,7 +12,6 @@ from lakepress.plans.registry import SCORED, Registry
 from lakepress.sources import mapped as S
 
 R = Registry()
-_RIGHT = F.lit(True)
 
 
 def _right():
