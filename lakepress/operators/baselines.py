@@ -17,7 +17,7 @@ Fitted = Callable[[DataFrame], DataFrame]
 Model = Callable[[DataFrame, str], Fitted]
 
 FEATURES = 50_000
-ROUNDS = 40
+ROUNDS = 15
 
 
 def _weighted(train: DataFrame, label: str) -> DataFrame:
