@@ -11,15 +11,15 @@ computed on blocks, and thinned by bounds that follow from set sizes alone:
    leaves is dropped. One pass over half of the columns (any half bounds
    safely) thins the corpus; another over all columns of the distinct
    remaining sets drops what was only an exact copy.
-2. Product pass. The remaining sets order their columns by document frequency
-   and keep only the rare prefix that any partner must touch. Overlap counts
-   are accumulated per pair over those columns, within size bands, and pairs
-   whose count plus the unseen rest stays below the needed overlap are
-   discarded; the rest are compared as whole sets.
-3. A column of many documents would make pairs with the square of their
-   number. So each document is first compared with one pivot of its column,
-   links are drawn together into components, and only pairs of different
-   components are multiplied out. No link between components is lost.
+2. Prefix pass. The remaining sets order their columns by document frequency
+   and keep only the rare prefix that any partner must touch, within size
+   bands. Each set is compared with one central pivot of its columns, and
+   links are drawn together into components.
+3. Product pass. Columns that still hold several components chain sets into
+   clusters. A cluster's rows are dealt into blocks, and every two blocks are
+   multiplied: overlap counts are summed up over slices of columns, and counts
+   below the bound of the two sizes are discarded. No link between components
+   is lost, and no pair of documents is ever a row.
 
 Shingles are 64-bit hashes. Exact copies count as one set throughout.
 
@@ -53,6 +53,10 @@ BATCH_BYTES = 1 << 21
 BLOCK_POSTINGS = 2_000_000
 #: column ranges per shuffle partition
 RANGES = 4
+#: sets of a block, and columns of a slice, in the product of what is left
+BLOCK_ROWS, SLICE = 1024, 4096
+#: rounds of comparisons with pivots before what is left is multiplied out
+STAR_ROUNDS = 2
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, dtype=bool)
@@ -263,7 +267,12 @@ def not_lonely(source: DataFrame, read: Callable[[Iterator[pd.DataFrame]], Sets]
 
 
 def _prefixes(sets: DataFrame) -> DataFrame:
-    """(column, sig, n, rest, band): the rare columns that a partner must touch; rest is how many others the set has."""
+    """(column, sig, n, shared, score, rest, band): the rare columns that a partner must touch.
+
+    ``shared`` counts the columns that other sets have too, ``score`` is the
+    mean frequency of all columns, ``rest`` is how many columns lie beyond the
+    prefix.
+    """
     cells = sets.select("sig", "n", F.explode(F.col("columns")).alias("column"))
     frequency = cells.groupBy("column").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = cells.join(frequency, "column").groupBy("sig", "n").agg(F.sort_array(F.collect_list(F.struct("df", "column"))).alias("cells"))
@@ -272,14 +281,47 @@ def _prefixes(sets: DataFrame) -> DataFrame:
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DEN / NUM)) + 1e-9).cast("int")
     return (
         shared.where(kept > 0)
-        .select("sig", "n", F.slice("cells", 1, kept.cast("int"))["column"].alias("columns"), (F.col("n") - prefix).alias("rest"), band.alias("band"))
-        .select("sig", "n", "rest", "band", F.explode("columns").alias("column"))
+        .where(F.size("cells") >= F.ceil(F.col("n") * NUM / DEN))
+        .select(
+            "sig",
+            "n",
+            F.size("cells").alias("shared"),
+            (F.aggregate("cells", F.lit(0).cast("bigint"), lambda t, c: t + c["df"]) / F.col("n")).alias("score"),
+            (F.col("n") - prefix).alias("rest"),
+            band.alias("band"),
+            F.slice("cells", 1, kept.cast("int"))["column"].alias("columns"),
+        )
+        .select("sig", "n", "shared", "score", "rest", "band", F.explode("columns").alias("column"))
     )
 
 
-def _enough(n1: str, n2: str):
-    """Least overlap of a linked pair."""
-    return F.ceil((F.col(n1) + F.col(n2)) * NUM / (NUM + DEN))
+def _possible(n1: str, s1: str, n2: str, s2: str):
+    """Whether two sets can link by their sizes: the overlap is at most what either shares with anyone."""
+    return F.least(s1, s2) * (NUM + DEN) >= (F.col(n1) + F.col(n2)) * NUM
+
+
+def _open(placed: DataFrame, labels: DataFrame) -> DataFrame:
+    """The entries, with their component, of columns that hold more than one component."""
+    marked = placed.join(labels, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+    mixed = marked.groupBy("column", "place").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("column", "place")
+    return marked.join(mixed, ["column", "place"])
+
+
+def _stars(entries: DataFrame, rank: int, tried: DataFrame | None) -> DataFrame:
+    """(a, b): each set with the pivot that it meets in most columns; pivots are the most central of a column, later of its largest component."""
+    if rank == 0:
+        pivots = entries.groupBy("column", "place").agg(F.max(F.struct("score", "sig", "n", "shared")).alias("p"))
+    else:
+        # the most central set of the column's largest component
+        heads = entries.groupBy("column", "place", "component").agg(F.max(F.struct("score", "sig", "n", "shared")).alias("h"), F.count(F.lit(1)).alias("k"))
+        pivots = heads.groupBy("column", "place").agg(F.max(F.struct("k", "h"))["h"].alias("p"))
+    meet = entries.join(pivots, ["column", "place"]).where(F.col("sig") != F.col("p.sig")).where(_possible("n", "shared", "p.n", "p.shared"))
+    if "component" in entries.columns:
+        own = entries.select(F.col("sig").alias("__p"), F.col("component").alias("__c")).distinct()
+        meet = meet.join(own, F.col("p.sig") == F.col("__p")).where("component <> __c")
+    best = meet.groupBy("sig", F.col("p.sig").alias("pivot")).agg(F.countDistinct("column").alias("met")).groupBy("sig").agg(F.max(F.struct("met", "pivot"))["pivot"].alias("pivot"))
+    pairs = best.select(F.least("sig", "pivot").alias("a"), F.greatest("sig", "pivot").alias("b")).distinct()
+    return pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -299,6 +341,57 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").mapInPandas(run, "a binary, b binary")
 
 
+def _product(f: pd.DataFrame) -> pd.DataFrame:
+    """One link for each two components that a pair of sets of this block links.
+
+    The block's incidence matrix is built slice by slice of its columns, and
+    overlap counts are summed up over the slices.
+    """
+    sets = [np.frombuffer(s, dtype=np.uint64) for s in f["shingles"]]
+    size = np.array([len(s) for s in sets])
+    column, at = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), size)
+    shared = np.bincount(at, minlength=len(column)) > 1
+    at, row = (np.cumsum(shared) - 1)[at[shared[at]]], row[shared[at]]
+    order = np.argsort(at, kind="stable")
+    at, row = at[order], row[order]
+    left = np.flatnonzero(f["block"].to_numpy() == f["lo"].to_numpy())
+    right = np.flatnonzero(f["block"].to_numpy() == f["hi"].to_numpy())
+    counts = np.zeros((len(left), len(right)), dtype=np.float32)
+    for start in range(0, int(shared.sum()), SLICE):
+        a, b = np.searchsorted(at, [start, start + SLICE])
+        m = np.zeros((len(sets), SLICE), dtype=np.float32)
+        m[row[a:b], at[a:b] - start] = 1
+        counts += m[left] @ m[right].T
+    group = pd.factorize(f["component"].map(bytes))[0]
+    linked = (NUM + DEN) * counts.astype(np.int64) >= NUM * (size[left][:, None] + size[right][None])
+    x, y = np.nonzero(linked & (group[left][:, None] != group[right][None]))
+    x, y = left[x], right[y]
+    _, one = np.unique(np.stack([np.minimum(group[x], group[y]), np.maximum(group[x], group[y])]), axis=1, return_index=True)
+    sig = f["sig"].to_numpy()
+    return pd.DataFrame({"a": objects(list(sig[x[one]])), "b": objects(list(sig[y[one]]))})
+
+
+def _block_links(open_: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links between different components that share a column, from products of blocks.
+
+    Sets that columns chain together form a cluster; its rows are dealt into
+    blocks, and each two blocks are multiplied by a task of their own, so a
+    task holds two blocks at most, however large the cluster is.
+    """
+    heads = open_.groupBy("column", "place").agg(F.min("sig").alias("b"))
+    chained = open_.join(heads, ["column", "place"]).select(F.col("sig").alias("a"), "b").distinct()
+    clusters = connected_components(chained).select(F.col("node").alias("sig"), F.col("component").alias("cluster"))
+    members = open_.select("sig", "component").distinct().join(clusters, "sig")
+    blocks = members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
+    dealt = members.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
+    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "cluster", "sig", "component", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")
+    )
+    rows = pairs.join(sets.select("sig", "shingles"), "sig")
+    return rows.groupBy("cluster", "lo", "hi").applyInPandas(_product, "a binary, b binary")
+
+
 def links(sets: DataFrame) -> DataFrame:
     """(a, b): links that connect whatever the full join of (sig, n, shingles) connects."""
 
@@ -309,31 +402,16 @@ def links(sets: DataFrame) -> DataFrame:
     cells = spill(_prefixes(sets.mapInPandas(unpack, "sig binary, n bigint, columns array<bigint>")), "prefixes")
     # a set stands in its own size band and the next, so that sizes within the bound meet
     placed = cells.select("*", F.explode(F.array("band", F.col("band") + 1)).alias("place"))
-    pivots = placed.groupBy("column", "place").agg(F.min("sig").alias("pivot"))
-    stars = (
-        placed.join(pivots, ["column", "place"])
-        .where("sig <> pivot")
-        .groupBy("sig", "pivot")
-        .agg(F.countDistinct("column").alias("met"))
-        .groupBy("sig")
-        .agg(F.max(F.struct("met", "pivot"))["pivot"].alias("pivot"))
-    )
-    tried = spill(stars.select(F.least("sig", "pivot").alias("a"), F.greatest("sig", "pivot").alias("b")).distinct(), "stars")
-    first = spill(_verified(tried, sets), "links")
-    labels = connected_components(first)
-    marked = placed.join(labels.select(F.col("node").alias("sig"), "component"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
-    mixed = marked.groupBy("column", "place").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("column", "place")
-    open_ = spill(marked.join(mixed, ["column", "place"]), "open")
-    x, y = open_.alias("x"), open_.alias("y")
-    met = (
-        x.join(y, ["column", "place"])
-        .where("x.sig < y.sig and x.component <> y.component and place = greatest(x.band, y.band)")
-        .groupBy(F.col("x.sig").alias("a"), F.col("y.sig").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"), F.greatest("x.rest", "y.rest").alias("rest"))
-        .agg(F.count(F.lit(1)).alias("met"))
-        .where((F.col("met") + F.col("rest") >= _enough("na", "nb")) & (F.least("na", "nb") * DEN >= F.greatest("na", "nb") * NUM))
-    )
-    more = _verified(met.join(tried, ["a", "b"], "left_anti"), sets)
-    return first.unionByName(more)
+    found, tried, labels = None, None, None
+    for rank in range(STAR_ROUNDS):
+        marked = placed if labels is None else _open(placed, labels)
+        stars = _stars(marked, rank, tried)
+        stars = spill(stars, "stars")
+        new = spill(_verified(stars, sets), "links")
+        tried = stars if tried is None else tried.unionByName(stars)
+        found = new if found is None else found.unionByName(new)
+        labels = connected_components(found).select(F.col("node").alias("sig"), "component")
+    return found.unionByName(_block_links(spill(_open(placed, labels), "open"), sets))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
