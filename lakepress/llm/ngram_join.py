@@ -48,15 +48,15 @@ WORDS = 5
 #: Jaccard threshold, as a fraction
 NUM, DEN = 4, 5
 #: bytes of text hashed at once
-BATCH_BYTES = 1 << 21
+BATCH_BYTES = 1 << 19
 #: postings that a block of documents may hold before it is cut by column range
-BLOCK_POSTINGS = 2_000_000
+BLOCK_POSTINGS = 1_000_000
 #: column ranges per shuffle partition
 RANGES = 4
 #: sets of a block, and columns of a slice, in the product of what is left
 BLOCK_ROWS, SLICE = 1024, 4096
 #: rounds of comparisons with pivots before what is left is multiplied out
-STAR_ROUNDS = 2
+STAR_ROUNDS = 1
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, dtype=bool)
