@@ -3,11 +3,14 @@
 A text is a run of lines (a long line is wrapped after each sentence). A
 rolling hash over the last two line hashes ends a chunk where it falls into a
 residue, so equal passages end up in equal chunks whatever precedes them.
-Chunks of two lines or more that occur again are removed everywhere but at
-their first occurrence, the one of the smallest id, then position. A chunk is
-removed only after its bytes were compared with those of the occurrence that
-stays; the comparison then runs on over the neighbouring lines, so that a
-repeated passage goes up to its last equal line.
+Where a stretch of more than ``PASSAGE`` words holds no listed chunk that its
+own lines settle, a window of it is listed as well, chosen by its lines alone,
+so that every repeated run of lines of so many words holds a listed unit.
+Units that occur again are removed everywhere but at their first occurrence,
+the one of the smallest id, then position. A unit is removed only after its
+bytes were compared with those of the occurrence that stays; the comparison
+then runs on over the neighbouring lines, so that a repeated passage goes up
+to its last equal line.
 
 What is removed always stays in a row of smaller id or earlier position.
 
@@ -20,12 +23,13 @@ columns pass through.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakepress.llm.frames import objects
@@ -39,8 +43,12 @@ LONG_LINE = 120
 DIVISOR = 2
 #: lines and words that a repeated chunk must hold
 MIN_LINES, MIN_WORDS = 2, 8
-#: lines on either side over which a comparison runs on
-AROUND = 24
+#: a repeated run of lines of more words than this holds a listed unit; a comparison runs on over so many words on either side
+PASSAGE = 50
+#: words that a window holds at least
+WINDOW = 25
+#: lines of a context; only blank lines by the hundred reach this
+MOST_LINES = 300
 _ODD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -56,109 +64,143 @@ def line_ends(data: bytes) -> list[int]:
     return out
 
 
-def chunk_spans(data: bytes) -> tuple[list[int], list[tuple[int, int]]]:
-    """(line bounds, chunks as first line and line after the last)."""
-    ends = line_ends(data)
-    bounds = [0, *ends]
+def line_bounds(data: bytes) -> list[int]:
+    return [0, *line_ends(data)]
+
+
+def units(data: bytes) -> tuple[list[int], set[tuple[int, int]]]:
+    """(line bounds, listed units as first line and line after the last)."""
+    bounds = line_bounds(data)
+    n = len(bounds) - 1
     digest = xxhash.xxh3_64_intdigest
-    out, first, last = [], 0, 0
-    for i, b in enumerate(ends):
-        h = digest(data[bounds[i] : b])
+    hashes, total, cuts, last = [], [0], [0], 0
+    for i in range(n):
+        line = data[bounds[i] : bounds[i + 1]]
+        h = digest(line)
+        hashes.append(h)
+        total.append(total[-1] + len(line.split()))
         if ((last * _ODD + h) & _MASK) >> 33 & (DIVISOR - 1) == 0 and i:
-            out.append((first, i + 1))
-            first = i + 1
+            cuts.append(i + 1)
         last = h
-    if first < len(ends):
-        out.append((first, len(ends)))
+    whole = len(cuts)
+    if cuts[-1] < n:
+        cuts.append(n)
+    chunks = [(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b - a >= MIN_LINES and total[b] - total[a] >= MIN_WORDS]
+    out = set(chunks)
+    if chunks and whole < len(cuts) and chunks[-1][1] == n:
+        chunks.pop()  # ends with the text, not by a cut
+    # for each stretch of just over PASSAGE words: a chunk that its own lines settle, or else its window of the least hash
+    filled = [i for i in range(n) if total[i + 1] > total[i]]
+    stops: list[int] = []
+    stop = 0
+    for i in filled:
+        while stop < n and total[stop] - total[i] < WINDOW:
+            stop += 1
+        stops.append(stop if total[stop] - total[i] >= WINDOW else n + 1)
+    taken: dict[bytes, int] = {}
+    end = at = 0
+    for k, i in enumerate(filled):
+        if total[n] - total[i] <= PASSAGE:
+            break
+        while total[end] - total[i] <= PASSAGE:
+            end += 1
+        # the cut before a chunk comes from the two lines ahead of it
+        while at < len(chunks) and chunks[at][0] < i + 2:
+            at += 1
+        if at < len(chunks) and chunks[at][1] <= end:
+            continue
+        best = k
+        for j in range(k + 1, len(filled)):
+            if stops[j] > end:
+                break
+            if hashes[filled[j]] < hashes[filled[best]]:
+                best = j
+        a, b = filled[best], stops[best]
+        body = data[bounds[a] : bounds[b]]
+        # equal windows of one text do not overlap, so the first of them stays whole
+        if taken.get(body, 0) <= a:
+            taken[body] = b
+            out.add((a, b))
     return bounds, out
 
 
-def _repeatable(data: bytes, bounds: list[int], chunk: tuple[int, int]) -> bool:
-    a, b = chunk
-    return b - a >= MIN_LINES and len(data[bounds[a] : bounds[b]].split()) >= MIN_WORDS
-
-
 def _list(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
-        ids, rows, places, high, low = [], [], [], [], []
+        ids, rows, places, sizes, high, low = [], [], [], [], [], []
         for doc_id, row, text in zip(f["doc_id"], f["row"], f["text"], strict=True):
             if not text:
                 continue
             data = text.encode()
-            bounds, chunks = chunk_spans(data)
-            for c in chunks:
-                if _repeatable(data, bounds, c):
-                    d = xxhash.xxh3_128_digest(data[bounds[c[0]] : bounds[c[1]]])
-                    ids.append(doc_id)
-                    rows.append(row)
-                    places.append(c[0])
-                    high.append(d[:8])
-                    low.append(d[8:])
+            bounds, listed = units(data)
+            for a, b in listed:
+                d = xxhash.xxh3_128_digest(data[bounds[a] : bounds[b]])
+                ids.append(doc_id)
+                rows.append(row)
+                places.append(a)
+                sizes.append(b - a)
+                high.append(d[:8])
+                low.append(d[8:])
         yield pd.DataFrame(
             {
                 "doc_id": np.array(ids, dtype="int64"),
                 "row": np.array(rows, dtype="int64"),
                 "line": np.array(places, dtype="int32"),
+                "n": np.array(sizes, dtype="int32"),
                 "d1": np.frombuffer(b"".join(high), dtype=np.int64),
                 "d2": np.frombuffer(b"".join(low), dtype=np.int64),
             }
         )
 
 
+def _context(data: bytes, bounds: list[int], at: int, step: int) -> list[bytes]:
+    """The lines from ``at`` on, in steps of 1 or -1, that hold ``PASSAGE`` words at most."""
+    out, words = [], 0
+    while 0 <= at < len(bounds) - 1 and len(out) < MOST_LINES:
+        line = data[bounds[at] : bounds[at + 1]]
+        words += len(line.split())
+        if words > PASSAGE:
+            break
+        out.append(line)
+        at += step
+    return out
+
+
 def _kept_bytes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The chunks that stay, with the lines around them: back and on to the next chunk that is listed itself."""
+    """The units that stay, with the lines around them, the nearest first."""
     for f in frames:
         out = []
         for text, kept in zip(f["text"], f["kept"], strict=True):
             if text is None or kept is None or not len(kept):
                 continue
             data = text.encode()
-            bounds, chunks = chunk_spans(data)
-            listed = [_repeatable(data, bounds, c) for c in chunks]
-            by_line = {c[0]: i for i, c in enumerate(chunks)}
+            bounds = line_bounds(data)
             for k in kept:
-                if (i := by_line.get(k["line"])) is not None:
-                    a, stop = chunks[i]
-                    lo, hi = max(i - 1, 0), min(i + 1, len(chunks) - 1)
-                    while lo > 0 and not listed[lo] and a - chunks[lo][0] < AROUND:
-                        lo -= 1
-                    while hi < len(chunks) - 1 and not listed[hi] and chunks[hi][1] - stop < AROUND:
-                        hi += 1
-                    before, after = bounds[chunks[lo][0]], bounds[chunks[hi][1]]
-                    out.append((k["d1"], k["d2"], data[before : bounds[a]], data[bounds[a] : bounds[stop]], data[bounds[stop] : after]))
+                a, b = k["line"], k["line"] + k["n"]
+                if b < len(bounds):
+                    out.append((k["d1"], k["d2"], _context(data, bounds, a - 1, -1), data[bounds[a] : bounds[b]], _context(data, bounds, b, 1)))
         yield pd.DataFrame({n: objects([o[i] for o in out]) for i, n in enumerate(("d1", "d2", "before", "body", "after"))}).astype({"d1": "int64", "d2": "int64"})
 
 
-def _common(mine: list[bytes], theirs: list[bytes]) -> int:
-    n = 0
-    for a, b in zip(mine, theirs, strict=False):
-        if a != b:
-            break
-        n += 1
-    return n
-
-
-def _lines(data: bytes) -> list[bytes]:
-    bounds = [0, *line_ends(data)]
-    return [data[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-
-
 def strip(text: str, repeats: list) -> tuple[str, int, int]:
     """(text without its repeats, lines removed, lines)."""
     data = text.encode()
-    bounds, chunks = chunk_spans(data)
+    bounds = line_bounds(data)
     n = len(bounds) - 1
     lines = [data[bounds[i] : bounds[i + 1]] for i in range(n)]
-    by_line = dict(chunks)
     gone = bytearray(n)
     for r in repeats:
-        a = r["line"]
-        b = by_line.get(a)
-        if b is None or data[bounds[a] : bounds[b]] != bytes(r["body"]):
-            continue
-        back = _common(lines[max(0, a - AROUND) : a][::-1], _lines(bytes(r["before"]))[::-1])
-        on = _common(lines[b : b + AROUND], _lines(bytes(r["after"])))
-        gone[a - back : b + on] = b"\1" * (b + on - a + back)
+        body, before, after = bytes(r["body"]), r["before"], r["after"]
+        for a in r["lines"]:
+            stop = bounds[a] + len(body) if a < n else -1
+            b = bisect_left(bounds, stop)
+            if b > n or bounds[b] != stop or data[bounds[a] : stop] != body:
+                continue
+            lo, hi = a, b
+            while lo > 0 and a - lo < len(before) and lines[lo - 1] == before[a - lo]:
+                lo -= 1
+            while hi < n and hi - b < len(after) and lines[hi] == after[hi - b]:
+                hi += 1
+            gone[lo:hi] = b"\1" * (hi - lo)
     if not any(gone):
         return text, 0, n
     return b"".join(x for x, g in zip(lines, gone, strict=True) if not g).decode(), sum(gone), n
@@ -169,26 +211,22 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed", "__row", "__kept", "__repeats")]
     base = docs.select(*names).withColumn("__row", F.xxhash64(F.col(key), F.col(text)))
     listed = base.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("doc_id"), F.col("__row").alias("row"), F.col(text).alias("text"))
-    found = listed.mapInPandas(_list, "doc_id bigint, row bigint, line int, d1 bigint, d2 bigint")
-    again = (
-        found.groupBy("d1", "d2")
-        .agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("line").alias("l0"), F.max("line").alias("l1"))
-        .where("r0 <> r1 or l0 <> l1")
-        .select("d1", "d2")
-    )
+    found = listed.mapInPandas(_list, "doc_id bigint, row bigint, line int, n int, d1 bigint, d2 bigint")
+    # one exchange of the listed units serves all that is asked of a group
+    same = Window.partitionBy("d1", "d2")
+    several = (F.min("row").over(same) != F.max("row").over(same)) | (F.min("line").over(same) != F.max("line").over(same))
+    grouped = found.select("*", several.alias("several"), F.min(F.struct("doc_id", "row", "line")).over(same).alias("first"))
     stays = (F.col("row") == F.col("first.row")) & (F.col("line") == F.col("first.line"))
-    repeated = spill(found.join(again, ["d1", "d2"]).select("doc_id", "row", "line", "d1", "d2"), "repeated")
-    first = repeated.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "row", "line")).alias("first"))
-    marked = repeated.join(first, ["d1", "d2"]).select("row", "line", "d1", "d2", stays.alias("stays"))
-    kept = marked.where("stays").distinct().groupBy("row").agg(F.collect_list(F.struct("line", "d1", "d2")).alias("__kept")).withColumnRenamed("row", "__row")
+    marked = spill(grouped.where("several").select("row", "line", "n", "d1", "d2", stays.alias("stays")), "repeated")
+    kept = marked.where("stays").distinct().groupBy("row").agg(F.collect_list(F.struct("line", "n", "d1", "d2")).alias("__kept")).withColumnRenamed("row", "__row")
 
     def bodies_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return _kept_bytes(f.rename(columns={text: "text"})[["text", "__kept"]].rename(columns={"__kept": "kept"}) for f in frames)
 
     # both joins read the same exchange of whole rows by __row, so texts are shuffled once
-    bodies = base.join(kept, "__row").mapInPandas(bodies_of, "d1 bigint, d2 bigint, before binary, body binary, after binary").dropDuplicates(["d1", "d2"])
+    bodies = base.join(kept, "__row").mapInPandas(bodies_of, "d1 bigint, d2 bigint, before array<binary>, body binary, after array<binary>").dropDuplicates(["d1", "d2"])
     repeats = (
-        marked.where("not stays").distinct().join(bodies, ["d1", "d2"]).groupBy("row").agg(F.collect_list(F.struct("line", "before", "body", "after")).alias("__repeats")).withColumnRenamed("row", "__row")
+        marked.where("not stays").groupBy("row", "d1", "d2").agg(F.collect_set("line").alias("lines")).join(bodies, ["d1", "d2"]).groupBy("row").agg(F.collect_list(F.struct("lines", "before", "body", "after")).alias("__repeats")).withColumnRenamed("row", "__row")
     )
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -145,6 +145,28 @@ def test_repeated_passages_go_and_first_copies_stay(spark, odd, none):
     assert line_chunks.dedup_lines(none).count() == 0
 
 
+def test_every_repeated_passage_of_over_fifty_words_goes(spark):
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(9000)]
+    line = lambda n: " ".join(rng.choice(words, n)) + "\n"
+    docs, wants = [], {}
+    for k in range(140):
+        n = 1 + k % 7
+        sizes = [51 // n + 1 + int(rng.integers(0, 4)) for _ in range(n)]
+        # short and wrapped lines, blank lines between some
+        passage = ("\n" if k % 2 and n > 1 else "").join(line(s) if k % 3 else line(s).replace(" w1", ". w1") for s in sizes)
+        for copy in range(2):
+            head, tail = ("".join(line(int(rng.integers(3, 15))) for _ in range(rng.integers(0, 5))) for _ in range(2))
+            docs.append((2 * k + copy, head + passage + tail, None))
+            wants[2 * k + copy] = head + tail if copy else head + passage + tail
+    got = {r.doc_id: r.text for r in line_chunks.dedup_lines(spark.createDataFrame(docs, SCHEMA)).collect()}
+    assert [i for i in wants if got[i] != wants[i]] == []
+    # equal lines throughout: the first window stays whole
+    same = "one line of ten words that comes again and again\n"
+    left = line_chunks.dedup_lines(spark.createDataFrame([(1, same * 400, None), (2, "lead\n" + same * 9, None)], SCHEMA)).collect()
+    assert {r.doc_id: r.text for r in left} == {1: same * 3, 2: "lead\n"}
+
+
 # ---- 5 toxicity
 
 
