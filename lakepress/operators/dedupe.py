@@ -10,8 +10,6 @@ from lakepress.plans.workdir import spill
 
 #: similarity from which two headlines are near duplicates
 SIMILAR = 0.85
-#: characters of a headline that grams are taken from
-HEAD = 200
 GRAMS = (3, 4, 5)
 
 
@@ -71,10 +69,9 @@ def word_grams(text: Column, sizes: tuple[int, ...] = GRAMS) -> Column:
     return F.flatten(F.transform(padded, grams))
 
 
-def tfidf(rows: DataFrame, key: str = "doc_id", text: str = "headline", head: int | None = HEAD) -> DataFrame:
+def tfidf(rows: DataFrame, key: str = "doc_id", text: str = "headline") -> DataFrame:
     """(key, gram, weight): 1 + ln tf, times ln((1 + N) / (1 + df)) + 1, scaled to length one."""
-    body = F.substring(text, 1, head) if head else F.col(text)
-    grams = rows.select(key, F.explode(word_grams(body)).alias("gram")).groupBy(key, "gram").agg(F.count(F.lit(1)).alias("tf"))
+    grams = rows.select(key, F.explode(word_grams(F.col(text))).alias("gram")).groupBy(key, "gram").agg(F.count(F.lit(1)).alias("tf"))
     n = rows.count()
     df = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     raw = grams.join(df, "gram").withColumn("w", (1 + F.log("tf")) * (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1))

@@ -1,5 +1,9 @@
 """Operators against hand-made numbers."""
 
+import math
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,6 +35,29 @@ def test_near_duplicates_without_dense_matrix(spark):
     assert {r.doc_id: r.component for r in D.clusters(rows, pairs).collect()} == {1: 1, 2: 1, 3: 3}
 
 
+def test_headlines_count_whole(spark):
+    rng = random.Random(4)
+    words = lambda n: " ".join("".join(rng.choices("abcdefghij", k=7)) for _ in range(n))
+    head, tail = words(30), words(90)  # heads of 239 characters
+    heads = [f"{head} {words(90)}", f"{head} {words(90)}", f"{words(30)} {tail}", f"{words(4)} {tail}", words(3)]
+    tf = []
+    for h in heads:
+        c = Counter()
+        for w in h.split():
+            w = f" {w} "
+            c.update(w[i : i + n] for n in (3, 4, 5) for i in range(len(w) - n + 1))
+        tf.append(c)
+    df = Counter(g for c in tf for g in c)
+    raw = [{g: (1 + math.log(k)) * (math.log((1 + len(heads)) / (1 + df[g])) + 1) for g, k in c.items()} for c in tf]
+    norm = [math.sqrt(sum(x * x for x in r.values())) for r in raw]
+    cos = {(a, b): sum(w * raw[b].get(g, 0) for g, w in raw[a].items()) / norm[a] / norm[b] for a in range(5) for b in range(a + 1, 5)}
+    rows = spark.createDataFrame(list(enumerate(heads)), "doc_id int, headline string")
+    weights = D.tfidf(rows)
+    assert {r.doc_id: r.n for r in weights.groupBy("doc_id").agg(F.count("gram").alias("n")).collect()} == {i: len(c) for i, c in enumerate(tf)}
+    got = {(r.a, r.b): r.cosine for r in D.similar_pairs(weights, 0.5).collect()}
+    assert got == {p: pytest.approx(c, abs=1e-8) for p, c in cos.items() if c >= 0.5} and (0, 1) not in got and (2, 3) in got
+
+
 def test_word_grams(spark):
     got = spark.createDataFrame([("ab c",)], "t string").select(D.word_grams(F.col("t")).alias("g")).first().g
     assert sorted(got) == sorted([" ab", "ab ", " ab ", " c "])
