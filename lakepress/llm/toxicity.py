@@ -9,7 +9,8 @@ per document and calibrated by a logistic regression.
 
 Only the labels of training rows are ever used. The classifier is fitted on a
 bounded sample of labelled rows (``TRAIN_ROWS``), its calibration on a part of
-that (``CALIBRATION_ROWS``). The language model's size does not grow with the text.
+that (``CALIBRATION_ROWS``). The language model is counted on every text, with a
+label or without; its size does not grow with the text.
 
 Defined results for odd input: a null text is an empty text and scores near the
 base rate's low end; an empty table gives no rows; without labels of both
@@ -221,7 +222,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> ToxicityMo
     # at most TRAIN_ROWS small rows, so the join can send them to every task and leave texts where they are
     marked = usable.groupBy(key).agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64(key), key).limit(TRAIN_ROWS)
     rows = spill(docs.select(key, "text").join(F.broadcast(marked), key).select(key, "text", "toxic"), "train")
-    chars = char_model(rows)
+    chars = char_model(docs)
     totals = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     bad_n, good_n = totals.get(1, 0), totals.get(0, 0)
     if not bad_n or not good_n:

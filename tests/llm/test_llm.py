@@ -196,6 +196,15 @@ def test_deobfuscation_and_held_out_scores(spark, none):
     assert kept.columns == df.columns and kept.count() == 720
 
 
+def test_language_model_counts_every_text(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TRAIN_ROWS", 20)
+    docs = [(i, "plain text here" if i < 60 else "qzqz xvxv", None) for i in range(120)]
+    model = toxicity.train(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, toxic int"))
+    # rows 60 on have no label, and most labelled rows are past the bound
+    assert {"qz", "xv", "z$"} <= set(model.chars.pair)
+    assert model.chars.pair == toxicity.char_model(spark.createDataFrame(docs, SCHEMA)).pair
+
+
 # ---- 6 media
 
 
