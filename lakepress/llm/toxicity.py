@@ -48,12 +48,17 @@ TOXIC_WEIGHT = 2.0
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "*": "aeiou"}
 _LETTERS = r"[^\W\d_]"
 _WORD = re.compile(rf"{_LETTERS}+")
-#: a token that mixes letters with stand-ins inside, or stretches a letter
-_MIXED = re.compile(rf"(?<![\w@$!|+*])(?:{_LETTERS}|(?=[013456789@$!|+*]+{_LETTERS})[013456789@$!|+*])[\w@$!|+*]*[0134567890@$!|+*][\w@$!|+*]*{_LETTERS}(?![\w@$!|+*])")
+#: a token that mixes letters with stand-ins anywhere
+_SIGN = r"[\w@$!|+*]"
+_MIXED = re.compile(rf"(?<!{_SIGN})(?=[^\W\d_]*[013456789@$!|+*]|{_SIGN}*[013456789@$!|+*])(?={_SIGN}*{_LETTERS}){_SIGN}{{2,}}")
+#: signs that may be a token's punctuation as well as a letter
+_CLOSING = "!|+*$"
 _TRIPLE = re.compile(rf"({_LETTERS})\1\1")
-_SPACED = re.compile(rf"(?<![\w@$]){'['}^\W_](?:[ ._\-*]{'['}^\W_]){{3,39}}(?![\w@$])")
-#: stretches of a lattice that one Viterbi pass reads
-LONGEST = 40
+_SPACED = re.compile(r"(?<![\w@$])(?:[^\W_]|[@$!|+])(?:[ ._\-*](?:[^\W_]|[@$!|+])){2,}(?![\w@$])")
+#: a longer token is split into words after decoding, as a spaced run is
+LONG_WORD = 20
+#: log-probability that a word ends inside a run, and adjacent parts that are also read as one word
+GAP, JOINED = math.log(0.3), 4
 
 
 class CharModel:
@@ -89,38 +94,68 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def decode(token: str, model: CharModel) -> str:
-    """The likeliest word that the token may stand for."""
-    beams: dict[str, tuple[float, str]] = {"^": (0.0, "")}
+def decode(token: str, model: CharModel, gap: float | None = None) -> str:
+    """The likeliest word that the token may stand for; with ``gap``, its likeliest words with blanks between."""
+    scores, layers = {"^": 0.0}, []
     for reads in lattice(token):
-        new: dict[str, tuple[float, str]] = {}
-        for last, (score, word) in beams.items():
+        new: dict[str, float] = {}
+        back: dict[str, tuple[str, str]] = {}
+        for last, score in scores.items():
             for text, channel in reads:
-                s, a = score + channel, last
+                s, a, shown = score + channel, last, text
+                if text and gap is not None and last != "^":
+                    apart, inside = model.step(last, "$") + gap + model.step("^", text[0]), model.step(last, text[0])
+                    if apart > inside:
+                        s, a, shown = s + apart - model.step("^", text[0]), "^", " " + text
                 for b in text:
                     s += model.step(a, b)
                     a = b
-                if a not in new or s > new[a][0]:
-                    new[a] = (s, word + text)
-        beams = new
-    return max(((s + model.step(a, "$"), w) for a, (s, w) in beams.items()), default=(0, ""))[1]
-
-
-def restored(text: str, model: CharModel, known: dict[str, str]) -> set[str]:
+                if a not in new or s > new[a]:
+                    new[a], back[a] = s, (last, shown)
+        scores = new
+        layers.append(back)
+    at = max(scores, key=lambda a: scores[a] + model.step(a, "$"))
+    parts = []
+    for back in reversed(layers):
+        at, shown = back[at]
+        parts.append(shown)
+    return "".join(reversed(parts))
+
+
+def readings(token: str, model: CharModel, split: bool) -> tuple[str, ...]:
+    """The token as one word; with ``split`` also the words that the character model finds in it, alone and joined with those after them."""
+    out = [decode(token, model)]
+    if split:
+        parts = decode(token, model, GAP).split()
+        out += ["".join(parts[i : i + n]) for n in range(1, JOINED + 1) for i in range(len(parts) - n + 1)]
+    return tuple(out)
+
+
+def restored(text: str, model: CharModel, known: dict) -> set[str]:
     """Distinct words of a lower-case text, with the readings of what looks obfuscated."""
     words = set(_WORD.findall(text))
-    odd = [m.group() for m in _MIXED.finditer(text)]
-    odd += [re.sub(r"[ ._\-*]", "", m.group()) for m in _SPACED.finditer(text)]
+    odd = set()
+    for m in _MIXED.finditer(text):
+        token = m.group()
+        odd.add((token, len(token) > LONG_WORD))
+        bare = token.rstrip(_CLOSING)
+        if bare != token and not bare.isalpha():
+            odd.add((bare, len(bare) > LONG_WORD))
+    for m in _SPACED.finditer(text):
+        run = re.sub(r"[ ._\-*]", "", m.group())
+        if any(c.isalpha() for c in run):
+            odd.add((run, True))
+            bare = run.rstrip(_CLOSING)
+            if bare != run:
+                odd.add((bare, True))
     if _TRIPLE.search(text):
-        odd += [w for w in words if _TRIPLE.search(w)]
-    for token in odd:
-        for at in range(0, len(token), LONGEST):
-            part = token[at : at + LONGEST]
-            if (got := known.get(part)) is None:
-                got = decode(part, model)
-                if len(known) < 200_000:
-                    known[part] = got
-            words.add(got)
+        odd.update([(w, len(w) > LONG_WORD) for w in words if _TRIPLE.search(w)])
+    for item in odd:
+        if (got := known.get(item)) is None:
+            got = readings(item[0], model, item[1])
+            if len(known) < 200_000:
+                known[item] = got
+        words.update(got)
     return words
 
 
@@ -155,7 +190,7 @@ def char_model(docs: DataFrame, kinds: int = 20_000) -> CharModel:
 
 def _counter(model: CharModel) -> Callable:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, str] = {}
+        known: dict = {}
         for f in frames:
             counts: tuple[Counter, Counter] = (Counter(), Counter())
             for text, toxic in zip(f["text"], f["toxic"], strict=True):
@@ -173,14 +208,14 @@ class ToxicityModel:
         self.chars, self.weights, self.beta = chars, weights, beta
         self.heads = frozenset(f.rstrip("*")[: PREFIXES[0]] for f in weights)
 
-    def summary(self, text: str, known: dict[str, str]) -> list[float]:
+    def summary(self, text: str, known: dict) -> list[float]:
         """Constant, strongest weight, sum of the five strongest, hits a feature, all squashed."""
         heads, n = self.heads, PREFIXES[0]
         words = features({w for w in restored(text.lower(), self.chars, known) if w[:n] in heads})
         got = sorted((self.weights[w] for w in words if w in self.weights), reverse=True)
         return [1.0, (got[0] if got else 0.0) / 4, sum(got[:5]) / 20, math.log1p(len(got))]
 
-    def scores(self, texts: list[str], known: dict[str, str]) -> np.ndarray:
+    def scores(self, texts: list[str], known: dict) -> np.ndarray:
         if self.beta is None or not texts:
             return np.zeros(len(texts))
         x = np.array([self.summary(t or "", known) for t in texts])
@@ -189,7 +224,7 @@ class ToxicityModel:
 
 def _summaries(model: ToxicityModel) -> Callable:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, str] = {}
+        known: dict = {}
         for f in frames:
             yield pd.DataFrame({"toxic": f["toxic"].astype("int32"), "x": objects([model.summary(t or "", known) for t in f["text"]])})
 
@@ -255,7 +290,7 @@ def score(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str
     """doc_id, held_out, score, predicted."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, str] = {}
+        known: dict = {}
         for f in frames:
             got = model.scores(list(f["text"]), known)
             yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64"), "held_out": f["held_out"], "score": got, "predicted": (got >= THRESHOLD).astype("int32")})
@@ -269,7 +304,7 @@ def keep_clean(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     schema, names = docs.schema, docs.columns
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, str] = {}
+        known: dict = {}
         for f in frames:
             yield f[model.scores(list(f["text"]), known) < THRESHOLD][names]
 

@@ -196,6 +196,26 @@ def test_deobfuscation_and_held_out_scores(spark, none):
     assert kept.columns == df.columns and kept.count() == 720
 
 
+def test_obfuscated_words_are_read_wherever_the_stand_ins_are():
+    words = "worthless useless asshole lame stupid nasty bad scum you are a so the of grumbler".split()
+    counts = {}
+    for w in words:
+        for a, b in zip("^" + w, w + "$", strict=True):
+            counts[a + b] = counts.get(a + b, 0) + 50
+    model = toxicity.CharModel(counts)
+    for text, word in (
+        ("w0rthl3$$", "worthless"), ("us3l3s5", "useless"), ("4$$h0l3", "asshole"), ("l4m3", "lame"), ("stup1d!", "stupid"), ("so b a d", "bad"), ("$ c u m", "scum"),
+        ("x " + " ".join("worthless" * 6), "worthless"), ("n@sty", "nasty"), ("you are lame!", "lame"), ("s t u p 1 d !", "stupid"),
+    ):
+        assert word in toxicity.restored(text, model, {}), text
+    assert toxicity._MIXED.search("n4st1").group() == "n4st1" and toxicity.restored("n4st1", model, {}) & {"nasti", "nastl"}
+    # a word across what was a cut after 40 characters, in a run of several words
+    for before in ("useless" * 5, "useless" * 4 + "youare", "so" + "useless" * 5, "you" + "useless" * 5, "useless" * 5 + "a"):
+        run = " ".join(before + "grumbler")
+        found = toxicity.features(toxicity.restored(run, model, {}))
+        assert "grumbler" in found or "grum*" in found, before
+
+
 def test_language_model_counts_every_text(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "TRAIN_ROWS", 20)
     docs = [(i, "plain text here" if i < 60 else "qzqz xvxv", None) for i in range(120)]
