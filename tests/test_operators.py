@@ -13,6 +13,7 @@ from lakepress.operators import lifecycle as L
 from lakepress.operators import metrics as M
 from lakepress.operators import views as V
 from lakepress.operators.graph import connected_components
+from lakepress.plans import cluster_queries
 from lakepress.sources import config, tables
 from lakepress.streaming import cycle
 
@@ -28,6 +29,23 @@ def test_long_path(spark):
     assert {r.component for r in connected_components(edges).collect()} == {0}
 
 
+def test_graph_of_all_orders_and_parts(spark, tmp_path):
+    rng = random.Random(6)
+    lines = [(rng.randrange(1, 400), rng.randrange(1, 300), n % 4 + 1) for n in range(330)]
+    spark.createDataFrame(lines, "l_orderkey bigint, l_partkey bigint, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for o, p, _ in lines:
+        a, b = sorted((root(o), root(-1 - p)))
+        up[b] = a
+    assert {r.node: r.component for r in cluster_queries.graph_components(spark, str(tmp_path)).collect()} == {x: root(x) for x in list(up)}
+
+
 def test_near_duplicates_without_dense_matrix(spark):
     rows = spark.createDataFrame([(1, "army moves to the border today"), (2, "army moves to the border today!"), (3, "rain falls in spring")], "doc_id int, headline string")
     pairs = D.similar_pairs(D.tfidf(rows))
