@@ -94,6 +94,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 _SPELLED = re.compile(
     r"\b[A-Za-z0-9][A-Za-z0-9._-]{0,63}\s?(?:\(at\)|\[at\]|\{at\}| at )\s?[A-Za-z0-9-]{1,63}(?:\s?(?:\(dot\)|\[dot\]|\{dot\}| dot )\s?[A-Za-z0-9-]{1,63})+", re.I
 )
+_AT, _DOT = ("(at)", "[at]", "{at}", " at "), ("(dot)", "[dot]", "{dot}", " dot ")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+.\w-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}(?![0-9\w])")
 _LOOSE_CARD = re.compile(r"(?<![0-9])[0-9]{4}(?:[./_][0-9]{4}){3}(?![0-9])")
 _TITLED = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra)\.?\x20[A-Z][a-z]{1,20}(?:\x20[A-Z][a-z]{1,20})?")
@@ -141,8 +142,10 @@ def vote(kind: int, text: str, start: int, stop: int) -> str:
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str]]:
     """(kind, start, stop, pattern) of what the base patterns leave; pattern is kind, votes and length class."""
     out = []
-    for kind, rx, need in ((0, _SPELLED, "at"), (2, _LOOSE_CARD, ""), (3, _LOCAL_PHONE, ""), (4, _TITLED, "")):
-        if need and not ("(at)" in text or "[at]" in text or "{at}" in text or " dot " in text):
+    low = text.lower()
+    for kind, rx in ((0, _SPELLED), (2, _LOOSE_CARD), (3, _LOCAL_PHONE), (4, _TITLED)):
+        # what the pattern cannot do without, in any case of letters
+        if kind == 0 and not (any(x in low for x in _AT) and any(x in low for x in _DOT)):
             continue
         for m in rx.finditer(text):
             a, b = m.span()

@@ -95,6 +95,13 @@ def test_pii_query_columns(spark, odd, none):
     assert pii.find_pii(none).count() == 0
 
 
+def test_spelled_addresses_in_any_form_are_candidates():
+    for at in ("(at)", "[AT]", " {At} ", " at ", " AT "):
+        for dot in ("(dot)", "[DOT]", " {Dot} ", " dot ", " DOT "):
+            text = f"write to JOHN{at}EXAMPLE{dot}COM, please"
+            assert [text[a:b] for k, a, b, _ in pii.candidates(text, [])] == [f"JOHN{at}EXAMPLE{dot}COM"], text
+
+
 def test_reliabilities_find_the_good_labeler():
     patterns = {"31111": 80, "3000-0"[:6]: 60, "31-1-0": 40, "30-0-0": 40, "31-0-0": 5}
     post, rel = pii.reliabilities({k[:5] + "0": n for k, n in patterns.items()})
