@@ -227,7 +227,7 @@ def screen_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add()
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paired bootstrap of narrative against severity accuracy."""
+    """Paired bootstrap of narrative against severity accuracy."""
     s = S.scored(spark, sf_dir)
     d = (F.col("true_narrative") == F.col("pred_narrative")).cast("int") - (F.col("true_severity") == F.col("pred_severity")).cast("int")
-    return M.paired_bootstrap(s, "doc_id", d, 500)
+    return M.paired_bootstrap(s, "doc_id", d)

@@ -106,6 +106,23 @@ def test_wilson_without_trials(spark):
     assert (r.l, r.h) == (0.0, 1.0)
 
 
+def test_bootstrap_query_takes_all_resamples_and_counts_agree_with_rows(spark, monkeypatch):
+    from lakepress.plans import metric_queries
+
+    seen = {}
+    monkeypatch.setattr(metric_queries.M, "paired_bootstrap", lambda *a, **k: seen.update(a=a[3:], k=k))
+    metric_queries.bootstrap_ci(spark, "/root/testdata/sf0.001")
+    assert seen == {"a": (), "k": {}}
+    monkeypatch.undo()
+    rows = spark.createDataFrame([(i, (0, 0, 1, 1, -1)[i % 5]) for i in range(200)], "id int, d int")
+    counted = M.paired_bootstrap(rows, "id", F.col("d")).first()
+    monkeypatch.setattr(M, "DISTINCT", 2)
+    drawn = M.paired_bootstrap(rows, "id", F.col("d")).first()
+    assert counted.resamples == drawn.resamples == 4000
+    for c in ("median", "low", "high", "p_better"):
+        assert counted[c] == pytest.approx(drawn[c], abs=0.02), c
+
+
 def test_bootstrap_repeats(spark):
     rows = spark.range(40).select("id", F.when(F.col("id") % 4 == 0, 0.0).otherwise(1.0).alias("d"))
     a, b = (M.paired_bootstrap(rows, "id", F.col("d"), 200, 3).first() for _ in range(2))
