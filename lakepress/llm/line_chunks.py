@@ -17,7 +17,8 @@ What is removed always stays in a row of smaller id or earlier position.
 Defined results for odd input: a null text stays null; an empty text stays
 empty; repeated rows (equal id and text) count as one document and stay alike;
 rows with a null id never lose text; an empty table gives no rows; other
-columns pass through.
+columns pass through as they are, but for n_lines and n_removed in any case of
+letters, which the result's own replace.
 """
 
 from __future__ import annotations
@@ -31,8 +32,9 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import PandasUDFType
 
-from lakepress.llm.frames import objects
+from lakepress.llm.frames import bounded, objects, quoted, tidy, unused, without
 from lakepress.plans.workdir import spill
 
 _END = re.compile(rb"\n|[.!?]+ ")
@@ -49,6 +51,8 @@ PASSAGE = 50
 WINDOW = 25
 #: lines of a context; only blank lines by the hundred reach this
 MOST_LINES = 300
+#: occurrences of one unit that are compared in one task, about
+SPLIT_ROWS = 1024
 _ODD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -177,8 +181,11 @@ def _kept_bytes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for k in kept:
                 a, b = k["line"], k["line"] + k["n"]
                 if b < len(bounds):
-                    out.append((k["d1"], k["d2"], _context(data, bounds, a - 1, -1), data[bounds[a] : bounds[b]], _context(data, bounds, b, 1)))
-        yield pd.DataFrame({n: objects([o[i] for o in out]) for i, n in enumerate(("d1", "d2", "before", "body", "after"))}).astype({"d1": "int64", "d2": "int64"})
+                    out.append((k["d1"], k["d2"], k["splits"], _context(data, bounds, a - 1, -1), data[bounds[a] : bounds[b]], _context(data, bounds, b, 1)))
+        yield pd.DataFrame({n: objects([o[i] for o in out]) for i, n in enumerate(("d1", "d2", "splits", "before", "body", "after"))}).astype({"d1": "int64", "d2": "int64", "splits": "int32"})
+
+
+BODIES = "d1 bigint, d2 bigint, splits int, before array<binary>, body binary, after array<binary>"
 
 
 def strip(text: str, repeats: list) -> tuple[str, int, int]:
@@ -208,49 +215,43 @@ def strip(text: str, repeats: list) -> tuple[str, int, int]:
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with repeated chunks taken out of ``text``, and n_lines, n_removed (both null for a null text)."""
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed", "__row", "__kept", "__repeats")]
-    base = docs.select(*names).withColumn("__row", F.xxhash64(F.col(key), F.col(text)))
-    listed = base.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("doc_id"), F.col("__row").alias("row"), F.col(text).alias("text"))
-    found = listed.mapInPandas(_list, "doc_id bigint, row bigint, line int, n int, d1 bigint, d2 bigint")
+    row, at, more = unused(docs, "row"), unused(docs, "kept"), unused(docs, "repeats")
+    base = bounded(docs).select(*map(quoted, without(docs, "n_lines", "n_removed"))).withColumn(row, F.xxhash64(F.col(key), F.col(text)))
+    listed = base.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("doc_id"), F.col(row).alias("row"), F.col(text).alias("text"))
+    found = listed.mapInPandas(tidy(_list), "doc_id bigint, row bigint, line int, n int, d1 bigint, d2 bigint")
     # one exchange of the listed units serves all that is asked of a group
     same = Window.partitionBy("d1", "d2")
     several = (F.min("row").over(same) != F.max("row").over(same)) | (F.min("line").over(same) != F.max("line").over(same))
-    grouped = found.select("*", several.alias("several"), F.min(F.struct("doc_id", "row", "line")).over(same).alias("first"))
+    # a very common unit meets its bytes in several tasks
+    splits = (F.count(F.lit(1)).over(same) / SPLIT_ROWS).cast("int") + 1
+    grouped = found.select("*", several.alias("several"), splits.alias("splits"), F.min(F.struct("doc_id", "row", "line")).over(same).alias("first"))
     stays = (F.col("row") == F.col("first.row")) & (F.col("line") == F.col("first.line"))
-    marked = spill(grouped.where("several").select("row", "line", "n", "d1", "d2", stays.alias("stays")), "repeated")
-    kept = marked.where("stays").distinct().groupBy("row").agg(F.collect_list(F.struct("line", "n", "d1", "d2")).alias("__kept")).withColumnRenamed("row", "__row")
+    marked = spill(grouped.where("several").select("row", "line", "n", "d1", "d2", "splits", stays.alias("stays")), "repeated")
+    kept = marked.where("stays").distinct().groupBy(F.col("row").alias(row)).agg(F.collect_list(F.struct("line", "n", "d1", "d2", "splits")).alias(at))
 
     def bodies_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return _kept_bytes(f.rename(columns={text: "text"})[["text", "__kept"]].rename(columns={"__kept": "kept"}) for f in frames)
+        return _kept_bytes(f[[text, at]].set_axis(["text", "kept"], axis=1) for f in frames)
 
-    # both joins read the same exchange of whole rows by __row, so texts are shuffled once
-    bodies = base.join(kept, "__row").mapInPandas(bodies_of, "d1 bigint, d2 bigint, before array<binary>, body binary, after array<binary>").dropDuplicates(["d1", "d2"])
-    repeats = (
-        marked.where("not stays").groupBy("row", "d1", "d2").agg(F.collect_set("line").alias("lines")).join(bodies, ["d1", "d2"]).groupBy("row").agg(F.collect_list(F.struct("lines", "before", "body", "after")).alias("__repeats")).withColumnRenamed("row", "__row")
-    )
+    # both joins read the same exchange of whole rows by their hash, so texts are shuffled once
+    bodies = base.join(kept, row).mapInPandas(tidy(bodies_of), BODIES).dropDuplicates(["d1", "d2"])
+    bodies = bodies.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)))
+    copies = marked.where("not stays").groupBy("row", "d1", "d2", F.pmod(F.xxhash64("row"), F.col("splits")).cast("int").alias("part")).agg(F.collect_set("line").alias("lines"))
+    repeats = copies.join(bodies, ["d1", "d2", "part"]).groupBy(F.col("row").alias(row)).agg(F.collect_list(F.struct("lines", "before", "body", "after")).alias(more))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            texts, removed, lines = [], [], []
-            for t, r in zip(f[text], f["__repeats"], strict=True):
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, repeats in batches:
+            left: list[tuple] = []
+            for t, r in zip(texts, repeats, strict=True):
                 if t is None:
-                    texts.append(None)
-                    removed.append(None)
-                    lines.append(None)
+                    left.append((None, None, None))
                 elif r is None or not len(r):
-                    texts.append(t)
-                    removed.append(0)
-                    lines.append(len(line_ends(t.encode())))
+                    left.append((t, len(line_ends(t.encode())), 0))
                 else:
                     got, gone, n = strip(t, r)
-                    texts.append(got)
-                    removed.append(gone)
-                    lines.append(n)
-            out = f[names].copy()
-            out[text] = objects(texts).set_axis(out.index)
-            out["n_lines"] = pd.array(lines, dtype="Int64")
-            out["n_removed"] = pd.array(removed, dtype="Int64")
-            yield out
+                    left.append((got, n, gone))
+            yield pd.DataFrame({"text": objects([x[0] for x in left]), "n_lines": pd.array([x[1] for x in left], dtype="Int64"), "n_removed": pd.array([x[2] for x in left], dtype="Int64")})
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    return base.join(repeats, "__row", "left").drop("__row").mapInPandas(run, f"{schema}, n_lines bigint, n_removed bigint")
+    stripped = F.pandas_udf(tidy(run), "text string, n_lines bigint, n_removed bigint", PandasUDFType.SCALAR_ITER)
+    done = base.join(repeats, row, "left").withColumn(at, stripped(F.col(text), F.col(more)))
+    own = [F.col(f"{at}.text").alias(c) if c.lower() == text.lower() else F.col(quoted(c)) for c in base.columns if c != row]
+    return done.select(*own, f"{at}.n_lines", f"{at}.n_removed")

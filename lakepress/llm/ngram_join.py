@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakepress.llm.frames import objects
+from lakepress.llm.frames import bounded, objects, tidy
 from lakepress.operators.graph import connected_components
 from lakepress.plans.workdir import spill
 
@@ -51,10 +51,10 @@ NUM, DEN = 4, 5
 BATCH_BYTES = 1 << 19
 #: postings that a block of documents may hold before it is cut by column range
 BLOCK_POSTINGS = 1_000_000
-#: column ranges per shuffle partition
-RANGES = 4
-#: sets of a block, and columns of a slice, in the product of what is left
-BLOCK_ROWS, SLICE = 1024, 4096
+#: postings that a column range holds, about
+RANGE_POSTINGS = 400_000
+#: sets and shingles of a block, and columns of a slice, in the product of what is left
+BLOCK_ROWS, BLOCK_SHINGLES, SLICE = 1024, 500_000, 2048
 #: rounds of comparisons with pivots before what is left is multiplied out
 STAR_ROUNDS = 1
 
@@ -158,7 +158,7 @@ def document_sets(docs: DataFrame) -> DataFrame:
                 }
             )
 
-    return docs.select("doc_id", "text_hash", "text").mapInPandas(run, "doc_id bigint, text_hash bigint, n bigint, sig binary")
+    return bounded(docs).select("doc_id", "text_hash", "text").mapInPandas(tidy(run), "doc_id bigint, text_hash bigint, n bigint, sig binary")
 
 
 Sets = Iterator[tuple[bytes, np.ndarray]]
@@ -183,9 +183,9 @@ def _sets_of_rows(frames: Iterator[pd.DataFrame]) -> Sets:
 _META = np.dtype([("sig", "V16"), ("n", "<u4")])
 
 
-def not_lonely(source: DataFrame, read: Callable[[Iterator[pd.DataFrame]], Sets], one_in: int) -> DataFrame:
-    """(sig) of the sets that may have a partner, judged by one in ``one_in`` columns."""
-    ranges = RANGES * int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def not_lonely(source: DataFrame, read: Callable[[Iterator[pd.DataFrame]], Sets], one_in: int, shingles: int) -> DataFrame:
+    """(sig) of the sets that may have a partner, judged by one in ``one_in`` columns; ``source`` holds ``shingles`` about."""
+    ranges = max(int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-shingles // (one_in * RANGE_POSTINGS)))
 
     def blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number = TaskContext.get().partitionId() << 24
@@ -258,7 +258,7 @@ def not_lonely(source: DataFrame, read: Callable[[Iterator[pd.DataFrame]], Sets]
         keep = n - total >= (NUM * n + DEN - 1) // DEN
         return pd.DataFrame({"sig": objects([x.tobytes() for x in meta["sig"][keep]])})
 
-    postings = source.mapInPandas(blocks, "range int, block bigint, columns binary, owners binary, meta binary")
+    postings = bounded(source).mapInPandas(tidy(blocks), "range int, block bigint, columns binary, owners binary, meta binary")
     counts = postings.groupBy("range").applyInPandas(lonely, "block bigint, counts binary, meta binary")
     return counts.groupBy("block").applyInPandas(judged, "sig binary").distinct()
 
@@ -338,7 +338,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     left = sets.select(F.col("sig").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("sig").alias("b"), F.col("shingles").alias("sb"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").mapInPandas(run, "a binary, b binary")
+    return bounded(pairs).select("a", "b").join(left, "a").join(right, "b").mapInPandas(tidy(run), "a binary, b binary")
 
 
 def _product(f: pd.DataFrame) -> pd.DataFrame:
@@ -377,13 +377,14 @@ def _block_links(open_: DataFrame, sets: DataFrame) -> DataFrame:
 
     Sets that columns chain together form a cluster; its rows are dealt into
     blocks, and each two blocks are multiplied by a task of their own, so a
-    task holds two blocks at most, however large the cluster is.
+    task holds two blocks at most, however large the cluster or its sets are.
     """
     heads = open_.groupBy("column", "place").agg(F.min("sig").alias("b"))
     chained = open_.join(heads, ["column", "place"]).select(F.col("sig").alias("a"), "b").distinct()
     clusters = connected_components(chained).select(F.col("node").alias("sig"), F.col("component").alias("cluster"))
-    members = open_.select("sig", "component").distinct().join(clusters, "sig")
-    blocks = members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
+    members = open_.select("sig", "n", "component").distinct().join(clusters, "sig")
+    full = F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES)
+    blocks = members.groupBy("cluster").agg(F.ceil(full).cast("int").alias("blocks"))
     dealt = members.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
     pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "cluster", "sig", "component", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")
@@ -399,7 +400,7 @@ def links(sets: DataFrame) -> DataFrame:
         for f in frames:
             yield pd.DataFrame({"sig": f["sig"], "n": f["n"], "columns": objects([np.frombuffer(s, dtype=np.int64) for s in f["shingles"]])})
 
-    cells = spill(_prefixes(sets.mapInPandas(unpack, "sig binary, n bigint, columns array<bigint>")), "prefixes")
+    cells = spill(_prefixes(bounded(sets).mapInPandas(tidy(unpack), "sig binary, n bigint, columns array<bigint>")), "prefixes")
     # a set stands in its own size band and the next, so that sizes within the bound meet
     placed = cells.select("*", F.explode(F.array("band", F.col("band") + 1)).alias("place"))
     found, tried, labels = None, None, None
@@ -418,8 +419,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """doc_id, n_shingles, component_id of every row."""
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
     known = spill(document_sets(rows), "sets")
+    shingles = known.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
     # the first pass reads texts; one text stands for each remaining set
-    some = not_lonely(rows.select("text"), _sets_of_texts, 2)
+    some = not_lonely(rows.select("text"), _sets_of_texts, 2, shingles)
     picked = known.where("sig is not null").groupBy("sig").agg(F.min("text_hash").alias("text_hash")).join(some, "sig").select("text_hash")
 
     def whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -430,11 +432,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                 yield pd.DataFrame({"sig": objects([sig]), "n": np.array([len(s)], dtype="int64"), "shingles": objects([s.tobytes()])})
 
     texts = rows.select("text_hash", "text").join(picked, "text_hash", "left_semi").select("text")
-    sets = spill(texts.mapInPandas(whole, "sig binary, n bigint, shingles binary").dropDuplicates(["sig"]), "candidates")
-    sets = spill(sets.join(not_lonely(sets, _sets_of_rows, 1), "sig", "left_semi"), "partners")
+    sets = spill(texts.mapInPandas(tidy(whole), "sig binary, n bigint, shingles binary").dropDuplicates(["sig"]), "candidates")
+    sets = spill(sets.join(not_lonely(sets, _sets_of_rows, 1, shingles), "sig", "left_semi"), "partners")
     classes = connected_components(links(sets)).select(F.col("node").alias("sig"), "component")
-    grouped = known.where("sig is not null").join(classes, "sig", "left").withColumn("class", F.coalesce("component", "sig"))
-    least = grouped.groupBy("class").agg(F.min("doc_id").alias("component_id"))
+    grouped = spill(known.where("sig is not null").join(classes, "sig", "left").withColumn("class", F.coalesce("component", "sig")), "classes")
+    least = spill(grouped.groupBy("class").agg(F.min("doc_id").alias("component_id")), "least")
+    # both sides are read from tables, so a class of many copies can be split between tasks
     linked = grouped.join(least, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = known.where("sig is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)

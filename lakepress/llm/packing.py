@@ -27,14 +27,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakepress.llm.frames import bounded, tidy
+
 CAPACITY = 2048
 END_ID = 1
 #: share of a bin that a whole remainder's class must fill
 FILL = 0.93
 #: classes beyond this share one class size
 MAX_CLASS = 64
-#: words whose ids a worker remembers
-REMEMBERED = 600_000
+#: words, and runs of words, whose ids a worker remembers
+REMEMBERED = 120_000
 
 #: texts in these characters take the word-wise path; others go to the tokenizer whole
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿŒœ]*+")
@@ -168,4 +170,4 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
         yield _frame(packer.close())
 
     schema = ", ".join(f"{c} bigint" for c in COLUMNS)
-    return docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, schema)
+    return bounded(docs).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInPandas(tidy(run), schema)

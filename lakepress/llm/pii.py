@@ -1,20 +1,28 @@
 """Personal data by weak supervision.
 
 Four patterns give the base spans, which always stay. Further candidates
-(written-out addresses, numbers without a country code, titled names, digit
-runs that look like cards) are judged by labelers that may vote yes, no or
-abstain: a regular-expression labeler for shape, a gazetteer labeler, a
-context labeler for cue words around the span, and a checksum labeler. The
-corpus-wide counts of vote patterns feed expectation-maximisation, which
-estimates how reliable each labeler is; its posteriors train a logistic span
-classifier, and candidates that the classifier accepts are added.
-
-Only counts of distinct vote patterns reach the driver, and there are at most
-a few thousand of those whatever the input.
+(written-out addresses, long IP forms, numbers without a country code, digit
+groups that look like cards, names after a title, a given name or a cue) are
+judged by labelers that may vote yes, no or abstain: a regular expression for
+the whole shape, gazetteers (given names, domain endings, card issuers), the
+words around the span in four languages, and check digits. Base spans are
+voted on too, as anchors. Counts of vote patterns over the whole corpus feed
+expectation-maximisation, which estimates each labeler's reliability and each
+kind's share of true candidates; no label is used.
+
+The posteriors are the targets of a final logistic span classifier. It does
+not see the votes: its features are the span's own characters (shape of its
+groups, length, check digits) and the words beside it, hashed into
+``FEATURES`` weights, so it also judges what no labeler knows. It is fitted on
+at most ``SAMPLE_SPANS`` spans, chosen by hash; candidates that it accepts are
+added. Only counts of vote patterns, at most a few thousand whatever the
+input, and that sample reach the driver.
 
 Defined results for odd input: a null text is an empty text without spans; an
 empty table gives no rows; repeated rows are scanned each on their own; other
-columns of the input are ignored. Offsets count code points, ends are exclusive.
+columns of the input are ignored, whatever their names. Offsets count code
+points, ends are exclusive; added spans overlap neither base spans nor each
+other.
 """
 
 from __future__ import annotations
@@ -22,6 +30,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +39,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakepress.llm.frames import objects
+from lakepress.llm.frames import bounded, objects, tidy
 from lakepress.plans.workdir import spill
 
 KINDS = ("email", "ip", "card", "phone", "name")
@@ -95,30 +105,48 @@ _SPELLED = re.compile(
     r"\b[A-Za-z0-9][A-Za-z0-9._-]{0,63}\s?(?:\(at\)|\[at\]|\{at\}| at )\s?[A-Za-z0-9-]{1,63}(?:\s?(?:\(dot\)|\[dot\]|\{dot\}| dot )\s?[A-Za-z0-9-]{1,63})+", re.I
 )
 _AT, _DOT = ("(at)", "[at]", "{at}", " at "), ("(dot)", "[dot]", "{dot}", " dot ")
-_LOCAL_PHONE = re.compile(r"(?<![0-9+.\w-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}(?![0-9\w])")
+_LONG_IP = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")
+_LOCAL_PHONE = re.compile(r"(?<![0-9+.\w-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.\x20]|00[1-9][0-9]{0,2}[-.\x20]?[0-9]{2,4}[-.\x20]?)[0-9]{3}[-.\x20]?[0-9]{4}(?![0-9\w])")
 _LOOSE_CARD = re.compile(r"(?<![0-9])[0-9]{4}(?:[./_][0-9]{4}){3}(?![0-9])")
-_TITLED = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra)\.?\x20[A-Z][a-z]{1,20}(?:\x20[A-Z][a-z]{1,20})?")
+_CAPITAL = r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]{1,20}"
+_TITLED = re.compile(rf"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra)\.?\x20{_CAPITAL}(?:\x20{_CAPITAL})?")
+_CALLED = re.compile(rf"(?:name is|m'appelle|me llamo|ich heiße|signed by)\x20({_CAPITAL}(?:\x20{_CAPITAL})?)")
+_TWO = re.compile(rf"\b{_CAPITAL}\x20{_CAPITAL}\b")
 #: the shape labeler says yes to these whole forms
 _SHAPES = {
-    0: re.compile(r"[\w.-]{2,}\s?(?:\(at\)|\[at\]|\{at\}).*(?:\(dot\)|\[dot\]|\{dot\}).{2,}", re.I),
-    2: re.compile(r"[3-6].*"),
-    3: re.compile(r"\(?[2-9][0-9]{2}.*[2-9][0-9]{2}[-.\x20][0-9]{4}"),
-    4: re.compile(r".*\.\x20[A-Z][a-z]+\x20[A-Z][a-z]+"),
+    0: re.compile(r"[\w.-]{2,}\s?(?:\(at\)|\[at\]|\{at\}).*(?:\(dot\)|\[dot\]|\{dot\}).{2,}|[^@\s]+@[^@\s]+\.[A-Za-z]{2,}", re.I | re.S),
+    1: re.compile(r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|[0-9]{1,3}(?:\.[0-9]{1,3}){3}"),
+    2: re.compile(r"[3-6].*", re.S),
+    3: re.compile(r"\(?[2-9][0-9]{2}.*[2-9][0-9]{2}[-.\x20]?[0-9]{4}|00[1-9].*|\+.*", re.S),
+    4: re.compile(rf"(?:\w+\.?\x20)?{_CAPITAL}\x20{_CAPITAL}"),
 }
-#: words that the gazetteer labeler knows
-TLDS = frozenset("com org net edu gov info de fr es uk eu io".split())
-GIVEN = frozenset("anna john mary peter maria james robert linda michael laura david sarah thomas julia paul emma lucas marie hans jean jose carlos".split())
-CUES = re.compile(r"(?:call|phone|tel|mobile|fax|contact|e-?mail|mail|write to|reach|name|card|visa|account|signed|dear)[^.\n]{0,12}\Z", re.I)
-COUNTER = re.compile(r"(?:order|invoice|version|isbn|part|serial|page|figure|no|nr|id)[\x20.:#]{0,3}\Z", re.I)
-WINDOW = 30
+#: what the gazetteer labeler knows: domain endings, given names and, as a rule, card issuers' first digits
+TLDS = frozenset("com org net edu gov mil int info biz name de fr es uk eu io at ch it nl be pt pl se no fi dk us ca au jp br mx ar cl co in".split())
+GIVEN = frozenset(
+    "anna john mary peter maria james robert linda michael laura david sarah thomas julia paul emma lucas marie hans jean jose carlos william elizabeth richard susan joseph jessica charles karen "
+    "daniel nancy matthew lisa anthony betty mark margaret donald sandra steven ashley andrew emily joshua donna kevin michelle brian carol george amanda edward melissa ronald deborah timothy stephanie jason rebecca "
+    "jeffrey sharon ryan cynthia jacob kathleen klaus ursula jürgen monika wolfgang petra stefan sabine andreas karin martin birgit christian heike pierre françoise michel monique philippe nathalie alain isabelle nicolas sylvie "
+    "antonio carmen manuel josefa francisco isabel javier dolores miguel pilar rafael teresa pedro ana luis lucía".split()
+)
+_ISSUER = re.compile(r"4|5[1-5]|2[2-7]|3[47]|6(?:011|5|4[4-9])")
+CUES = re.compile(
+    r"(?:call|phone|tel|mobile|fax|contact|e-?mail|mail|write to|reach|name|card|visa|account|signed|dear|address|server|host|anruf|telefon|handy|konto|karte|heiße|adresse|appel|téléphone|courriel|carte|compte|appelle|llama|teléfono|correo|tarjeta|cuenta|llamo)[^.\n]{0,12}\Z",
+    re.I,
+)
+COUNTER = re.compile(r"(?:order|invoice|version|isbn|part|serial|page|figure|no|nr|id|bestellung|rechnung|seite|commande|facture|pedido|factura|número)[\x20.:#]{0,3}\Z", re.I)
+AROUND = 30
 LABELERS = ("shape", "gazetteer", "context", "checksum")
+#: weights of the span classifier, and spans that it is fitted on
+FEATURES, SAMPLE_SPANS = 1024, 20_000
 
 
 def _gazetteer(kind: int, word: str) -> str:
     if kind == 0:
         return "1" if re.split(r"[^A-Za-z0-9-]+", word.lower().rstrip(")]}"))[-1] in TLDS else "0"
+    if kind == 2:
+        return "1" if _ISSUER.match(word) else "0"
     if kind == 4:
-        return "1" if any(w in GIVEN for w in re.findall(r"[a-z]+", word.lower())) else "-"
+        return "1" if any(w in GIVEN for w in re.findall(r"\w+", word.lower())) else "-"
     return "-"
 
 
@@ -133,54 +161,101 @@ def _checksum(kind: int, word: str) -> str:
 
 def vote(kind: int, text: str, start: int, stop: int) -> str:
     """One character a labeler: 1 yes, 0 no, - abstains."""
-    word, before = text[start:stop], text[max(0, start - WINDOW) : start]
+    word, before = text[start:stop], text[max(0, start - AROUND) : start]
     shape = "1" if _SHAPES[kind].fullmatch(word) else "0"
     context = "1" if CUES.search(before) else "0" if COUNTER.search(before) else "-"
     return shape + _gazetteer(kind, word) + context + _checksum(kind, word)
 
 
-def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str]]:
-    """(kind, start, stop, pattern) of what the base patterns leave; pattern is kind, votes and length class."""
+_GROUP = re.compile(r"[0-9]+|[^\W\d_]+|\s+|.", re.S)
+_BESIDE = re.compile(r"\w+")
+
+
+def _outline(word: str) -> str:
+    """The span's groups: digits by number, words by case, other characters as they are."""
     out = []
+    for g in _GROUP.findall(word[:200]):
+        out.append(f"9{len(g)}" if g[0].isdigit() else (("A" if g[0].isupper() else "a") + ("a" if g[1:].islower() else "A" if g[1:] else "")) if g[0].isalpha() else " " if g.isspace() else g)
+    return "".join(out)
+
+
+def span_features(kind: int, text: str, start: int, stop: int) -> list[int]:
+    """Hashed features of a span: its characters and its neighbours, never the votes."""
+    word = text[start:stop]
+    digits = _NOT_DIGIT.sub("", word)
+    before, after = _BESIDE.findall(text[max(0, start - AROUND) : start].lower())[-2:], _BESIDE.findall(text[stop : stop + AROUND].lower())[:1]
+    outline = _outline(word)
+    own = ["kind", f"outline {outline}", f"head {outline[:3]}", f"tail {outline[-3:]}", f"digits {len(digits)}", f"length {min(9, (stop - start) // 6)}", f"first {word[:1]}"]
+    own += [f"luhn {luhn(digits)}"] if len(digits) > 11 else []
+    own += [f"varied {len(set(digits)) > 2}"] if digits else []
+    own += [f"last {re.split(r'[^A-Za-z0-9]+', word.lower().rstrip(')]}'))[-1]}"] if kind == 0 else []
+    own += [f"word {w}" for w in re.findall(r"\w+", word.lower())[:3]] if kind == 4 else []
+    own += [f"before {w}" for w in before] + [f"after {w}" for w in after]
+    return sorted({zlib.crc32(f"{kind} {x}".encode("utf-8", "surrogatepass")) % FEATURES for x in own})
+
+
+def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str]]:
+    """(kind, start, stop, votes) of what the base patterns leave; no two overlap."""
+    found: list[tuple[int, int, int]] = []
     low = text.lower()
-    for kind, rx in ((0, _SPELLED), (2, _LOOSE_CARD), (3, _LOCAL_PHONE), (4, _TITLED)):
-        # what the pattern cannot do without, in any case of letters
-        if kind == 0 and not (any(x in low for x in _AT) and any(x in low for x in _DOT)):
-            continue
-        for m in rx.finditer(text):
-            a, b = m.span()
-            if all(b <= s or e <= a for _, s, e in base):
-                out.append((kind, a, b, f"{kind}{vote(kind, text, a, b)}{min(3, (b - a) // 12)}"))
+    # each test is for what the pattern cannot do without, in any case of letters
+    if any(x in low for x in _AT) and any(x in low for x in _DOT):
+        found += [(0, *m.span()) for m in _SPELLED.finditer(text)]
+    if ":" in text:
+        found += [(1, *m.span()) for m in _LONG_IP.finditer(text)]
+    if _FOUR.search(text):
+        found += [(2, *m.span()) for m in _LOOSE_CARD.finditer(text)]
+        found += [(3, *m.span()) for m in _LOCAL_PHONE.finditer(text)]
+    found += [(4, *m.span()) for m in _TITLED.finditer(text)]
+    found += [(4, *m.span(1)) for m in _CALLED.finditer(text)]
+    found += [(4, *m.span()) for m in _TWO.finditer(text) if m.group().split(" ")[0].lower() in GIVEN]
+    taken = sorted((s, e) for _, s, e in base)
+    out = []
+    for kind, a, b in found:
+        at = bisect_left(taken, (a, a))
+        if (at == len(taken) or b <= taken[at][0]) and (at == 0 or taken[at - 1][1] <= a):
+            taken.insert(at, (a, b))
+            out.append((kind, a, b, vote(kind, text, a, b)))
     return out
 
 
+_FOUR = re.compile(r"[0-9]{4}")
+
+
 def _scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         rows = []
         for doc_id, text in zip(f["doc_id"], f["text"], strict=True):
             text = text or ""
             base = base_spans(text)
+            more = candidates(text, base)
             listed = [f"{KINDS[k]}:{a}:{b}" for k, a, b in base]
             n = [sum(1 for k, _, _ in base if k == i) for i in range(4)]
-            rows.append((doc_id, *n, hashlib.sha256(",".join(listed).encode()).hexdigest(), base, candidates(text, base)))
+            judged = [(False, k, a, b, vote(k, text, a, b)) for k, a, b in base] + [(True, *c) for c in more]
+            spans = [{"kind": k, "start": a, "stop": b, "added": new, "votes": f"{k}{v}", "features": span_features(k, text, a, b)} for new, k, a, b, v in judged]
+            rows.append((doc_id, *n, hashlib.sha256(",".join(listed).encode()).hexdigest(), spans))
         yield pd.DataFrame(
             {
                 "doc_id": pd.array([r[0] for r in rows], dtype="Int64"),
                 **{f"n_{k}": np.array([r[1 + i] for r in rows], dtype="int64") for i, k in enumerate(KINDS[:4])},
                 "base_sha256": objects([r[5] for r in rows]),
-                "base": objects([[{"kind": k, "start": a, "stop": b} for k, a, b in r[6]] for r in rows]),
-                "more": objects([[{"kind": k, "start": a, "stop": b, "pattern": p} for k, a, b, p in r[7]] for r in rows]),
+                "spans": objects([r[6] for r in rows]),
             }
         )
 
 
 def reliabilities(patterns: dict[str, int], rounds: int = 50) -> tuple[dict[str, float], np.ndarray]:
-    """Expectation-maximisation over pattern counts: (posterior of each pattern, reliability [labeler, truth, vote])."""
+    """Expectation-maximisation over pattern counts: (posterior of each pattern, reliability [labeler, truth, vote]).
+
+    A pattern is the kind's number and a vote of each labeler. Reliabilities
+    are shared by all kinds, the share of true candidates is each kind's own.
+    """
     keys = sorted(patterns)
     if not keys:
         return {}, np.full((len(LABELERS), 2, 3), 1 / 3)
     code = {"0": 0, "1": 1, "-": 2}
     votes = np.array([[code[c] for c in k[1 : 1 + len(LABELERS)]] for k in keys])
+    kind = np.array([int(k[0]) for k in keys])
     weight = np.array([patterns[k] for k in keys], dtype=float)
     # a start from the votes: each yes raises, each no lowers
     score = (votes == 1).sum(1) - 1.5 * (votes == 0).sum(1)
@@ -193,52 +268,42 @@ def reliabilities(patterns: dict[str, int], rounds: int = 50) -> tuple[dict[str,
                 counts = np.array([share[votes[:, j] == v].sum() for v in range(3)])
                 # prior counts: labelers are right more often than wrong
                 rel[j, truth] = (counts + np.array([1.0 + 3 * (truth == 0), 1.0 + 3 * (truth == 1), 2.0])) / (counts.sum() + 7)
-        prior = (weight @ post + 1) / (weight.sum() + 2)
-        log1 = math.log(prior) + sum(np.log(rel[j, 1, votes[:, j]]) for j in range(len(LABELERS)))
-        log0 = math.log(1 - prior) + sum(np.log(rel[j, 0, votes[:, j]]) for j in range(len(LABELERS)))
+        prior = np.array([((weight * post)[kind == k].sum() + 1) / (weight[kind == k].sum() + 2) for k in range(len(KINDS))])[kind]
+        log1 = np.log(prior) + sum(np.log(rel[j, 1, votes[:, j]]) for j in range(len(LABELERS)))
+        log0 = np.log(1 - prior) + sum(np.log(rel[j, 0, votes[:, j]]) for j in range(len(LABELERS)))
         post = 1 / (1 + np.exp(np.clip(log0 - log1, -50, 50)))
     return dict(zip(keys, post.tolist(), strict=True)), rel
 
 
-def _features(pattern: str) -> np.ndarray:
-    x = np.zeros(1 + len(KINDS) + 2 * len(LABELERS) + 4)
-    x[0] = 1
-    x[1 + int(pattern[0])] = 1
-    for j, c in enumerate(pattern[1 : 1 + len(LABELERS)]):
-        if c != "-":
-            x[1 + len(KINDS) + 2 * j + (c == "1")] = 1
-    x[1 + len(KINDS) + 2 * len(LABELERS) + int(pattern[-1])] = 1
-    return x
-
-
-def span_classifier(patterns: dict[str, int], post: dict[str, float], rounds: int = 300) -> dict[str, float]:
-    """Logistic regression on the posteriors, by weighted gradient steps; the probability of each pattern."""
-    if not patterns:
-        return {}
-    keys = sorted(patterns)
-    x = np.stack([_features(k) for k in keys])
-    y = np.array([post[k] for k in keys])
-    w = np.array([patterns[k] for k in keys], dtype=float)
-    w /= w.sum()
-    beta = np.zeros(x.shape[1])
+def span_classifier(features: list[list[int]], target: list[float], rounds: int = 400, ridge: float = 1e-3) -> np.ndarray:
+    """Weights of a logistic regression on soft targets, by gradient steps scaled to each feature's frequency."""
+    if not features:
+        return np.zeros(FEATURES)
+    row = np.repeat(np.arange(len(features)), [len(f) for f in features])
+    col = np.concatenate([np.asarray(f, dtype=np.int64) for f in features])
+    y, beta = np.array(target), np.zeros(FEATURES)
+    often = np.bincount(col, minlength=FEATURES) + 1.0
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-x @ beta))
-        beta += 4 * (x.T @ (w * (y - p)) - 1e-4 * beta)
-    return dict(zip(keys, (1 / (1 + np.exp(-x @ beta))).tolist(), strict=True))
+        p = 1 / (1 + np.exp(-np.bincount(row, beta[col], len(features))))
+        beta += 0.4 * (np.bincount(col, (y - p)[row], FEATURES) / often - ridge * beta)
+    return beta
 
 
 def find_pii(docs: DataFrame, threshold: float = 0.5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, counts of base kinds, base_sha256, and ``found``: an array of (kind, start, stop) by kind, then start."""
-    kind = "array<struct<kind:int,start:int,stop:int>>"
-    schema = f"doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, base {kind}, more array<struct<kind:int,start:int,stop:int,pattern:string>>"
-    scanned = spill(docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInPandas(_scan, schema), "pii")
-    counts = scanned.select(F.explode("more.pattern").alias("p")).groupBy("p").count().collect()
-    patterns = {r.p: r["count"] for r in counts}
-    post, _ = reliabilities(patterns)
-    chosen = [p for p, score in span_classifier(patterns, post).items() if score >= threshold and p[len(LABELERS)] != "0"]
-    more = F.filter("more", lambda s: s["pattern"].isin(chosen)) if chosen else F.slice("more", 1, 0)
-    plain = F.transform(more, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop")))
-    return scanned.withColumn("found", F.array_sort(F.concat("base", plain))).drop("base", "more")
+    span = "struct<kind:int,start:int,stop:int,added:boolean,votes:string,features:array<int>>"
+    schema = f"doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans array<{span}>"
+    scanned = spill(bounded(docs).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInPandas(tidy(_scan), schema), "pii")
+    each = scanned.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*")
+    post, _ = reliabilities({r.votes: r["count"] for r in each.groupBy("votes").count().collect()})
+    turn = F.xxhash64("doc_id", "kind", "start", "votes")
+    sample = each.orderBy(turn, "votes", "features").select("votes", "features").limit(SAMPLE_SPANS).collect()
+    beta = span_classifier([r.features for r in sample], [post[r.votes] for r in sample])
+    weights = F.split(F.lit(",".join(f"{x:.9g}" for x in beta)), ",").cast("array<double>")
+    logit = lambda s: F.aggregate(s["features"], F.lit(0.0), lambda acc, k: acc + F.element_at(weights, k + 1))
+    taken = F.filter("spans", lambda s: ~s["added"] | (logit(s) >= math.log(threshold / (1 - threshold))))
+    plain = F.transform(taken, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop")))
+    return scanned.withColumn("found", F.array_sort(plain)).drop("spans")
 
 
 def span_text(column: str = "found"):

@@ -2,39 +2,59 @@
 
 Three patterns give the base spans. Further spans come from a log-likelihood
 ratio: two character Markov models, one of random strings and one of ordinary
-identifiers, are trained from labelled samples, and a long token that is far
-likelier under the first is reported as kind ``random``.
+identifiers, judge every long token, and one that is far likelier under the
+first is reported as kind ``random``.
+
+The models are fitted on labelled samples. Random: values that the base
+patterns find in a bounded sample of the documents (``SAMPLE_ROWS``, by hash of
+the text), and strings drawn in six alphabets. Ordinary: long tokens of the
+same documents that hold no digit, identifiers put together from their words
+and from programmers' words, and numbers. A third of the samples, by hash, is
+held out of the fit; on it the margin is chosen by which the random model must
+win, ordinary strings weighing ``ORDINARY_WEIGHT`` times as much as they are
+that much more frequent. Held-out precision and recall come with the model.
 
 Defined results for odd input: a null text is an empty text and has no spans;
 an empty table gives no rows; repeated rows are scanned each on their own;
-other columns pass through untouched unless they carry one of the names this
-module adds. Offsets count code points, ends are exclusive.
+other columns pass through untouched, whatever their names, but for one called
+secret_spans in any case of letters, which the result's own replaces. Offsets
+count code points, ends are exclusive. A token of fewer than ``KINDS_LEAST``
+different characters (a ruler, a run of one digit) is never taken for random.
 """
 
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakepress.llm.frames import quoted, without
+from lakepress.plans.workdir import spill
+
 # fixed values: the base patterns
 ASSIGN = r"""((?i)password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 ASSIGN_MIN = 6
 
-#: tokens that the models judge
-TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])"
+#: tokens that the models judge, and the different characters that a random one holds at least
+TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=-])"
+KINDS_LEAST = 8
 KINDS = ("assign", "access", "hex", "random")
 
 FIRST, SPAN = 32, 95
-#: labelled training strings of each class
-TRAIN_ROWS = 4000
-#: nats a character by which the random model must win
-MARGIN = 0.5
-
-# labelled sample of ordinary identifiers: these parts, joined in five styles
+#: documents that samples come from, words and strings of each source taken at most
+SAMPLE_ROWS, SAMPLE_WORDS, SAMPLE_STRINGS = 2000, 3000, 4000
+#: what an ordinary string weighs on the held-out part against a random one
+ORDINARY_WEIGHT = 50
+#: margins that are tried, in nats a character
+MARGINS = tuple(round(0.05 * k, 2) for k in range(-10, 41))
+#: matches that are located in one go
+BLOCK = 256
+
+# programmers' words for the sample of ordinary identifiers, joined in five styles
 VERBS = "get set load read write parse build make find create update remove merge split check count render fetch send open close start stop sort filter".split()
 NOUNS = "user account document session message customer order invoice product category article comment setting network database connection response request header template language country address payment number version".split()
 TAILS = "name list index value table count status handler factory manager config buffer length offset result context service client server size type map key path file".split()
@@ -52,27 +72,60 @@ def _joined(parts: list[Column], style: Column) -> Column:
     )
 
 
-def training_strings(spark: SparkSession, n: int = TRAIN_ROWS) -> DataFrame:
-    """(label, s): label 1 random strings in four alphabets, label 0 identifiers; ``n`` of each."""
+def _pick(words: list[str], salt: int) -> Column:
+    listed = F.split(F.lit(" ".join(words)), " ")
+    return F.element_at(listed, (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(words))) + 1).cast("int"))
+
+
+def drawn_strings(spark: SparkSession, n: int = SAMPLE_STRINGS) -> DataFrame:
+    """(label, s): ``n`` random strings of 16 to 43 characters in six alphabets."""
     i = F.col("id")
-    raw = F.sha2(F.concat(F.lit("sample-"), i.cast("string")), 256)
+    raw = F.concat(F.sha2(F.concat(F.lit("sample-"), i.cast("string")), 256), F.sha2(F.concat(F.lit("again-"), i.cast("string")), 256))
     drawn = F.base64(F.unhex(raw))
+    bare = F.regexp_replace(drawn, "[+/=]", "")
     random = (
-        F.when(i % 4 == 0, raw)
-        .when(i % 4 == 1, F.translate(drawn, "=", ""))
-        .when(i % 4 == 2, F.regexp_replace(drawn, "[+/=]", ""))
-        .otherwise(F.upper(F.regexp_replace(drawn, "[+/=]", "")))
+        F.when(i % 6 == 0, raw)
+        .when(i % 6 == 1, F.translate(drawn, "=", ""))
+        .when(i % 6 == 2, bare)
+        .when(i % 6 == 3, F.upper(bare))
+        .when(i % 6 == 4, F.translate(drawn, "+/=", "-_"))
+        .otherwise(F.lower(bare))
     )
+    return spark.range(0, n, 1, 1).select(F.lit(1).alias("label"), F.substr(random, F.lit(1), (16 + F.pmod(i * 7, F.lit(28))).cast("int")).alias("s"))
 
-    def pick(words: list[str], salt: int) -> Column:
-        listed = F.split(F.lit(" ".join(words)), " ")
-        return F.element_at(listed, (F.pmod(F.xxhash64(i, F.lit(salt)), F.lit(len(words))) + 1).cast("int"))
 
-    parts = [pick(VERBS, 1), pick(NOUNS, 2), pick(TAILS, 3)]
+def ordinary_strings(spark: SparkSession, words: list[str], n: int = SAMPLE_STRINGS) -> DataFrame:
+    """(label, s): identifiers of programmers' words and of ``words``, a quarter as many numbers."""
+    i = F.col("id")
+    parts = [_pick(VERBS, 1), _pick(NOUNS, 2), _pick(TAILS, 3)]
     number = F.when(i % 7 == 0, (i % 40).cast("string")).otherwise(F.lit(""))
-    ordinary = F.concat(_joined(parts, F.pmod(F.xxhash64(i, F.lit(4)), F.lit(5))), number)
+    style = F.pmod(F.xxhash64(i, F.lit(4)), F.lit(5))
     base = spark.range(0, n, 1, 1)
-    return base.select(F.lit(1).alias("label"), random.alias("s")).unionByName(base.select(F.lit(0).alias("label"), ordinary.alias("s")))
+    out = base.select(F.lit(0).alias("label"), F.concat(_joined(parts, style), number).alias("s"))
+    if words:
+        own = [_pick(words, k) for k in (5, 6, 7)]
+        out = out.unionByName(base.select(F.lit(0).alias("label"), F.concat(_joined(own, style), number).alias("s")))
+    digits = F.translate(F.sha2(F.concat(F.lit("number-"), i.cast("string")), 256), "abcdef", "")
+    return out.unionByName(spark.range(0, n // 4, 1, 1).select(F.lit(0).alias("label"), F.substr(digits, F.lit(1), (16 + i % 5).cast("int")).alias("s")))
+
+
+def corpus_strings(docs: DataFrame, text: str = "text") -> tuple[DataFrame, list[str]]:
+    """((label, s) of sampled documents, their words): base values are random, long tokens without digits are ordinary."""
+    n = docs.count()
+    grid = 1 << 20
+    share = int(min(1.0, SAMPLE_ROWS / max(n, 1)) * grid) + 1
+    # equal texts count once, so a sample of copies stays small
+    some = docs.select(F.col(text).alias("body")).where(F.pmod(F.xxhash64("body"), F.lit(grid)) < share).where("body is not null").groupBy(F.xxhash64("body").alias("h")).agg(F.first("body").alias("body"))
+    some = spill(some, "secret-sample")
+
+    def strings(label: int, pattern: str, group: int, keep: Column) -> DataFrame:
+        found = some.select(F.explode(F.regexp_extract_all("body", F.lit(pattern), F.lit(group))).alias("s")).where(keep).distinct()
+        return found.orderBy(F.xxhash64("s"), "s").limit(SAMPLE_STRINGS).select(F.lit(label).alias("label"), "s")
+
+    long = F.length("s") >= 16
+    labelled = strings(1, ASSIGN, 2, long & F.col("s").rlike("[0-9]")).unionByName(strings(1, HEX, 0, long)).unionByName(strings(1, ACCESS, 0, long)).unionByName(strings(0, TOKEN, 0, ~F.col("s").rlike("[0-9]")))
+    words = some.select(F.explode(F.regexp_extract_all("body", F.lit("[A-Za-z]{3,12}"), F.lit(0))).alias("w")).distinct().orderBy(F.xxhash64("w"), "w").limit(SAMPLE_WORDS)
+    return labelled, sorted(r.w for r in words.collect())
 
 
 def train_ratio(strings: DataFrame, smooth: float = 0.2) -> list[float]:
@@ -96,6 +149,40 @@ def train_ratio(strings: DataFrame, smooth: float = 0.2) -> list[float]:
     return out
 
 
+class SecretModel(NamedTuple):
+    """Log-ratios of character pairs, the margin, and what it gives on held-out samples."""
+
+    ratio: list[float]
+    margin: float
+    precision: float
+    recall: float
+
+
+def train(docs: DataFrame, text: str = "text") -> SecretModel:
+    """Both Markov models and the margin, from labelled samples of ``docs`` and drawn strings."""
+    spark = docs.sparkSession
+    own, words = corpus_strings(docs, text)
+    strings = spill(own.unionByName(drawn_strings(spark)).unionByName(ordinary_strings(spark, words)).dropDuplicates(["s"]), "secret-strings")
+    out = F.pmod(F.xxhash64("s", F.lit(1)), F.lit(3)) == 0
+    ratio = train_ratio(strings.where(~out))
+    judged = strings.where(out & varied(F.col("s"))).select("label", mean_ratio(F.col("s"), ratio).alias("score"))
+    counts = judged.groupBy("label").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("score") > m).alias(f"m{k}") for k, m in enumerate(MARGINS)]).collect()
+    by = {r.label: r for r in counts}
+    if len(by) < 2:
+        return SecretModel(ratio, MARGINS[-1], 0.0, 0.0)
+    tries = []
+    for k, m in enumerate(MARGINS):
+        hit, wrong = by[1][f"m{k}"], by[0][f"m{k}"]
+        f1 = 2 * hit / (hit + by[1].n + ORDINARY_WEIGHT * wrong) if hit else 0.0
+        tries.append((f1, m, hit / (hit + wrong) if hit else 0.0, hit / by[1].n))
+    _, margin, precision, recall = max(tries)
+    return SecretModel(ratio, margin, precision, recall)
+
+
+def varied(token: Column) -> Column:
+    return F.size(F.array_distinct(F.split(token, ""))) >= KINDS_LEAST
+
+
 def mean_ratio(token: Column, ratio: list[float]) -> Column:
     """The token's log-likelihood ratio a character."""
     table = F.split(F.lit(",".join(f"{x:.6g}" for x in ratio)), ",").cast("array<double>")
@@ -110,50 +197,60 @@ def mean_ratio(token: Column, ratio: list[float]) -> Column:
 
 
 def _located(kind: int, found: Column, between: Column, keep: Column | None = None) -> Column:
-    """Spans of successive matches from the matches and the pieces between them."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,stop:int,word:string>>").alias("spans"))
+    """Spans of successive matches from the matches and the pieces between them.
+
+    Spans are appended within blocks of ``BLOCK`` matches, so that a text of very many matches costs no copy of all before each.
+    """
+    none = F.array().cast(f"array<{SPAN_TYPE}>")
 
     def step(acc: Column, k: Column) -> Column:
         word = F.get(found, k)
         at = acc["at"] + F.length(F.get(between, k))
         stop = at + F.length(word)
-        span = F.array(F.struct(at.alias("start"), F.lit(kind).alias("kind"), stop.alias("stop"), word.alias("word")))
-        take = F.concat(acc["spans"], span)
+        take = F.array_append(acc["spans"], F.struct(at.alias("start"), F.lit(kind).alias("kind"), stop.alias("stop"), word.alias("word")))
         if keep is not None:
             take = F.when(F.length(F.get(keep, k)) >= ASSIGN_MIN, take).otherwise(acc["spans"])
         return F.struct(stop.alias("at"), take.alias("spans"))
 
-    walked = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step)["spans"]
-    return F.when(F.size(found) > 0, walked).otherwise(start["spans"])
+    def block(acc: Column, first: Column) -> Column:
+        some = F.sequence(first, F.least(first + (BLOCK - 1), F.size(found) - 1))
+        done = F.aggregate(some, F.struct(acc["at"].alias("at"), none.alias("spans")), step)
+        return F.struct(done["at"].alias("at"), F.array_append(acc["blocks"], done["spans"]).alias("blocks"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{SPAN_TYPE}>>").alias("blocks"))
+    walked = F.flatten(F.aggregate(F.sequence(F.lit(0), F.size(found) - 1, F.lit(BLOCK)), start, block)["blocks"])
+    return F.when(F.size(found) > 0, walked).otherwise(none)
+
+
+SPAN_TYPE = "struct<start:int,kind:int,stop:int,word:string>"
 
 
-def scan_secrets(docs: DataFrame, ratio: list[float] | None = None, margin: float = MARGIN, text: str = "text") -> DataFrame:
+def scan_secrets(docs: DataFrame, model: SecretModel | None = None, text: str = "text") -> DataFrame:
     """``docs`` with secret_spans, an array of (start, kind, stop) by start, then kind as in ``KINDS``."""
-    ratio = ratio or train_ratio(training_strings(docs.sparkSession))
-    body = F.coalesce(F.col(text), F.lit(""))
-    clash = [c for c in docs.columns if c.startswith("__") or c == "secret_spans"]
-    df = docs.drop(*clash).withColumn("__body", body)
+    model = model or train(docs, text)
+    # the input's columns travel inside one, so names of the steps below meet none of theirs
+    own = without(docs, "secret_spans")
+    df = docs.select(F.struct(*map(quoted, own)).alias("own"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     patterns = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "random": TOKEN}
     for k, p in patterns.items():
-        df = df.withColumn(f"__m_{k}", F.regexp_extract_all("__body", F.lit(p), F.lit(0)))
-    df = df.withColumn("__values", F.when(F.size("__m_assign") > 0, F.regexp_extract_all("__body", F.lit(ASSIGN), F.lit(2))))
+        df = df.withColumn(f"m_{k}", F.regexp_extract_all("body", F.lit(p), F.lit(0)))
+    df = df.withColumn("values", F.when(F.size("m_assign") > 0, F.regexp_extract_all("body", F.lit(ASSIGN), F.lit(2))))
     empty = F.array().cast("array<string>")
     for k, p in patterns.items():
-        df = df.withColumn(f"__p_{k}", F.when(F.size(f"__m_{k}") > 0, F.split("__body", p, -1)).otherwise(empty))
+        df = df.withColumn(f"p_{k}", F.when(F.size(f"m_{k}") > 0, F.split("body", p, -1)).otherwise(empty))
     base = F.concat(
-        *[_located(i, F.col(f"__m_{k}"), F.col(f"__p_{k}"), F.col("__values") if k == "assign" else None) for i, k in enumerate(KINDS[:3])]
+        *[_located(i, F.col(f"m_{k}"), F.col(f"p_{k}"), F.col("values") if k == "assign" else None) for i, k in enumerate(KINDS[:3])]
     )
-    df = df.withColumn("__base", base).withColumn("__tokens", _located(3, F.col("__m_random"), F.col("__p_random")))
-    mixed = F.filter("__tokens", lambda s: s["word"].rlike("[0-9]") & s["word"].rlike("[A-Za-z]") & ~s["word"].rlike("^[0-9a-f]{24,}$"))
-    df = df.withColumn("__mixed", F.when(F.size("__tokens") > 0, mixed).otherwise(F.col("__tokens")))
+    df = df.withColumn("base", base).withColumn("tokens", _located(3, F.col("m_random"), F.col("p_random")))
     fresh = F.filter(
-        "__mixed",
-        lambda s: ~F.exists("__base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])) & (mean_ratio(s["word"], ratio) > margin),
+        "tokens",
+        lambda s: ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])) & varied(s["word"]) & (mean_ratio(s["word"], model.ratio) > model.margin),
     )
-    spans = F.concat("__base", F.when(F.size("__mixed") > 0, fresh).otherwise(F.col("__mixed")))
-    plain = F.transform(F.array_sort(spans), lambda s: F.struct(s["start"], s["kind"], s["stop"]))
-    df = df.withColumn("secret_spans", F.when(F.size(spans) > 0, plain).otherwise(F.array().cast("array<struct<start:int,kind:int,stop:int>>")))
-    return df.drop(*[c for c in df.columns if c.startswith("__")])
+    spans = F.concat("base", F.when(F.size("tokens") > 0, fresh).otherwise(F.col("tokens")))
+    df = df.withColumn("spans", spans)
+    plain = F.transform(F.array_sort("spans"), lambda s: F.struct(s["start"], s["kind"], s["stop"]))
+    found = F.when(F.size("spans") > 0, plain).otherwise(F.array().cast("array<struct<start:int,kind:int,stop:int>>"))
+    return df.select(*[F.col(f"own.{quoted(c)}").alias(c) for c in own], found.alias("secret_spans"))
 
 
 def span_text(spans: Column) -> Column:

@@ -9,12 +9,16 @@ of the pieces that may end there. Sampling is one vectorised lookup a piece.
 
 The uniform number of each draw is a hash of the seed, the row's key and the
 draw's place in the row, so a row's segmentation does not depend on how rows
-are spread over workers. Decoding joins the pieces' bytes and gives back the
+are spread over workers. A run of more than ``LONGEST_UNIT`` characters without
+a blank is drawn from the same posterior one character at a time, keeping one
+number a character instead of the whole lattice. Decoding joins the pieces' bytes and gives back the
 text byte for byte, including white space, unknown characters and U+2581.
 
 Defined results for odd input: a null text stays null (no ids); an empty text
 has no ids; an empty table gives no rows; repeated rows with equal keys get
-equal segmentations; null keys count as key 0; other columns are kept.
+equal segmentations; null keys count as key 0; other columns are kept as they
+are, whatever their types and names, but for one that is called like the new
+column in any case of letters, which the new one replaces.
 """
 
 from __future__ import annotations
@@ -31,20 +35,22 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import PandasUDFType
 
-from lakepress.llm.frames import objects
+from lakepress.llm.frames import bounded, objects, quoted, tidy, without
 
 #: flattening of the posterior, 0 uniform, 1 as the vocabulary's ranks say
 ALPHA = 1.0
 #: characters a batch of texts may hold before its words are drawn
-BATCH_CHARS = 6_000_000
-#: longest run that is one unit; longer runs are cut, which only forbids pieces across the cut
+BATCH_CHARS = 2_000_000
+#: longer runs are filtered and drawn on their own
 LONGEST_UNIT = 512
 #: steps of a probability
 GRID = float(1 << 24)
 _UNITS = re.compile(r"[^ ]+|(?: +[^ ]+)| +")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xD6E8FEB86659FD93)
+_WORD = (1 << 64) - 1
 
 
 class Lattice(NamedTuple):
@@ -190,6 +196,39 @@ def filter_forward(units: list[str], v: Pieces) -> Lattice:
     return Lattice(node + np.minimum(run, 1.0), source, piece, first, size)
 
 
+def draw_long(unit: str, v: Pieces, state: int) -> list[int]:
+    """One segmentation of a long word, its pieces as in ``filter_forward``; keeps a forward weight for each position alone."""
+    weight, longest = v.weight, v.longest
+
+    def ending(stop: int) -> list[tuple[int, int, float]]:
+        """(start, piece, log weight up to here) of the pieces that may end at ``stop``."""
+        c = unit[stop - 1]
+        known = weight.get(c)
+        out = [(stop - 1, known[0], total[stop - 1] + known[1])] if known else [(stop - 1, -ord(c), total[stop - 1] + v.byte_weight * len(c.encode()))]
+        for start in range(stop - 2, max(-1, stop - 1 - longest), -1):
+            if (known := weight.get(unit[start:stop])) is not None:
+                out.append((start, known[0], total[start] + known[1]))
+        return out
+
+    total, exp, log = [0.0], math.exp, math.log
+    for stop in range(1, len(unit) + 1):
+        logs = [x[2] for x in ending(stop)]
+        top = max(logs)
+        total.append(top + log(sum([exp(x - top) for x in logs])))
+    pieces, at, draw = [], len(unit), 0
+    while at:
+        draw += 1
+        u = (_mix_one(state + draw) >> 40) / GRID
+        edges = ending(at)
+        for edge in edges:
+            u -= exp(edge[2] - total[at])
+            if u < 0:
+                break
+        at = edge[0]
+        pieces.append(edge[1])
+    return pieces[::-1]
+
+
 class Sampler:
     """Draws segmentations; every distinct word of a batch is filtered once."""
 
@@ -200,24 +239,48 @@ class Sampler:
         """Piece ids of each text."""
         known: dict[str, int] = {}
         add, unit_ids, counts = known.setdefault, [], []
+        long: list[tuple[int, str]] = []
         for text in texts:
             units = _UNITS.findall(text)
             if len(text) > LONGEST_UNIT and max(map(len, units), default=0) > LONGEST_UNIT:
-                units = [u[i : i + LONGEST_UNIT] for u in units for i in range(0, len(u), LONGEST_UNIT)]
-            unit_ids += [add(u, len(known)) for u in units]
+                long += [(len(unit_ids) + i, u) for i, u in enumerate(units) if len(u) > LONGEST_UNIT]
+                unit_ids += [add(u, len(known)) if len(u) <= LONGEST_UNIT else -1 for u in units]
+            else:
+                unit_ids += [add(u, len(known)) for u in units]
             counts.append(len(units))
         if not unit_ids:
             return [np.zeros(0, dtype=np.int64) for _ in texts]
-        line, edge_start, edge_piece, first, length = filter_forward(list(known), self.v)
         unit = np.array(unit_ids, dtype=np.int64)
         n_of = np.array(counts, dtype=np.int64)
         row = np.repeat(np.arange(len(texts)), n_of)
         place = np.arange(len(unit)) - np.repeat(np.concatenate([[0], np.cumsum(n_of)[:-1]]), n_of)
-        # equal words side by side: their draws read the same stretch of the tables
-        beside = np.argsort(unit, kind="stable")
-        unit, row, place = unit[beside], row[beside], place[beside]
         salt = _mix(np.array([(k ^ self.seed * 0x5851F42D4C957F2D) & 0xFFFFFFFFFFFFFFFF for k in keys], dtype=np.uint64))
         state = _mix(salt[row] + place.astype(np.uint64) * _MIX)
+        units, pieces = self._drawn(list(known), unit, state) if known else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
+        if long:
+            drawn = [draw_long(u, self.v, int(state[i])) for i, u in long]
+            units = np.concatenate([units, np.repeat([i for i, _ in long], [len(d) for d in drawn])])
+            pieces = np.concatenate([pieces, np.concatenate(drawn)])
+            order = np.argsort(units, kind="stable")
+            units, pieces = units[order], pieces[order]
+        if (odd := pieces < 0).any():
+            spelled = [chr(-p).encode() for p in pieces[odd].tolist()]
+            n = np.ones(len(pieces), dtype=np.int64)
+            n[odd] = [len(b) for b in spelled]
+            units = np.repeat(units, n)
+            flat = np.repeat(pieces, n)
+            flat[flat < 0] = np.array(self.v.byte_ids)[np.frombuffer(b"".join(spelled), dtype=np.uint8)]
+            pieces = flat
+        per_row = np.bincount(row[units], minlength=len(texts))
+        return np.split(pieces, np.cumsum(per_row)[:-1])
+
+    def _drawn(self, words: list[str], unit: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of the unit, piece) in order, of the units that are among ``words``."""
+        line, edge_start, edge_piece, first, length = filter_forward(words, self.v)
+        # equal words side by side: their draws read the same stretch of the tables
+        beside = np.argsort(unit, kind="stable")
+        beside = beside[unit[beside] >= 0]
+        unit, state = unit[beside], state[beside]
         begin = first[unit]
         node = begin + length[unit]
         live = np.arange(len(unit))
@@ -237,16 +300,15 @@ class Sampler:
         pieces = np.concatenate(got_piece)
         order = np.argsort(units * (draw + 1) + (draw - steps))
         units, pieces = units[order], pieces[order]
-        if (odd := pieces < 0).any():
-            spelled = [chr(-p).encode() for p in pieces[odd].tolist()]
-            n = np.ones(len(pieces), dtype=np.int64)
-            n[odd] = [len(b) for b in spelled]
-            units = np.repeat(units, n)
-            flat = np.repeat(pieces, n)
-            flat[flat < 0] = np.array(self.v.byte_ids)[np.frombuffer(b"".join(spelled), dtype=np.uint8)]
-            pieces = flat
-        per_row = np.bincount(np.repeat(np.arange(len(texts)), n_of)[units], minlength=len(texts))
-        return np.split(pieces, np.cumsum(per_row)[:-1])
+        return units, pieces
+
+
+def _mix_one(x: int) -> int:
+    """``_mix`` of one number."""
+    x = (x + int(_MIX)) & _WORD
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & _WORD
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & _WORD
+    return x ^ (x >> 31)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -276,36 +338,31 @@ def _key(k) -> int:
 
 
 def encode(docs: DataFrame, model: str, seed: int = 0, alpha: float = ALPHA, key: str = "doc_id", text: str = "text", to: str = "piece_ids") -> DataFrame:
-    """``docs`` with ``to``, an array of piece ids."""
-    names = [c for c in docs.columns if c != to]
+    """``docs`` with ``to``, an array of piece ids. Keys and texts alone go to Python."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         s = Sampler(model, seed, alpha)
-        for f in frames:
-            texts = list(f[text])
+        for keys, texts in batches:
+            texts, out = list(texts), []
             for part in _grouped(texts):
-                ids = s.sample([t or "" for t in texts[part]], [_key(k) for k in f[key].iloc[part]])
-                out = f.iloc[part][names].copy()
-                out[to] = objects([None if t is None else x.astype(np.int32) for t, x in zip(texts[part], ids, strict=True)]).set_axis(out.index)
-                yield out
+                ids = s.sample([t or "" for t in texts[part]], [_key(k) for k in keys.iloc[part]])
+                out += [None if t is None else x.astype(np.int32) for t, x in zip(texts[part], ids, strict=True)]
+            yield objects(out)
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    return docs.select(*names).mapInPandas(run, f"{schema}, `{to}` array<int>")
+    coded = F.pandas_udf(tidy(run), "array<int>", PandasUDFType.SCALAR_ITER)
+    return bounded(docs).select(*map(quoted, without(docs, to)), coded(F.col(key), F.col(text)).alias(to))
 
 
 def decode(coded: DataFrame, model: str, ids: str = "piece_ids", to: str = "decoded") -> DataFrame:
     """``coded`` with ``to``, the text that the ids spell."""
-    names = [c for c in coded.columns if c != to]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         v = vocabulary(model)
-        for f in frames:
-            out = f[names].copy()
-            out[to] = objects([None if x is None else v.decode(np.asarray(x, dtype=np.int64)).decode() for x in f[ids]]).set_axis(out.index)
-            yield out
+        for lists in batches:
+            yield objects([None if x is None else v.decode(np.asarray(x, dtype=np.int64)).decode() for x in lists])
 
-    schema = ", ".join(f"`{c}` {coded.schema[c].dataType.simpleString()}" for c in names)
-    return coded.select(*names).mapInPandas(run, f"{schema}, `{to}` string")
+    spelled = F.pandas_udf(run, "string", PandasUDFType.SCALAR_ITER)
+    return bounded(coded).select(*map(quoted, without(coded, to)), spelled(F.col(ids)).alias(to))
 
 
 def digests(docs: DataFrame, model: str, seed: int = 0, alpha: float = ALPHA) -> DataFrame:
@@ -327,4 +384,4 @@ def digests(docs: DataFrame, model: str, seed: int = 0, alpha: float = ALPHA) ->
                     }
                 )
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInPandas(run, "doc_id bigint, n_pieces bigint, ids_crc32 bigint, lossless boolean")
+    return bounded(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInPandas(tidy(run), "doc_id bigint, n_pieces bigint, ids_crc32 bigint, lossless boolean")

@@ -14,8 +14,9 @@ label or without; its size does not grow with the text.
 
 Defined results for odd input: a null text is an empty text and scores near the
 base rate's low end; an empty table gives no rows; without labels of both
-kinds every score is 0; repeated rows score alike; other columns of the input
-are ignored.
+kinds every score is 0; repeated rows score alike; of labels that contradict
+each other for one id, toxic counts; ``score`` ignores other columns of the
+input, ``keep_clean`` keeps them all as they are.
 """
 
 from __future__ import annotations
@@ -24,13 +25,15 @@ import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import PandasUDFType
 
-from lakepress.llm.frames import objects
+from lakepress.llm.frames import bounded, objects, tidy, unused
 from lakepress.plans.workdir import spill
 
 THRESHOLD = 0.7
@@ -48,13 +51,18 @@ TOXIC_WEIGHT = 2.0
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "*": "aeiou"}
 _LETTERS = r"[^\W\d_]"
 _WORD = re.compile(rf"{_LETTERS}+")
-#: a token that mixes letters with stand-ins anywhere
-_SIGN = r"[\w@$!|+*]"
-_MIXED = re.compile(rf"(?<!{_SIGN})(?=[^\W\d_]*[013456789@$!|+*]|{_SIGN}*[013456789@$!|+*])(?={_SIGN}*{_LETTERS}){_SIGN}{{2,}}")
+#: characters of a token, and those of them that stand for letters; a token that mixes letters with stand-ins is decoded
+_SIGN = re.compile(r"[\w@$!|+*]+")
+_STAND_IN = re.compile(r"[013456789@$!|+*]")
+_HAS_LETTER = re.compile(_LETTERS)
 #: signs that may be a token's punctuation as well as a letter
 _CLOSING = "!|+*$"
 _TRIPLE = re.compile(rf"({_LETTERS})\1\1")
+#: every spaced run holds this: its second and third character
+_SINGLE = re.compile(r"[ ._\-*](?:[^\W_]|[@$!|+])[ ._\-*](?:[^\W_]|[@$!|+])(?=[ ._\-*]|[^\w@$]|\Z)")
 _SPACED = re.compile(r"(?<![\w@$])(?:[^\W_]|[@$!|+])(?:[ ._\-*](?:[^\W_]|[@$!|+])){2,}(?![\w@$])")
+#: tokens whose readings a worker remembers
+REMEMBERED = 30_000
 #: a longer token is split into words after decoding, as a spaced run is
 LONG_WORD = 20
 #: log-probability that a word ends inside a run, and adjacent parts that are also read as one word
@@ -131,29 +139,47 @@ def readings(token: str, model: CharModel, split: bool) -> tuple[str, ...]:
     return tuple(out)
 
 
+def mixed(text: str) -> Iterator[str]:
+    """Tokens of ``text`` that hold letters and stand-ins, found from the stand-ins, as most texts have few."""
+    end = 0
+    for m in _STAND_IN.finditer(text):
+        start = m.start()
+        if start < end:
+            continue
+        end = _SIGN.match(text, start).end()
+        while start and _SIGN.match(text[start - 1]):
+            start -= 1
+        if end - start > 1 and _HAS_LETTER.search(text, start, end):
+            yield text[start:end]
+
+
+def stretched(text: str) -> bool:
+    """Whether a letter stands three times in a row."""
+    return any(c * 3 in text and _HAS_LETTER.match(c) for c in set(text))
+
+
 def restored(text: str, model: CharModel, known: dict) -> set[str]:
     """Distinct words of a lower-case text, with the readings of what looks obfuscated."""
     words = set(_WORD.findall(text))
     odd = set()
-    for m in _MIXED.finditer(text):
-        token = m.group()
+    for token in mixed(text):
         odd.add((token, len(token) > LONG_WORD))
         bare = token.rstrip(_CLOSING)
         if bare != token and not bare.isalpha():
             odd.add((bare, len(bare) > LONG_WORD))
-    for m in _SPACED.finditer(text):
+    for m in _SPACED.finditer(text) if _SINGLE.search(text) else ():
         run = re.sub(r"[ ._\-*]", "", m.group())
         if any(c.isalpha() for c in run):
             odd.add((run, True))
             bare = run.rstrip(_CLOSING)
             if bare != run:
                 odd.add((bare, True))
-    if _TRIPLE.search(text):
+    if stretched(text):
         odd.update([(w, len(w) > LONG_WORD) for w in words if _TRIPLE.search(w)])
     for item in odd:
         if (got := known.get(item)) is None:
             got = readings(item[0], model, item[1])
-            if len(known) < 200_000:
+            if len(known) < REMEMBERED:
                 known[item] = got
         words.update(got)
     return words
@@ -169,22 +195,46 @@ def features(words: set[str]) -> set[str]:
 # ---- learning -----------------------------------------------------------------
 
 
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """For every code point, whether ``_WORD`` takes it."""
+    return np.array([chr(i).isalnum() and not chr(i).isdecimal() for i in range(0x110000)])
+
+
+def count_pairs(texts: list[str], total: Counter) -> None:
+    """Add the pairs of neighbouring characters of all words, with ^ before and $ after each."""
+    code = np.frombuffer(" ".join(texts).lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    if not len(code):
+        return
+    letter = _letters()[code]
+    seen = np.zeros(0x110000, dtype=bool)
+    seen[code[letter]] = True
+    kinds = np.flatnonzero(seen)
+    small = np.zeros(0x110000, dtype=np.int64)
+    small[kinds] = np.arange(1, len(kinds) + 1)
+    at = np.where(letter, small[code], 0)
+    left, right = np.concatenate([[0], at]), np.concatenate([at, [0]])
+    pair, n = np.unique(left * (len(kinds) + 1) + right, return_counts=True) if len(kinds) > 2000 else (None, np.bincount(left * (len(kinds) + 1) + right))
+    if pair is None:
+        pair = np.flatnonzero(n)
+        n = n[pair]
+    names = [chr(k) for k in kinds]
+    for p, k in zip(pair.tolist(), n.tolist(), strict=True):
+        a, b = divmod(p, len(kinds) + 1)
+        if p:
+            total[(names[a - 1] if a else "^") + (names[b - 1] if b else "$")] += k
+
+
 def _pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     total: Counter = Counter()
     for f in frames:
-        seen: Counter = Counter()
-        for text in f["text"]:
-            seen.update(_WORD.findall((text or "").lower()))
-        for w, n in seen.items():
-            if len(w) < 30:
-                for a, b in zip("^" + w, w + "$", strict=True):
-                    total[a + b] += n
+        count_pairs([t or "" for t in f["text"]], total)
     yield pd.DataFrame({"pair": objects(list(total)), "n": np.array(list(total.values()), dtype="int64")})
 
 
 def char_model(docs: DataFrame, kinds: int = 20_000) -> CharModel:
     """From all texts of ``docs``; at most ``kinds`` pairs of characters, the most frequent."""
-    got = docs.select("text").mapInPandas(_pairs, "pair string, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+    got = bounded(docs).select("text").mapInPandas(tidy(_pairs), "pair string, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
     return CharModel({r.pair: r.n for r in got.orderBy(F.desc("n"), "pair").limit(kinds).collect()})
 
 
@@ -262,7 +312,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> ToxicityMo
     bad_n, good_n = totals.get(1, 0), totals.get(0, 0)
     if not bad_n or not good_n:
         return ToxicityModel(chars, {})
-    counts = rows.select("text", "toxic").mapInPandas(_counter(chars), "feature string, bad bigint, good bigint")
+    counts = rows.select("text", "toxic").mapInPandas(tidy(_counter(chars)), "feature string, bad bigint, good bigint")
     odds = F.log((F.col("bad") + 0.5) / (bad_n + 1.0)) - F.log((F.col("good") + 0.5) / (good_n + 1.0))
     least = min(MIN_DOCS, max(1, bad_n // 8))
     kept = (
@@ -275,37 +325,34 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> ToxicityMo
         .limit(VOCABULARY)
     )
     model = ToxicityModel(chars, {r.feature: r.odds for r in kept.collect()})
-    # both kinds in their own share, the smaller one whole where it fits
+    # both kinds in their own share, the first by hash order, so that file order doesn't matter
     per = CALIBRATION_ROWS // 2
-    picked = [
-        rows.where(F.col("toxic") == c).where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < int(min(1.0, 1.1 * per / n) * (1 << 20))).limit(per)
-        for c, n in ((1, bad_n), (0, good_n))
-    ]
-    seen = picked[0].unionByName(picked[1]).select("text", "toxic").mapInPandas(_summaries(model), "toxic int, x array<double>").collect()
+    keys = rows.select(key, "toxic")
+    some = [keys.where(F.col("toxic") == c).orderBy(F.xxhash64(key), key).limit(per) for c in (1, 0)]
+    picked = rows.join(F.broadcast(some[0].unionByName(some[1]).select(key).distinct()), key, "left_semi")
+    seen = picked.select("text", "toxic").mapInPandas(_summaries(model), "toxic int, x array<double>").orderBy("toxic", "x").collect()
     model.beta = _fit(np.array([r.x for r in seen]), np.array([float(r.toxic) for r in seen]))
     return model
 
 
-def score(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, held_out, score, predicted."""
+def _scorer(model: ToxicityModel) -> Callable:
+    """The score of a text column; a text's score depends on nothing else."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known: dict = {}
-        for f in frames:
-            got = model.scores(list(f["text"]), known)
-            yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64"), "held_out": f["held_out"], "score": got, "predicted": (got >= THRESHOLD).astype("int32")})
+        for texts in batches:
+            yield pd.Series(model.scores(list(texts), known))
 
-    rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.coalesce(held_out(key), F.lit(False)).alias("held_out"))
-    return rows.mapInPandas(run, "doc_id bigint, held_out boolean, score double, predicted int")
+    return F.pandas_udf(tidy(run), "double", PandasUDFType.SCALAR_ITER)
 
 
-def keep_clean(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """Rows of ``docs``, all columns, whose score is below the threshold."""
-    schema, names = docs.schema, docs.columns
+def score(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, held_out, score, predicted."""
+    rows = bounded(docs).select(F.col(key).cast("bigint").alias("doc_id"), F.coalesce(held_out(key), F.lit(False)).alias("held_out"), _scorer(model)(F.col(text)).alias("score"))
+    return rows.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict = {}
-        for f in frames:
-            yield f[model.scores(list(f["text"]), known) < THRESHOLD][names]
 
-    return docs.mapInPandas(run, schema)
+def keep_clean(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
+    """Rows of ``docs``, all columns as they are, whose score is below the threshold. Texts alone go to Python."""
+    name = unused(docs, "score")
+    return bounded(docs).withColumn(name, _scorer(model)(F.col(text))).where(F.col(name) < THRESHOLD).drop(name)
