@@ -66,7 +66,8 @@ def term_counts(text: Column, groups: Groups) -> Column:
 def top_group(text: Column, groups: Groups) -> Column:
     """The group of most occurrences, the first of equals; null where nothing occurs."""
     scored = F.array_max(F.array(*[F.struct(count(text, ts).alias("n"), F.lit(-i).alias("rank"), F.lit(g).alias("group")) for i, (g, ts) in enumerate(groups.items())]))
-    return F.when(scored["n"] > 0, scored["group"])
+    # through an array, so that the counts are taken once and not in the condition and the value alike
+    return F.get(F.filter(F.array(scored), lambda s: s["n"] > 0)["group"], F.lit(0))
 
 
 def mark(text: Column, terms: list[str], before: str = "[[", after: str = "]]") -> Column:

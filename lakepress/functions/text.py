@@ -32,7 +32,8 @@ def strip_all(c: Column) -> Column:
 
 
 def has_body(body: Column) -> Column:
-    return F.coalesce(strip_all(body), F.lit("")) != ""
+    """Whether there is anything but white space; the search stops at the first such character."""
+    return F.coalesce(body.rlike(r"(?U)\S"), F.lit(False))
 
 
 def model_text(headline: Column, body: Column, sep: str = " [SEP] ", mark: str = "[NO_BODY] ") -> Column:

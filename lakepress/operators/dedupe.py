@@ -19,21 +19,30 @@ def exact_groups(rows: DataFrame, key: str = "norm", order: str = "doc_id") -> D
     Groups are numbered over the distinct keys' first rows alone.
     """
     first = rows.groupBy(key).agg(F.min(order).alias("__first"))
-    numbered = number_in_order(first, "__first", "exact_group")
-    return rows.join(numbered, key).select(*rows.columns, "exact_group", (F.col(order) > F.col("__first")).alias("is_exact_dup"))
+    numbered = number_in_order(first, ["__first"], "exact_group")
+    return rows.join(numbered, key).select(*rows.columns, F.col("exact_group").cast("int").alias("exact_group"), (F.col(order) > F.col("__first")).alias("is_exact_dup"))
 
 
-def number_in_order(rows: DataFrame, order: str, to: str, step: int = 1 << 16) -> DataFrame:
-    """Dense numbers from 0 by ``order``, unique long values, without one task for all rows.
+def number_in_order(rows: DataFrame, order: list[str], to: str, within: list[str] | None = None) -> DataFrame:
+    """``rows`` with dense numbers from 0 by ``order``, which no two rows share, in each group of ``within``.
 
-    Ranges of ``order`` are numbered each on their own; only their sizes meet.
+    Rows are dealt by ranges of group and order, so neither a large group nor
+    sparse values put all rows into one task; ranges are numbered each on their
+    own, and only their sizes meet.
     """
-    part = F.floor(F.col(order) / step)
-    sizes = rows.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    place = F.row_number().over(Window.partitionBy("__part").orderBy(order)) - 1
-    return rows.withColumn("__part", part).withColumn("__place", place).join(starts, "__part").select(*rows.columns, (F.col("__start") + F.col("__place")).cast("int").alias(to))
+    within = within or []
+    spark = rows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(n, *within, *order).withColumn("__part", F.spark_partition_id())
+    placed = spill(ranged, "ranges")
+    sizes = placed.groupBy(*within, "__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*within).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(within)], F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    place = F.row_number().over(Window.partitionBy(*within, "__part").orderBy(*order)) - 1
+    meet = F.col("__part") == F.col("__p")
+    for i, c in enumerate(within):
+        meet = meet & F.col(c).eqNullSafe(F.col(f"__g{i}"))
+    return placed.withColumn("__place", place).join(starts, meet).select(*rows.columns, (F.col("__start") + F.col("__place")).alias(to))
 
 
 def summary(rows: DataFrame, key: str, split: str) -> DataFrame:
@@ -69,14 +78,27 @@ def word_grams(text: Column, sizes: tuple[int, ...] = GRAMS) -> Column:
     return F.flatten(F.transform(padded, grams))
 
 
-def tfidf(rows: DataFrame, key: str = "doc_id", text: str = "headline") -> DataFrame:
-    """(key, gram, weight): 1 + ln tf, times ln((1 + N) / (1 + df)) + 1, scaled to length one."""
-    grams = rows.select(key, F.explode(word_grams(F.col(text))).alias("gram")).groupBy(key, "gram").agg(F.count(F.lit(1)).alias("tf"))
-    n = rows.count()
-    df = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+def distinct_texts(rows: DataFrame, key: str = "doc_id", text: str = "headline") -> tuple[DataFrame, DataFrame]:
+    """((key, rep), (rep, text, copies)): equal texts stand behind the one of the smallest key; null texts are left out."""
+    marked = rows.where(F.col(text).isNotNull()).select(key, F.col(text).alias("text"), F.md5(F.col(text).cast("binary")).alias("__t"))
+    texts = marked.groupBy("__t").agg(F.min(key).alias("rep"), F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    texts = spill(texts, "texts")
+    return marked.select(key, "__t").join(texts.select("__t", "rep"), "__t").select(key, "rep"), texts.select("rep", "text", "copies")
+
+
+def _weighted(texts: DataFrame, n: int) -> DataFrame:
+    """(rep, gram, df, weight) of distinct texts; a gram's frequency counts their copies, of ``n`` rows in all."""
+    grams = texts.select("rep", "copies", F.explode(word_grams(F.col("text"))).alias("gram")).groupBy("rep", "gram").agg(F.count(F.lit(1)).alias("tf"), F.first("copies").alias("copies"))
+    df = grams.groupBy("gram").agg(F.sum("copies").alias("df"))
     raw = grams.join(df, "gram").withColumn("w", (1 + F.log("tf")) * (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1))
-    norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, key).select(key, "gram", "df", (F.col("w") / F.col("norm")).alias("weight"))
+    norm = raw.groupBy("rep").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return raw.join(norm, "rep").select("rep", "gram", "df", (F.col("w") / F.col("norm")).alias("weight"))
+
+
+def tfidf(rows: DataFrame, key: str = "doc_id", text: str = "headline") -> DataFrame:
+    """(key, gram, df, weight): 1 + ln tf, times ln((1 + N) / (1 + df)) + 1, scaled to length one."""
+    members, texts = distinct_texts(rows, key, text)
+    return members.join(_weighted(texts, rows.count()), "rep").select(key, "gram", "df", "weight")
 
 
 def similar_pairs(weights: DataFrame, least: float = SIMILAR, key: str = "doc_id") -> DataFrame:
@@ -97,6 +119,30 @@ def similar_pairs(weights: DataFrame, least: float = SIMILAR, key: str = "doc_id
     return dots.where(F.col("cosine") >= least)
 
 
+def near_pairs(rows: DataFrame, least: float = SIMILAR, key: str = "doc_id", text: str = "headline") -> DataFrame:
+    """(a, b, cosine) of all pairs of rows; equal texts are compared once and multiplied out at the end."""
+    members, texts = distinct_texts(rows, key, text)
+    weights = spill(_weighted(texts, rows.count()), "weights")
+    pairs = similar_pairs(weights, least, "rep").unionByName(weights.select(F.col("rep").alias("a")).distinct().select("a", F.col("a").alias("b"), F.lit(1.0).alias("cosine")))
+    x, y = members.select(F.col(key).alias("x"), F.col("rep").alias("a")), members.select(F.col(key).alias("y"), F.col("rep").alias("b"))
+    every = pairs.join(x, "a").join(y, "b").where((F.col("a") != F.col("b")) | (F.col("x") < F.col("y")))
+    return every.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "cosine")
+
+
+def near_clusters(rows: DataFrame, least: float = SIMILAR, key: str = "doc_id", text: str = "headline") -> DataFrame:
+    """(key, component): the smallest id that similar texts connect; rows of no other stand alone.
+
+    Only one row of each distinct text takes part in the join, so the links do
+    not grow with the square of a text's copies. Texts without grams stand
+    alone, copies included.
+    """
+    members, texts = distinct_texts(rows, key, text)
+    weights = spill(_weighted(texts, rows.count()), "weights")
+    cc = connected_components(similar_pairs(weights, least, "rep")).withColumnRenamed("node", "rep")
+    placed = members.join(weights.select("rep").distinct(), "rep").join(cc, "rep", "left").select(key, F.coalesce("component", "rep").alias("component"))
+    return rows.select(key).join(placed, key, "left").select(key, F.coalesce("component", key).alias("component"))
+
+
 def clusters(rows: DataFrame, pairs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, component): the smallest id that similar pairs connect; rows without a pair stand alone."""
     cc = connected_components(pairs).withColumnRenamed("node", key)

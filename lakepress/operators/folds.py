@@ -4,10 +4,23 @@ from __future__ import annotations
 
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
+from lakepress.operators.dedupe import number_in_order
+from lakepress.plans.workdir import spill
+
+
+def shuffled(key: str, seed: int) -> Column:
+    """What a seeded order sorts by: a digest that any engine can state."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
+
+
+def _turns(rows: DataFrame, key: str, seed: int, to: str, within: list[str] | None = None) -> DataFrame:
+    """``rows`` with their place in the seeded order, in each group of ``within``."""
+    return number_in_order(rows.withColumn("__order", shuffled(key, seed)), ["__order", key], to, within).drop("__order")
+
 
 def hold_out(rows: DataFrame, protected: DataFrame, group: str) -> tuple[DataFrame, DataFrame]:
     """(pool, leaked): rows that share no group with protected rows, and those that do."""
@@ -48,15 +61,14 @@ def group_folds(rows: DataFrame, group: str, label: str, k: int = 5, seed: int =
                 held[f][x["label"]] += x["n"] * share
         plan.append((s["shape"], order))
     dealt = rows.sparkSession.createDataFrame(plan, shape.select("shape").schema.add("order", ArrayType(IntegerType())))
-    turn = F.row_number().over(Window.partitionBy("shape").orderBy(F.xxhash64(F.col(group), F.lit(seed)), group)) - 1
-    folds = shape.withColumn("turn", turn).join(dealt, "shape").select(group, F.get("order", F.pmod("turn", F.lit(k))).alias("fold"))
-    return rows.join(folds, group)
+    turns = _turns(shape.withColumn("__shape", F.to_json("shape")), group, seed, "turn", ["__shape"])
+    folds = turns.join(dealt.select(F.to_json("shape").alias("__shape"), "order"), "__shape").select(F.col(group).alias("__group"), F.get("order", F.pmod("turn", F.lit(k)).cast("int")).alias("fold"))
+    return rows.join(folds, F.col(group).eqNullSafe(F.col("__group"))).drop("__group")
 
 
 def plain_folds(rows: DataFrame, key: str, label: str, k: int = 5, seed: int = 0) -> DataFrame:
     """Stratified folds that ignore groups, for contrast."""
-    turn = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)) - 1
-    return rows.withColumn("fold", F.pmod(turn, F.lit(k)))
+    return _turns(rows, key, seed, "__turn", [label]).withColumn("fold", F.pmod("__turn", F.lit(k)).cast("int")).drop("__turn")
 
 
 def inner_split(rows: DataFrame, group: str, label: str, share: float = 0.2, seed: int = 0) -> DataFrame:
@@ -70,18 +82,16 @@ def review_buckets(rows: DataFrame, key: str, original: Column, rubric: Column,
     fixed = kind.where("bucket <> 'random'").count()
     if fixed > budget:
         raise ValueError(f"{fixed} rows are fixed, the budget is {budget}")
-    others = kind.where("bucket = 'random'").orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(budget - fixed)
+    others = kind.where("bucket = 'random'").orderBy(shuffled(key, seed), key).limit(budget - fixed)
     return kind.where("bucket <> 'random'").unionByName(others)
 
 
 def blind_sheet(rows: DataFrame, key: str, hidden: list[str], seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(sheet, key sheet): the same shuffled positions, labels only in the second. For samples of a review's size."""
-    position = F.row_number().over(Window.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key))
-    placed = rows.withColumn("position", position)
+    """(sheet, key sheet): the same shuffled positions from 1, labels only in the second."""
+    placed = spill(_turns(rows, key, seed, "position").withColumn("position", F.col("position") + 1), "sheet")
     return placed.drop(key, *hidden), placed.select("position", key, *hidden)
 
 
 def even_sample(rows: DataFrame, key: str, label: str, n: int, seed: int = 0) -> DataFrame:
     """``n`` rows, as even over classes as their sizes allow."""
-    turn = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key))
-    return rows.withColumn("__turn", turn).orderBy("__turn", F.xxhash64(F.col(key), F.lit(seed))).limit(n).drop("__turn")
+    return _turns(rows, key, seed, "__turn", [label]).orderBy("__turn", shuffled(key, seed), key).limit(n).drop("__turn")

@@ -2,32 +2,73 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakepress.plans.workdir import shared_dir
+from lakepress.plans.workdir import spill
+
+#: edges that a task contracts at once
+LOCAL_EDGES = 500_000
+
+
+def forest(edges: Iterator[tuple]) -> list[tuple]:
+    """(smallest node, node) of each node of ``edges`` but the smallest of its component."""
+    parent: dict = {}
+
+    def find(x):
+        root = x
+        while (up := parent.setdefault(root, root)) != root:
+            root = up
+        while x != root:
+            parent[x], x = root, parent[x]
+        return root
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+    return [(find(n), n) for n in list(parent) if find(n) != n]
+
+
+def _contracted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The edges of a task as the stars of their own components: the same links, fewer edges, short paths."""
+    held: list[tuple] = []
+    for f in frames:
+        held += zip(f["a"].tolist(), f["b"].tolist(), strict=True)
+        if len(held) > LOCAL_EDGES:
+            yield pd.DataFrame(forest(iter(held)), columns=["a", "b"])
+            held = []
+    yield pd.DataFrame(forest(iter(held)), columns=["a", "b"])
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node that each node of ``edges`` reaches.
 
-    Minimum labels travel along edges and then jump to their label's label, so
-    the rounds grow with the logarithm of the longest path. Each round ends in
-    a checkpoint; only the number of changed labels reaches the driver. Rows
-    with a null end are ignored.
+    Every task first contracts its own edges. Minimum labels then travel along
+    what is left and jump to their label's label, so the rounds grow with the
+    logarithm of the longest path. Each round is written to the shared folder;
+    only whether a label changed reaches the driver. The tables of each join
+    are read from there, so a hub's many rows are an exchange of their own,
+    which adaptive execution can split. Rows with a null end are ignored; a
+    node whose only edge is to itself is its own component.
     """
-    shared_dir(edges.sparkSession)
-    known = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    both = known.select(F.col(a).alias("node"), F.col(b).alias("other")).union(known.select(F.col(b), F.col(a))).distinct().checkpoint()
-    labels = both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("component")).checkpoint()
+    known = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("a"), F.col(b).alias("b"))
+    kind = known.schema["a"].dataType.simpleString()
+    alone = known.where("a = b").select(F.col("a").alias("node")).distinct()
+    stars = spill(known.where("a <> b").mapInPandas(_contracted, f"a {kind}, b {kind}"), "stars")
+    both = spill(stars.select(F.col("a").alias("node"), F.col("b").alias("other")).union(stars.select("b", "a")).distinct(), "edges")
+    labels = spill(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("component")), "labels")
     for _ in range(max_rounds):
         near = labels.select(F.col("node").alias("other"), F.col("component").alias("theirs"))
         least = both.join(near, "other").groupBy("node").agg(F.min("theirs").alias("theirs"))
-        hooked = labels.join(least, "node", "left").select("node", F.col("component").alias("before"), F.least("component", "theirs").alias("component"))
+        hooked = spill(labels.join(least, "node", "left").select("node", F.col("component").alias("before"), F.least("component", "theirs").alias("component")), "hooked")
         roots = hooked.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        new = hooked.join(roots, "component", "left").select("node", "before", F.coalesce(F.least("component", "root"), "component").alias("component")).checkpoint()
-        changed = new.where("before <> component").limit(1).count()
+        new = spill(hooked.join(roots, "component", "left").select("node", "before", F.coalesce(F.least("component", "root"), "component").alias("component")), "labels")
+        settled = new.where("before <> component").isEmpty()
         labels = new.select("node", "component")
-        if not changed:
-            return labels
+        if settled:
+            return labels.unionByName(alone.join(labels, "node", "left_anti").select("node", F.col("node").alias("component")))
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

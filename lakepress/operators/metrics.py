@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# fixed values: bands and alarm
 #: bands of the reliability table; the last is closed by a little more than 1
 BANDS = (0.0, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0001)
 #: accuracy beyond which a leak is likelier than skill
@@ -150,10 +151,10 @@ def _drawn_by_row(rows: DataFrame, key: str, better: Column, resamples: int, see
     """(b, m): the mean of each resample; a resample's draws depend on the number of rows only."""
     from lakepress.operators.dedupe import number_in_order
 
-    numbered = number_in_order(rows.select(F.col(key).cast("long").alias(key), better.cast("double").alias("d")), key, "i").select("i", "d")
+    numbered = number_in_order(rows.select(F.col(key).cast("long").alias(key), better.cast("double").alias("d")), [key], "i").select("i", "d")
     n = numbered.count()
     draws = rows.sparkSession.range(resamples).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).alias("k"))
-    picked = draws.select("b", F.pmod(F.xxhash64("b", "k", F.lit(seed)), F.lit(max(n, 1))).cast("int").alias("i"))
+    picked = draws.select("b", F.pmod(F.xxhash64("b", "k", F.lit(seed)), F.lit(max(n, 1))).alias("i"))
     return picked.join(numbered, "i").groupBy("b").agg(F.avg("d").alias("m"))
 
 

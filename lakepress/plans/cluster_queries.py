@@ -10,13 +10,13 @@ from lakepress.operators import baselines as B
 from lakepress.operators import dedupe as D
 from lakepress.operators import folds as X
 from lakepress.operators.graph import connected_components
-from lakepress.plans.registry import ART, NORM, Registry
+from lakepress.plans.registry import ART, NORM, SCORED, Registry
 from lakepress.sources import mapped as S
 
 R = Registry()
 
 _GRAMS = (
-    f"{ART}, words AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(substr(headline, 1, 200)), '\\s+'), lambda w: w <> '')) AS w FROM art), "
+    f"{ART}, words AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(headline), '\\s+'), lambda w: w <> '')) AS w FROM art), "
     "padded AS (SELECT doc_id, ' ' || w || ' ' AS w FROM words), "
     "grams AS (SELECT doc_id, unnest(CASE WHEN length(w) <= 3 THEN [w] ELSE list_transform(range(1, length(w) - 1), lambda i: substr(w, i, 3)) END) AS gram FROM padded "
     "UNION ALL SELECT doc_id, unnest(CASE WHEN length(w) <= 4 THEN [w] ELSE list_transform(range(1, length(w) - 2), lambda i: substr(w, i, 4)) END) FROM padded WHERE length(w) > 3 "
@@ -45,21 +45,20 @@ def headline_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add(f"WITH {_PAIRS} SELECT a, b, round(cosine, 6) AS cosine FROM pairs")
 def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of headlines from cosine 0.85 on."""
-    return D.similar_pairs(weights(spark, sf_dir)).withColumn("cosine", F.round("cosine", 6))
+    return D.near_pairs(S.articles(spark, sf_dir).select("doc_id", "headline")).withColumn("cosine", F.round("cosine", 6))
 
 
 @R.add(f"WITH RECURSIVE {_COMP} SELECT * FROM comp")
 def near_dup_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters that similar pairs chain together."""
-    a = S.articles(spark, sf_dir).select("doc_id", "headline")
-    return D.clusters(a, D.similar_pairs(D.tfidf(a)))
+    return D.near_clusters(S.articles(spark, sf_dir).select("doc_id", "headline"))
 
 
 @R.add(f"WITH RECURSIVE {_COMP}, g AS (SELECT component, count(*) AS n, count(DISTINCT lang) AS nl FROM comp JOIN documents USING (doc_id) GROUP BY component) SELECT CAST(sum(n) AS BIGINT) AS n_rows, CAST(sum(n - 1) AS BIGINT) AS n_exact_dups, count(*) AS n_groups, max(n) AS largest_group, CAST(sum((n > 1)::INT) AS BIGINT) AS multi_row_groups, CAST(sum((nl > 1)::INT) AS BIGINT) AS spanning_groups FROM g")
 def near_dup_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A1, A3 over near-duplicate clusters."""
     a = S.articles(spark, sf_dir).select("doc_id", "headline", "lang")
-    c = D.clusters(a, D.similar_pairs(D.tfidf(a)))
+    c = D.near_clusters(a)
     return D.summary(a.join(c, "doc_id"), "component", "lang")
 
 
@@ -113,7 +112,7 @@ def group_kfold_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.join(f.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("fold").alias("n_folds"), F.lit(1).alias("one")), "one").drop("one")
 
 
-@R.add()
+@R.add("SELECT doc_id, ((row_number() OVER (PARTITION BY lang ORDER BY md5('3:' || doc_id), doc_id) - 1) % 5)::INT AS fold FROM documents")
 def plain_kfold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plain stratified folds, for contrast."""
     return X.plain_folds(_grouped(spark, sf_dir), "doc_id", "lang", 5, 3).select("doc_id", "fold")
@@ -125,14 +124,18 @@ def inner_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.inner_split(_grouped(spark, sf_dir), "grp", "lang", 0.2, 5).select("doc_id", "grp", "is_validation")
 
 
-@R.add()
+@R.add(
+    "WITH k AS (SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN 'original' WHEN contains(text, 'thanea') THEN 'rubric' ELSE 'random' END AS bucket FROM documents), f AS (SELECT count(*) AS n FROM k WHERE bucket <> 'random'), "
+    "r AS (SELECT *, row_number() OVER (ORDER BY md5('9:' || doc_id), doc_id) AS turn FROM k WHERE bucket = 'random') "
+    "SELECT doc_id, bucket FROM k WHERE bucket <> 'random' UNION ALL SELECT doc_id, bucket FROM r, f WHERE turn <= 400 + (SELECT count(*) FROM documents) // 2 - f.n"
+)
 def review_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Review sample of originals, rubric hits and random others."""
     d = S.table(spark, sf_dir, "documents")
     return X.review_buckets(d, "doc_id", F.col("doc_id") % 50 == 0, F.contains("text", F.lit("thanea")), 400 + d.count() // 2, 9)
 
 
-@R.add()
+@R.add(SCORED + "SELECT row_number() OVER (ORDER BY md5('4:' || doc_id), doc_id) AS position, doc_id, lang, true_severity FROM oof")
 def blind_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A blind sheet joined back to its key."""
     rows = S.scored(spark, sf_dir).select("doc_id", "lang", "true_severity")
@@ -140,7 +143,7 @@ def blind_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sheet.join(key, "position")
 
 
-@R.add()
+@R.add(SCORED + "SELECT doc_id, true_narrative FROM (SELECT *, row_number() OVER (PARTITION BY true_narrative ORDER BY md5('2:' || doc_id), doc_id) AS turn FROM oof) ORDER BY turn, md5('2:' || doc_id), doc_id LIMIT 32")
 def overfit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A small sample, even over classes."""
     return X.even_sample(S.scored(spark, sf_dir).select("doc_id", "true_narrative"), "doc_id", "true_narrative", 32, 2)
@@ -166,9 +169,12 @@ def split_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return l.where("quality = 1").select("doc_id").intersect(l.where("toxic = 1").select("doc_id")).agg(F.count(F.lit(1)).alias("common"))
 
 
-@R.add("WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey % 997 AS a, l_partkey % 499 + 1000 AS b FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 97 = 0), u AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e), w AS (SELECT x AS node, x AS r FROM u UNION SELECT w.node, u.y FROM w JOIN u ON u.x = w.r) SELECT node, min(r) AS component FROM w GROUP BY node")
+@R.add()
 def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D5 on the graph of all orders and parts; a part's node is -1 less its key, so the two never meet."""
+    """D5 on the graph of all orders and parts; a part's node is -1 less its key, so the two never meet.
+
+    No SQL: a recursive closure over all of lineitem does not end in time; held against union-find instead.
+    """
     li = S.table(spark, sf_dir, "lineitem")
     return connected_components(li.select(F.col("l_orderkey").cast("bigint").alias("a"), (-1 - F.col("l_partkey").cast("bigint")).alias("b")).distinct())
 

@@ -56,14 +56,15 @@ _ITEMS = (
 
 
 @R.add(
-    f"{_ITEMS} SELECT i.source, count(*) AS fetched, sum(i.blocked::INT)::BIGINT AS blocked, sum((u.ru > 1)::INT)::BIGINT AS dup_url, coalesce(sum((f.rk > 1)::INT), 0)::BIGINT AS dup_headline, coalesce(sum((f.rk = 1)::INT), 0)::BIGINT AS new, "
-    "coalesce(sum((f.rk = 1 AND i.relevant)::INT), 0)::BIGINT AS relevant, coalesce(sum((f.rk = 1 AND i.relevant AND i.is_body)::INT), 0)::BIGINT AS with_body FROM items i LEFT JOIN u ON u.pos = i.pos LEFT JOIN f ON f.pos = i.pos WHERE i.pos >= 400 GROUP BY i.source HAVING sum((u.ru > 1)::INT) IS NOT NULL"
+    f"{_ITEMS}, up AS (SELECT min(x.pos) AS pos FROM f a JOIN f x ON x.k = a.k AND x.rk > 1 AND x.is_body AND x.pos >= 400 WHERE a.rk = 1 AND NOT a.is_body "
+    "AND (a.pos >= 400 OR NOT EXISTS (SELECT 1 FROM f y WHERE y.k = a.k AND y.rk > 1 AND y.is_body AND y.pos < 400)) GROUP BY a.k) "
+    "SELECT i.source, count(*) AS fetched, sum(i.blocked::INT)::BIGINT AS blocked, coalesce(sum((u.ru > 1)::INT), 0)::BIGINT AS dup_url, coalesce(sum((f.rk > 1)::INT), 0)::BIGINT AS dup_headline, count(up.pos) AS upgraded, coalesce(sum((f.rk = 1)::INT), 0)::BIGINT AS new, "
+    "coalesce(sum((f.rk = 1 AND i.relevant)::INT), 0)::BIGINT AS relevant, coalesce(sum((f.rk = 1 AND i.relevant AND i.is_body)::INT), 0)::BIGINT AS with_body FROM items i LEFT JOIN u ON u.pos = i.pos LEFT JOIN f ON f.pos = i.pos LEFT JOIN up ON up.pos = i.pos WHERE i.pos >= 400 GROUP BY i.source"
 )
 def ingest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Report of the second of two ingest passes, by source."""
+    """Report of the second of two ingest passes, by source, wholly blocked ones included."""
     stored, items = _stored(spark, sf_dir)
-    open_ = arrivals(spark, sf_dir).where("pos >= 400 and not blocked").select("source").distinct()
-    return L.ingest(items, stored)[1].drop("upgraded").join(open_, "source", "left_semi")
+    return L.ingest(items, stored)[1]
 
 
 @R.add(
@@ -84,13 +85,15 @@ def ingest_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.ingest(items, spill(after, "store"))[1].agg(F.sum("new").alias("new"), F.sum("upgraded").alias("upgraded"))
 
 
-@R.add(f"{_ITEMS} SELECT substr(sha1(url), 1, 16) AS url_hash, CASE WHEN NOT relevant THEN 'skipped' WHEN is_body THEN 'ok' WHEN collected_at < TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 60 MINUTE THEN 'failed' ELSE 'pending' END AS fetch_status FROM f WHERE rk = 1 AND pos < 400 AND NOT (NOT is_body AND k IS NOT NULL AND k IN (SELECT k FROM f WHERE rk > 1 AND is_body AND pos < 400))")
+@R.add(
+    f"{_ITEMS}, d AS (SELECT DISTINCT k FROM f WHERE rk > 1 AND is_body AND pos < 400) SELECT substr(sha1(f.url), 1, 16) AS url_hash, "
+    "CASE WHEN NOT f.is_body AND d.k IS NOT NULL THEN 'ok' WHEN NOT f.relevant THEN 'skipped' WHEN f.is_body THEN 'ok' WHEN f.collected_at < TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 60 MINUTE THEN 'failed' ELSE 'pending' END AS fetch_status "
+    "FROM f LEFT JOIN d ON d.k = f.k WHERE f.rk = 1 AND f.pos < 400"
+)
 def expire_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pending articles past the deadline fail; articles with a lent body are left out here."""
+    """Pending articles past the deadline fail; whoever has a body, its own or a lent one, does not."""
     stored, _ = _stored(spark, sf_dir)
-    own = arrivals(spark, sf_dir).select("url_hash", "is_body").distinct().groupBy("url_hash").agg(F.max("is_body").alias("own_body"))
-    rows = L.expire(stored, F.lit(NOW).cast("timestamp")).join(own, "url_hash")
-    return rows.where("not (body is not null and feed_text is not null)").where("not (body is not null and not own_body)").select("url_hash", "fetch_status")
+    return L.expire(stored, F.lit(NOW).cast("timestamp")).select("url_hash", "fetch_status")
 
 
 @R.add(f"WITH {ART} SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 2 WHEN doc_id % 4 = 1 THEN 1 ELSE doc_id % 2 END::INT AS attempts, CASE WHEN doc_id % 4 = 0 OR doc_id % 12 = 1 THEN 'failed' ELSE 'pending' END AS fetch_status, CASE WHEN doc_id % 4 < 2 THEN 300 ELSE -1 END::INT AS error_chars FROM art")
@@ -128,11 +131,16 @@ def saved_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(p, "article_id", "left").join(e, "article_id", "left").select("doc_id", "label", "status", F.coalesce("explained", F.lit(False)).alias("explained"))
 
 
-@R.add("SELECT doc_id, lang, ['de','en','es','fr'].list_position(lang) - 1 AS y FROM documents WHERE length(text) > 200")
+@R.add("SELECT doc_id, lang, ['de','en','es','fr'].list_position(lang) - 1 AS y FROM documents")
 def encoded_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels as contiguous ids."""
-    d = S.table(spark, sf_dir, "documents").where(F.length("text") > 200).select("doc_id", "lang")
-    return X.encode_labels(d, "lang", ["de", "en", "es", "fr"], "y")
+    """F2, U4: labels as contiguous ids."""
+    return X.encode_labels(S.table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", ["de", "en", "es", "fr"], "y")
+
+
+@R.add(f"WITH {ART} SELECT doc_id, lang FROM art WHERE has_body")
+def bodied_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the rows of mode body_only."""
+    return X.by_mode(S.articles(spark, sf_dir).select("doc_id", "lang", "has_body"), "body_only").drop("has_body")
 
 
 @R.add("SELECT l.doc_id, l.quality, d.lang, d.source FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id WHERE l.doc_id % 5 IN (1, 3)")

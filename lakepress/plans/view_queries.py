@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lakepress.functions import keywords as K
 from lakepress.functions import text as T
+from lakepress.operators import folds as X
 from lakepress.operators import views as V
 from lakepress.plans.registry import ART, MODEL, PRED, REV, Registry
 from lakepress.sources import mapped as S
@@ -162,10 +163,10 @@ def to_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.articles(spark, sf_dir).where("has_body").join(p, "doc_id", "left_anti").orderBy("collected_at", "doc_id").limit(64).select("doc_id")
 
 
-@R.add()
+@R.add(f"WITH {ART} SELECT doc_id, headline FROM art ORDER BY md5('17:' || doc_id), doc_id LIMIT 25")
 def random_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A seeded sample, the same at every run."""
-    return S.articles(spark, sf_dir).orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(25).select("doc_id", "headline")
+    return S.articles(spark, sf_dir).orderBy(X.shuffled("doc_id", 17), "doc_id").limit(25).select("doc_id", "headline")
 
 
 def _present(t: str) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
@@ -15,24 +16,90 @@ Scorer = Callable[[DataFrame], DataFrame]
 
 
 class Store:
-    """State tables as numbered Parquet versions in one folder.
-
-    A version is written whole before the pointer table names it, so a cycle
-    that dies leaves the last complete version.
+    """State tables as Parquet versions in one folder, named by numbered commits.
+
+    A stage writes whole versions first; ``commit`` then creates the next
+    commit file, which lists the version of every table, and creating it fails
+    if another writer took that number. So a process that dies leaves the last
+    complete state, a restarted one reads it back, and of two writers that
+    started from the same state one loses. Versions that none of the last
+    ``keep`` commits names are deleted.
     """
 
-    def __init__(self, spark: SparkSession, root: str, schemas: dict[str, str]):
-        self.spark, self.root, self.schemas, self.at = spark, root.rstrip("/"), schemas, {}
+    def __init__(self, spark: SparkSession, root: str, schemas: dict[str, str], keep: int = 8):
+        self.spark, self.root, self.schemas, self.keep = spark, root.rstrip("/"), schemas, keep
+        self.pending: dict[str, str] = {}
+        self.refresh()
+
+    def _path(self, at: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{at}")
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
+    def _load(self, number: int) -> dict[str, str] | None:
+        """A commit's tables; None for one whose writer died halfway."""
+        fs, p = self._path(f"commits/{number:012d}")
+        if not fs.exists(p):
+            return None
+        stream = fs.open(p)
+        raw = bytes(stream.readAllBytes()).decode()
+        stream.close()
+        return json.loads(raw) if raw.endswith("\n") else None
+
+    def refresh(self) -> None:
+        """Take the newest whole commit as the state."""
+        fs, p = self._path("commits")
+        names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+        numbers = sorted((int(n) for n in names if n.isdigit()), reverse=True)
+        self.number, self.at, self.pending = (numbers[0] if numbers else 0), {}, {}
+        for n in numbers:
+            if (found := self._load(n)) is not None:
+                self.at = found
+                break
 
     def read(self, name: str) -> DataFrame:
-        if name in self.at:
-            return self.spark.read.schema(self.schemas[name]).parquet(self.at[name])
+        at = self.pending.get(name) or self.at.get(name)
+        if at:
+            return self.spark.read.schema(self.schemas[name]).parquet(f"{self.root}/{at}")
         return self.spark.createDataFrame([], self.schemas[name])
 
     def write(self, name: str, rows: DataFrame) -> None:
-        path = f"{self.root}/{name}/{uuid.uuid4().hex}"
-        rows.write.parquet(path)
-        self.at[name] = path
+        """A new version of a table; nobody else sees it before ``commit``."""
+        at = f"{name}/{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.root}/{at}")
+        self.pending[name] = at
+
+    def commit(self) -> None:
+        if not self.pending:
+            return
+        fs, p = self._path(f"commits/{self.number + 1:012d}")
+        tables = {**self.at, **self.pending}
+        out = fs.create(p, False)  # raises where another writer was first
+        out.write(bytearray((json.dumps(tables) + "\n").encode()))
+        out.close()
+        self.number, self.at, self.pending = self.number + 1, tables, {}
+        self._clean()
+
+    def _clean(self) -> None:
+        """Drop commits before the last ``keep``, and versions that no remaining commit names."""
+        fs, folder = self._path("commits")
+        numbers = sorted(int(n) for f in fs.listStatus(folder) if (n := f.getPath().getName()).isdigit())
+        old, live = numbers[: -self.keep], numbers[-self.keep :]
+        named = {x for n in live for x in (self._load(n) or {}).values()}
+        for n in old:
+            for x in set((self._load(n) or {}).values()) - named:
+                fs.delete(self._path(x)[1], True)
+            fs.delete(self._path(f"commits/{n:012d}")[1], False)
+
+    def lease(self, name: str, owner: str, now: Column, until: Column) -> bool:
+        """Whether ``owner`` has the lease now; of two that ask at once, one gets it."""
+        self.refresh()
+        after = L.take_lease(self.read("leases"), name, owner, now, until)
+        self.write("leases", after)
+        try:
+            self.commit()
+        except Exception:  # noqa: BLE001 - another writer took the commit, and perhaps the lease
+            self.refresh()
+        return bool(self.read("leases").where((F.col("name") == name) & (F.col("owner") == owner) & (F.col("until") > now)).limit(1).count())
 
 
 SCHEMAS = {
@@ -40,19 +107,19 @@ SCHEMAS = {
     "predictions": "article_id string, label string, confidence double",
     "explanations": "article_id string, status string",
     "runs": "run_id bigint, stage string, ok boolean, detail string",
+    "leases": "name string, owner string, until timestamp",
 }
 
 
-def run_cycle(store: Store, items: DataFrame, scorer: Scorer, now: Column, run_id: int = 0) -> DataFrame:
-    """ingest, expire, classify; a stage that fails is reported and the rest run. Returns the report."""
-    report: list[tuple[int, str, bool, str | None]] = []
+def run_cycle(store: Store, items: DataFrame, scorer: Scorer, now: Column, run_id: int = 0, strict: bool = False) -> DataFrame:
+    """ingest, expire, classify; a stage that fails is reported and the rest run. Returns the report.
 
-    def stage(name: str, work: Callable[[], None]) -> None:
-        try:
-            work()
-            report.append((run_id, name, True, None))
-        except Exception as e:  # noqa: BLE001 - one dead stage must not stop the others
-            report.append((run_id, name, False, f"{type(e).__name__}: {e}"[:300]))
+    A stage's tables are committed together or not at all. With ``strict`` a
+    failed ingest is raised once the report is stored: its items are not stored
+    yet, and the caller must offer them again.
+    """
+    report: list[tuple[int, str, bool, str | None]] = []
+    failed: dict[str, Exception] = {}
 
     def ingest() -> None:
         after, _ = L.ingest(items, store.read("articles"))
@@ -68,15 +135,29 @@ def run_cycle(store: Store, items: DataFrame, scorer: Scorer, now: Column, run_i
             store.write(name, rows)
 
     for name, work in (("ingest", ingest), ("expire", expire), ("classify", classify)):
-        stage(name, work)
+        try:
+            work()
+            store.commit()
+            report.append((run_id, name, True, None))
+        except Exception as e:  # noqa: BLE001 - one dead stage must not stop the others
+            store.refresh()
+            failed[name] = e
+            report.append((run_id, name, False, f"{type(e).__name__}: {e}"[:300]))
     rows = store.spark.createDataFrame(report, SCHEMAS["runs"])
     store.write("runs", store.read("runs").unionByName(rows))
+    store.commit()
+    if strict and "ingest" in failed:
+        raise failed["ingest"]
     return rows
 
 
 def stream_cycles(stream: DataFrame, store: Store, scorer: Scorer, now: Column, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """A cycle for each micro-batch; without ``every`` what is there now is worked off and the query ends."""
-    out = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, n: run_cycle(store, batch, scorer, now, n))
+    """A cycle for each micro-batch; without ``every`` what is there now is worked off and the query ends.
+
+    A failed ingest fails the micro-batch, so its items come again after a
+    restart; ingest stores nothing twice.
+    """
+    out = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, n: run_cycle(store, batch, scorer, now, n, strict=True))
     return (out.trigger(processingTime=every) if every else out.trigger(availableNow=True)).start()
 
 

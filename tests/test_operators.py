@@ -206,6 +206,136 @@ def test_cycle_and_stream(spark, tmp_path):
     assert {r.stage: r.ok for r in bad.collect()} == {"ingest": True, "expire": True, "classify": False}
 
 
+def test_store_survives_restarts_and_other_writers(spark, tmp_path):
+    import datetime as dt
+
+    root = str(tmp_path / "store")
+    at = lambda h: F.lit(dt.datetime(2024, 1, 1, h))
+    runs = lambda n: spark.createDataFrame([(n, "s", True, None)], cycle.SCHEMAS["runs"])
+    one = cycle.Store(spark, root, cycle.SCHEMAS, keep=2)
+    one.write("runs", runs(1))
+    assert cycle.Store(spark, root, cycle.SCHEMAS).read("runs").count() == 0  # not committed yet
+    one.commit()
+    two = cycle.Store(spark, root, cycle.SCHEMAS, keep=2)
+    assert two.read("runs").first().run_id == 1
+    two.write("runs", runs(2))
+    one.write("runs", runs(3))
+    two.commit()
+    with pytest.raises(Exception, match="exist"):
+        one.commit()
+    one.refresh()
+    assert one.read("runs").first().run_id == 2
+    # a writer that died while committing leaves a torn file, which is skipped and whose number stays taken
+    (tmp_path / "store" / "commits" / f"{3:012d}").write_text('{"runs"')
+    three = cycle.Store(spark, root, cycle.SCHEMAS, keep=2)
+    assert three.read("runs").first().run_id == 2
+    for n in (4, 5, 6):
+        three.write("runs", runs(n))
+        three.commit()
+    assert cycle.Store(spark, root, cycle.SCHEMAS).read("runs").first().run_id == 6
+    assert len(list((tmp_path / "store" / "runs").iterdir())) < 6  # superseded versions are gone
+    assert one.lease("cycle", "a", at(1), at(5)) and not two.lease("cycle", "b", at(2), at(6)) and two.lease("cycle", "b", at(5), at(9))
+
+
+def test_a_failed_ingest_fails_the_micro_batch(spark, tmp_path):
+    import datetime as dt
+
+    store = cycle.Store(spark, str(tmp_path / "store"), cycle.SCHEMAS)
+    items = _items(spark, [(1, "u", "h", "A", "k", "full", True, "pub", "d", dt.datetime(2024, 1, 1), False, True)])
+    with pytest.raises(Exception, match="url_hash"):
+        cycle.run_cycle(store, items.drop("url_hash"), lambda df: df.select("nothing"), F.lit("2024-01-02").cast("timestamp"), 1, strict=True)
+    assert {r.stage: r.ok for r in cycle.Store(spark, str(tmp_path / "store"), cycle.SCHEMAS).read("runs").collect()}["ingest"] is False
+
+
+def test_numbers_in_order_over_hot_and_missing_groups(spark):
+    from lakepress.operators import dedupe as D
+
+    rows = [("hot" if i % 5 else None if i % 2 else "few", i * 10**12) for i in range(300)]
+    got = D.number_in_order(spark.createDataFrame(rows, "g string, x bigint").repartition(3), ["x"], "n", ["g"]).collect()
+    want = {}
+    for g, x in sorted(rows, key=lambda r: r[1]):
+        want.setdefault(g, []).append(x)
+    assert {(r.g, r.x): r.n for r in got} == {(g, x): i for g, xs in want.items() for i, x in enumerate(xs)}
+
+
+def test_near_clusters_equal_brute_force(spark):
+    import math
+    from collections import Counter
+
+    from lakepress.operators import dedupe as D
+
+    rng = __import__("random").Random(5)
+    words = ["storm", "harbour", "council", "minister", "border", "river", "market", "signal", "winter"]
+    texts = []
+    for _ in range(25):
+        base = [rng.choice(words) + str(rng.randrange(40)) for _ in range(9)]
+        texts.append(" ".join(base))
+        texts += [texts[-1]] * rng.randrange(3)
+        if rng.random() < 0.6:
+            base[rng.randrange(9)] += "s"
+            texts.append(" ".join(base) + " tail" * 60 * rng.randrange(2))
+    rows = [(i, t) for i, t in enumerate(texts)] + [(900, None), (901, ""), (902, "")]
+    grams = {}
+    for i, t in rows:
+        c = Counter()
+        for w in (t or "").lower().split():
+            w = f" {w} "
+            for k, n in enumerate((3, 4, 5)):
+                if k == 0 or len(w) > (3, 4, 5)[k - 1]:
+                    c.update(w[j : j + n] for j in range(max(1, len(w) - n + 1)))
+        grams[i] = c
+    df = Counter(g for c in grams.values() for g in c)
+    vec = {}
+    for i, c in grams.items():
+        v = {g: (1 + math.log(n)) * (math.log((1 + len(rows)) / (1 + df[g])) + 1) for g, n in c.items()}
+        norm = math.sqrt(sum(x * x for x in v.values())) or 1
+        vec[i] = {g: x / norm for g, x in v.items()}
+    pairs = {(a, b) for a in vec for b in vec if a < b and round(sum(x * vec[b].get(g, 0) for g, x in vec[a].items()), 9) >= D.SIMILAR}
+    df_rows = spark.createDataFrame(rows, "doc_id bigint, headline string")
+    assert {(r.a, r.b) for r in D.near_pairs(df_rows).collect()} == pairs
+    root = {i: i for i in vec}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in sorted(pairs):
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    assert {r.doc_id: r.component for r in D.near_clusters(df_rows).collect()} == {i: find(i) for i in root}
+
+
+def test_order_part_graph_equals_union_find(spark, tmp_path):
+    from lakepress.plans import cluster_queries as C
+
+    rng = __import__("random").Random(3)
+    lines = [(rng.randrange(1, 60), rng.randrange(1, 90)) for _ in range(90)] + [(1, 1)] * 40
+    spark.createDataFrame(lines, "l_orderkey bigint, l_partkey bigint").write.parquet(str(tmp_path / "lineitem.parquet"))
+    root = {}
+
+    def find(i):
+        root.setdefault(i, i)
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for o, p in lines:
+        x, y = sorted((find(o), find(-1 - p)))
+        root[y] = x
+    assert {r.node: r.component for r in C.graph_components(spark, str(tmp_path)).collect()} == {i: find(i) for i in root}
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as N
+
+    from lakepress.plans import workdir
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            workdir.shared_dir(N(conf=N(get=lambda *a: None), sparkContext=N(master=master)))
+
+
 def test_lease(spark):
     import datetime as dt
 
