@@ -7,8 +7,10 @@ digest, each media value is the ordered list of its chunk digests, and a Spark
 join of those lists with the chunk table rebuilds the file, which is verified
 against its digest before anything is read from it.
 
-Chunks travel compressed with a dictionary trained on a bounded sample
-(``DICTIONARY_ROWS`` texts). A media value of many rows is rebuilt once.
+Chunks travel compressed with a dictionary trained on a bounded sample: of
+``DICTIONARY_ROWS`` distinct texts about, taken by a threshold on their hash,
+the ``SAMPLE_CHUNKS`` chunks of the smallest digests. A media value of many
+rows is rebuilt once.
 
 Defined results for odd input: a null text is an empty text (64 zero samples);
 an empty table gives no rows; equal texts give equal values, repeated rows
@@ -28,15 +30,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakepress.llm.frames import objects
+from lakepress.llm.frames import bounded, objects, tidy
 
 BLOCK = 64
 RATE = 8000
-MEAN_BITS = 12
-SHORTEST, LONGEST = 1024, 16384
-#: texts, by hash order, and bytes of the compression dictionary
-DICTIONARY_ROWS, DICTIONARY_BYTES = 2000, 112 * 1024
-LEVEL = 6
+MEAN_BITS = 13
+SHORTEST, LONGEST = 2048, 32768
+#: texts and chunks that the compression dictionary is trained on, and its bytes
+DICTIONARY_ROWS, SAMPLE_CHUNKS, DICTIONARY_BYTES = 3000, 4000, 112 * 1024
+LEVEL = 19
 #: bytes of a chunk digest and of a media key
 DIGEST = 16
 
@@ -103,13 +105,22 @@ def features(samples: bytes) -> str:
     return f"blocks={len(x) // BLOCK};mean={x.sum() / len(x):.6f};rms={(energy / len(x)) ** 0.5:.6f};crossings={crossings};peak={int(np.abs(x).max())}"
 
 
-def _dictionary(docs: DataFrame):
+def _dictionary(texts: DataFrame) -> bytes:
     import zstandard
 
-    rows = docs.where("text is not null").orderBy(F.xxhash64("text")).select("text").limit(DICTIONARY_ROWS).collect()
-    parts = [c for r in rows for c in chunks(to_wave(payload(r.text)))][: 20 * DICTIONARY_ROWS]
+    grid, n = 1 << 20, texts.count()
+    share = int(min(1.0, DICTIONARY_ROWS / max(n, 1)) * grid) + 1
+    # a text's copies count once, so a hot text doesn't swell the sample
+    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(grid)) < share).groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            found = [c for t in f["text"] for c in chunks(to_wave(payload(t)))]
+            yield pd.DataFrame({"digest": objects([digest(c) for c in found]), "chunk": objects(found)})
+
+    sample = some.select("text").mapInPandas(run, "digest binary, chunk binary").dropDuplicates(["digest"]).orderBy("digest").limit(SAMPLE_CHUNKS).collect()
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, parts).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, [r.chunk for r in sample]).as_bytes()
     except zstandard.ZstdError:  # too few samples
         return b""
 
@@ -118,6 +129,8 @@ def _codec(dictionary: bytes):
     import zstandard
 
     d = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+    if d:
+        d.precompute_compress(level=LEVEL)
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_checksum=False, write_dict_id=False), zstandard.ZstdDecompressor(dict_data=d)
 
 
@@ -129,7 +142,7 @@ def media_key(text: str | None) -> bytes:
     return hashlib.sha256((text or "").encode()).digest()[:DIGEST]
 
 
-def chunk_table(texts: DataFrame, dictionary: bytes, remembered: int = 200_000) -> DataFrame:
+def chunk_table(texts: DataFrame, dictionary: bytes, remembered: int = 100_000) -> DataFrame:
     """(digest, packed): each distinct chunk once."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -146,7 +159,7 @@ def chunk_table(texts: DataFrame, dictionary: bytes, remembered: int = 200_000)
                         packed.append(pack(c))
             yield pd.DataFrame({"digest": objects(digests), "packed": objects(packed)})
 
-    return texts.mapInPandas(run, "digest binary, packed binary").dropDuplicates(["digest"])
+    return texts.mapInPandas(tidy(run), "digest binary, packed binary").dropDuplicates(["digest"])
 
 
 def recipes(texts: DataFrame) -> DataFrame:
@@ -160,7 +173,7 @@ def recipes(texts: DataFrame) -> DataFrame:
                 key = media_key(text)
                 if key in seen:
                     continue
-                if len(seen) < 500_000:
+                if len(seen) < 100_000:
                     seen.add(key)
                 data = to_wave(payload(text))
                 keys.append(key)
@@ -168,7 +181,7 @@ def recipes(texts: DataFrame) -> DataFrame:
                 lists.append(b"".join(map(digest, chunks(data))))
             yield pd.DataFrame({"media": objects(keys), "stored": objects(stored), "digests": objects(lists)})
 
-    return texts.mapInPandas(run, "media binary, stored binary, digests binary").dropDuplicates(["media"])
+    return texts.mapInPandas(tidy(run), "media binary, stored binary, digests binary").dropDuplicates(["media"])
 
 
 def _rebuild(dictionary: bytes):
@@ -195,7 +208,7 @@ REBUILT = "media binary, payload_bytes bigint, payload_sha256 string, tail_crc32
 
 def chunked_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Stores every text as media, rebuilds it from the chunk table and returns what was read back."""
-    texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
+    texts = bounded(docs).select(F.coalesce(F.col(text), F.lit("")).alias("text"))
     dictionary = _dictionary(texts)
     at = F.sequence(F.lit(0), (F.octet_length("digests") / DIGEST).cast("int") - 1)
     parts = F.transform(at, lambda i: F.substr(F.col("digests"), i * DIGEST + 1, F.lit(DIGEST)))
@@ -204,7 +217,7 @@ def chunked_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     lists = lists.withColumn("stored", F.when(F.col("pos") == 0, F.col("stored")))
     parts = lists.join(chunk_table(texts, dictionary), "digest")
     whole = parts.groupBy("media").agg(F.first("stored", True).alias("stored"), F.collect_list(F.struct("pos", "packed")).alias("parts"))
-    rebuilt = whole.mapInPandas(_rebuild(dictionary), REBUILT)
+    rebuilt = whole.mapInPandas(tidy(_rebuild(dictionary)), REBUILT)
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(
         F.col(key).cast("bigint").alias("doc_id"),

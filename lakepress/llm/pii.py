@@ -109,7 +109,8 @@ _LONG_IP = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4
 _LOCAL_PHONE = re.compile(r"(?<![0-9+.\w-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.\x20]|00[1-9][0-9]{0,2}[-.\x20]?[0-9]{2,4}[-.\x20]?)[0-9]{3}[-.\x20]?[0-9]{4}(?![0-9\w])")
 _LOOSE_CARD = re.compile(r"(?<![0-9])[0-9]{4}(?:[./_][0-9]{4}){3}(?![0-9])")
 _CAPITAL = r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]{1,20}"
-_TITLED = re.compile(rf"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra)\.?\x20{_CAPITAL}(?:\x20{_CAPITAL})?")
+_TITLE = r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra)"
+_TITLED = re.compile(rf"\b{_TITLE}\.?\x20{_CAPITAL}(?:\x20{_CAPITAL})?")
 _CALLED = re.compile(rf"(?:name is|m'appelle|me llamo|ich heiße|signed by)\x20({_CAPITAL}(?:\x20{_CAPITAL})?)")
 _TWO = re.compile(rf"\b{_CAPITAL}\x20{_CAPITAL}\b")
 #: the shape labeler says yes to these whole forms
@@ -118,7 +119,7 @@ _SHAPES = {
     1: re.compile(r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|[0-9]{1,3}(?:\.[0-9]{1,3}){3}"),
     2: re.compile(r"[3-6].*", re.S),
     3: re.compile(r"\(?[2-9][0-9]{2}.*[2-9][0-9]{2}[-.\x20]?[0-9]{4}|00[1-9].*|\+.*", re.S),
-    4: re.compile(rf"(?:\w+\.?\x20)?{_CAPITAL}\x20{_CAPITAL}"),
+    4: re.compile(rf"(?:{_TITLE}\.?\x20)?(?!{_TITLE}\b){_CAPITAL}\x20{_CAPITAL}"),
 }
 #: what the gazetteer labeler knows: domain endings, given names and, as a rule, card issuers' first digits
 TLDS = frozenset("com org net edu gov mil int info biz name de fr es uk eu io at ch it nl be pt pl se no fi dk us ca au jp br mx ar cl co in".split())
