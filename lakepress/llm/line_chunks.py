@@ -10,7 +10,8 @@ Units that occur again are removed everywhere but at their first occurrence,
 the one of the smallest id, then position. A unit is removed only after its
 bytes were compared with those of the occurrence that stays; the comparison
 then runs on over the neighbouring lines, so that a repeated passage goes up
-to its last equal line.
+to its last equal line. Digests that a sample of documents shows to be very
+common are dealt into several tasks at each step.
 
 What is removed always stays in a row of smaller id or earlier position.
 
@@ -25,7 +26,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -53,6 +54,8 @@ WINDOW = 25
 MOST_LINES = 300
 #: occurrences of one unit that are compared in one task, about
 SPLIT_ROWS = 1024
+#: documents of which one is looked at for hot digests, times that a hot one is seen there, parts it is dealt into, hot digests at most
+SAMPLE, HOT_SEEN, SALTS, MOST_HOT = 64, 8, 61, 4096
 _ODD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -128,32 +131,77 @@ def units(data: bytes) -> tuple[list[int], set[tuple[int, int]]]:
     return bounds, out
 
 
-def _list(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        ids, rows, places, sizes, high, low = [], [], [], [], [], []
-        for doc_id, row, text in zip(f["doc_id"], f["row"], f["text"], strict=True):
-            if not text:
-                continue
-            data = text.encode()
-            bounds, listed = units(data)
-            for a, b in listed:
-                d = xxhash.xxh3_128_digest(data[bounds[a] : bounds[b]])
-                ids.append(doc_id)
-                rows.append(row)
-                places.append(a)
-                sizes.append(b - a)
-                high.append(d[:8])
-                low.append(d[8:])
-        yield pd.DataFrame(
-            {
-                "doc_id": np.array(ids, dtype="int64"),
-                "row": np.array(rows, dtype="int64"),
-                "line": np.array(places, dtype="int32"),
-                "n": np.array(sizes, dtype="int32"),
-                "d1": np.frombuffer(b"".join(high), dtype=np.int64),
-                "d2": np.frombuffer(b"".join(low), dtype=np.int64),
-            }
-        )
+UNITS = "doc_id bigint, row bigint, line int, n int, d1 bigint, d2 bigint, salt int"
+
+
+def _lister(hot: frozenset[bytes]) -> Callable:
+    """The listed units of (doc_id, row, text); ``salt`` is 0, or spreads the occurrences of a hot digest."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            ids, rows, places, sizes, digests, salts = [], [], [], [], [], []
+            for doc_id, row, text in zip(f["doc_id"], f["row"], f["text"], strict=True):
+                if not text:
+                    continue
+                data = text.encode()
+                bounds, listed = units(data)
+                for a, b in listed:
+                    d = xxhash.xxh3_128_digest(data[bounds[a] : bounds[b]])
+                    ids.append(doc_id)
+                    rows.append(row)
+                    places.append(a)
+                    sizes.append(b - a)
+                    digests.append(d)
+                    salts.append(1 + row % SALTS if d in hot else 0)
+            halves = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
+            yield pd.DataFrame(
+                {
+                    "doc_id": np.array(ids, dtype="int64"),
+                    "row": np.array(rows, dtype="int64"),
+                    "line": np.array(places, dtype="int32"),
+                    "n": np.array(sizes, dtype="int32"),
+                    "d1": halves[:, 0],
+                    "d2": halves[:, 1],
+                    "salt": np.array(salts, dtype="int32"),
+                }
+            )
+
+    return tidy(run)
+
+
+def hot_units(listed: DataFrame) -> frozenset[bytes]:
+    """Digests of very common units, by one document in ``SAMPLE``; they are only dealt differently, so a missed one costs balance alone."""
+    some = listed.where(F.pmod(F.xxhash64("row"), F.lit(SAMPLE)) == 0).mapInPandas(_lister(frozenset()), UNITS)
+    seen = some.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("seen")).where(F.col("seen") >= HOT_SEEN)
+    return frozenset(np.array([r.d1, r.d2], dtype=np.int64).tobytes() for r in seen.orderBy(F.desc("seen"), "d1", "d2").limit(MOST_HOT).collect())
+
+
+def _marked(listed: DataFrame) -> DataFrame:
+    """(row, line, n, d1, d2, splits, stays) of the units that occur again; one occurrence stays.
+
+    One exchange of the listed units serves all that is asked of a digest. Hot
+    digests go by digest and salt; their occurrences meet as sums alone.
+    """
+    hot = hot_units(listed)
+    found = listed.mapInPandas(_lister(hot), UNITS)
+    same = Window.partitionBy("d1", "d2", "salt")
+    several = (F.min("row").over(same) != F.max("row").over(same)) | (F.min("line").over(same) != F.max("line").over(same))
+    # a common unit meets its bytes in several tasks
+    splits = (F.count(F.lit(1)).over(same) / SPLIT_ROWS).cast("int") + 1
+    place = F.struct("doc_id", "row", "line")
+    grouped = found.select("*", several.alias("several"), splits.alias("splits"), (place == F.min(place).over(same)).alias("stays"))
+    kept = spill(grouped.where("several or salt > 0").select("row", "line", "n", "d1", "d2", "salt", "splits", "stays", F.when(F.col("salt") > 0, F.col("doc_id")).alias("doc_id")), "repeated")
+    names = ("row", "line", "n", "d1", "d2", "splits", "stays")
+    plain = kept.where("salt = 0").select(*names)
+    if not hot:
+        return plain
+    common = kept.where("salt > 0").drop("splits", "stays")
+    # at most MOST_HOT rows
+    tops = common.groupBy("d1", "d2").agg(
+        F.min(place).alias("first"), (F.count(F.lit(1)) / SPLIT_ROWS).cast("int").alias("more"), ((F.min("row") != F.max("row")) | (F.min("line") != F.max("line"))).alias("several")
+    )
+    joined = common.join(F.broadcast(tops.where("several")), ["d1", "d2"])
+    return plain.unionByName(joined.select("row", "line", "n", "d1", "d2", (F.col("more") + 1).alias("splits"), (place == F.col("first")).alias("stays")))
 
 
 def _context(data: bytes, bounds: list[int], at: int, step: int) -> list[bytes]:
@@ -218,15 +266,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     row, at, more = unused(docs, "row"), unused(docs, "kept"), unused(docs, "repeats")
     base = bounded(docs).select(*map(quoted, without(docs, "n_lines", "n_removed"))).withColumn(row, F.xxhash64(F.col(key), F.col(text)))
     listed = base.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("doc_id"), F.col(row).alias("row"), F.col(text).alias("text"))
-    found = listed.mapInPandas(tidy(_list), "doc_id bigint, row bigint, line int, n int, d1 bigint, d2 bigint")
-    # one exchange of the listed units serves all that is asked of a group
-    same = Window.partitionBy("d1", "d2")
-    several = (F.min("row").over(same) != F.max("row").over(same)) | (F.min("line").over(same) != F.max("line").over(same))
-    # a very common unit meets its bytes in several tasks
-    splits = (F.count(F.lit(1)).over(same) / SPLIT_ROWS).cast("int") + 1
-    grouped = found.select("*", several.alias("several"), splits.alias("splits"), F.min(F.struct("doc_id", "row", "line")).over(same).alias("first"))
-    stays = (F.col("row") == F.col("first.row")) & (F.col("line") == F.col("first.line"))
-    marked = spill(grouped.where("several").select("row", "line", "n", "d1", "d2", "splits", stays.alias("stays")), "repeated")
+    marked = _marked(listed)
     kept = marked.where("stays").distinct().groupBy(F.col("row").alias(row)).agg(F.collect_list(F.struct("line", "n", "d1", "d2", "splits")).alias(at))
 
     def bodies_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -224,7 +224,8 @@ def brute_lines(rows):
 
 
 def test_lines_equal_brute_force_with_hot_units(spark, monkeypatch):
-    monkeypatch.setattr(line_chunks, "SPLIT_ROWS", 5)
+    for name, value in (("SPLIT_ROWS", 5), ("SAMPLE", 4), ("HOT_SEEN", 6), ("SALTS", 3)):
+        monkeypatch.setattr(line_chunks, name, value)
     rng = random.Random(6)
     line = lambda n: " ".join(rng.choice(["ka", "lo", "mi", "re", "su", "to"]) + str(rng.randrange(60)) for _ in range(n)) + rng.choice(["\n", "\n\n", ". "])
     pool = ["".join(line(rng.randrange(1, 14)) for _ in range(rng.randrange(1, 9))) for _ in range(8)]
@@ -232,6 +233,8 @@ def test_lines_equal_brute_force_with_hot_units(spark, monkeypatch):
     got = {r.doc_id: r.text for r in line_chunks.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()}
     want = brute_lines(rows)
     assert [i for i in want if got[i] != want[i]] == []
+    listed = spark.createDataFrame([(i, i * 7919, t) for i, t in rows], "doc_id bigint, row bigint, text string")
+    assert line_chunks.hot_units(listed)
     assert sum(map(len, got.values())) < 0.6 * sum(len(t) for _, t in rows)
 
 
