@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes
 each result as Parquet and hands it to the next stage.
+
+Defined results for odd input, in every stage: a null text stays null and an
+empty one empty (packing: a document of the end token alone); rows with a null
+id are kept; repeated rows stay or go together, but for near copies, of which
+those with the smallest id stay; an empty table gives no rows; columns beyond
+those of documents are dropped, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,14 +28,14 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score as toxic go. The model learns from the labels of this stage's own input."""
+    """Documents that score as toxic go; null and empty texts score low and stay. The model learns from the labels of this stage's own input."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     model = toxicity.train(docs.select("doc_id", "text"), labels)
     return toxicity.keep_clean(docs.select(*COLUMNS), model)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages go; a document of which nothing is left goes with them."""
+    """Repeated passages go; a document of which only white space is left goes with them, one that was empty before stays."""
     left = line_chunks.dedup_lines(docs.select(*COLUMNS))
     emptied = (F.col("n_removed") > 0) & (F.trim(F.translate("text", "\n\t\r", "   ")) == "")
     return _columns(left.where(~F.coalesce(emptied, F.lit(False))))
@@ -43,14 +49,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark in the text."""
+    """Secrets are replaced by a mark in the text; overlapping ones by one mark."""
     scanned = secret_scan.scan_secrets(docs.select(*COLUMNS))
     clean = F.when(F.size("secret_spans") > 0, secret_scan.redact(F.col("text"), F.col("secret_spans"))).otherwise(F.col("text"))
     return _columns(scanned.withColumn("text", clean))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Training sequences."""
+    """Training sequences: the pieces of every document, null and empty texts included."""
     return packing.pack(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -62,7 +68,8 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: decoding, chunking and packing have no SQL form; tests hold each stage against a brute-force version
+#: decoding, chunking and packing have no SQL form; tests/llm/test_odd_input.py holds the first four stages against
+#: brute-force versions, tests/llm/test_llm.py packing against the tokenizer
 ORACLE_SQL = None
 
 

@@ -2,22 +2,31 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer, IndexToString, NGram, RegexTokenizer, StringIndexer, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from lakepress.functions import keywords as K
 from lakepress.operators.metrics import class_weights
+from lakepress.plans.workdir import spill
 
 Fitted = Callable[[DataFrame], DataFrame]
 Model = Callable[[DataFrame, str], Fitted]
 
 FEATURES = 50_000
-ROUNDS = 15
+#: texts that a gram occurs in, at least
+MIN_DF = 2
+#: passages of one or two words
+SHORT = 100
+#: the regression stops when it has converged, or here
+ROUNDS = 300
 
 
 def _weighted(train: DataFrame, label: str) -> DataFrame:
@@ -25,23 +34,68 @@ def _weighted(train: DataFrame, label: str) -> DataFrame:
 
 
 def _pipeline(train: DataFrame, label: str, stages: list) -> Fitted:
+    """Balanced logistic regression whose penalty weighs as much as one row, as in an unscaled sum of losses."""
     index = StringIndexer(inputCol=label, outputCol="__y", stringOrderType="alphabetAsc", handleInvalid="skip").fit(train)
-    lr = LogisticRegression(featuresCol="features", labelCol="__y", weightCol="weight", predictionCol="__p", maxIter=ROUNDS, regParam=0.01)
+    n = max(train.count(), 1)
+    lr = LogisticRegression(featuresCol="features", labelCol="__y", weightCol="weight", predictionCol="__p", maxIter=ROUNDS, tol=1e-4, regParam=1.0 / n, standardization=False)
     name = IndexToString(inputCol="__p", outputCol="predicted", labels=index.labels)
     fitted = Pipeline(stages=[*stages, lr]).fit(index.transform(_weighted(train, label)))
     return lambda rows: name.transform(fitted.transform(rows))
 
 
-def text_model(train: DataFrame, label: str) -> Fitted:
-    """Single words and pairs that two texts hold at least, counts scaled by sublinear tf."""
-    stages = [
-        RegexTokenizer(inputCol="text", outputCol="__w", pattern=r"(?U)\W+", minTokenLength=2),
-        NGram(n=2, inputCol="__w", outputCol="__b"),
-        CountVectorizer(inputCol="__w", outputCol="__cw", minDF=2, vocabSize=FEATURES // 2),
-        CountVectorizer(inputCol="__b", outputCol="__cb", minDF=2, vocabSize=FEATURES // 2),
-        VectorAssembler(inputCols=["__cw", "__cb"], outputCol="features"),
-    ]
-    return _pipeline(train, label, stages)
+def _accents() -> tuple[str, str]:
+    """Latin letters with marks, and the same letters without, by their canonical decompositions."""
+    pairs = [(chr(c), "".join(x for x in unicodedata.normalize("NFKD", chr(c)) if not unicodedata.combining(x))) for c in range(0xC0, 0x250)]
+    kept = [(a, b) for a, b in pairs if len(b) == 1 and a != b]
+    return "".join(a for a, _ in kept), "".join(b for _, b in kept)
+
+
+def plain(text: Column) -> Column:
+    """Lower case without accents; marks that stand alone go too."""
+    marked, bare = _accents()
+    return F.regexp_replace(F.translate(F.lower(text), marked, bare), r"\p{Mn}+", "")
+
+
+def gram_counts(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, gram, tf) of words of two characters or more and of pairs of such words."""
+    words = F.regexp_extract_all(plain(F.col(text)), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
+    pairs = F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+    each = rows.where(F.col(text).isNotNull()).select(key, words.alias("w")).select(key, F.explode(F.concat("w", pairs)).alias("gram"))
+    return each.groupBy(key, "gram").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def text_model(corpus: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
+    """Single words and pairs that two texts hold at least, the most frequent; (1 + ln tf) times smooth idf, scaled to length one.
+
+    Grams of ``corpus`` are counted once for all folds; vocabulary and
+    frequencies are those of the training rows alone.
+    """
+    counts = spill(gram_counts(corpus, key, text), "grams")
+
+    def fit(train: DataFrame, label: str) -> Fitted:
+        n = train.count()
+        seen = counts.join(train.select(key).distinct(), key, "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
+        best = seen.where(F.col("df") >= MIN_DF).orderBy(F.desc("total"), "gram").limit(FEATURES)
+        # at most FEATURES rows
+        at = F.row_number().over(Window.orderBy(F.desc("total"), "gram")) - 1
+        vocabulary = spill(best.select("gram", at.alias("at"), (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1).alias("idf")), "vocabulary")
+
+        def vectors(rows: DataFrame) -> DataFrame:
+            some = counts.join(rows.select(key).distinct(), key, "left_semi").join(F.broadcast(vocabulary), "gram")
+            cells = some.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("at", ((1 + F.log("tf")) * F.col("idf")).alias("w")))).alias("x"))
+            cells = cells.withColumn("norm", F.sqrt(F.aggregate("x", F.lit(0.0), lambda acc, c: acc + c["w"] * c["w"])))
+            found = cells.select(key, F.col("x.at").alias("at"), F.transform("x", lambda c: c["w"] / F.col("norm")).alias("w"))
+            # the form in which a sparse vector is stored
+            vector = F.struct(
+                F.lit(0).cast("byte").alias("type"), F.lit(FEATURES).alias("size"), F.coalesce("at", F.array().cast("array<int>")).alias("indices"), F.coalesce("w", F.array().cast("array<double>")).alias("values")
+            )
+            joined = rows.drop(text).join(found, key, "left").select(*[c for c in rows.columns if c != text], vector.alias("features"))
+            return spill(joined, "vectors", StructType([StructField("features", VectorUDT()) if f.name == "features" else f for f in joined.schema]))
+
+        fitted = _pipeline(vectors(train), label, [])
+        return lambda rows: fitted(vectors(rows))
+
+    return fit
 
 
 def keyword_model(groups: K.Groups) -> Model:
@@ -71,17 +125,29 @@ def cross_predict(rows: DataFrame, key: str, fold: str, label: str, model: Model
 
 
 def containing(docs: DataFrame, passages: DataFrame, words: int = 12, key: str = "doc_id", item: str = "item_id") -> DataFrame:
-    """(key, item) of texts that contain a passage whole, candidates meeting on a window of blank-separated words."""
+    """(key, item) of texts that contain a passage whole, candidates meeting on a window of blank-separated words.
+
+    A passage's first and last word may be glued to what stands beside it, so
+    its window lies between them: ``words`` words, or all inner words of a
+    shorter passage. Windows of the corpus meet the passages before anything
+    is shuffled for distinctness. Passages without an inner word are compared
+    with every text; there may be ``SHORT`` of them.
+    """
     split = lambda c: F.split(F.col(c), r"[ \n]")
-    # a passage's second word on: its first may be glued to what precedes it
-    long = passages.where(F.size(split("passage")) >= words + 2)
-    short = passages.where(F.size(split("passage")) < words + 2)
-    window = F.xxhash64(F.array_join(F.slice(split("passage"), 2, words), " "))
-    at = F.sequence(F.lit(1), F.greatest(F.size("__w") - words + 1, F.lit(1)))
-    windows = docs.withColumn("__w", split("text")).select(key, F.explode(F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice("__w", i, words), " ")))).alias("__h")).distinct()
-    met = windows.join(long.select(item, "passage", window.alias("__h")), "__h").select(key, item, "passage").distinct()
-    found = docs.join(met, key).where(F.contains("text", F.col("passage"))).select(key, item)
-    if short.isEmpty():
-        return found
-    few = docs.join(F.broadcast(short), F.contains(docs["text"], F.col("passage"))) if short.count() <= 1000 else docs.join(short, F.contains(docs["text"], F.col("passage")))
-    return found.unionByName(few.select(key, item))
+    sized = passages.withColumn("__n", F.least(F.size(split("passage")) - 2, F.lit(words)))
+    found = None
+    for n in sorted(r[0] for r in sized.where("__n > 0").select("__n").distinct().collect()):
+        window = F.xxhash64(F.array_join(F.slice(split("passage"), 2, n), " "))
+        at = F.sequence(F.lit(1), F.greatest(F.size("__w") - n + 1, F.lit(1)))
+        hashed = F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice("__w", i, n), " ")))  # noqa: B023 - used in this round alone
+        windows = docs.withColumn("__w", split("text")).select(key, F.explode(hashed).alias("__h"))
+        met = windows.join(sized.where(F.col("__n") == n).select(item, "passage", window.alias("__h")), "__h").select(key, item, "passage").distinct()
+        part = docs.join(met, key).where(F.contains("text", F.col("passage"))).select(key, item)
+        found = part if found is None else found.unionByName(part)
+    short = sized.where("__n <= 0").select(item, "passage").limit(SHORT + 1).collect()
+    if len(short) > SHORT:
+        raise ValueError(f"more than {SHORT} passages have no inner word")
+    for r in short:
+        part = docs.where(F.contains("text", F.lit(r["passage"]))).select(key, F.lit(r[item]).alias(item))
+        found = part if found is None else found.unionByName(part)
+    return found if found is not None else docs.join(passages.select(item).limit(0), F.lit(False)).select(key, item)

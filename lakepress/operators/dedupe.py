@@ -101,19 +101,23 @@ def tfidf(rows: DataFrame, key: str = "doc_id", text: str = "headline") -> DataF
     return members.join(_weighted(texts, rows.count()), "rep").select(key, "gram", "df", "weight")
 
 
-def similar_pairs(weights: DataFrame, least: float = SIMILAR, key: str = "doc_id") -> DataFrame:
-    """(a, b, cosine) of pairs from ``least`` on, by prefix filtering.
+def similar_pairs(w: DataFrame, least: float = SIMILAR, key: str = "doc_id") -> DataFrame:
+    """(a, b, cosine) of pairs from ``least`` on, by prefix filtering; ``w`` is read several times.
 
     In each row grams are ordered from rare to frequent. A pair can reach the
     threshold only if it shares a gram within the prefixes whose rests have a
     squared length below its square, so candidates meet on prefix grams alone.
+    What they share there, and the lengths of what either has beyond the last
+    shared gram, bound the cosine; pairs that pass are compared whole.
     """
-    w = spill(weights, "weights")
-    rare = Window.partitionBy(key).orderBy("df", "gram")
-    rest = F.greatest(1.0 - (F.sum(F.col("weight") * F.col("weight")).over(rare.rowsBetween(Window.unboundedPreceding, 0)) - F.col("weight") * F.col("weight")), F.lit(0.0))
-    prefix = w.withColumn("rest", F.sqrt(rest)).where(F.col("rest") >= least - 1e-9).select(key, "gram")
-    x, y = prefix.alias("x"), prefix.alias("y")
-    met = x.join(y, "gram").where(F.col(f"x.{key}") < F.col(f"y.{key}")).select(F.col(f"x.{key}").alias("a"), F.col(f"y.{key}").alias("b")).distinct()
+    rare = Window.partitionBy(key).orderBy("df", "gram").rowsBetween(Window.unboundedPreceding, 0)
+    done = F.sum(F.col("weight") * F.col("weight")).over(rare)
+    length = lambda c: F.sqrt(F.greatest(1.0 - c, F.lit(0.0)))
+    cut = w.withColumn("done", done).where(length(F.col("done") - F.col("weight") * F.col("weight")) >= least - 1e-9)
+    prefix = spill(cut.select(key, "gram", "weight", length(F.col("done")).alias("after")), "prefix")
+    side = lambda name: prefix.select(F.col(key).alias(name), "gram", F.col("weight").alias(f"w{name}"), F.col("after").alias(f"after_{name}"))
+    shared = side("a").join(side("b"), "gram").where("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("s"), F.min(F.col("after_a") * F.col("after_b")).alias("rest"))
+    met = shared.where(F.col("s") + F.col("rest") >= least - 1e-6).select("a", "b")
     p, q = w.select(F.col(key).alias("a"), "gram", F.col("weight").alias("wa")), w.select(F.col(key).alias("b"), "gram", F.col("weight").alias("wb"))
     dots = met.join(p, "a").join(q, ["b", "gram"]).groupBy("a", "b").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 9).alias("cosine"))
     return dots.where(F.col("cosine") >= least)

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 BANDS = (0.0, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0001)
 #: accuracy beyond which a leak is likelier than skill
 ALARM = 0.92
+#: share of resamples that a challenger must win
+SWITCH = 0.90
 
 
 def accuracy(truth: str, pred: str) -> Column:

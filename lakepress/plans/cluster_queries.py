@@ -183,7 +183,7 @@ def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word-gram TF-IDF and balanced logistic regression, each row predicted by other folds."""
     rows = S.table(spark, sf_dir, "documents").select("doc_id", "text").join(S.scored(spark, sf_dir).select("doc_id", "fold", F.col("true_severity").alias("label")), "doc_id")
-    return B.cross_predict(rows, "doc_id", "fold", "label", B.text_model)
+    return B.cross_predict(rows, "doc_id", "fold", "label", B.text_model(rows))
 
 
 @R.add()

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: folders that this process's sessions have spilled to
 _SPILLED: list[str] = []
@@ -31,18 +32,19 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def spill(df: DataFrame, name: str) -> DataFrame:
+def spill(df: DataFrame, name: str, schema: StructType | None = None) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs a re-read, not a re-run of
     everything upstream, and the table can be scanned several times. The folder
     stays until ``release``, as results read from it when they are asked for.
+    ``schema`` reads the columns back as types that are stored alike.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     _SPILLED.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema or df.schema).parquet(path)
 
 
 def delete(spark: SparkSession, path: str) -> None:

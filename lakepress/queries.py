@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("text_queries", "view_queries", "metric_queries", "cluster_queries", "lifecycle_queries")
+MODULES = ("text_queries", "view_queries", "metric_queries", "cluster_queries", "lifecycle_queries", "source_queries")
 FLAGSHIP = "exact_dup_summary"
 
 QUERIES: dict = {}

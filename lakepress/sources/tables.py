@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -42,8 +44,13 @@ def by_mode(rows: DataFrame, mode: str) -> DataFrame:
     return rows if mode == "all" else rows.where("has_body")
 
 
+FOLD_COLUMNS = ("id", "fold")
+
+
 def write_folds(rows: DataFrame, path: str) -> None:
-    """Folds as Parquet, a folder for each."""
+    """Folds as Parquet, a folder for each; the columns of ``FOLD_COLUMNS`` must be there."""
+    if missing := [c for c in FOLD_COLUMNS if c not in rows.columns]:
+        raise ValueError(f"columns are missing: {missing}")
     rows.write.mode("overwrite").partitionBy("fold").parquet(path)
 
 
@@ -56,9 +63,10 @@ def read_folds(spark: SparkSession, path: str, corpus: DataFrame, key: str = "id
     return folds.join(corpus, key, "left")
 
 
-def last_lines(spark: SparkSession, path: str, schema: str, key: str, model: str) -> DataFrame:
-    """JSON-lines checkpoint of one model: the last line of each key, by its ``line`` number."""
+def last_lines(spark: SparkSession, path: str, schema: str, key: str, model: str, prompt: str | None = None) -> DataFrame:
+    """JSON-lines checkpoint of one model, and of one prompt where it is given: the last line of each key, by its ``line`` number."""
     rows = spark.read.schema(schema).json(path).where(F.col("model") == model)
+    rows = rows if prompt is None else rows.where(F.col("prompt") == prompt)
     rest = [c for c in rows.columns if c != key]
     return rows.groupBy(key).agg(F.max_by(F.struct(*rest), "line").alias("x")).select(key, "x.*")
 
@@ -74,8 +82,18 @@ def missing_runs(plan: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def write_run(rows: DataFrame, path: str, seed: int, fold: int) -> None:
-    """One run's predictions in its own folder; writing it again replaces that folder alone."""
-    rows.drop("seed", "fold").write.mode("overwrite").parquet(f"{path}/seed={seed}/fold={fold}")
+    """One run's predictions in its own folder; writing it again replaces that folder alone.
+
+    The run is written whole to a hidden folder and then renamed, so a run that dies leaves the old result or none.
+    """
+    spark, fresh = rows.sparkSession, f"{path}/_run-{uuid.uuid4().hex}"
+    rows.drop("seed", "fold").write.parquet(fresh)
+    new = spark._jvm.org.apache.hadoop.fs.Path
+    fs = new(fresh).getFileSystem(spark._jsc.hadoopConfiguration())
+    last = new(f"{path}/seed={seed}/fold={fold}")
+    fs.mkdirs(last.getParent())
+    fs.delete(last, True)
+    fs.rename(new(fresh), last)
 
 
 def evolve(spark: SparkSession, path: str, schema: StructType, version: int, known: int) -> DataFrame:
