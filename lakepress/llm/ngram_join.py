@@ -55,6 +55,8 @@ BLOCK_POSTINGS = 1_000_000
 RANGE_POSTINGS = 400_000
 #: sets and shingles of a block, and columns of a slice, in the product of what is left
 BLOCK_ROWS, BLOCK_SHINGLES, SLICE = 1024, 500_000, 2048
+#: sets whose tables go to one file, about
+FILE_SETS = 1000
 #: rounds of comparisons with pivots before what is left is multiplied out
 STAR_ROUNDS = 1
 
@@ -400,19 +402,21 @@ def links(sets: DataFrame) -> DataFrame:
         for f in frames:
             yield pd.DataFrame({"sig": f["sig"], "n": f["n"], "columns": objects([np.frombuffer(s, dtype=np.int64) for s in f["shingles"]])})
 
-    cells = spill(_prefixes(bounded(sets).mapInPandas(tidy(unpack), "sig binary, n bigint, columns array<bigint>")), "prefixes")
+    # small tables go to few files
+    files = max(8, min(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sets.count() // FILE_SETS)))
+    cells = spill(_prefixes(bounded(sets).mapInPandas(tidy(unpack), "sig binary, n bigint, columns array<bigint>")).coalesce(files), "prefixes")
     # a set stands in its own size band and the next, so that sizes within the bound meet
     placed = cells.select("*", F.explode(F.array("band", F.col("band") + 1)).alias("place"))
     found, tried, labels = None, None, None
     for rank in range(STAR_ROUNDS):
         marked = placed if labels is None else _open(placed, labels)
         stars = _stars(marked, rank, tried)
-        stars = spill(stars, "stars")
-        new = spill(_verified(stars, sets), "links")
+        stars = spill(stars.coalesce(files), "stars")
+        new = spill(_verified(stars, sets).coalesce(files), "links")
         tried = stars if tried is None else tried.unionByName(stars)
         found = new if found is None else found.unionByName(new)
         labels = connected_components(found).select(F.col("node").alias("sig"), "component")
-    return found.unionByName(_block_links(spill(_open(placed, labels), "open"), sets))
+    return found.unionByName(_block_links(spill(_open(placed, labels).coalesce(files), "open"), sets))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -435,9 +439,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     sets = spill(texts.mapInPandas(tidy(whole), "sig binary, n bigint, shingles binary").dropDuplicates(["sig"]), "candidates")
     sets = spill(sets.join(not_lonely(sets, _sets_of_rows, 1, shingles), "sig", "left_semi"), "partners")
     classes = connected_components(links(sets)).select(F.col("node").alias("sig"), "component")
-    grouped = spill(known.where("sig is not null").join(classes, "sig", "left").withColumn("class", F.coalesce("component", "sig")), "classes")
+    grouped = known.where("sig is not null").join(classes, "sig", "left").withColumn("class", F.coalesce("component", "sig"))
+    # read from a table, so both sides of the join are plain exchanges and a class of many copies can be split between tasks
     least = spill(grouped.groupBy("class").agg(F.min("doc_id").alias("component_id")), "least")
-    # both sides are read from tables, so a class of many copies can be split between tasks
     linked = grouped.join(least, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = known.where("sig is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)
