@@ -15,7 +15,7 @@ LOCAL_EDGES = 500_000
 
 
 def forest(edges: Iterator[tuple]) -> list[tuple]:
-    """(smallest node, node) of each node of ``edges`` but the smallest of its component."""
+    """(smallest node, node) of each node of ``edges`` but the smallest of its component, which comes alone, with itself."""
     parent: dict = {}
 
     def find(x):
@@ -30,7 +30,9 @@ def forest(edges: Iterator[tuple]) -> list[tuple]:
         x, y = find(a), find(b)
         if x != y:
             parent[max(x, y)] = min(x, y)
-    return [(find(n), n) for n in list(parent) if find(n) != n]
+    out = [(find(n), n) for n in list(parent) if find(n) != n]
+    linked = {r for r, _ in out}
+    return out + [(n, n) for n in parent if parent[n] == n and n not in linked]
 
 
 def _contracted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -47,19 +49,32 @@ def _contracted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node that each node of ``edges`` reaches.
 
-    Every task first contracts its own edges. Minimum labels then travel along
-    what is left and jump to their label's label, so the rounds grow with the
-    logarithm of the longest path. Each round is written to the shared folder;
-    only whether a label changed reaches the driver. The tables of each join
-    are read from there, so a hub's many rows are an exchange of their own,
-    which adaptive execution can split. Rows with a null end are ignored; a
-    node whose only edge is to itself is its own component.
+    Every task first contracts its own edges. If no more than ``LOCAL_EDGES``
+    are left, one task contracts those, as much as any task holds. Otherwise
+    minimum labels travel along what is left and jump to their label's label,
+    so the rounds grow with the logarithm of the longest path; each round is
+    written to the shared folder, and only whether a label changed reaches the
+    driver. The tables of each join are read from there, so a hub's many rows
+    are an exchange of their own, which adaptive execution can split. Rows with
+    a null end are ignored; a node whose only edge is to itself is its own
+    component.
     """
     known = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("a"), F.col(b).alias("b"))
     kind = known.schema["a"].dataType.simpleString()
-    alone = known.where("a = b").select(F.col("a").alias("node")).distinct()
-    stars = spill(known.where("a <> b").mapInPandas(_contracted, f"a {kind}, b {kind}"), "stars")
-    both = spill(stars.select(F.col("a").alias("node"), F.col("b").alias("other")).union(stars.select("b", "a")).distinct(), "edges")
+    stars = spill(known.mapInPandas(_contracted, f"a {kind}, b {kind}"), "stars")
+    alone = stars.where("a = b").select(F.col("a").alias("node"))
+    links = stars.where("a <> b")
+    if stars.count() <= LOCAL_EDGES:
+        whole = stars.coalesce(1).mapInPandas(_contracted, f"a {kind}, b {kind}").select(F.col("b").alias("node"), F.col("a").alias("component"))
+        whole = spill(whole, "labels")
+        return whole.unionByName(whole.where("node <> component").select(F.col("component").alias("node"), "component").distinct())
+    both = spill(links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a")).distinct(), "edges")
+    labels = _settled(both, max_rounds)
+    return labels.unionByName(alone.distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("component")))
+
+
+def _settled(both: DataFrame, max_rounds: int) -> DataFrame:
+    """(node, component) of (node, other), which holds every link in both directions."""
     labels = spill(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("component")), "labels")
     for _ in range(max_rounds):
         near = labels.select(F.col("node").alias("other"), F.col("component").alias("theirs"))
@@ -70,5 +85,5 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         settled = new.where("before <> component").isEmpty()
         labels = new.select("node", "component")
         if settled:
-            return labels.unionByName(alone.join(labels, "node", "left_anti").select("node", F.col("node").alias("component")))
+            return labels
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -306,9 +306,13 @@ def test_near_clusters_equal_brute_force(spark):
     assert {r.doc_id: r.component for r in D.near_clusters(df_rows).collect()} == {i: find(i) for i in root}
 
 
-def test_order_part_graph_equals_union_find(spark, tmp_path):
+@pytest.mark.parametrize("local", [500_000, 3])
+def test_order_part_graph_equals_union_find(spark, tmp_path, monkeypatch, local):
+    from lakepress.operators import graph
     from lakepress.plans import cluster_queries as C
 
+    monkeypatch.setattr(graph, "LOCAL_EDGES", local)
+
     rng = __import__("random").Random(3)
     lines = [(rng.randrange(1, 60), rng.randrange(1, 90)) for _ in range(90)] + [(1, 1)] * 40
     spark.createDataFrame(lines, "l_orderkey bigint, l_partkey bigint").write.parquet(str(tmp_path / "lineitem.parquet"))
@@ -326,6 +330,17 @@ def test_order_part_graph_equals_union_find(spark, tmp_path):
     assert {r.node: r.component for r in C.graph_components(spark, str(tmp_path)).collect()} == {i: find(i) for i in root}
 
 
+@pytest.mark.parametrize("local", [500_000, 3])
+def test_components_of_loops_and_nulls(spark, monkeypatch, local):
+    from lakepress.operators import graph
+
+    monkeypatch.setattr(graph, "LOCAL_EDGES", local)
+    edges = [("b", "a"), ("c", "b"), ("d", "d"), ("e", "f"), ("f", "f"), (None, "a"), ("g", None), ("z", "y"), ("y", "x"), ("x", "w"), ("b", "a")]
+    got = {r.node: r.component for r in graph.connected_components(spark.createDataFrame(edges, "a string, b string").repartition(3)).collect()}
+    assert got == {"a": "a", "b": "a", "c": "a", "d": "d", "e": "e", "f": "e", "w": "w", "x": "w", "y": "w", "z": "w"}
+    assert graph.connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
 def test_a_cluster_needs_a_shared_folder():
     from types import SimpleNamespace as N
 
