@@ -23,7 +23,7 @@ import hashlib
 import io
 import wave
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -125,13 +125,19 @@ def _dictionary(texts: DataFrame) -> bytes:
         return b""
 
 
-def _codec(dictionary: bytes):
+def _packer(dictionary: bytes) -> Callable[[bytes], bytes]:
     import zstandard
 
     d = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
     if d:
         d.precompute_compress(level=LEVEL)
-    return zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_checksum=False, write_dict_id=False), zstandard.ZstdDecompressor(dict_data=d)
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_checksum=False, write_dict_id=False).compress
+
+
+def _unpacker(dictionary: bytes) -> Callable[..., bytes]:
+    import zstandard
+
+    return zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None).decompress
 
 
 def digest(chunk: bytes) -> bytes:
@@ -146,7 +152,7 @@ def chunk_table(texts: DataFrame, dictionary: bytes, remembered: int = 100_000)
     """(digest, packed): each distinct chunk once."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pack, seen = _codec(dictionary)[0].compress, set()
+        pack, seen = _packer(dictionary), set()
         for f in frames:
             digests, packed = [], []
             for text in f["text"]:
@@ -186,7 +192,7 @@ def recipes(texts: DataFrame) -> DataFrame:
 
 def _rebuild(dictionary: bytes):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        unpack = _codec(dictionary)[1].decompress
+        unpack = _unpacker(dictionary)
         for f in frames:
             rows = []
             for media, stored, parts in zip(f["media"], f["stored"], f["parts"], strict=True):
