@@ -131,6 +131,18 @@ def generated_id(headline: Column, body: Column) -> Column:
     return F.concat(F.lit("rt_"), F.substring(F.sha1(F.concat(headline, F.lit("\n"), F.coalesce(body, F.lit(""))).cast("binary")), 1, 10))
 
 
+def given_id(i: Column, headline: Column, body: Column) -> Column:
+    """The caller's id; where it is null, empty or NaN, one made of the text."""
+    return F.when(i.isNull() | i.isin("", "nan", "NaN"), generated_id(headline, body)).otherwise(i)
+
+
+def api_article(i: Column, headline: Column, body: Column) -> Column:
+    """struct(id, headline, body) as the rest of the engine wants them; a blank headline raises."""
+    h, b = strip_all(F.coalesce(headline, F.lit(""))), strip_all(F.coalesce(body, F.lit("")))
+    h = F.when(h != "", h).otherwise(F.raise_error(F.lit("every article needs a headline")))
+    return F.struct(given_id(i, h, b).alias("id"), h.alias("headline"), b.alias("body"))
+
+
 def feed_date(c: Column) -> Column:
     """An RFC 822 or ISO date as UTC text, null where it is neither."""
     iso = F.try_to_timestamp(c)

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakepress.functions.urls import domain, is_blocked
 from lakepress.plans.workdir import spill
 
 ARTICLE_SCHEMA = (
@@ -134,6 +135,11 @@ def record_failures(articles: DataFrame, failures: DataFrame, most: int = ATTEMP
     )
 
 
+def unfetchable(pending: DataFrame, page: Column, blocked: list[str]) -> DataFrame:
+    """(article_id, error, final) of pending articles whose page lies in a domain that refuses machines; they are given up at once."""
+    return pending.where((F.col("fetch_status") == "pending") & is_blocked(domain(page), blocked)).select("article_id", F.lit("site refuses automated access").alias("error"), F.lit(True).alias("final"))
+
+
 def resolve(articles: DataFrame, resolved: DataFrame) -> DataFrame:
     """Resolved links (article_id, hash): an article whose page another one has is a duplicate and is not fetched."""
     cols = articles.columns

@@ -131,6 +131,26 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     return F.when(n > 0, F.greatest(mid - half, F.lit(0.0))).otherwise(0.0), F.when(n > 0, F.least(mid + half, F.lit(1.0))).otherwise(1.0)
 
 
+def review_estimates(reviewed: DataFrame, unflagged: int) -> DataFrame:
+    """One row from a reviewed sample (bucket, yes, flagged): how right a rule is and how much it misses.
+
+    Precision is over every reviewed row that the rule flags. The share of
+    hits among the random bucket, times the ``unflagged`` rows of the corpus,
+    estimates what the rule misses; both come with Wilson bounds. Recall is
+    what it found over that and what it misses; null where both are 0.
+    """
+    count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    random = F.col("bucket") == "random"
+    one = reviewed.agg(count(F.col("flagged")).alias("n"), count(F.col("flagged") & F.col("yes")).alias("k"), count(random).alias("rn"), count(random & F.col("yes")).alias("rk"))
+    low, high = wilson(F.col("k"), F.col("n"))
+    rlow, rhigh = wilson(F.col("rk"), F.col("rn"))
+    rate = F.coalesce(F.try_divide("rk", "rn"), F.lit(0.0))
+    return one.select(
+        F.col("n").alias("n_flagged"), F.col("k").alias("n_right"), F.coalesce(F.try_divide("k", "n"), F.lit(0.0)).alias("precision"), low.alias("precision_low"), high.alias("precision_high"),
+        (rate * unflagged).alias("missed"), (rlow * unflagged).alias("missed_low"), (rhigh * unflagged).alias("missed_high"), F.try_divide(F.col("k").cast("double"), F.col("k") + rate * unflagged).alias("recall"),
+    )
+
+
 def class_weights(rows: DataFrame, label: str, cap: float | None = None) -> DataFrame:
     """n / (k * n_c) over the classes present; a lone class weighs 1."""
     g = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n"))

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakepress.functions import text as T
 from lakepress.operators import lifecycle as L
 from lakepress.operators import metrics as M
 from lakepress.plans.lifecycle_queries import arrivals
@@ -130,3 +131,55 @@ def bootstrap_switch(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = S.scored(spark, sf_dir).select("doc_id", ((F.col("true_severity") == F.col("pred_severity")).cast("int") - (F.col("true_narrative") == F.col("pred_narrative")).cast("int")).alias("d"))
     won = M.paired_bootstrap(rows, "doc_id", F.col("d"), 2000)
     return won.select(F.lit(rows.count()).alias("n"), (F.col("p_better") >= M.SWITCH).alias("switch"))
+
+
+@R.add("SELECT * FROM (VALUES ('Alpha', 0, 'Main'), ('Beta', 1, 'Main'), ('Gamma', 2, 'Side'), ('Delta', 3, 'Side'), ('Other', 4, 'Other')) t(label, id, collapsed)")
+def taxonomy_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels, their ids and collapsed classes as a table."""
+    return S.taxonomy(spark)
+
+
+@R.add(
+    "WITH h AS (SELECT doc_id, trim(split_part(text, chr(10), 1)) AS headline FROM documents WHERE trim(split_part(text, chr(10), 1)) <> '') "
+    "SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN 'given-' || doc_id ELSE 'rt_' || substr(sha1(headline || chr(10) || 'some body'), 1, 10) END AS id, headline FROM h"
+)
+def api_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles as callers hand them in; ids that are missing are made of the text."""
+    d = S.table(spark, sf_dir, "documents").select("doc_id", F.trim(F.substring_index("text", "\n", 1)).alias("headline")).where("headline <> ''")
+    i = F.when(F.col("doc_id") % 3 == 0, F.lit(None)).when(F.col("doc_id") % 3 == 1, F.when(F.col("doc_id") % 2 == 0, "").otherwise("NaN")).otherwise(F.concat(F.lit("given-"), F.col("doc_id").cast("string")))
+    a = T.api_article(i, F.col("headline"), F.lit(" some body "))
+    return d.select("doc_id", a.alias("a")).select("doc_id", "a.id", "a.headline")
+
+
+@R.add(
+    "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'failed' ELSE 'pending' END AS fetch_status, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS attempts, CASE WHEN doc_id % 3 = 0 THEN 'site refuses automated access' END AS error FROM documents"
+)
+def unfetchable_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages of domains that refuse machines are given up at the first try."""
+    d = S.table(spark, sf_dir, "documents").select("doc_id")
+    host = F.when(F.col("doc_id") % 3 == 0, "a.example.net").otherwise("b.example.com")
+    state = d.select("doc_id", F.col("doc_id").cast("string").alias("article_id"), F.concat(F.lit("https://"), host, F.lit("/p")).alias("page"), F.lit("pending").alias("fetch_status"), F.lit(0).alias("fetch_attempts"), F.lit(None).cast("string").alias("fetch_error"))
+    after = L.record_failures(state, L.unfetchable(state, F.col("page"), S.BLOCKED))
+    return after.select("doc_id", "fetch_status", F.col("fetch_attempts").alias("attempts"), F.col("fetch_error").alias("error"))
+
+
+_Z = "(1.96 * 1.96)"
+_MID, _HALF, _DEN = "({k}::DOUBLE / {n} + " + _Z + " / (2 * {n}))", "1.96 * sqrt({k}::DOUBLE / {n} * (1 - {k}::DOUBLE / {n}) / {n} + " + _Z + " / (4.0 * {n} * {n}))", "(1 + " + _Z + " / {n})"
+
+
+def _bound(k: str, n: str, sign: str) -> str:
+    mid, half, den = (x.format(k=k, n=n) for x in (_MID, _HALF, _DEN))
+    return f"greatest({mid} / {den} - {half} / {den}, 0.0)" if sign == "-" else f"least({mid} / {den} + {half} / {den}, 1.0)"
+
+
+@R.add(
+    "WITH r AS (SELECT doc_id % 3 = 0 AS yes, coalesce(contains(text, 'thanea'), false) AS flagged, CASE WHEN doc_id % 50 = 0 THEN 'original' WHEN contains(text, 'thanea') THEN 'rubric' ELSE 'random' END AS bucket FROM documents), "
+    "c AS (SELECT sum(flagged::INT) AS n, sum((flagged AND yes)::INT) AS k, sum((bucket = 'random')::INT) AS rn, sum((bucket = 'random' AND yes)::INT) AS rk, sum((NOT flagged)::INT) AS u FROM r) "
+    f"SELECT n::BIGINT AS n_flagged, k::BIGINT AS n_right, k::DOUBLE / n AS precision, {_bound('k', 'n', '-')} AS precision_low, {_bound('k', 'n', '+')} AS precision_high, "
+    f"rk::DOUBLE / rn * u AS missed, {_bound('rk', 'rn', '-')} * u AS missed_low, {_bound('rk', 'rn', '+')} * u AS missed_high, k::DOUBLE / (k + rk::DOUBLE / rn * u) AS recall FROM c"
+)
+def review_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule's precision, what it misses and its recall, estimated from a reviewed sample."""
+    flagged = F.coalesce(F.contains("text", F.lit("thanea")), F.lit(False))
+    rows = S.table(spark, sf_dir, "documents").select((F.col("doc_id") % 3 == 0).alias("yes"), flagged.alias("flagged"), F.when(F.col("doc_id") % 50 == 0, "original").when(flagged, "rubric").otherwise("random").alias("bucket"))
+    return M.review_estimates(rows, rows.where("not flagged").count())

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pathlib import Path
 from typing import Any
 
@@ -40,3 +43,9 @@ def override(config: dict, settings: dict[str, str]) -> dict:
         old = at[last]
         at[last] = text.lower() in ("1", "true", "yes") if isinstance(old, bool) else type(old)(text) if old is not None else text
     return out
+
+
+def version_stamp(name: str, seed: int | str, config: dict) -> str:
+    """``<name>-s<seed>-<8 hex>``: two configurations never share one, whatever order their keys are in."""
+    digest = hashlib.sha256(json.dumps(config, sort_keys=True, separators=(",", ":"), default=str).encode()).hexdigest()
+    return f"{name.split('/')[-1].lower()}-s{seed}-{digest[:8]}"

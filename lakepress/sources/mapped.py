@@ -22,6 +22,11 @@ ANALYSIS_SOURCES = ("src3", "src7")
 BLOCKED = ["src5.example.org", "example.net"]
 
 
+def taxonomy(spark: SparkSession) -> DataFrame:
+    """(label, id, collapsed): the labels in the order of their ids, and the class that each falls into."""
+    return spark.createDataFrame([(n, i, COLLAPSE[n]) for i, n in enumerate(NARRATIVES)], "label string, id int, collapsed string")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

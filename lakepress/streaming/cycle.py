@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Callable
 
@@ -161,6 +162,34 @@ def stream_cycles(stream: DataFrame, store: Store, scorer: Scorer, now: Column,
     return (out.trigger(processingTime=every) if every else out.trigger(availableNow=True)).start()
 
 
+class ModelDown(Exception):
+    """The explaining model can't be reached."""
+
+
+def explain_waiting(store: Store, waiting: DataFrame, explainer: Scorer, most: int = 40, seconds: float = 300.0, at_once: int = 8, clock: Callable[[], float] = time.monotonic) -> tuple[int, str | None]:
+    """(how many were explained, why the rest wait): the first ``most`` of ``waiting``, until the time is used or the model is down.
+
+    ``explainer`` maps (article_id, ...) to (article_id, status). Each few are
+    committed at once, so what is done stays done; what waits is what the next
+    cycle asks for again. ``most`` ids reach the driver.
+    """
+    began, done = clock(), 0
+    ids = [r.article_id for r in waiting.select("article_id").limit(most).collect()]
+    for start in range(0, len(ids), at_once):
+        if clock() - began > seconds:
+            return done, "time budget used"
+        some = ids[start : start + at_once]
+        try:
+            new = explainer(waiting.where(F.col("article_id").isin(some)))
+            store.write("explanations", store.read("explanations").join(new.select("article_id"), "article_id", "left_anti").unionByName(new))
+            store.commit()
+        except ModelDown as e:
+            store.refresh()
+            return done, f"model down: {e}"
+        done += len(some)
+    return done, None
+
+
 def cool_down(state: DataFrame, now: Column, budget: int, minutes: int = 60) -> DataFrame:
     """(key, allowed, until): whether a rate-limited step may run; a limit met now pauses it."""
     until = F.when(F.col("limited"), now + F.expr(f"interval {minutes} minutes")).otherwise(F.col("until"))

@@ -247,6 +247,32 @@ def test_a_failed_ingest_fails_the_micro_batch(spark, tmp_path):
     assert {r.stage: r.ok for r in cycle.Store(spark, str(tmp_path / "store"), cycle.SCHEMAS).read("runs").collect()}["ingest"] is False
 
 
+def test_explaining_stops_at_the_budget_and_when_the_model_is_down(spark, tmp_path):
+    store = cycle.Store(spark, str(tmp_path / "store"), cycle.SCHEMAS)
+    waiting = spark.createDataFrame([(f"a{i}",) for i in range(9)], "article_id string").orderBy("article_id")
+    good = lambda df: df.select("article_id", F.lit("ok").alias("status"))
+    ticks = iter([0, 1, 5, 12, 20])
+    assert cycle.explain_waiting(store, waiting, good, most=8, seconds=10, at_once=3, clock=lambda: next(ticks)) == (6, "time budget used")
+    assert sorted(r.article_id for r in store.read("explanations").collect()) == [f"a{i}" for i in range(6)]
+
+    def down(df):
+        raise cycle.ModelDown("no answer")
+
+    rest = waiting.join(store.read("explanations"), "article_id", "left_anti").orderBy("article_id")
+    assert cycle.explain_waiting(store, rest, down) == (0, "model down: no answer")
+    assert cycle.explain_waiting(store, rest, good) == (3, None) and cycle.Store(spark, store.root, cycle.SCHEMAS).read("explanations").count() == 9
+
+
+def test_version_stamps_and_blank_headlines(spark):
+    assert config.version_stamp("org/Rules-Small", 42, {"a": 1, "b": [2]}) == config.version_stamp("rules-small", 42, {"b": [2], "a": 1})
+    assert config.version_stamp("r", 1, {"a": 1}) != config.version_stamp("r", 1, {"a": 2})
+    from lakepress.functions import text as T
+
+    rows = spark.createDataFrame([("x", "  ", None)], "id string, headline string, body string")
+    with pytest.raises(Exception, match="headline"):
+        rows.select(T.api_article(F.col("id"), F.col("headline"), F.col("body"))).collect()
+
+
 def test_numbers_in_order_over_hot_and_missing_groups(spark):
     from lakepress.operators import dedupe as D
 
