@@ -61,6 +61,8 @@ _TRIPLE = re.compile(rf"({_LETTERS})\1\1")
 #: every spaced run holds this: its second and third character
 _SINGLE = re.compile(r"[ ._\-*](?:[^\W_]|[@$!|+])[ ._\-*](?:[^\W_]|[@$!|+])(?=[ ._\-*]|[^\w@$]|\Z)")
 _SPACED = re.compile(r"(?<![\w@$])(?:[^\W_]|[@$!|+])(?:[ ._\-*](?:[^\W_]|[@$!|+])){2,}(?![\w@$])")
+#: characters whose pairs are counted at once
+PAIR_CHARS = 400_000
 #: tokens whose readings a worker remembers
 REMEMBERED = 30_000
 #: a longer token is split into words after decoding, as a spaced run is
@@ -228,7 +230,14 @@ def count_pairs(texts: list[str], total: Counter) -> None:
 def _pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     total: Counter = Counter()
     for f in frames:
-        count_pairs([t or "" for t in f["text"]], total)
+        held, size = [], 0
+        for t in f["text"]:
+            held.append(t or "")
+            size += len(held[-1])
+            if size > PAIR_CHARS:
+                count_pairs(held, total)
+                held, size = [], 0
+        count_pairs(held, total)
     yield pd.DataFrame({"pair": objects(list(total)), "n": np.array(list(total.values()), dtype="int64")})
 
 
