@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
 #: bytes of rows that go to a Python worker at once
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 8 << 20
 
 
 def objects(values: list) -> pd.Series:
@@ -63,7 +62,6 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
 def give_back() -> None:
     import pyarrow as pa
 
-    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

@@ -339,7 +339,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> ToxicityMo
     keys = rows.select(key, "toxic")
     some = [keys.where(F.col("toxic") == c).orderBy(F.xxhash64(key), key).limit(per) for c in (1, 0)]
     picked = rows.join(F.broadcast(some[0].unionByName(some[1]).select(key).distinct()), key, "left_semi")
-    seen = picked.select("text", "toxic").mapInPandas(_summaries(model), "toxic int, x array<double>").orderBy("toxic", "x").collect()
+    seen = picked.select("text", "toxic").mapInPandas(_summaries(model), "toxic int, x array<double>").collect()
+    # at most CALIBRATION_ROWS; in one order, so that sums don't depend on the order of arrival
+    seen.sort(key=lambda r: (r.toxic, r.x))
     model.beta = _fit(np.array([r.x for r in seen]), np.array([float(r.toxic) for r in seen]))
     return model
 
