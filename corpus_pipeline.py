@@ -36,7 +36,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages go; a document of which only white space is left goes with them, one that was empty before stays."""
-    left = line_chunks.dedup_lines(docs.select(*COLUMNS))
+    # n_chars is counted anew; with it both joins of the operator would not read the same exchange of texts
+    left = line_chunks.dedup_lines(docs.select(*[c for c in COLUMNS if c != "n_chars"]))
     emptied = (F.col("n_removed") > 0) & (F.trim(F.translate("text", "\n\t\r", "   ")) == "")
     return _columns(left.where(~F.coalesce(emptied, F.lit(False))))
 

@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# fixed values: the names of the views
 VIEWS = ("all", "alerts", "unconfirmed", "analysis", "review", "dismissed")
 
 
