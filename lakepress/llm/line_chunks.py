@@ -273,8 +273,9 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         return _kept_bytes(f[[text, at]].set_axis(["text", "kept"], axis=1) for f in frames)
 
     # both joins read the same exchange of whole rows by their hash, so texts are shuffled once
-    bodies = base.join(kept, row).mapInPandas(tidy(bodies_of), BODIES).dropDuplicates(["d1", "d2"])
-    bodies = bodies.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)))
+    bodies = base.join(kept, row).mapInPandas(tidy(bodies_of), BODIES).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)))
+    # one exchange serves the repeated rows' bodies and the join
+    bodies = bodies.dropDuplicates(["d1", "d2", "part"])
     copies = marked.where("not stays").groupBy("row", "d1", "d2", F.pmod(F.xxhash64("row"), F.col("splits")).cast("int").alias("part")).agg(F.collect_set("line").alias("lines"))
     repeats = copies.join(bodies, ["d1", "d2", "part"]).groupBy(F.col("row").alias(row)).agg(F.collect_list(F.struct("lines", "before", "body", "after")).alias(more))
 
