@@ -8,7 +8,9 @@ collected_at, relevant, status, resolved_hash.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakepress.functions.urls import domain, is_blocked
@@ -28,8 +30,11 @@ def _entry(relevant: Column, is_body: Column) -> tuple[Column, Column]:
     return fetch, F.when(relevant, "new").otherwise("irrelevant")
 
 
-def ingest(items: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(articles after the batch, report by source).
+Lookup = Callable[[DataFrame], DataFrame]
+
+
+def ingest_changes(items: DataFrame, urls: Lookup, headlines: Lookup, load: Lookup) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(new and changed articles, headline keys now taken, report by source) of a batch; the rest of the store isn't read.
 
     ``items``: pos (global order of arrival), url, url_hash, headline,
     headline_key, text, is_body, source, source_domain, collected_at, blocked,
@@ -38,39 +43,40 @@ def ingest(items: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
     earlier, which lend their body to an article that lacks one; the rest is
     stored. A later copy's body makes its article new again unless that is
     irrelevant or a duplicate.
+
+    ``urls`` maps (url_hash) to those stored, ``headlines`` maps (headline_key)
+    to the stored (headline_key, article_id), ``load`` maps (article_id) to
+    articles. Items are judged without their texts, by the least position of
+    an address or key, so that a very common one is summed up where it lies.
     """
-    live = items.where(~F.col("blocked"))
-    known_urls = stored.select("url_hash").distinct().withColumn("__u", F.lit(True))
-    by_url = Window.partitionBy("url_hash").orderBy("pos")
-    tagged = (
-        live.withColumn("__nth", F.row_number().over(by_url))
-        .join(known_urls, "url_hash", "left")
-        .withColumn("dup_url", F.col("__u").isNotNull() | (F.col("__nth") > 1))
-    )
-    tagged = spill(tagged, "tagged")
-    fresh = tagged.where(~F.col("dup_url")).drop("__nth", "__u")
-    # of equal keys the stored one counts first, then the earliest item
-    stored_key = stored.where("headline_key is not null").groupBy("headline_key").agg(F.min_by(F.struct("article_id", F.col("body").isNotNull().alias("full")), F.struct("collected_at", "article_id")).alias("__s"))
-    # items without a key never meet
-    keyed = fresh.where("headline_key is not null").join(stored_key, "headline_key", "left")
-    by_key = Window.partitionBy("headline_key").orderBy("pos")
-    keyed = keyed.withColumn("__nth", F.row_number().over(by_key)).withColumn("dup_headline", F.col("__s").isNotNull() | (F.col("__nth") > 1))
-    none = fresh.where("headline_key is null").withColumn("__s", F.lit(None).cast(keyed.schema["__s"].dataType)).withColumn("__nth", F.lit(1)).withColumn("dup_headline", F.lit(False))
-    judged = spill(keyed.unionByName(none), "judged")
-    # the first body among the later copies of a key
-    donors = judged.where("dup_headline and is_body").groupBy("headline_key").agg(F.min_by(F.struct("pos", "text"), "pos").alias("__d"))
-    new = judged.where("not dup_headline").join(donors, "headline_key", "left")
+    live = items.where(~F.col("blocked")).select("pos", "url_hash", "headline_key", "is_body", "relevant", "source")
+    first = live.groupBy("url_hash").agg(F.min("pos").alias("__first"))
+    known = first.join(urls(first.select("url_hash")).select("url_hash").distinct().withColumn("__u", F.lit(True)), "url_hash", "left")
+    tagged = spill(live.join(known, "url_hash").withColumn("dup_url", F.col("__u").isNotNull() | (F.col("pos") > F.col("__first"))).drop("__u", "__first"), "tagged")
+    fresh = tagged.where(~F.col("dup_url"))
+    # of equal keys the stored one counts first, then the earliest item; items without a key never meet
+    met = spill(fresh.where("headline_key is not null").groupBy("headline_key").agg(F.min("pos").alias("__first"), F.min(F.when(F.col("is_body"), F.col("pos"))).alias("__lends")), "keys")
+    stored = headlines(met.select("headline_key")).select("headline_key", F.col("article_id").alias("__stored"))
+    keys = met.join(stored, "headline_key", "left")
+    twice = F.col("headline_key").isNotNull() & (F.col("__stored").isNotNull() | (F.col("pos") > F.col("__first")))
+    judged = spill(fresh.join(keys, "headline_key", "left").withColumn("dup_headline", twice), "judged")
+    # an article without a body takes the first one that comes under its key
+    new = judged.where("not dup_headline").select("pos", F.when(~F.col("is_body"), F.col("__lends")).alias("__lends"))
+    # of a stored article, loaded only where something is lent to it
+    lent = spill(judged.where("dup_headline and __stored is not null and __lends = pos").select("pos", F.col("__stored").alias("article_id")), "lent")
+    old = load(lent.select("article_id")).where("body is null")
+    texts = items.select("pos", F.col("text").alias("__text"))
+    taken = F.col("__lends").isNotNull()
     fetch, status = _entry(F.col("relevant"), F.col("is_body"))
-    lent = ~F.col("is_body") & F.col("__d").isNotNull()
-    rows = new.select(
+    rows = items.join(new, "pos").join(texts.withColumnRenamed("pos", "__lends"), "__lends", "left").select(
         F.concat(F.lit("a_"), "url_hash").alias("article_id"),
         "url",
         "url_hash",
         "headline",
         "headline_key",
-        F.when(F.col("is_body"), F.col("text")).when(lent, F.col("__d.text")).alias("body"),
+        F.when(F.col("is_body"), F.col("text")).when(taken, F.col("__text")).alias("body"),
         F.when(~F.col("is_body") & (F.coalesce("text", F.lit("")) != ""), F.col("text")).alias("feed_text"),
-        F.when(lent, "ok").otherwise(fetch).alias("fetch_status"),
+        F.when(taken, "ok").otherwise(fetch).alias("fetch_status"),
         F.lit(0).alias("fetch_attempts"),
         F.lit(None).cast("string").alias("fetch_error"),
         "source",
@@ -80,12 +86,10 @@ def ingest(items: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
         status.alias("status"),
         F.lit(None).cast("string").alias("resolved_hash"),
     )
-    old_donors = judged.where("dup_headline and is_body and __s is not null and not __s.full").groupBy(F.col("__s.article_id").alias("article_id")).agg(F.min_by("text", "pos").alias("__body"))
-    after = attach_bodies(stored, old_donors).unionByName(rows)
-    lent_to_new = new.where(lent).select(F.col("__d.pos").alias("pos"))
-    lent_to_old = judged.where("dup_headline and is_body and __s is not null and not __s.full").groupBy("__s.article_id").agg(F.min("pos").alias("pos")).select("pos")
-    upgraded = lent_to_new.unionByName(lent_to_old).withColumn("__up", F.lit(True))
-    flags = items.select("pos", "source", "blocked").join(tagged.select("pos", "dup_url"), "pos", "left").join(judged.select("pos", "dup_headline", "relevant", "is_body"), "pos", "left").join(upgraded, "pos", "left")
+    upgraded = attach_bodies(old, lent.join(texts, "pos").select("article_id", F.col("__text").alias("__body")))
+    changed = spill(rows.unionByName(upgraded), "changed")
+    marks = new.where(taken).select(F.col("__lends").alias("pos")).unionByName(lent.join(old.select("article_id"), "article_id", "left_semi").select("pos")).withColumn("__up", F.lit(True))
+    flags = items.select("pos", "source", "blocked").join(tagged.select("pos", "dup_url"), "pos", "left").join(judged.select("pos", "dup_headline", "relevant", "is_body"), "pos", "left").join(marks, "pos", "left")
     n = lambda c: F.coalesce(F.sum(F.coalesce(c, F.lit(False)).cast("long")), F.lit(0))
     stored_now = ~F.col("dup_headline")
     report = flags.groupBy("source").agg(
@@ -98,7 +102,15 @@ def ingest(items: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
         n(stored_now & F.col("relevant")).alias("relevant"),
         n(stored_now & F.col("relevant") & F.col("is_body")).alias("with_body"),
     )
-    return after, report
+    own = judged.where("not dup_headline and headline_key is not null").select("headline_key", F.concat(F.lit("a_"), "url_hash").alias("article_id"))
+    return changed, own, report
+
+
+def ingest(items: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(articles after the batch, report by source), of a store that is one table; see ``ingest_changes``."""
+    first = stored.where("headline_key is not null").groupBy("headline_key").agg(F.min_by("article_id", F.struct("collected_at", "article_id")).alias("article_id"))
+    changed, _, report = ingest_changes(items, lambda _: stored, lambda _: first, lambda ids: stored.join(ids.distinct(), "article_id", "left_semi"))
+    return stored.join(changed.select("article_id"), "article_id", "left_anti").select(*changed.columns).unionByName(changed), report
 
 
 def attach_bodies(articles: DataFrame, bodies: DataFrame) -> DataFrame:
@@ -109,6 +121,7 @@ def attach_bodies(articles: DataFrame, bodies: DataFrame) -> DataFrame:
     return (
         j.withColumn("body", F.when(F.col("__take"), F.col("__body")).otherwise(F.col("body")))
         .withColumn("fetch_status", F.when(F.col("__take"), "ok").otherwise(F.col("fetch_status")))
+        .withColumn("fetch_error", F.when(~F.col("__take"), F.col("fetch_error")))
         .withColumn("status", F.when(F.col("__take") & ~final, "new").otherwise(F.col("status")))
         .select(*cols)
     )
@@ -117,7 +130,8 @@ def attach_bodies(articles: DataFrame, bodies: DataFrame) -> DataFrame:
 def expire(articles: DataFrame, now: Column, minutes: int = 60) -> DataFrame:
     """Pending articles collected strictly before the deadline fail; they stay and are classified as headlines."""
     late = (F.col("fetch_status") == "pending") & (F.col("collected_at") < now - F.expr(f"interval {minutes} minutes"))
-    return articles.withColumn("fetch_status", F.when(late, "failed").otherwise(F.col("fetch_status")))
+    why = F.when(late, F.coalesce("fetch_error", F.lit("not fetched in time"))).otherwise(F.col("fetch_error"))
+    return articles.withColumn("fetch_error", why).withColumn("fetch_status", F.when(late, "failed").otherwise(F.col("fetch_status")))
 
 
 def record_failures(articles: DataFrame, failures: DataFrame, most: int = ATTEMPTS) -> DataFrame:

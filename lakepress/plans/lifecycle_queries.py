@@ -46,7 +46,7 @@ def _stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 _KEY = f"CASE WHEN length({NORM.format('headline')}) - length(replace({NORM.format('headline')}, ' ', '')) >= 3 THEN {NORM.format('headline')} END"
-_ITEMS = (
+ITEMS_SQL = (
     f"WITH {ART}, items AS (SELECT doc_id AS pos, 'https://' || source_domain || '/a/' || (doc_id * 3 % 613) AS url, {_KEY} AS k, coalesce(length(body) >= 1000, false) AS is_body, body, source, collected_at, "
     "(source_domain = 'example.net' OR ends_with(source_domain, '.example.net') OR source_domain = 'src5.example.org') AS blocked, doc_id % 9 <> 0 AS relevant FROM art), "
     # one pass over everything: what is first overall is first in its half or stored by the half before
@@ -56,7 +56,7 @@ _ITEMS = (
 
 
 @R.add(
-    f"{_ITEMS}, up AS (SELECT min(x.pos) AS pos FROM f a JOIN f x ON x.k = a.k AND x.rk > 1 AND x.is_body AND x.pos >= 400 WHERE a.rk = 1 AND NOT a.is_body "
+    f"{ITEMS_SQL}, up AS (SELECT min(x.pos) AS pos FROM f a JOIN f x ON x.k = a.k AND x.rk > 1 AND x.is_body AND x.pos >= 400 WHERE a.rk = 1 AND NOT a.is_body "
     "AND (a.pos >= 400 OR NOT EXISTS (SELECT 1 FROM f y WHERE y.k = a.k AND y.rk > 1 AND y.is_body AND y.pos < 400)) GROUP BY a.k) "
     "SELECT i.source, count(*) AS fetched, sum(i.blocked::INT)::BIGINT AS blocked, coalesce(sum((u.ru > 1)::INT), 0)::BIGINT AS dup_url, coalesce(sum((f.rk > 1)::INT), 0)::BIGINT AS dup_headline, count(up.pos) AS upgraded, coalesce(sum((f.rk = 1)::INT), 0)::BIGINT AS new, "
     "coalesce(sum((f.rk = 1 AND i.relevant)::INT), 0)::BIGINT AS relevant, coalesce(sum((f.rk = 1 AND i.relevant AND i.is_body)::INT), 0)::BIGINT AS with_body FROM items i LEFT JOIN u ON u.pos = i.pos LEFT JOIN f ON f.pos = i.pos LEFT JOIN up ON up.pos = i.pos WHERE i.pos >= 400 GROUP BY i.source"
@@ -68,7 +68,7 @@ def ingest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.add(
-    f"{_ITEMS}, d AS (SELECT k, arg_min(body, pos) AS lent FROM f WHERE rk > 1 AND is_body GROUP BY k) SELECT substr(sha1(f.url), 1, 16) AS url_hash, f.k AS headline_key, coalesce(CASE WHEN f.is_body THEN length(f.body) ELSE length(d.lent) END, -1)::INT AS body_chars, "
+    f"{ITEMS_SQL}, d AS (SELECT k, arg_min(body, pos) AS lent FROM f WHERE rk > 1 AND is_body GROUP BY k) SELECT substr(sha1(f.url), 1, 16) AS url_hash, f.k AS headline_key, coalesce(CASE WHEN f.is_body THEN length(f.body) ELSE length(d.lent) END, -1)::INT AS body_chars, "
     "CASE WHEN f.is_body OR d.lent IS NOT NULL THEN CASE WHEN f.relevant OR d.lent IS NOT NULL AND NOT f.is_body THEN 'ok' ELSE 'skipped' END WHEN f.relevant THEN 'pending' ELSE 'skipped' END AS fetch_status, CASE WHEN f.relevant THEN 'new' ELSE 'irrelevant' END AS status FROM f LEFT JOIN d ON d.k = f.k WHERE f.rk = 1"
 )
 def ingest_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +86,7 @@ def ingest_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.add(
-    f"{_ITEMS}, d AS (SELECT DISTINCT k FROM f WHERE rk > 1 AND is_body AND pos < 400) SELECT substr(sha1(f.url), 1, 16) AS url_hash, "
+    f"{ITEMS_SQL}, d AS (SELECT DISTINCT k FROM f WHERE rk > 1 AND is_body AND pos < 400) SELECT substr(sha1(f.url), 1, 16) AS url_hash, "
     "CASE WHEN NOT f.is_body AND d.k IS NOT NULL THEN 'ok' WHEN NOT f.relevant THEN 'skipped' WHEN f.is_body THEN 'ok' WHEN f.collected_at < TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 60 MINUTE THEN 'failed' ELSE 'pending' END AS fetch_status "
     "FROM f LEFT JOIN d ON d.k = f.k WHERE f.rk = 1 AND f.pos < 400"
 )

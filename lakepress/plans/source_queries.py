@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from lakepress.functions import text as T
 from lakepress.operators import lifecycle as L
 from lakepress.operators import metrics as M
-from lakepress.plans.lifecycle_queries import arrivals
-from lakepress.plans.registry import Registry
-from lakepress.plans.workdir import shared_dir
+from lakepress.plans.lifecycle_queries import ITEMS_SQL, arrivals
+from lakepress.plans.registry import MODEL, Registry
+from lakepress.plans.workdir import shared_dir, spill
 from lakepress.sources import mapped as S
 from lakepress.sources import tables as X
 from lakepress.streaming import cycle as C
+from lakepress.streaming import store as ST
+from lakepress.streaming import timers as TM
 
 R = Registry()
 
@@ -53,19 +55,17 @@ def fold_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.add(
-    "SELECT * FROM (VALUES ('wire', 'https://wire.example.org/rss', 'rss', true), ('search_storm_surge', 'https://search.example.org?q=storm+surge', 'search', true), "
-    "('search_flood', 'https://search.example.org?q=flood', 'search', true), ('outlet', 'https://outlet.example.org/feed', 'rss', false)) t(name, url, kind, gate)"
+    "SELECT CASE WHEN q IS NULL THEN source ELSE source || '_' || q || '_news' END AS name, 'https://' || source || '.example.org' || CASE WHEN q IS NULL THEN '' ELSE '?q=' || upper(q) || '+news' END AS url, CASE WHEN q IS NULL THEN 'rss' ELSE 'search' END AS kind, source <> 'src1' AS gate "
+    "FROM (SELECT DISTINCT source, CASE WHEN source <> 'src2' THEN lang END AS q FROM documents)"
 )
 def source_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The source catalogue, an entry with queries spread out."""
-    return X.source_list(
-        spark,
-        [
-            {"name": "wire", "url": "https://wire.example.org/rss"},
-            {"name": "search", "url": "https://search.example.org", "kind": "search", "queries": ["Storm surge", "flood"]},
-            {"name": "outlet", "url": "https://outlet.example.org/feed", "gate": False},
-        ],
-    ).withColumn("url", F.lower("url"))
+    """A catalogue of the documents' sources, each with a search for every language but one that is read as it is."""
+    d = S.table(spark, sf_dir, "documents")
+    asks = F.array_sort(F.collect_set(F.concat(F.upper("lang"), F.lit(" news"))))
+    entries = d.groupBy(F.col("source").alias("name")).agg(asks.alias("asks")).select(
+        "name", F.concat(F.lit("https://"), "name", F.lit(".example.org")).alias("url"), F.when(F.col("name") == "src2", "rss").otherwise("search").alias("kind"), (F.col("name") != "src1").alias("gate"), F.when(F.col("name") != "src2", F.col("asks")).alias("queries")
+    )
+    return X.catalogue(entries)
 
 
 @R.add("SELECT o_custkey AS id, max(o_orderkey) AS line, arg_max(o_orderstatus, o_orderkey) AS answer FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 2 = 0 GROUP BY o_custkey")
@@ -92,24 +92,70 @@ def resumed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.missing_runs(plan, done).unionByName(again)
 
 
-@R.add("SELECT key, allowed, until FROM (VALUES ('free', 10, NULL), ('limited now', 10, TIMESTAMP '2024-01-20 01:00:00'), ('paused', 0, TIMESTAMP '2024-01-20 00:30:00'), ('over', 10, TIMESTAMP '2024-01-19 23:00:00')) t(key, allowed, until)")
+def _decided(spark: SparkSession, sf_dir: str, make) -> DataFrame:
+    """What ``make`` decides on a stream of all events, landed as files with times to the millisecond; the watermark is ten minutes behind the last."""
+    landing, out, at = _folder(spark, "landing"), _folder(spark, "decided"), _folder(spark, "stream")
+    events = S.table(spark, sf_dir, "events").select("event_id", F.date_trunc("millisecond", F.col("ts").cast("timestamp")).alias("ts"), "user_id", "event_type")
+    events.write.parquet(landing)
+    stream = make(spark.readStream.schema(events.schema).parquet(landing).withWatermark("ts", "10 minutes"))
+    TM.to_table(stream, out, at).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+_MARK = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM ev)"
+_EV = "ev AS (SELECT * REPLACE (date_trunc('milliseconds', ts) AS ts) FROM events)"
+
+
+@R.add(
+    f"WITH RECURSIVE {_EV}, asked AS (SELECT user_id, ts, count(*) AS n, bool_or(event_type = 'error') AS limited, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS nth FROM ev GROUP BY user_id, ts), "
+    "step AS (SELECT user_id, ts, n, true AS allowed, CASE WHEN limited THEN ts + INTERVAL 60 MINUTE END AS until, nth FROM asked WHERE nth = 1 "
+    "UNION ALL SELECT a.user_id, a.ts, a.n, s.until IS NULL OR s.until <= a.ts, CASE WHEN s.until > a.ts THEN s.until WHEN a.limited THEN a.ts + INTERVAL 60 MINUTE END, a.nth FROM step s JOIN asked a ON a.user_id = s.user_id AND a.nth = s.nth + 1) "
+    f"SELECT user_id, ts, n, allowed, until FROM step WHERE ts < {_MARK}"
+)
 def cool_downs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What may run now, and until when a limit pauses it; the state is a table, so it outlives a restart."""
-    store = C.Store(spark, _folder(spark, "state"), {"pauses": "key string, limited boolean, until timestamp"})
-    rows = spark.sql("SELECT * FROM VALUES ('free', false, null), ('limited now', true, null), ('paused', false, timestamp'2024-01-20 00:30:00'), ('over', false, timestamp'2024-01-19 23:00:00') AS t(key, limited, until)")
-    store.write("pauses", rows)
-    store.commit()
-    again = C.Store(spark, store.root, store.schemas)
-    return C.cool_down(again.read("pauses"), F.lit("2024-01-20 00:00:00").cast("timestamp"), 10)
+    """Whether a user may ask, and until when a limit that was met pauses them; keyed state and timers over all events."""
+    return _decided(spark, sf_dir, lambda e: TM.cool_downs(e, "user_id", "ts", F.col("event_type") == "error", 60))
+
 
+@R.add(
+    f"WITH {_EV} SELECT e.user_id, e.event_id, e.ts AS opened, coalesce(min(s.ts), e.ts + INTERVAL 6 HOUR) AS closed, CASE WHEN min(s.ts) IS NULL THEN 'expired' ELSE 'settled' END AS outcome "
+    "FROM ev e LEFT JOIN ev s ON s.user_id = e.user_id AND s.event_type = 'purchase' AND s.ts >= e.ts AND s.ts < e.ts + INTERVAL 6 HOUR "
+    f"WHERE e.event_type = 'view' AND e.ts + INTERVAL 6 HOUR < {_MARK} GROUP BY e.user_id, e.event_id, e.ts"
+)
+def pending_deadlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What waits is settled by its user's next purchase or expires at its deadline; keyed state and timers over all events."""
+    return _decided(spark, sf_dir, lambda e: TM.deadlines(e, "user_id", "event_id", "ts", F.col("event_type") == "view", F.col("event_type") == "purchase", 360))
 
-@R.add("SELECT * FROM (VALUES (1, 'a', true), (2, 'b', false), (3, 'a', true), (4, 'b', true)) t(turn, owner, got)")
+
+@R.add(
+    f"WITH RECURSIVE {_EV}, asked AS (SELECT user_id, event_id, ts, event_type AS owner, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth FROM ev), "
+    "step AS (SELECT user_id, event_id, ts, owner, true AS got, owner AS holder, ts + INTERVAL 12 HOUR AS until, nth FROM asked WHERE nth = 1 "
+    "UNION ALL SELECT a.user_id, a.event_id, a.ts, a.owner, s.until <= a.ts OR s.holder = a.owner, CASE WHEN s.until <= a.ts OR s.holder = a.owner THEN a.owner ELSE s.holder END, "
+    "CASE WHEN s.until <= a.ts OR s.holder = a.owner THEN a.ts + INTERVAL 12 HOUR ELSE s.until END, a.nth FROM step s JOIN asked a ON a.user_id = s.user_id AND a.nth = s.nth + 1) "
+    f"SELECT user_id, event_id, ts, owner, got FROM step WHERE ts < {_MARK}"
+)
 def leases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two owners ask in turn; a lease is renewed by its owner and passes on when it has run out."""
-    store, at = C.Store(spark, _folder(spark, "leases"), C.SCHEMAS), lambda h: F.lit(f"2024-01-20 {h:02d}:00:00").cast("timestamp")
-    asked = [(1, "a", 1, 5), (2, "b", 2, 6), (3, "a", 4, 8), (4, "b", 8, 9)]
-    got = [(n, owner, C.Store(spark, store.root, C.SCHEMAS).lease("cycle", owner, at(now), at(until))) for n, owner, now, until in asked]
-    return spark.createDataFrame(got, "turn int, owner string, got boolean")
+    """Who asks for a lease gets it when it is free, run out or their own; keyed state over all events."""
+    return _decided(spark, sf_dir, lambda e: TM.leases(e, "user_id", "event_id", "ts", F.col("event_type"), 720))
+
+
+@R.add(
+    "SELECT 3::BIGINT AS version, doc_id, doc_id % 2 = 0 AS high, CASE WHEN doc_id % 5 = 0 THEN doc_id % 10 = 0 ELSE false END AS not_relevant FROM documents"
+)
+def store_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews written by version 1 and brought up, newer ones put over some of them."""
+    root, ids = _folder(spark, "versions"), S.table(spark, sf_dir, "documents").select("doc_id")
+    label = F.when(F.col("doc_id") % 2 == 0, "High").otherwise("Low").alias("label")
+    schemas = {"reviews": "article_id bigint, label string"}
+    old = ST.Store(spark, root, schemas, keys={"reviews": "article_id"}, version=1)
+    old.add("reviews", ids.select(F.col("doc_id").alias("article_id"), label))
+    old.commit()
+    newer = {"reviews": "article_id bigint, label string, note string, not_relevant boolean"}
+    store = ST.Store(spark, root, newer, keys=old.keys, version=3, steps={3: lambda s: s.write("reviews", s.read("reviews").fillna(False, ["not_relevant"]))})
+    some = ids.where("doc_id % 5 = 0").select(F.col("doc_id").alias("article_id"), label, F.lit(None).cast("string").alias("note"), (F.col("doc_id") % 10 == 0).alias("not_relevant"))
+    store.add("reviews", some)
+    store.commit()
+    return store.read("reviews").select(F.lit(store.stored_version).cast("bigint").alias("version"), F.col("article_id").alias("doc_id"), (F.col("label") == "High").alias("high"), "not_relevant")
 
 
 @R.add(
@@ -121,8 +167,37 @@ def cycle_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = lambda df: df.select("article_id", F.lit("x").alias("label"), F.lit(0.5).alias("confidence"))
     for n, scorer in ((1, good), (2, lambda df: df.select("no such column"))):
         # each cycle starts from what is stored
-        C.run_cycle(C.Store(spark, root, C.SCHEMAS), arrivals(spark, sf_dir), scorer, now, n)
-    return C.Store(spark, root, C.SCHEMAS).read("runs").select(F.col("run_id").cast("int").alias("run_id"), "stage", "ok")
+        C.run_cycle(C.open_store(spark, root), arrivals(spark, sf_dir), scorer, now, n)
+    return C.open_store(spark, root).read("runs").select(F.col("run_id").cast("int").alias("run_id"), "stage", "ok")
+
+
+_BATCHES, _SAME_URL = 4, 613
+
+
+@R.add(
+    ITEMS_SQL.replace("SELECT doc_id AS pos,", f"SELECT (doc_id % {_SAME_URL}) * {_BATCHES} // {_SAME_URL} * 1099511627776 + doc_id AS pos,")
+    + ", d AS (SELECT k, arg_min(body, pos) AS lent FROM f WHERE rk > 1 AND is_body GROUP BY k), "
+    "g AS (SELECT f.*, CASE WHEN f.is_body THEN f.body ELSE d.lent END AS has, NOT f.is_body AND d.lent IS NOT NULL AS borrowed FROM f LEFT JOIN d ON d.k = f.k WHERE f.rk = 1), "
+    "h AS (SELECT *, CASE WHEN borrowed THEN 'ok' WHEN NOT relevant THEN 'skipped' WHEN is_body THEN 'ok' WHEN collected_at < TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 60 MINUTE THEN 'failed' ELSE 'pending' END AS fetched FROM g) "
+    "SELECT substr(sha1(url), 1, 16) AS url_hash, k AS headline_key, coalesce(length(has), -1)::INT AS body_chars, fetched AS fetch_status, CASE WHEN NOT relevant THEN 'irrelevant' WHEN fetched = 'pending' THEN 'new' ELSE 'classified' END AS status, "
+    "CASE WHEN relevant AND fetched <> 'pending' THEN CASE WHEN has IS NULL THEN 'headline' ELSE 'body' END END AS label, relevant AND fetched = 'pending' AS waiting FROM h"
+)
+def live_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The store after cycles of ingest, expiry and classification, each of which writes what it changes."""
+    root, now = _folder(spark, "live"), F.lit("2024-01-20 00:00:00").cast("timestamp")
+    # copies of an address come in one batch
+    turn = F.floor(F.pmod("pos", F.lit(_SAME_URL)) * _BATCHES / _SAME_URL).cast("bigint")
+    items = spill(arrivals(spark, sf_dir).withColumn("turn", turn).withColumn("pos", F.col("turn") * (1 << 40) + F.col("pos")), "arrivals")
+    scorer = lambda df: df.select("article_id", F.when(F.col("body").isNull(), "headline").otherwise("body").alias("label"), F.lit(0.5).alias("confidence"))
+    for n in range(_BATCHES):
+        report = C.run_cycle(C.open_store(spark, root), items.where(F.col("turn") == n).drop("turn"), scorer, now, n, strict=True, owner="query")
+        if failed := [r.detail for r in report.collect() if not r.ok]:
+            raise RuntimeError(failed[0])
+    store = C.open_store(spark, root)
+    waiting = store.read("waiting", ["article_id"]).withColumn("waiting", F.lit(True))
+    return store.read("articles").join(store.read("predictions").select("article_id", "label"), "article_id", "left").join(waiting, "article_id", "left").select(
+        "url_hash", "headline_key", F.coalesce(F.length("body"), F.lit(-1)).alias("body_chars"), "fetch_status", "status", "label", F.coalesce("waiting", F.lit(False)).alias("waiting")
+    )
 
 
 @R.add()
@@ -133,10 +208,13 @@ def bootstrap_switch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return won.select(F.lit(rows.count()).alias("n"), (F.col("p_better") >= M.SWITCH).alias("switch"))
 
 
-@R.add("SELECT * FROM (VALUES ('Alpha', 0, 'Main'), ('Beta', 1, 'Main'), ('Gamma', 2, 'Side'), ('Delta', 3, 'Side'), ('Other', 4, 'Other')) t(label, id, collapsed)")
+@R.add(
+    MODEL + "SELECT t.label, t.id, t.collapsed, count(f.doc_id) AS n FROM (VALUES ('Alpha', 0, 'Main'), ('Beta', 1, 'Main'), ('Gamma', 2, 'Side'), ('Delta', 3, 'Side'), ('Other', 4, 'Other')) t(label, id, collapsed) LEFT JOIN flags f ON f.narrative = t.label GROUP BY ALL"
+)
 def taxonomy_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels, their ids and collapsed classes as a table."""
-    return S.taxonomy(spark)
+    """Labels, their ids and collapsed classes, and how many predictions fall into each."""
+    n = S.predictions(spark, sf_dir).groupBy(F.col("narrative").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    return S.taxonomy(spark).join(n, "label", "left").select("label", "id", "collapsed", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @R.add(

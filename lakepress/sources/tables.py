@@ -131,14 +131,19 @@ def parse_feeds(feeds: DataFrame, most: int = 200, body_chars: int = T.BODY_CHAR
     )
 
 
-def source_list(spark: SparkSession, entries: list[dict]) -> DataFrame:
-    """The source catalogue: an entry with queries becomes one source a query; equal names raise."""
-    rows = []
-    for e in entries:
-        for q in e.get("queries") or [None]:
-            name = e["name"] if q is None else f"{e['name']}_{'_'.join(q.lower().split())}"
-            rows.append((name, e["url"] if q is None else f"{e['url']}?q={q.replace(' ', '+')}", e.get("kind", "rss"), bool(e.get("gate", True))))
-    names = [r[0] for r in rows]
-    if len(set(names)) < len(names):
+def catalogue(entries: DataFrame) -> DataFrame:
+    """Sources (name, url, kind, gate, queries): an entry with queries becomes one source a query; equal names raise."""
+    each = entries.select("name", "url", "kind", "gate", F.explode_outer("queries").alias("q"))
+    asked = F.col("q").isNotNull()
+    name = F.when(asked, F.concat("name", F.lit("_"), F.array_join(F.split(F.trim(F.lower("q")), r"\s+"), "_"))).otherwise(F.col("name"))
+    url = F.when(asked, F.concat("url", F.lit("?q="), F.replace("q", F.lit(" "), F.lit("+")))).otherwise(F.col("url"))
+    out = each.select(name.alias("name"), url.alias("url"), "kind", "gate")
+    if out.groupBy("name").count().where("count > 1").limit(1).count():
         raise ValueError("source names are not unique")
-    return spark.createDataFrame(rows, "name string, url string, kind string, gate boolean")
+    return out
+
+
+def source_list(spark: SparkSession, entries: list[dict]) -> DataFrame:
+    """The catalogue of entries from a configuration."""
+    rows = [(e["name"], e["url"], e.get("kind", "rss"), bool(e.get("gate", True)), e.get("queries") or None) for e in entries]
+    return catalogue(spark.createDataFrame(rows, "name string, url string, kind string, gate boolean, queries array<string>"))

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import json
 import time
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,156 +10,128 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lakepress.operators import lifecycle as L
+from lakepress.plans.workdir import spill
+from lakepress.streaming.store import Store
 
 Scorer = Callable[[DataFrame], DataFrame]
 
 
-class Store:
-    """State tables as Parquet versions in one folder, named by numbered commits.
-
-    A stage writes whole versions first; ``commit`` then creates the next
-    commit file, which lists the version of every table, and creating it fails
-    if another writer took that number. So a process that dies leaves the last
-    complete state, a restarted one reads it back, and of two writers that
-    started from the same state one loses. Versions that none of the last
-    ``keep`` commits names are deleted.
-    """
-
-    def __init__(self, spark: SparkSession, root: str, schemas: dict[str, str], keep: int = 8):
-        self.spark, self.root, self.schemas, self.keep = spark, root.rstrip("/"), schemas, keep
-        self.pending: dict[str, str] = {}
-        self.refresh()
-
-    def _path(self, at: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{at}")
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
-
-    def _load(self, number: int) -> dict[str, str] | None:
-        """A commit's tables; None for one whose writer died halfway."""
-        fs, p = self._path(f"commits/{number:012d}")
-        if not fs.exists(p):
-            return None
-        stream = fs.open(p)
-        raw = bytes(stream.readAllBytes()).decode()
-        stream.close()
-        return json.loads(raw) if raw.endswith("\n") else None
-
-    def refresh(self) -> None:
-        """Take the newest whole commit as the state."""
-        fs, p = self._path("commits")
-        names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
-        numbers = sorted((int(n) for n in names if n.isdigit()), reverse=True)
-        self.number, self.at, self.pending = (numbers[0] if numbers else 0), {}, {}
-        for n in numbers:
-            if (found := self._load(n)) is not None:
-                self.at = found
-                break
-
-    def read(self, name: str) -> DataFrame:
-        at = self.pending.get(name) or self.at.get(name)
-        if at:
-            return self.spark.read.schema(self.schemas[name]).parquet(f"{self.root}/{at}")
-        return self.spark.createDataFrame([], self.schemas[name])
-
-    def write(self, name: str, rows: DataFrame) -> None:
-        """A new version of a table; nobody else sees it before ``commit``."""
-        at = f"{name}/{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.root}/{at}")
-        self.pending[name] = at
-
-    def commit(self) -> None:
-        if not self.pending:
-            return
-        fs, p = self._path(f"commits/{self.number + 1:012d}")
-        tables = {**self.at, **self.pending}
-        out = fs.create(p, False)  # raises where another writer was first
-        out.write(bytearray((json.dumps(tables) + "\n").encode()))
-        out.close()
-        self.number, self.at, self.pending = self.number + 1, tables, {}
-        self._clean()
-
-    def _clean(self) -> None:
-        """Drop commits before the last ``keep``, and versions that no remaining commit names."""
-        fs, folder = self._path("commits")
-        numbers = sorted(int(n) for f in fs.listStatus(folder) if (n := f.getPath().getName()).isdigit())
-        old, live = numbers[: -self.keep], numbers[-self.keep :]
-        named = {x for n in live for x in (self._load(n) or {}).values()}
-        for n in old:
-            for x in set((self._load(n) or {}).values()) - named:
-                fs.delete(self._path(x)[1], True)
-            fs.delete(self._path(f"commits/{n:012d}")[1], False)
-
-    def lease(self, name: str, owner: str, now: Column, until: Column) -> bool:
-        """Whether ``owner`` has the lease now; of two that ask at once, one gets it."""
-        self.refresh()
-        after = L.take_lease(self.read("leases"), name, owner, now, until)
-        self.write("leases", after)
-        try:
-            self.commit()
-        except Exception:  # noqa: BLE001 - another writer took the commit, and perhaps the lease
-            self.refresh()
-        return bool(self.read("leases").where((F.col("name") == name) & (F.col("owner") == owner) & (F.col("until") > now)).limit(1).count())
-
-
 SCHEMAS = {
     "articles": L.ARTICLE_SCHEMA,
+    # the article that holds a headline key
+    "headlines": "headline_key string, article_id string",
+    # relevant articles that are not classified yet
+    "waiting": "article_id string, fetch_status string, collected_at timestamp",
     "predictions": "article_id string, label string, confidence double",
     "explanations": "article_id string, status string",
+    "reviews": "review_id bigint, article_id string, label string, not_relevant boolean",
     "runs": "run_id bigint, stage string, ok boolean, detail string",
     "leases": "name string, owner string, until timestamp",
 }
+KEYS = {"articles": "article_id", "headlines": "headline_key", "waiting": "article_id", "predictions": "article_id", "explanations": "article_id"}
+VERSION = 3
 
 
-def run_cycle(store: Store, items: DataFrame, scorer: Scorer, now: Column, run_id: int = 0, strict: bool = False) -> DataFrame:
-    """ingest, expire, classify; a stage that fails is reported and the rest run. Returns the report.
+def _dismissals(store: Store) -> None:
+    """Version 3: reviews say whether an article is off the subject; older ones don't say so."""
+    store.write("reviews", store.read("reviews").fillna(False, ["not_relevant"]))
 
-    A stage's tables are committed together or not at all. With ``strict`` a
-    failed ingest is raised once the report is stored: its items are not stored
-    yet, and the caller must offer them again.
-    """
-    report: list[tuple[int, str, bool, str | None]] = []
-    failed: dict[str, Exception] = {}
 
-    def ingest() -> None:
-        after, _ = L.ingest(items, store.read("articles"))
-        store.write("articles", after)
+#: version 2 added columns that are null in older rows, so nothing is rewritten for it
+STEPS = {3: _dismissals}
 
-    def expire() -> None:
-        store.write("articles", L.expire(store.read("articles"), now))
 
-    def classify() -> None:
-        new = scorer(L.to_classify(store.read("articles")))
-        done = L.save_predictions(store.read("articles"), store.read("predictions"), store.read("explanations"), new)
-        for name, rows in zip(("predictions", "explanations", "articles"), (done[1], done[2], done[0]), strict=True):
-            store.write(name, rows)
+def open_store(spark: SparkSession, root: str, **more) -> Store:
+    """The live store of this version; an older one is brought up, a newer one raises."""
+    return Store(spark, root, SCHEMAS, keys=KEYS, version=VERSION, steps=STEPS, **more)
 
-    for name, work in (("ingest", ingest), ("expire", expire), ("classify", classify)):
-        try:
-            work()
-            store.commit()
-            report.append((run_id, name, True, None))
-        except Exception as e:  # noqa: BLE001 - one dead stage must not stop the others
-            store.refresh()
-            failed[name] = e
-            report.append((run_id, name, False, f"{type(e).__name__}: {e}"[:300]))
-    rows = store.spark.createDataFrame(report, SCHEMAS["runs"])
-    store.write("runs", store.read("runs").unionByName(rows))
-    store.commit()
+
+def _queue(articles: DataFrame) -> DataFrame:
+    return articles.where((F.col("status") == "new") & F.col("relevant")).select("article_id", "fetch_status", "collected_at")
+
+
+def _ingest(store: Store, items: DataFrame) -> None:
+    urls = lambda some: store.lookup("articles", some.select(F.concat(F.lit("a_"), "url_hash").alias("article_id")), ["url_hash"])
+    changed, keys, _ = L.ingest_changes(items, urls, lambda some: store.lookup("headlines", some), lambda some: store.lookup("articles", some))
+    store.add("articles", changed)
+    store.add("headlines", keys)
+    store.add("waiting", _queue(changed))
+
+
+def _expire(store: Store, now: Column) -> None:
+    """Deadlines are looked up among what waits."""
+    waiting = store.read("waiting")
+    late = spill(waiting.join(L.expire(waiting.withColumn("fetch_error", F.lit(None).cast("string")), now).where("fetch_status = 'failed'").select("article_id"), "article_id", "left_semi").where("fetch_status = 'pending'"), "late")
+    store.add("articles", L.expire(store.lookup("articles", late.select("article_id")), now))
+    store.add("waiting", late.withColumn("fetch_status", F.lit("failed")))
+
+
+def _classify(store: Store, scorer: Scorer) -> None:
+    ready = spill(store.read("waiting").where("fetch_status <> 'pending'").select("article_id"), "ready")
+    articles = store.lookup("articles", ready)
+    new = spill(scorer(L.to_classify(articles)), "scored")
+    done = new.select("article_id")
+    store.add("predictions", new)
+    store.remove("explanations", done.join(store.read("explanations", ["article_id"]), "article_id", "left_semi"))
+    store.add("articles", articles.join(done, "article_id", "left_semi").withColumn("status", F.lit("classified")))
+    store.remove("waiting", done)
+
+
+def run_cycle(store: Store, items: DataFrame, scorer: Scorer, now: Column, run_id: int = 0, strict: bool = False, owner: str | None = None, minutes: int = 45) -> DataFrame:
+    """ingest, expire, classify; a stage that fails is reported and the rest run. Returns the report.
+
+    What a stage reads and writes grows with the batch and with what waits, not
+    with the store. A stage's tables are committed together or not at all. With
+    ``strict`` a failed ingest is raised once the report is stored: its items
+    are not stored yet, and the caller must offer them again. With an ``owner``
+    the lease on cycles is held for ``minutes`` at most; where another has it,
+    nothing runs and the report says so and is not stored.
+    """
+    if owner is not None and not store.lease("cycle", owner, now, now + F.expr(f"interval {minutes} minutes")):
+        return store.spark.createDataFrame([(run_id, "cycle", False, "another cycle is running")], SCHEMAS["runs"])
+    report: list[tuple[int, str, bool, str | None]] = []
+    failed: dict[str, Exception] = {}
+    try:
+        for name, work in (("ingest", lambda: _ingest(store, items)), ("expire", lambda: _expire(store, now)), ("classify", lambda: _classify(store, scorer))):
+            try:
+                work()
+                store.commit()
+                report.append((run_id, name, True, None))
+            except Exception as e:  # noqa: BLE001 - one dead stage must not stop the others
+                store.refresh()
+                failed[name] = e
+                report.append((run_id, name, False, f"{type(e).__name__}: {e}"[:300]))
+        rows = store.spark.createDataFrame(report, SCHEMAS["runs"])
+        store.add("runs", rows)
+        store.commit()
+    finally:
+        if owner is not None:
+            store.release("cycle", owner)
     if strict and "ingest" in failed:
         raise failed["ingest"]
     return rows
 
 
-def stream_cycles(stream: DataFrame, store: Store, scorer: Scorer, now: Column, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """A cycle for each micro-batch; without ``every`` what is there now is worked off and the query ends.
+def stream_cycles(stream: DataFrame, store: Store, scorer: Scorer, now: Column, checkpoint: str, every: str | None = None, owner: str | None = None) -> StreamingQuery:
+    """A cycle for each micro-batch; without ``every`` what is there now is worked off and the query ends, which is a run on demand.
 
-    A failed ingest fails the micro-batch, so its items come again after a
-    restart; ingest stores nothing twice.
+    A failed ingest, or a cycle that another owner's lease kept from running,
+    fails the micro-batch, so its items come again after a restart; ingest
+    stores nothing twice.
     """
-    out = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, n: run_cycle(store, batch, scorer, now, n, strict=True))
+
+    def one(batch: DataFrame, n: int) -> None:
+        if run_cycle(store, batch, scorer, now, n, strict=True, owner=owner).where("stage = 'cycle'").limit(1).count():
+            raise Busy("another cycle is running")
+
+    out = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(one)
     return (out.trigger(processingTime=every) if every else out.trigger(availableNow=True)).start()
 
 
+class Busy(Exception):
+    """Another cycle holds the lease."""
+
+
 class ModelDown(Exception):
     """The explaining model can't be reached."""
 
@@ -181,16 +151,10 @@ def explain_waiting(store: Store, waiting: DataFrame, explainer: Scorer, most: i
         some = ids[start : start + at_once]
         try:
             new = explainer(waiting.where(F.col("article_id").isin(some)))
-            store.write("explanations", store.read("explanations").join(new.select("article_id"), "article_id", "left_anti").unionByName(new))
+            store.add("explanations", new)
             store.commit()
         except ModelDown as e:
             store.refresh()
             return done, f"model down: {e}"
         done += len(some)
     return done, None
-
-
-def cool_down(state: DataFrame, now: Column, budget: int, minutes: int = 60) -> DataFrame:
-    """(key, allowed, until): whether a rate-limited step may run; a limit met now pauses it."""
-    until = F.when(F.col("limited"), now + F.expr(f"interval {minutes} minutes")).otherwise(F.col("until"))
-    return state.select("key", F.when(F.coalesce(F.col("until") > now, F.lit(False)), 0).otherwise(budget).alias("allowed"), until.alias("until"))

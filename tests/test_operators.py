@@ -189,7 +189,7 @@ def test_ingest_order_and_body_upgrade(spark):
 
 
 def test_cycle_and_stream(spark, tmp_path):
-    store = cycle.Store(spark, str(tmp_path / "store"), cycle.SCHEMAS)
+    store = cycle.open_store(spark, str(tmp_path / "store"))
     import datetime as dt
 
     t = dt.datetime(2024, 1, 1)
@@ -201,7 +201,7 @@ def test_cycle_and_stream(spark, tmp_path):
     q = cycle.stream_cycles(stream, store, scorer, F.lit("2024-01-02").cast("timestamp"), str(tmp_path / "cp"))
     q.awaitTermination(120)
     assert store.read("predictions").count() == 3
-    assert [r.status for r in store.read("articles").collect()] == ["classified"] * 3
+    assert [r.status for r in store.read("articles").collect()] == ["classified"] * 3 and store.read("waiting").count() == 0
     bad = cycle.run_cycle(store, items, lambda df: df.select("nothing"), F.lit("2024-01-02").cast("timestamp"), 9)
     assert {r.stage: r.ok for r in bad.collect()} == {"ingest": True, "expire": True, "classify": False}
 
@@ -212,14 +212,14 @@ def test_store_survives_restarts_and_other_writers(spark, tmp_path):
     root = str(tmp_path / "store")
     at = lambda h: F.lit(dt.datetime(2024, 1, 1, h))
     runs = lambda n: spark.createDataFrame([(n, "s", True, None)], cycle.SCHEMAS["runs"])
-    one = cycle.Store(spark, root, cycle.SCHEMAS, keep=2)
+    one = cycle.open_store(spark, root, keep=2)
     one.write("runs", runs(1))
-    assert cycle.Store(spark, root, cycle.SCHEMAS).read("runs").count() == 0  # not committed yet
+    assert cycle.open_store(spark, root).read("runs").count() == 0  # not committed yet
     one.commit()
-    two = cycle.Store(spark, root, cycle.SCHEMAS, keep=2)
+    two = cycle.open_store(spark, root, keep=2)
     assert two.read("runs").first().run_id == 1
     two.write("runs", runs(2))
-    one.write("runs", runs(3))
+    one.write("runs", runs(3))  # both from one state
     two.commit()
     with pytest.raises(Exception, match="exist"):
         one.commit()
@@ -227,12 +227,12 @@ def test_store_survives_restarts_and_other_writers(spark, tmp_path):
     assert one.read("runs").first().run_id == 2
     # a writer that died while committing leaves a torn file, which is skipped and whose number stays taken
     (tmp_path / "store" / "commits" / f"{3:012d}").write_text('{"runs"')
-    three = cycle.Store(spark, root, cycle.SCHEMAS, keep=2)
+    three = cycle.open_store(spark, root, keep=2)
     assert three.read("runs").first().run_id == 2
     for n in (4, 5, 6):
         three.write("runs", runs(n))
         three.commit()
-    assert cycle.Store(spark, root, cycle.SCHEMAS).read("runs").first().run_id == 6
+    assert cycle.open_store(spark, root).read("runs").first().run_id == 6
     assert len(list((tmp_path / "store" / "runs").iterdir())) < 6  # superseded versions are gone
     assert one.lease("cycle", "a", at(1), at(5)) and not two.lease("cycle", "b", at(2), at(6)) and two.lease("cycle", "b", at(5), at(9))
 
@@ -240,15 +240,15 @@ def test_store_survives_restarts_and_other_writers(spark, tmp_path):
 def test_a_failed_ingest_fails_the_micro_batch(spark, tmp_path):
     import datetime as dt
 
-    store = cycle.Store(spark, str(tmp_path / "store"), cycle.SCHEMAS)
+    store = cycle.open_store(spark, str(tmp_path / "store"))
     items = _items(spark, [(1, "u", "h", "A", "k", "full", True, "pub", "d", dt.datetime(2024, 1, 1), False, True)])
     with pytest.raises(Exception, match="url_hash"):
         cycle.run_cycle(store, items.drop("url_hash"), lambda df: df.select("nothing"), F.lit("2024-01-02").cast("timestamp"), 1, strict=True)
-    assert {r.stage: r.ok for r in cycle.Store(spark, str(tmp_path / "store"), cycle.SCHEMAS).read("runs").collect()}["ingest"] is False
+    assert {r.stage: r.ok for r in cycle.open_store(spark, str(tmp_path / "store")).read("runs").collect()}["ingest"] is False
 
 
 def test_explaining_stops_at_the_budget_and_when_the_model_is_down(spark, tmp_path):
-    store = cycle.Store(spark, str(tmp_path / "store"), cycle.SCHEMAS)
+    store = cycle.open_store(spark, str(tmp_path / "store"))
     waiting = spark.createDataFrame([(f"a{i}",) for i in range(9)], "article_id string").orderBy("article_id")
     good = lambda df: df.select("article_id", F.lit("ok").alias("status"))
     ticks = iter([0, 1, 5, 12, 20])
@@ -260,7 +260,7 @@ def test_explaining_stops_at_the_budget_and_when_the_model_is_down(spark, tmp_pa
 
     rest = waiting.join(store.read("explanations"), "article_id", "left_anti").orderBy("article_id")
     assert cycle.explain_waiting(store, rest, down) == (0, "model down: no answer")
-    assert cycle.explain_waiting(store, rest, good) == (3, None) and cycle.Store(spark, store.root, cycle.SCHEMAS).read("explanations").count() == 9
+    assert cycle.explain_waiting(store, rest, good) == (3, None) and cycle.open_store(spark, store.root).read("explanations").count() == 9
 
 
 def test_version_stamps_and_blank_headlines(spark):
