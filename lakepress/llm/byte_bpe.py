@@ -5,9 +5,9 @@ own: of all neighbouring parts whose bytes together are a token, the pair of
 the least rank is joined first, of equal ranks the leftmost. Pairs wait in
 buckets, one for each merge rank, which hold the positions of their first
 parts in a linked list of parts. A bitmap marks the buckets that hold
-something, and a bitmap of its words marks those that aren't zero, up to a
-single word, so finding the first set bit of one word on each level gives the
-next rank. An entry whose pair has changed since is stale and passed over. A
+something, and a bitmap above it marks the words of the lower one that aren't
+zero, so finding the first set bit of one number on either level gives the next
+rank. An entry whose pair has changed since is stale and passed over. A
 match of n bytes costs O(n log n) whatever its length.
 
 Decoding joins the tokens' bytes, so the bytes of every text come back.
@@ -23,6 +23,7 @@ replaces.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
@@ -37,57 +38,48 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, S
 from lakepress.llm.frames import bounded, quoted, tidy, unused, without
 
 #: matches whose ids a worker remembers, and the longest of them; others are merged anew
-REMEMBERED, REMEMBERED_CHARS = 250_000, 64
-#: bits in a word of the bitmap, as a power of two
-WORD = 6
+REMEMBERED, REMEMBERED_CHARS = 300_000, 64
+#: bits in a word of the bitmap
+WORD = 256
+_BITS = [1 << i for i in range(WORD)]
 
 
 class RankQueue:
     """(rank, position) pairs, the least rank first and in it the least position."""
 
+    __slots__ = ("buckets", "top", "words")
+
     def __init__(self, n_ranks: int):
-        self.levels: list[list[int]] = []
-        words = n_ranks
-        while not self.levels or words > 1:
-            words = max(1, -(-words >> WORD))
-            self.levels.append([0] * words)
+        self.words = [0] * -(-n_ranks // WORD)
+        self.top = 0
         self.buckets: dict[int, list[int]] = {}
 
     def push(self, rank: int, at: int) -> None:
         held = self.buckets.get(rank)
-        if held is not None:
+        if held is None:
+            self.buckets[rank] = [at]
+            word = rank // WORD
+            self.words[word] |= _BITS[rank % WORD]
+            self.top |= 1 << word
+        else:
             heappush(held, at)
-            return
-        self.buckets[rank] = [at]
-        for level in self.levels:
-            word, bit = rank >> WORD, 1 << (rank & (1 << WORD) - 1)
-            before = level[word]
-            level[word] = before | bit
-            if before:
-                return
-            rank = word
 
     def pop(self) -> tuple[int, int] | None:
-        rank = 0
-        for level in reversed(self.levels):
-            word = level[rank]
-            if not word:
-                return None
-            rank = rank << WORD | (word & -word).bit_length() - 1
+        top = self.top
+        if not top:
+            return None
+        word = (top & -top).bit_length() - 1
+        bits = self.words[word]
+        bit = bits & -bits
+        rank = word * WORD + bit.bit_length() - 1
         held = self.buckets[rank]
-        at = heappop(held)
-        if not held:
-            del self.buckets[rank]
-            self._clear(rank)
-        return rank, at
-
-    def _clear(self, rank: int) -> None:
-        for level in self.levels:
-            word = rank >> WORD
-            level[word] &= ~(1 << (rank & (1 << WORD) - 1))
-            if level[word]:
-                return
-            rank = word
+        if len(held) > 1:
+            return rank, heappop(held)
+        del self.buckets[rank]
+        self.words[word] = bits ^ bit
+        if bits == bit:
+            self.top = top & top - 1
+        return rank, held[0]
 
 
 class Ranks:
@@ -101,6 +93,7 @@ class Ranks:
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.longest = max(map(len, self.ranks))
         self.split = regex.compile(pattern).findall
+        self.single = [self.ranks[bytes([b])] for b in range(256)]
         self.queue = RankQueue(max(self.tokens) + 1)
         self.known = _Known(self)
 
@@ -109,37 +102,39 @@ class Ranks:
         ranks, queue, n, longest = self.ranks, self.queue, len(piece), self.longest
         if (whole := ranks.get(piece)) is not None:
             return [whole]
+        part = list(map(self.single.__getitem__, piece))  # the id of the part that begins here
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pair = [-1] * n  # the rank of the pair whose first part begins here
-        for i in range(n - 1):
-            if (rank := ranks.get(piece[i : i + 2])) is not None:
-                pair[i] = rank
-                queue.push(rank, i)
-        while (top := queue.pop()) is not None:
+        # the rank of the pair whose first part begins here
+        pair = [ranks.get(piece[i : i + 2]) for i in range(n - 1)]
+        pair.append(None)
+        push, pop, find = queue.push, queue.pop, ranks.get
+        for i, rank in enumerate(pair):
+            if rank is not None:
+                push(rank, i)
+        while (top := pop()) is not None:
             rank, i = top
             if pair[i] != rank:
                 continue  # stale
             j = after[i]
             end = after[i] = after[j]
-            pair[j] = pair[i] = -1
+            part[i], pair[i], pair[j] = rank, None, None
             if end < n:
                 before[end] = i
-                if after[end] - i <= longest and (rank := ranks.get(piece[i : after[end]])) is not None:
+                if (last := after[end]) - i <= longest and (rank := find(piece[i:last])) is not None:
                     pair[i] = rank
-                    queue.push(rank, i)
+                    push(rank, i)
             if (b := before[i]) >= 0:
-                pair[b] = -1
-                if end - b <= longest and (rank := ranks.get(piece[b:end])) is not None:
-                    pair[b] = rank
-                    queue.push(rank, b)
+                pair[b] = rank = find(piece[b:end]) if end - b <= longest else None
+                if rank is not None:
+                    push(rank, b)
         ids, i = [], 0
         while i < n:
-            ids.append(ranks[piece[i : after[i]]])
+            ids.append(part[i])
             i = after[i]
         return ids
 
     def encode(self, text: str) -> bytes:
-        """Little-endian 32-bit ids."""
+        """32-bit ids."""
         return b"".join(map(self.known.__getitem__, self.split(text)))
 
     def decode(self, ids: list) -> bytes | None:
@@ -150,16 +145,19 @@ class Ranks:
 
 
 class _Known(dict):
-    """Ids of matches, merged when first asked for."""
+    """Ids of matches, merged when first asked for; of two generations the older is forgotten when the younger is full."""
 
     def __init__(self, ranks: Ranks):
         super().__init__()
-        self.ranks = ranks
+        self.ranks, self.older = ranks, {}
 
     def __missing__(self, match: str) -> bytes:
-        ids = np.array(self.ranks.merge(match.encode()), dtype="<i4").tobytes()
+        ids = self.older.get(match)
+        if ids is None:
+            ids = array("i", self.ranks.merge(match.encode())).tobytes()
         if len(match) <= REMEMBERED_CHARS:
             if len(self) >= REMEMBERED:
+                self.older = dict(self)
                 self.clear()
             self[match] = ids
         return ids
@@ -193,7 +191,7 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN,
         ranks = vocabulary(path, pattern)
         coded = [None if t is None else ranks.encode(t) for t in texts.to_pylist()]
         ends = np.cumsum([0, *[len(c or b"") // 4 for c in coded]], dtype=np.int64)
-        values = pa.array(np.frombuffer(b"".join(c for c in coded if c), dtype="<i4"))
+        values = pa.array(np.frombuffer(b"".join(c for c in coded if c), dtype="int32"))
         offsets = pa.array(ends.astype("int32"), mask=np.array([*[c is None for c in coded], False]))
         return pa.ListArray.from_arrays(offsets, values)
 
@@ -205,7 +203,11 @@ def decode(coded: DataFrame, path: str, ids: str = "token_ids", to: str = "decod
 
     def run(lists: pa.Array) -> pa.Array:
         ranks = vocabulary(path, public_tokenizers.PATTERN)
-        return pa.array([None if x is None else ranks.decode(x) for x in lists.to_pylist()], pa.binary())
+        # flat numbers and offsets: a list of Python lists would take ten times as long to make
+        flat = lists.values.to_numpy(zero_copy_only=False) if lists.values.null_count == 0 else lists.values.to_pylist()
+        at, there = lists.offsets.to_pylist(), lists.is_valid().to_pylist()
+        own = (flat[a:b] if ok else None for a, b, ok in zip(at[:-1], at[1:], there, strict=True))
+        return pa.array([None if x is None else ranks.decode(x.tolist() if isinstance(x, np.ndarray) else x) for x in own], pa.binary())
 
     return _with_result(coded, ids, to, BinaryType(), run)
 
