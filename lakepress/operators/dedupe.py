@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +16,8 @@ from lakepress.plans.workdir import spill
 #: similarity from which two headlines are near duplicates
 SIMILAR = 0.85
 GRAMS = (3, 4, 5)
+#: postings of a gram that a task joins with as many others at once
+POSTINGS = 1024
 
 
 def exact_groups(rows: DataFrame, key: str = "norm", order: str = "doc_id") -> DataFrame:
@@ -86,48 +93,121 @@ def distinct_texts(rows: DataFrame, key: str = "doc_id", text: str = "headline")
     return marked.select(key, "__t").join(texts.select("__t", "rep"), "__t").select(key, "rep"), texts.select("rep", "text", "copies")
 
 
-def _weighted(texts: DataFrame, n: int) -> DataFrame:
-    """(rep, gram, df, weight) of distinct texts; a gram's frequency counts their copies, of ``n`` rows in all."""
-    grams = texts.select("rep", "copies", F.explode(word_grams(F.col("text"))).alias("gram")).groupBy("rep", "gram").agg(F.count(F.lit(1)).alias("tf"), F.first("copies").alias("copies"))
-    df = grams.groupBy("gram").agg(F.sum("copies").alias("df"))
-    raw = grams.join(df, "gram").withColumn("w", (1 + F.log("tf")) * (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1))
-    norm = raw.groupBy("rep").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, "rep").select("rep", "gram", "df", (F.col("w") / F.col("norm")).alias("weight"))
+def _counted(texts: DataFrame) -> DataFrame:
+    """(rep, copies, grams, tf): each text's grams and how often they occur, as arrays of one length."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import regex
+
+        blank = regex.compile(r"\s+").split
+        for f in frames:
+            found = [_gram_counts(blank(t)) for t in f["text"]]
+            yield pd.DataFrame({"rep": f["rep"], "copies": f["copies"], "grams": [list(c) for c in found], "tf": [list(c.values()) for c in found]})
+
+    kind = texts.schema["rep"].dataType.simpleString()
+    return texts.select("rep", "copies", F.lower("text").alias("text")).mapInPandas(run, f"rep {kind}, copies bigint, grams array<string>, tf array<int>")
+
+
+def _gram_counts(words: list[str]) -> Counter:
+    """What ``word_grams`` gives, counted."""
+    out: Counter = Counter()
+    for word, times in Counter(words).items():
+        if word:
+            w = f" {word} "
+            for k, n in enumerate(GRAMS):
+                if k and len(w) <= GRAMS[k - 1]:
+                    break
+                for i in range(max(1, len(w) - n + 1)):
+                    out[w[i : i + n]] += times
+    return out
+
+
+def _raw(counted: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """((gram, df), (rep, gram, df, w)); a gram's frequency counts the copies of texts, of ``n`` rows in all."""
+    df = counted.select("copies", F.explode("grams").alias("gram")).groupBy("gram").agg(F.sum("copies").alias("df"))
+    flat = counted.select("rep", F.explode(F.arrays_zip("grams", "tf")).alias("x")).select("rep", F.col("x.grams").alias("gram"), F.col("x.tf").alias("tf"))
+    w = (1 + F.log("tf")) * (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1)
+    return df, flat.join(df, "gram").select("rep", "gram", "df", w.alias("w"))
 
 
 def tfidf(rows: DataFrame, key: str = "doc_id", text: str = "headline") -> DataFrame:
     """(key, gram, df, weight): 1 + ln tf, times ln((1 + N) / (1 + df)) + 1, scaled to length one."""
     members, texts = distinct_texts(rows, key, text)
-    return members.join(_weighted(texts, rows.count()), "rep").select(key, "gram", "df", "weight")
+    raw = _raw(_counted(texts), rows.count())[1]
+    norm = raw.groupBy("rep").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    weights = raw.join(norm, "rep").select("rep", "gram", "df", (F.col("w") / F.col("norm")).alias("weight"))
+    return members.join(weights, "rep").select(key, "gram", "df", "weight")
+
+
+def _vectors(weights: DataFrame, key: str) -> DataFrame:
+    """(key, ids, weights) of (key, gram, df, w): one row for each vector, of length one, its grams numbered from rare to frequent."""
+    vocabulary = number_in_order(weights.select("df", "gram").distinct(), ["df", "gram"], "id").select("gram", "id")
+    each = weights.join(vocabulary, "gram").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("id", "w"))).alias("x"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return each.select(key, F.col("x.id").alias("ids"), F.transform("x", lambda e: e["w"] / F.col("norm")).alias("weights"))
 
 
 def similar_pairs(w: DataFrame, least: float = SIMILAR, key: str = "doc_id") -> DataFrame:
-    """(a, b, cosine) of pairs from ``least`` on, by prefix filtering; ``w`` is read several times.
+    """(a, b, cosine) of pairs from ``least`` on, of vectors given as (key, gram, df, weight)."""
+    return similar_vectors(spill(_vectors(w.withColumnRenamed("weight", "w"), key), "vectors"), least, key)
+
+
+def similar_vectors(vectors: DataFrame, least: float = SIMILAR, key: str = "rep") -> DataFrame:
+    """(a, b, cosine) of pairs from ``least`` on, by prefix filtering; ``vectors`` (key, ids, weights) is read several times.
 
-    In each row grams are ordered from rare to frequent. A pair can reach the
-    threshold only if it shares a gram within the prefixes whose rests have a
-    squared length below its square, so candidates meet on prefix grams alone.
-    What they share there, and the lengths of what either has beyond the last
-    shared gram, bound the cosine; pairs that pass are compared whole.
+    A pair can reach the threshold only if it shares a gram within the prefixes
+    whose rests have a squared length below its square, so candidates meet on
+    prefix grams alone. What they share there, and the lengths of what either
+    has beyond the last shared gram, bound the cosine; pairs that pass are
+    compared whole, vector by vector. The postings of a gram that more than
+    ``POSTINGS`` prefixes hold are dealt into blocks, and each two blocks of it
+    meet in a task of their own.
     """
-    rare = Window.partitionBy(key).orderBy("df", "gram").rowsBetween(Window.unboundedPreceding, 0)
-    done = F.sum(F.col("weight") * F.col("weight")).over(rare)
-    length = lambda c: F.sqrt(F.greatest(1.0 - c, F.lit(0.0)))
-    cut = w.withColumn("done", done).where(length(F.col("done") - F.col("weight") * F.col("weight")) >= least - 1e-9)
-    prefix = spill(cut.select(key, "gram", "weight", length(F.col("done")).alias("after")), "prefix")
-    side = lambda name: prefix.select(F.col(key).alias(name), "gram", F.col("weight").alias(f"w{name}"), F.col("after").alias(f"after_{name}"))
-    shared = side("a").join(side("b"), "gram").where("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("s"), F.min(F.col("after_a") * F.col("after_b")).alias("rest"))
-    met = shared.where(F.col("s") + F.col("rest") >= least - 1e-6).select("a", "b")
-    p, q = w.select(F.col(key).alias("a"), "gram", F.col("weight").alias("wa")), w.select(F.col(key).alias("b"), "gram", F.col("weight").alias("wb"))
-    dots = met.join(p, "a").join(q, ["b", "gram"]).groupBy("a", "b").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 9).alias("cosine"))
-    return dots.where(F.col("cosine") >= least)
+    kind = vectors.schema[key].dataType.simpleString()
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            parts = []
+            for k, ids, weights in zip(f[key], f["ids"], f["weights"], strict=True):
+                left = np.sqrt(np.maximum(1.0 - np.concatenate(([0.0], np.cumsum(np.square(weights)))), 0.0))
+                m = int((left[:-1] >= least - 1e-9).sum())
+                parts.append(pd.DataFrame({"k": k, "id": ids[:m], "weight": weights[:m], "after": left[1 : m + 1]}))
+            if parts:
+                yield pd.concat(parts)
+
+    prefix = spill(vectors.mapInPandas(cut, f"k {kind}, id bigint, weight double, after double"), "prefix")
+    sizes = prefix.groupBy("id").agg(F.ceil(F.count(F.lit(1)) / POSTINGS).alias("blocks")).where("blocks > 1")
+    dealt = prefix.join(sizes, "id", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")))
+    # a block meets itself and those after it
+    others = lambda first, last: F.explode(F.sequence(first, last))
+    left = dealt.select(F.col("k").alias("a0"), "id", F.col("weight").alias("wa"), F.col("after").alias("ra"), F.col("block").alias("i"), others(F.col("block"), F.col("blocks") - 1).alias("j"))
+    right = dealt.select(F.col("k").alias("b0"), "id", F.col("weight").alias("wb"), F.col("after").alias("rb"), others(F.lit(0).cast("bigint"), F.col("block")).alias("i"), F.col("block").alias("j"))
+    met = left.join(right, ["id", "i", "j"]).where((F.col("a0") < F.col("b0")) | (F.col("i") < F.col("j")))
+    # without an order of the blocks' keys, a pair of two blocks comes once, in either order
+    bound = met.groupBy(F.least("a0", "b0").alias("a"), F.greatest("a0", "b0").alias("b")).agg(F.sum(F.col("wa") * F.col("wb")).alias("s"), F.min(F.col("ra") * F.col("rb")).alias("rest"))
+    close = bound.where(F.col("s") + F.col("rest") >= least - 1e-6).select("a", "b")
+    side = lambda name: vectors.select(F.col(key).alias(name), F.col("ids").alias(f"ids_{name}"), F.col("weights").alias(f"w_{name}"))
+
+    def dot(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            got = []
+            for x, u, y, v in zip(f["ids_a"], f["w_a"], f["ids_b"], f["w_b"], strict=True):
+                _, p, q = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+                got.append(float(u[p] @ v[q]))
+            out = pd.DataFrame({"a": f["a"], "b": f["b"], "cosine": np.round(got, 9)})
+            yield out[out["cosine"] >= least]
+
+    return close.join(side("a"), "a").join(side("b"), "b").mapInPandas(dot, f"a {kind}, b {kind}, cosine double")
+
+
+def _text_vectors(texts: DataFrame, n: int) -> DataFrame:
+    return spill(_vectors(spill(_raw(_counted(texts), n)[1], "weights"), "rep"), "vectors")
 
 
 def near_pairs(rows: DataFrame, least: float = SIMILAR, key: str = "doc_id", text: str = "headline") -> DataFrame:
     """(a, b, cosine) of all pairs of rows; equal texts are compared once and multiplied out at the end."""
     members, texts = distinct_texts(rows, key, text)
-    weights = spill(_weighted(texts, rows.count()), "weights")
-    pairs = similar_pairs(weights, least, "rep").unionByName(weights.select(F.col("rep").alias("a")).distinct().select("a", F.col("a").alias("b"), F.lit(1.0).alias("cosine")))
+    vectors = _text_vectors(texts, rows.count())
+    pairs = similar_vectors(vectors, least).unionByName(vectors.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("cosine")))
     x, y = members.select(F.col(key).alias("x"), F.col("rep").alias("a")), members.select(F.col(key).alias("y"), F.col("rep").alias("b"))
     every = pairs.join(x, "a").join(y, "b").where((F.col("a") != F.col("b")) | (F.col("x") < F.col("y")))
     return every.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "cosine")
@@ -141,9 +221,9 @@ def near_clusters(rows: DataFrame, least: float = SIMILAR, key: str = "doc_id",
     alone, copies included.
     """
     members, texts = distinct_texts(rows, key, text)
-    weights = spill(_weighted(texts, rows.count()), "weights")
-    cc = connected_components(similar_pairs(weights, least, "rep")).withColumnRenamed("node", "rep")
-    placed = members.join(weights.select("rep").distinct(), "rep").join(cc, "rep", "left").select(key, F.coalesce("component", "rep").alias("component"))
+    vectors = _text_vectors(texts, rows.count())
+    cc = connected_components(similar_vectors(vectors, least)).withColumnRenamed("node", "rep")
+    placed = members.join(vectors.select("rep"), "rep").join(cc, "rep", "left").select(key, F.coalesce("component", "rep").alias("component"))
     return rows.select(key).join(placed, key, "left").select(key, F.coalesce("component", key).alias("component"))
 
 

@@ -91,3 +91,34 @@ def test_feed_dates(spark):
 def test_has_body_is_blank_safe(spark):
     rows = spark.createDataFrame([("  \n",), (None,), ("x",)], "b string")
     assert [r.x for r in rows.select(T.has_body(F.col("b")).alias("x")).collect()] == [False, False, True]
+
+
+def test_terms_in_one_pass_equal_one_pattern_a_term(spark):
+    import random
+    import time
+
+    from lakepress.functions import keywords as K
+
+    rng = random.Random(4)
+    terms = ["storm", "storm surge", "surge", "STORM", "c++", "e-mail", "a a", "é", "straße", "sst", "k", "_x", "日本", "x.y", "(a)", "ﬁ", "i̇", "ω"]
+    glue = [" ", "  ", "-", "_", ".", "", "\n", "́", "‍", "Ⓐ", "٣", "é", "(", ")"]
+    texts = [None, "", "a a a a", "Storm SURGE storm_surge storm‍", "STRASSE straße STRAẞE", "K k ſst SST", "İ i̇ I", "Ω ω"] + ["".join(rng.choice([*terms, *map(str.upper, terms)]) + rng.choice(glue) for _ in range(rng.randrange(30))) for _ in range(400)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    single = [F.coalesce(F.regexp_count("text", F.lit(K.pattern(t))), F.lit(0)).alias(f"t{i}") for i, t in enumerate(terms)]
+    want = {r.id: {terms[i]: r[f"t{i}"] for i in range(len(terms)) if r[f"t{i}"]} for r in df.select("id", *single).collect()}
+    got = {r.id: {x["term"]: x["n"] for x in r.x} for r in df.select("id", K.term_counts(F.col("text"), {"g": terms}).alias("x")).collect()}
+    assert got == want
+    groups = {"one": terms[:5], "none": [], "two": terms[5:]}
+    for r in df.select("id", *K.counts(F.col("text"), groups), K.top_group(F.col("text"), groups).alias("top"), K.hits(F.col("text"), terms).alias("hits")).collect():
+        sums = {g: sum(want[r.id].get(t, 0) for t in ts) for g, ts in groups.items()}
+        assert (r.n_one, r.n_none, r.n_two) == tuple(sums.values()) and r.hits == [t for t in terms if t in want[r.id]]
+        assert r.top == (max(sums, key=sums.get) if any(sums.values()) else None)
+    # a hundred times the terms, about the same time
+    words = [f"w{i}" for i in range(1000)]
+    long = spark.range(400).select(F.repeat(F.concat(F.lit("some words of text and w"), F.col("id").cast("string"), F.lit(" ")), 400).alias("text")).cache()
+    took = []
+    for n in (10, 1000, 10, 1000):
+        began = time.time()
+        assert long.select(K.count(F.col("text"), words[:n]).alias("n")).agg(F.sum("n")).first()[0] == 400 * min(n, 400)
+        took.append(time.time() - began)
+    assert took[3] < 3 * took[2] + 1

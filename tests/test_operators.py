@@ -411,3 +411,36 @@ def test_entry_point(spark):
 
     assert e.entry(spark).count() >= 1
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_a_gram_in_every_headline_is_dealt_out(spark, monkeypatch):
+    import itertools
+    import random
+
+    from lakepress.operators import dedupe as D
+
+    monkeypatch.setattr(D, "POSTINGS", 16)
+    rng = random.Random(3)
+    # few grams that all share, so that a common one lies in every prefix
+    words = ["storm", "surge", "coast", "flood"]
+    rows = [(i, " ".join(["alert", *rng.choices(words, k=rng.randrange(1, 4))])) for i in range(150)] + [(200, "alert"), (201, "ALERT"), (202, ""), (203, None)]
+    df = spark.createDataFrame(rows, "doc_id int, headline string")
+    vec = {}
+    for r in D.tfidf(df).collect():
+        vec.setdefault(r.doc_id, {})[r.gram] = r.weight
+    want = {(a, b) for a, b in itertools.combinations(sorted(vec), 2) if round(sum(w * vec[b].get(g, 0.0) for g, w in vec[a].items()), 9) >= 0.85}
+    got = [(r.a, r.b) for r in D.near_pairs(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+
+
+def test_grams_counted_in_python_are_those_of_the_columns(spark):
+    import random
+    from collections import Counter
+
+    from lakepress.operators import dedupe as D
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("aB é\u0130\u03a3\x85\x1c\u2003\n日🎉", k=rng.randrange(25))) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "rep int, text string").withColumn("copies", F.lit(1).cast("bigint"))
+    want = {r.rep: Counter(r.g) for r in df.select("rep", D.word_grams(F.col("text")).alias("g")).collect()}
+    assert {r.rep: Counter(dict(zip(r.grams, r.tf, strict=True))) for r in D._counted(df).collect()} == want
