@@ -6,17 +6,23 @@ groups that look like cards, names after a title, a given name or a cue) are
 judged by labelers that may vote yes, no or abstain: a regular expression for
 the whole shape, gazetteers (given names, domain endings, card issuers), the
 words around the span in four languages, and check digits. Base spans are
-voted on too, as anchors. Counts of vote patterns over the whole corpus feed
-expectation-maximisation, which estimates each labeler's reliability and each
-kind's share of true candidates; no label is used.
+voted on too, as anchors, and so are look-alikes that fail a base pattern's
+check (part over 255, wrong check digit, wrong number of digits), which are
+known to be false and never come out. Counts of vote patterns over the whole
+corpus feed expectation-maximisation, which estimates each labeler's
+reliability and each kind's share of true candidates; no label is used.
 
 The posteriors are the targets of a final logistic span classifier. It does
 not see the votes: its features are the span's own characters (shape of its
 groups, length, check digits) and the words beside it, hashed into
 ``FEATURES`` weights, so it also judges what no labeler knows. It is fitted on
-at most ``SAMPLE_SPANS`` spans, chosen by hash; candidates that it accepts are
-added. Only counts of vote patterns, at most a few thousand whatever the
-input, and that sample reach the driver.
+at most ``SAMPLE_SPANS`` spans, chosen by hash, in which both outcomes of every
+kind weigh alike. It decides on candidates of the kinds of which the corpus has
+``LEAST_EACH`` at least on either side; with fewer there is nothing to learn
+their looks from, and the posterior decides. Accepted candidates are added.
+Only counts of vote patterns, a few hundred whatever the input, and that sample
+reach the driver. Written-out addresses have at most 64 characters before the
+at and 63 in a label, as addresses do.
 
 Defined results for odd input: a null text is an empty text without spans; an
 empty table gives no rows; repeated rows are scanned each on their own; other
@@ -108,7 +114,7 @@ _AT, _DOT = ("(at)", "[at]", "{at}", " at "), ("(dot)", "[dot]", "{dot}", " dot
 _LONG_IP = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+.\w-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.\x20]|00[1-9][0-9]{0,2}[-.\x20]?[0-9]{2,4}[-.\x20]?)[0-9]{3}[-.\x20]?[0-9]{4}(?![0-9\w])")
 _LOOSE_CARD = re.compile(r"(?<![0-9])[0-9]{4}(?:[./_][0-9]{4}){3}(?![0-9])")
-_CAPITAL = r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]{1,20}"
+_CAPITAL = r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+"
 _TITLE = r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra)"
 _TITLED = re.compile(rf"\b{_TITLE}\.?\x20{_CAPITAL}(?:\x20{_CAPITAL})?")
 _CALLED = re.compile(rf"(?:name is|m'appelle|me llamo|ich heiße|signed by)\x20({_CAPITAL}(?:\x20{_CAPITAL})?)")
@@ -139,6 +145,10 @@ AROUND = 30
 LABELERS = ("shape", "gazetteer", "context", "checksum")
 #: weights of the span classifier, and spans that it is fitted on
 FEATURES, SAMPLE_SPANS = 1024, 20_000
+#: candidates of a kind on either side from which on the classifier decides on them
+LEAST_EACH = 50
+#: spans that all kinds' reliabilities weigh against a kind's own
+SHARED = 20.0
 
 
 def _gazetteer(kind: int, word: str) -> str:
@@ -164,6 +174,8 @@ def vote(kind: int, text: str, start: int, stop: int) -> str:
     """One character a labeler: 1 yes, 0 no, - abstains."""
     word, before = text[start:stop], text[max(0, start - AROUND) : start]
     shape = "1" if _SHAPES[kind].fullmatch(word) else "0"
+    if kind == 0 and shape == "0" and (CUES.search(before) or re.match(r"\S*[0-9._]", word)):
+        shape = "-"  # at and dot as plain words: an address where something else speaks for it
     context = "1" if CUES.search(before) else "0" if COUNTER.search(before) else "-"
     return shape + _gazetteer(kind, word) + context + _checksum(kind, word)
 
@@ -175,7 +187,7 @@ _BESIDE = re.compile(r"\w+")
 def _outline(word: str) -> str:
     """The span's groups: digits by number, words by case, other characters as they are."""
     out = []
-    for g in _GROUP.findall(word[:200]):
+    for g in _GROUP.findall(word):
         out.append(f"9{len(g)}" if g[0].isdigit() else (("A" if g[0].isupper() else "a") + ("a" if g[1:].islower() else "A" if g[1:] else "")) if g[0].isalpha() else " " if g.isspace() else g)
     return "".join(out)
 
@@ -195,6 +207,19 @@ def span_features(kind: int, text: str, start: int, stop: int) -> list[int]:
     return sorted({zlib.crc32(f"{kind} {x}".encode("utf-8", "surrogatepass")) % FEATURES for x in own})
 
 
+def decoys(text: str) -> list[tuple[int, int, int]]:
+    """(kind, start, stop) of what looks like a base span and fails its check."""
+    out = []
+    if "." in text:
+        out += [(1, *m.span()) for m in _IP.finditer(text) if any(len(p.lstrip("0")) > 3 or int(p.lstrip("0") or 0) > 255 for p in m.group().split("."))]
+    for m in _CARD.finditer(text):
+        if m.end() - m.start() >= 13 and 13 <= len(digits := _NOT_DIGIT.sub("", m.group())) <= 19 and not luhn(digits):
+            out.append((2, *m.span()))
+    if "+" in text:
+        out += [(3, *m.span()) for m in _PHONE.finditer(text) if not 9 <= len(_NOT_DIGIT.sub("", m.group())) <= 15]
+    return out
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str]]:
     """(kind, start, stop, votes) of what the base patterns leave; no two overlap."""
     found: list[tuple[int, int, int]] = []
@@ -223,6 +248,10 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
 _FOUR = re.compile(r"[0-9]{4}")
 
 
+#: what a scanned span is: of a base pattern, a candidate, or a look-alike known to be false
+BASE, ADDED, FALSE = 0, 1, 2
+
+
 def _scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         rows = []
@@ -232,8 +261,9 @@ def _scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             more = candidates(text, base)
             listed = [f"{KINDS[k]}:{a}:{b}" for k, a, b in base]
             n = [sum(1 for k, _, _ in base if k == i) for i in range(4)]
-            judged = [(False, k, a, b, vote(k, text, a, b)) for k, a, b in base] + [(True, *c) for c in more]
-            spans = [{"kind": k, "start": a, "stop": b, "added": new, "votes": f"{k}{v}", "features": span_features(k, text, a, b)} for new, k, a, b, v in judged]
+            judged = [(BASE, k, a, b, vote(k, text, a, b) + "=") for k, a, b in base] + [(ADDED, *c) for c in more]
+            judged += [(FALSE, k, a, b, vote(k, text, a, b) + "!") for k, a, b in decoys(text)]
+            spans = [{"kind": k, "start": a, "stop": b, "state": state, "votes": f"{k}{v}", "features": span_features(k, text, a, b)} for state, k, a, b, v in judged]
             rows.append((doc_id, *n, hashlib.sha256(",".join(listed).encode()).hexdigest(), spans))
         yield pd.DataFrame(
             {
@@ -248,8 +278,11 @@ def _scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def reliabilities(patterns: dict[str, int], rounds: int = 50) -> tuple[dict[str, float], np.ndarray]:
     """Expectation-maximisation over pattern counts: (posterior of each pattern, reliability [labeler, truth, vote]).
 
-    A pattern is the kind's number and a vote of each labeler. Reliabilities
-    are shared by all kinds, the share of true candidates is each kind's own.
+    A pattern is the kind's number and a vote of each labeler, then ``=`` for a
+    base span and ``!`` for what is known to be false. A kind's reliabilities
+    are drawn to those of all kinds by ``SHARED`` spans' weight; those of all
+    are returned, of votes alone and so 1 for abstaining. The share of true
+    ones is a kind's own.
     """
     keys = sorted(patterns)
     if not keys:
@@ -260,51 +293,74 @@ def reliabilities(patterns: dict[str, int], rounds: int = 50) -> tuple[dict[str,
     weight = np.array([patterns[k] for k in keys], dtype=float)
     # a start from the votes: each yes raises, each no lowers
     score = (votes == 1).sum(1) - 1.5 * (votes == 0).sum(1)
-    post = 1 / (1 + np.exp(-score))
+    free = np.array([not k.endswith("!") for k in keys])
+    post = free / (1 + np.exp(-score))
+    # candidates have a share of true ones of their own, whatever base spans have
+    group = kind * 2 + np.array([k.endswith("=") for k in keys])
     for _ in range(rounds):
-        rel = np.empty((len(LABELERS), 2, 3))
+        rel, own = np.empty((len(LABELERS), 2, 3)), np.empty((len(KINDS), len(LABELERS), 2, 3))
         for j in range(len(LABELERS)):
             for truth in (0, 1):
                 share = weight * (post if truth else 1 - post)
-                counts = np.array([share[votes[:, j] == v].sum() for v in range(3)])
-                # prior counts: labelers are right more often than wrong
-                rel[j, truth] = (counts + np.array([1.0 + 3 * (truth == 0), 1.0 + 3 * (truth == 1), 2.0])) / (counts.sum() + 7)
-        prior = np.array([((weight * post)[kind == k].sum() + 1) / (weight[kind == k].sum() + 2) for k in range(len(KINDS))])[kind]
-        log1 = np.log(prior) + sum(np.log(rel[j, 1, votes[:, j]]) for j in range(len(LABELERS)))
-        log0 = np.log(1 - prior) + sum(np.log(rel[j, 0, votes[:, j]]) for j in range(len(LABELERS)))
-        post = 1 / (1 + np.exp(np.clip(log0 - log1, -50, 50)))
+                counts = np.array([[share[(votes[:, j] == v) & (kind == k)].sum() for v in range(3)] for k in range(len(KINDS))])
+                # prior counts: a labeler that votes is right nine times in ten; one that abstains says nothing
+                voted = counts[:, :2].sum(0) + np.array([1.0 + 8 * (truth == 0), 1.0 + 8 * (truth == 1)])
+                rel[j, truth, :2], rel[j, truth, 2] = voted / voted.sum(), 1.0
+                own[:, j, truth, :2] = (counts[:, :2] + SHARED * rel[j, truth, :2]) / (counts[:, :2].sum(1)[:, None] + SHARED)
+                own[:, j, truth, 2] = 1.0
+        # the share among those that aren't known to be false
+        prior = np.array([((weight * post)[group == g].sum() + LEAST_EACH / 2) / ((weight * free)[group == g].sum() + LEAST_EACH) for g in range(2 * len(KINDS))])[group]
+        log1 = np.log(prior) + sum(np.log(own[kind, j, 1, votes[:, j]]) for j in range(len(LABELERS)))
+        log0 = np.log(1 - prior) + sum(np.log(own[kind, j, 0, votes[:, j]]) for j in range(len(LABELERS)))
+        post = free / (1 + np.exp(np.clip(log0 - log1, -50, 50)))
     return dict(zip(keys, post.tolist(), strict=True)), rel
 
 
-def span_classifier(features: list[list[int]], target: list[float], rounds: int = 400, ridge: float = 1e-3) -> np.ndarray:
-    """Weights of a logistic regression on soft targets, by gradient steps scaled to each feature's frequency."""
+def span_classifier(features: list[list[int]], target: list[float], weight: list[float] | None = None, rounds: int = 400, ridge: float = 1e-3) -> np.ndarray:
+    """Weights of a logistic regression on soft targets, by gradient steps scaled to each feature's weighted frequency."""
     if not features:
         return np.zeros(FEATURES)
     row = np.repeat(np.arange(len(features)), [len(f) for f in features])
     col = np.concatenate([np.asarray(f, dtype=np.int64) for f in features])
-    y, beta = np.array(target), np.zeros(FEATURES)
-    often = np.bincount(col, minlength=FEATURES) + 1.0
+    y, beta, share = np.array(target), np.zeros(FEATURES), np.ones(len(features)) if weight is None else np.array(weight)
+    often = np.bincount(col, share[row], FEATURES) + 1.0
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.bincount(row, beta[col], len(features))))
-        beta += 0.4 * (np.bincount(col, (y - p)[row], FEATURES) / often - ridge * beta)
+        beta += 0.4 * (np.bincount(col, (share * (y - p))[row], FEATURES) / often - ridge * beta)
     return beta
 
 
 def find_pii(docs: DataFrame, threshold: float = 0.5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, counts of base kinds, base_sha256, and ``found``: an array of (kind, start, stop) by kind, then start."""
-    span = "struct<kind:int,start:int,stop:int,added:boolean,votes:string,features:array<int>>"
+    span = "struct<kind:int,start:int,stop:int,state:int,votes:string,features:array<int>>"
     schema = f"doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans array<{span}>"
     scanned = spill(bounded(docs).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInPandas(tidy(_scan), schema), "pii")
     each = scanned.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*")
-    post, _ = reliabilities({r.votes: r["count"] for r in each.groupBy("votes").count().collect()})
+    counted = each.groupBy("votes", "state").count().collect()
+    patterns: dict[str, int] = {}
+    for r in counted:
+        patterns[r.votes] = patterns.get(r.votes, 0) + r["count"]
+    post, _ = reliabilities(patterns)
+    sides = np.zeros((len(KINDS), 2))
+    for r in counted:
+        if r.state == ADDED:
+            sides[int(r.votes[0]), int(post[r.votes] >= 0.5)] += r["count"]
+    learned = [k for k in range(len(KINDS)) if sides[k].min() >= LEAST_EACH]
     turn = F.xxhash64("doc_id", "kind", "start", "votes")
-    sample = each.orderBy(turn, "votes", "features").select("votes", "features").limit(SAMPLE_SPANS).collect()
-    beta = span_classifier([r.features for r in sample], [post[r.votes] for r in sample])
+    sample = each.orderBy(turn, "votes", "features").select("kind", "votes", "features").limit(SAMPLE_SPANS).collect() if learned else []
+    share = np.zeros((len(KINDS), 2))
+    for r in sample:
+        share[r.kind, int(post[r.votes] >= 0.5)] += 1
+    even = [len(sample) / (2 * len(KINDS) * share[r.kind, int(post[r.votes] >= 0.5)]) for r in sample]
+    beta = span_classifier([r.features for r in sample], [post[r.votes] for r in sample], even)
     weights = F.split(F.lit(",".join(f"{x:.9g}" for x in beta)), ",").cast("array<double>")
     logit = lambda s: F.aggregate(s["features"], F.lit(0.0), lambda acc, k: acc + F.element_at(weights, k + 1))
-    taken = F.filter("spans", lambda s: ~s["added"] | (logit(s) >= math.log(threshold / (1 - threshold))))
+    least = math.log(threshold / (1 - threshold))
+    likely = F.array(*[F.lit(v) for v, p in sorted(post.items()) if p >= threshold]).cast("array<string>")
+    judged = lambda s: F.when(s["kind"].isin(learned), logit(s) >= least).otherwise(F.array_contains(likely, s["votes"])) if learned else F.array_contains(likely, s["votes"])
+    taken = F.filter("spans", lambda s: (s["state"] == BASE) | ((s["state"] == ADDED) & judged(s)))
     plain = F.transform(taken, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop")))
-    return scanned.withColumn("found", F.array_sort(plain)).drop("spans")
+    return scanned.withColumn("found", F.sort_array(plain)).drop("spans")
 
 
 def span_text(column: str = "found"):

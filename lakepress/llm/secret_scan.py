@@ -2,24 +2,30 @@
 
 Three patterns give the base spans. Further spans come from a log-likelihood
 ratio: two character Markov models, one of random strings and one of ordinary
-identifiers, judge every long token, and one that is far likelier under the
-first is reported as kind ``random``.
+identifiers, judge tokens, and one that is likelier under the first, by a
+margin a character and by ``LEAST_NATS`` as a whole, is reported as kind
+``random``. Judged are all tokens of 16 characters or more, and shorter ones
+from eight on that hold letters and digits; what has fewer than
+``KINDS_LEAST`` different characters (a ruler, a run of one digit) is never
+taken for random, so nothing shorter can be.
 
 The models are fitted on labelled samples. Random: values that the base
 patterns find in a bounded sample of the documents (``SAMPLE_ROWS``, by hash of
-the text), and strings drawn in six alphabets. Ordinary: long tokens of the
-same documents that hold no digit, identifiers put together from their words
-and from programmers' words, and numbers. A third of the samples, by hash, is
-held out of the fit; on it the margin is chosen by which the random model must
-win, ordinary strings weighing ``ORDINARY_WEIGHT`` times as much as they are
-that much more frequent. Held-out precision and recall come with the model.
+the text), and strings drawn in six alphabets. Ordinary: tokens of the same
+documents that hold no digit or fall into few groups of letters and digits;
+identifiers put together from their words and from programmers' words; names
+with versions, dates, product and article numbers, platforms, encodings, paths;
+and numbers. A fifth of the samples, by hash, is held out for the margin,
+which is never negative: an ordinary string weighs ``ORDINARY_WEIGHT`` times as
+much there, as they are that much more frequent. Another fifth takes no part in
+either, and precision and recall on it come with the model.
 
 Defined results for odd input: a null text is an empty text and has no spans;
 an empty table gives no rows; repeated rows are scanned each on their own;
 other columns pass through untouched, whatever their names, but for one called
 secret_spans in any case of letters, which the result's own replaces. Offsets
-count code points, ends are exclusive. A token of fewer than ``KINDS_LEAST``
-different characters (a ruler, a run of one digit) is never taken for random.
+count code points, ends are exclusive. A text of very many matches costs its
+length times the logarithm of their number.
 """
 
 from __future__ import annotations
@@ -40,8 +46,10 @@ HEX = r"[0-9a-f]{24,}"
 ASSIGN_MIN = 6
 
 #: tokens that the models judge, and the different characters that a random one holds at least
-TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=-])"
+TOKEN = r"(?<![A-Za-z0-9+/_=-])(?:[A-Za-z0-9+/_=-]{16,}|(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{8,15})(?![A-Za-z0-9+/_=-])"
 KINDS_LEAST = 8
+#: by how much a token must be likelier under the random model, in nats
+LEAST_NATS = 6.0
 KINDS = ("assign", "access", "hex", "random")
 
 FIRST, SPAN = 32, 95
@@ -50,7 +58,9 @@ SAMPLE_ROWS, SAMPLE_WORDS, SAMPLE_STRINGS = 2000, 3000, 4000
 #: what an ordinary string weighs on the held-out part against a random one
 ORDINARY_WEIGHT = 50
 #: margins that are tried, in nats a character
-MARGINS = tuple(round(0.05 * k, 2) for k in range(-10, 41))
+MARGINS = tuple(round(0.05 * k, 2) for k in range(41))
+#: letters and digits of a token that a group of either must have on average, for it to be structured and so ordinary
+GROUPED = 3.5
 #: matches that are located in one go
 BLOCK = 256
 
@@ -78,7 +88,7 @@ def _pick(words: list[str], salt: int) -> Column:
 
 
 def drawn_strings(spark: SparkSession, n: int = SAMPLE_STRINGS) -> DataFrame:
-    """(label, s): ``n`` random strings of 16 to 43 characters in six alphabets."""
+    """(label, s): ``n`` random strings of 10 to 43 characters in six alphabets."""
     i = F.col("id")
     raw = F.concat(F.sha2(F.concat(F.lit("sample-"), i.cast("string")), 256), F.sha2(F.concat(F.lit("again-"), i.cast("string")), 256))
     drawn = F.base64(F.unhex(raw))
@@ -91,7 +101,7 @@ def drawn_strings(spark: SparkSession, n: int = SAMPLE_STRINGS) -> DataFrame:
         .when(i % 6 == 4, F.translate(drawn, "+/=", "-_"))
         .otherwise(F.lower(bare))
     )
-    return spark.range(0, n, 1, 1).select(F.lit(1).alias("label"), F.substr(random, F.lit(1), (16 + F.pmod(i * 7, F.lit(28))).cast("int")).alias("s"))
+    return spark.range(0, n, 1, 1).select(F.lit(1).alias("label"), F.substr(random, F.lit(1), (10 + F.pmod(i * 7, F.lit(34))).cast("int")).alias("s"))
 
 
 def ordinary_strings(spark: SparkSession, words: list[str], n: int = SAMPLE_STRINGS) -> DataFrame:
@@ -105,12 +115,42 @@ def ordinary_strings(spark: SparkSession, words: list[str], n: int = SAMPLE_STRI
     if words:
         own = [_pick(words, k) for k in (5, 6, 7)]
         out = out.unionByName(base.select(F.lit(0).alias("label"), F.concat(_joined(own, style), number).alias("s")))
+    for vocabulary in ([], words) if words else ([],):
+        out = out.unionByName(base.select(F.lit(0).alias("label"), _structured(vocabulary).alias("s")))
     digits = F.translate(F.sha2(F.concat(F.lit("number-"), i.cast("string")), 256), "abcdef", "")
     return out.unionByName(spark.range(0, n // 4, 1, 1).select(F.lit(0).alias("label"), F.substr(digits, F.lit(1), (16 + i % 5).cast("int")).alias("s")))
 
 
+def _digits(k: int, salt: int) -> Column:
+    return F.lpad(F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(10**k)).cast("string"), k, "0")
+
+
+def _structured(words: list[str]) -> Column:
+    """What people write with digits in it: versions, dates, product numbers, platforms, encodings, paths."""
+    w = [_pick(words or [*VERBS, *NOUNS, *TAILS], salt) for salt in (11, 12, 13)]
+    sep = F.element_at(F.array(F.lit("-"), F.lit("_"), F.lit("/"), F.lit("-")), (F.pmod(F.xxhash64("id", F.lit(14)), F.lit(4)) + 1).cast("int"))
+    version = lambda at: F.concat(_digits(1, at), sep, _digits(2, at + 1), sep, _digits(1, at + 2))
+    day = F.date_format(F.date_add(F.lit("2000-01-01").cast("date"), F.pmod(F.xxhash64("id", F.lit(20)), F.lit(12000)).cast("int")), "yyyy-MM-dd")
+    clock = F.concat(F.lit("T"), _digits(2, 21), F.lit("-"), _digits(2, 22), F.lit("-"), _digits(2, 23), F.lit("Z"))
+    two = F.substr(w[2], F.lit(1), F.lit(2))
+    made = [
+        F.concat(w[0], _digits(1, 24), sep, w[1], sep, w[2]),
+        F.concat(w[0], sep, w[1], sep, version(25), sep, w[2]),
+        F.concat(day, clock, sep, w[0]),
+        F.concat(w[0], sep, F.translate(day, "-", ""), sep, _digits(6, 28)),
+        F.concat(F.upper(F.substr(w[0], F.lit(1), F.lit(4))), F.lit("-"), _digits(3, 29), F.lit("-"), _digits(1, 30), F.lit("-"), _digits(2, 31), F.lit("-"), _digits(6, 32), F.lit("-"), _digits(1, 33)),
+        F.concat(F.upper(F.substr(w[0], F.lit(1), F.lit(3))), sep, _digits(4, 34), sep, F.upper(two), sep, F.upper(w[1]), sep, _digits(4, 35)),
+        F.concat(F.substr(w[0], F.lit(1), F.lit(1)), _digits(2, 36), F.lit("_"), _digits(2, 37), F.lit("-"), w[1], F.lit("-"), w[2], F.lit("-"), F.substr(w[0], F.lit(1), F.lit(3))),
+        F.concat(F.substr(w[0], F.lit(1), F.lit(3)), _digits(1, 38), two, _digits(1, 39), F.lit("_"), w[1], F.lit("_"), _digits(3, 40), F.lit("_"), two),
+        F.concat(w[0], F.lit("/"), F.upper(F.substr(w[1], F.lit(1), F.lit(4))), F.lit("-"), _digits(4, 41), F.lit("-"), w[2], F.lit("-"), w[1]),
+        F.concat(F.initcap(w[0]), F.initcap(w[1]), _digits(2, 42), F.initcap(w[2]), F.lit("V"), _digits(1, 43)),
+    ]
+    turn = F.pmod(F.xxhash64("id", F.lit(44)), F.lit(len(made)))
+    return F.coalesce(*[F.when(turn == k, m) for k, m in enumerate(made)])
+
+
 def corpus_strings(docs: DataFrame, text: str = "text") -> tuple[DataFrame, list[str]]:
-    """((label, s) of sampled documents, their words): base values are random, long tokens without digits are ordinary."""
+    """((label, s) of sampled documents, their words): base values are random, tokens without digits or of few groups are ordinary."""
     n = docs.count()
     grid = 1 << 20
     share = int(min(1.0, SAMPLE_ROWS / max(n, 1)) * grid) + 1
@@ -123,7 +163,10 @@ def corpus_strings(docs: DataFrame, text: str = "text") -> tuple[DataFrame, list
         return found.orderBy(F.xxhash64("s"), "s").limit(SAMPLE_STRINGS).select(F.lit(label).alias("label"), "s")
 
     long = F.length("s") >= 16
-    labelled = strings(1, ASSIGN, 2, long & F.col("s").rlike("[0-9]")).unionByName(strings(1, HEX, 0, long)).unionByName(strings(1, ACCESS, 0, long)).unionByName(strings(0, TOKEN, 0, ~F.col("s").rlike("[0-9]")))
+    groups = F.regexp_count("s", F.lit("[A-Z]*[a-z]+|[A-Z]+|[0-9]+"))
+    based = F.col("s").rlike(HEX) | F.col("s").rlike(ACCESS)
+    plain = ~based & (~F.col("s").rlike("[0-9]") | (groups * GROUPED <= F.length(F.regexp_replace("s", "[^A-Za-z0-9]", ""))))
+    labelled = strings(1, ASSIGN, 2, long & F.col("s").rlike("[0-9]")).unionByName(strings(1, HEX, 0, long)).unionByName(strings(1, ACCESS, 0, long)).unionByName(strings(0, TOKEN, 0, plain))
     words = some.select(F.explode(F.regexp_extract_all("body", F.lit("[A-Za-z]{3,12}"), F.lit(0))).alias("w")).distinct().orderBy(F.xxhash64("w"), "w").limit(SAMPLE_WORDS)
     return labelled, sorted(r.w for r in words.collect())
 
@@ -150,7 +193,7 @@ def train_ratio(strings: DataFrame, smooth: float = 0.2) -> list[float]:
 
 
 class SecretModel(NamedTuple):
-    """Log-ratios of character pairs, the margin, and what it gives on held-out samples."""
+    """Log-ratios of character pairs, the margin, and what it gives on samples that neither was chosen by."""
 
     ratio: list[float]
     margin: float
@@ -163,28 +206,29 @@ def train(docs: DataFrame, text: str = "text") -> SecretModel:
     spark = docs.sparkSession
     own, words = corpus_strings(docs, text)
     strings = spill(own.unionByName(drawn_strings(spark)).unionByName(ordinary_strings(spark, words)).dropDuplicates(["s"]), "secret-strings")
-    out = F.pmod(F.xxhash64("s", F.lit(1)), F.lit(3)) == 0
-    ratio = train_ratio(strings.where(~out))
-    judged = strings.where(out & varied(F.col("s"))).select("label", mean_ratio(F.col("s"), ratio).alias("score"))
-    counts = judged.groupBy("label").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("score") > m).alias(f"m{k}") for k, m in enumerate(MARGINS)]).collect()
-    by = {r.label: r for r in counts}
-    if len(by) < 2:
+    part = F.pmod(F.xxhash64("s", F.lit(1)), F.lit(5))
+    ratio = train_ratio(strings.where(part > 1))
+    total = total_ratio(F.col("s"), ratio)
+    judged = strings.where((part < 2) & varied(F.col("s"))).select("label", part.alias("part"), F.when(total >= LEAST_NATS, total / (F.length("s") - 1)).otherwise(-1.0).alias("score"))
+    counts = judged.groupBy("part", "label").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("score") > m).alias(f"m{k}") for k, m in enumerate(MARGINS)]).collect()
+    by = {(r.part, r.label): r for r in counts}
+    if len(by) < 4:
         return SecretModel(ratio, MARGINS[-1], 0.0, 0.0)
     tries = []
-    for k, m in enumerate(MARGINS):
-        hit, wrong = by[1][f"m{k}"], by[0][f"m{k}"]
-        f1 = 2 * hit / (hit + by[1].n + ORDINARY_WEIGHT * wrong) if hit else 0.0
-        tries.append((f1, m, hit / (hit + wrong) if hit else 0.0, hit / by[1].n))
-    _, margin, precision, recall = max(tries)
-    return SecretModel(ratio, margin, precision, recall)
+    for k in range(len(MARGINS)):
+        hit, wrong = by[0, 1][f"m{k}"], by[0, 0][f"m{k}"]
+        tries.append((2 * hit / (hit + by[0, 1].n + ORDINARY_WEIGHT * wrong) if hit else 0.0, k))
+    best = max(tries)[1]
+    hit, wrong = by[1, 1][f"m{best}"], by[1, 0][f"m{best}"]
+    return SecretModel(ratio, MARGINS[best], hit / (hit + wrong) if hit else 0.0, hit / by[1, 1].n)
 
 
 def varied(token: Column) -> Column:
     return F.size(F.array_distinct(F.split(token, ""))) >= KINDS_LEAST
 
 
-def mean_ratio(token: Column, ratio: list[float]) -> Column:
-    """The token's log-likelihood ratio a character."""
+def total_ratio(token: Column, ratio: list[float]) -> Column:
+    """The token's log-likelihood ratio."""
     table = F.split(F.lit(",".join(f"{x:.6g}" for x in ratio)), ",").cast("array<double>")
     codes = F.transform(F.split(token, ""), lambda c: F.ascii(c) - FIRST)
     start = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum"))
@@ -193,7 +237,27 @@ def mean_ratio(token: Column, ratio: list[float]) -> Column:
         gain = F.when(acc["last"] < 0, F.lit(0.0)).otherwise(F.element_at(table, acc["last"] * SPAN + c + 1))
         return F.struct(c.alias("last"), (acc["sum"] + gain).alias("sum"))
 
-    return F.aggregate(F.filter(codes, lambda c: c >= 0), start, step)["sum"] / F.greatest(F.length(token) - 1, F.lit(1))
+    return F.aggregate(F.filter(codes, lambda c: c >= 0), start, step)["sum"]
+
+
+def is_random(token: Column, model: SecretModel) -> Column:
+    total = total_ratio(token, model.ratio)
+    return (total >= LEAST_NATS) & (total > model.margin * (F.length(token) - 1))
+
+
+def _meets(span: Column, others: Column) -> Column:
+    """Whether ``span`` overlaps one of ``others``, which lie in order and apart: the last that starts before its end is found by halving."""
+    halved = F.aggregate(
+        F.sequence(F.lit(0), F.ceil(F.log2(F.size(others) + 1.0)).cast("int")),
+        F.struct(F.lit(0).alias("low"), F.size(others).alias("high")),
+        lambda at, _: F.when(
+            at["low"] < at["high"],
+            F.when(F.get(others, F.shiftright(at["low"] + at["high"], 1))["start"] < span["stop"], F.struct((F.shiftright(at["low"] + at["high"], 1) + 1).alias("low"), at["high"].alias("high"))).otherwise(
+                F.struct(at["low"].alias("low"), F.shiftright(at["low"] + at["high"], 1).alias("high"))
+            ),
+        ).otherwise(at),
+    )
+    return F.when(F.size(others) > 0, F.coalesce(F.get(others, halved["low"] - 1)["stop"] > span["start"], F.lit(False))).otherwise(F.lit(False))
 
 
 def _located(kind: int, found: Column, between: Column, keep: Column | None = None) -> Column:
@@ -238,17 +302,17 @@ def scan_secrets(docs: DataFrame, model: SecretModel | None = None, text: str =
     empty = F.array().cast("array<string>")
     for k, p in patterns.items():
         df = df.withColumn(f"p_{k}", F.when(F.size(f"m_{k}") > 0, F.split("body", p, -1)).otherwise(empty))
-    base = F.concat(
-        *[_located(i, F.col(f"m_{k}"), F.col(f"p_{k}"), F.col("values") if k == "assign" else None) for i, k in enumerate(KINDS[:3])]
-    )
-    df = df.withColumn("base", base).withColumn("tokens", _located(3, F.col("m_random"), F.col("p_random")))
+    for i, k in enumerate(KINDS[:3]):
+        df = df.withColumn(f"b_{k}", _located(i, F.col(f"m_{k}"), F.col(f"p_{k}"), F.col("values") if k == "assign" else None))
+    bases = [F.col(f"b_{k}") for k in KINDS[:3]]
+    df = df.withColumn("tokens", _located(3, F.col("m_random"), F.col("p_random")))
     fresh = F.filter(
         "tokens",
-        lambda s: ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])) & varied(s["word"]) & (mean_ratio(s["word"], model.ratio) > model.margin),
+        lambda s: varied(s["word"]) & is_random(s["word"], model) & ~(_meets(s, bases[0]) | _meets(s, bases[1]) | _meets(s, bases[2])),
     )
-    spans = F.concat("base", F.when(F.size("tokens") > 0, fresh).otherwise(F.col("tokens")))
+    spans = F.concat(*bases, F.when(F.size("tokens") > 0, fresh).otherwise(F.col("tokens")))
     df = df.withColumn("spans", spans)
-    plain = F.transform(F.array_sort("spans"), lambda s: F.struct(s["start"], s["kind"], s["stop"]))
+    plain = F.transform(F.sort_array("spans"), lambda s: F.struct(s["start"], s["kind"], s["stop"]))
     found = F.when(F.size("spans") > 0, plain).otherwise(F.array().cast("array<struct<start:int,kind:int,stop:int>>"))
     return df.select(*[F.col(f"own.{quoted(c)}").alias(c) for c in own], found.alias("secret_spans"))
 
