@@ -18,7 +18,7 @@ from lakepress.operators.metrics import class_weights
 from lakepress.plans.workdir import spill
 
 Fitted = Callable[[DataFrame], DataFrame]
-Model = Callable[[DataFrame, str], Fitted]
+Model = Callable[[DataFrame, str], Fitted | None]
 
 FEATURES = 50_000
 #: texts that a gram occurs in, at least
@@ -108,20 +108,26 @@ def keyword_model(groups: K.Groups) -> Model:
     return fit
 
 
-def has_body_model(train: DataFrame, label: str) -> Fitted:
+def has_body_model(train: DataFrame, label: str) -> Fitted | None:
+    """None where the flag is constant, as there is nothing to learn from it."""
+    ends = train.agg(F.min("has_body").alias("low"), F.max("has_body").alias("high")).first()
+    if ends.low == ends.high:
+        return None
     add = lambda df: df.withColumn("__flag", F.col("has_body").cast("double"))
     fitted = _pipeline(add(train), label, [VectorAssembler(inputCols=["__flag"], outputCol="features")])
     return lambda rows: fitted(add(rows))
 
 
 def cross_predict(rows: DataFrame, key: str, fold: str, label: str, model: Model) -> DataFrame:
-    """(key, fold, label, predicted): every row predicted by a model that saw only other folds."""
+    """(key, fold, label, predicted): every row predicted by a model that saw only other folds; a fold whose model has nothing to learn from is left out."""
     out = None
     for f in sorted(r[0] for r in rows.select(fold).distinct().collect()):
         fitted = model(rows.where(F.col(fold) != f), label)
+        if fitted is None:
+            continue
         part = fitted(rows.where(F.col(fold) == f)).select(key, fold, label, "predicted")
         out = part if out is None else out.unionByName(part)
-    return out
+    return out if out is not None else rows.select(key, fold, label, F.lit(None).cast("string").alias("predicted")).limit(0)
 
 
 def containing(docs: DataFrame, passages: DataFrame, words: int = 12, key: str = "doc_id", item: str = "item_id") -> DataFrame:

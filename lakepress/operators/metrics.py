@@ -165,49 +165,40 @@ def majority(c: str) -> Column:
     return F.mode(c, True)
 
 
-#: distinct differences up to which a resample draws counts
-DISTINCT = 10_000
+def _resampled(different: DataFrame, resamples: int, seed: int) -> DataFrame:
+    """(b, drawn, total) of (d, n): what each resample draws and its sum, all resamples in one pass.
 
+    A row comes into a resample as often as a Poisson number of mean one says,
+    so ``n`` rows of one difference as often as one of mean ``n``; the draws
+    hang on the seed and the difference alone. A task adds up arrays of one
+    number a resample, whatever it reads.
+    """
 
-def _drawn_by_row(rows: DataFrame, key: str, better: Column, resamples: int, seed: int) -> DataFrame:
-    """(b, m): the mean of each resample; a resample's draws depend on the number of rows only."""
-    from lakepress.operators.dedupe import number_in_order
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        drawn, total = np.zeros(resamples), np.zeros(resamples)
+        for f in frames:
+            for d, n in zip(f["d"].to_numpy(dtype=float), f["n"].to_numpy(), strict=True):
+                often = np.random.default_rng([seed, int(np.float64(d + 0.0).view(np.uint64))]).poisson(n, resamples)
+                drawn += often
+                total += often * d
+        yield pd.DataFrame({"b": np.arange(resamples), "drawn": drawn, "total": total})
 
-    numbered = number_in_order(rows.select(F.col(key).cast("long").alias(key), better.cast("double").alias("d")), [key], "i").select("i", "d")
-    n = numbered.count()
-    draws = rows.sparkSession.range(resamples).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).alias("k"))
-    picked = draws.select("b", F.pmod(F.xxhash64("b", "k", F.lit(seed)), F.lit(max(n, 1))).alias("i"))
-    return picked.join(numbered, "i").groupBy("b").agg(F.avg("d").alias("m"))
+    each = different.mapInPandas(run, "b bigint, drawn double, total double")
+    return each.groupBy("b").agg(F.sum("drawn").alias("drawn"), F.sum("total").alias("total"))
 
 
-def paired_bootstrap(rows: DataFrame, key: str, better: Column, resamples: int = 4000, seed: int = 11) -> DataFrame:
+def paired_bootstrap(rows: DataFrame, better: Column, resamples: int = 4000, seed: int = 11) -> DataFrame:
     """One row: mean difference, 2.5 and 97.5 percentiles over resamples, share above 0.
 
-    ``better`` is each row's difference. Equal differences are counted first, and
-    a resample draws how often each comes, so its cost does not grow with the rows;
-    where there are more than ``DISTINCT`` of them, rows are drawn one by one by
-    hashes of resample and position. A run repeats exactly. Null differences are
-    drawn as well and left out of the mean.
+    ``better`` is each row's difference. Equal differences are counted first,
+    and each is drawn in all resamples at once, so the cost grows with the
+    different values and not with rows times resamples. Null differences are
+    left out; without any others there are no resamples. A run repeats but for
+    the order in which numbers are added.
     """
-    spark = rows.sparkSession
-    d = rows.select(better.cast("double").alias("d"))
-    few = d.groupBy("d").agg(F.count(F.lit(1)).alias("n")).orderBy("d").limit(DISTINCT + 1).collect()
-    if len(few) <= DISTINCT:
-        sizes = np.array([r.n for r in few], dtype="int64")
-        values = np.array([math.nan if r.d is None else r.d for r in few])
-
-        def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            n, known = int(sizes.sum()), np.array([r.d is not None for r in few])
-            for f in frames:
-                out = []
-                for b in f["b"]:
-                    k = np.random.default_rng([seed, int(b)]).multinomial(n, sizes / n)[known]
-                    out.append(float(k @ values[known] / k.sum()) if k.sum() else None)
-                yield pd.DataFrame({"b": f["b"], "m": pd.array(out, dtype="Float64")})
-
-        means = spark.range(resamples if len(few) else 0).select(F.col("id").alias("b")).mapInPandas(draw, "b bigint, m double")
-    else:
-        means = _drawn_by_row(rows, key, better, resamples, seed)
+    different = rows.select(better.cast("double").alias("d")).where("d is not null").groupBy("d").agg(F.count(F.lit(1)).alias("n"))
+    # a resample that draws nothing has no mean
+    means = _resampled(different, resamples, seed).where("drawn > 0").select((F.col("total") / F.col("drawn")).alias("m"))
     return means.agg(
         F.percentile("m", 0.5).alias("median"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"), F.avg((F.col("m") > 0).cast("double")).alias("p_better"), F.count(F.lit(1)).alias("resamples")
     )

@@ -230,4 +230,4 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paired bootstrap of narrative against severity accuracy."""
     s = S.scored(spark, sf_dir)
     d = (F.col("true_narrative") == F.col("pred_narrative")).cast("int") - (F.col("true_severity") == F.col("pred_severity")).cast("int")
-    return M.paired_bootstrap(s, "doc_id", d)
+    return M.paired_bootstrap(s, d)

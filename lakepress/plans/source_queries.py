@@ -204,7 +204,7 @@ def live_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bootstrap_switch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the challenger replaces the champion: better in nine of ten of 2,000 paired resamples."""
     rows = S.scored(spark, sf_dir).select("doc_id", ((F.col("true_severity") == F.col("pred_severity")).cast("int") - (F.col("true_narrative") == F.col("pred_narrative")).cast("int")).alias("d"))
-    won = M.paired_bootstrap(rows, "doc_id", F.col("d"), 2000)
+    won = M.paired_bootstrap(rows, F.col("d"), 2000)
     return won.select(F.lit(rows.count()).alias("n"), (F.col("p_better") >= M.SWITCH).alias("switch"))
 
 

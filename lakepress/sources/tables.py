@@ -81,19 +81,42 @@ def missing_runs(plan: DataFrame, done: DataFrame) -> DataFrame:
     return plan.join(done.select("seed", "fold").distinct(), ["seed", "fold"], "left_anti")
 
 
+def _run_paths(spark: SparkSession, path: str, seed: int, fold: int):
+    """(file system, a run's folder, where its old result is kept while the new one takes its place)."""
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    last, old = at(f"{path}/seed={seed}/fold={fold}"), at(f"{path}/_old-seed={seed}-fold={fold}")
+    return last.getFileSystem(spark._jsc.hadoopConfiguration()), last, old
+
+
+def mend_run(spark: SparkSession, path: str, seed: int, fold: int) -> None:
+    """Put a run's old result back where a writer died before the new one was in its place."""
+    fs, last, old = _run_paths(spark, path, seed, fold)
+    if fs.exists(old):
+        if fs.exists(last):
+            fs.delete(old, True)
+        else:
+            fs.rename(old, last)
+
+
 def write_run(rows: DataFrame, path: str, seed: int, fold: int) -> None:
     """One run's predictions in its own folder; writing it again replaces that folder alone.
 
-    The run is written whole to a hidden folder and then renamed, so a run that dies leaves the old result or none.
+    The run is written whole to a hidden folder. The old result steps aside,
+    the new one is renamed into its place, and only then the old one goes: at
+    every moment one of them is there whole, and ``mend_run``, which every
+    writing begins with, finds it.
     """
     spark, fresh = rows.sparkSession, f"{path}/_run-{uuid.uuid4().hex}"
     rows.drop("seed", "fold").write.parquet(fresh)
-    new = spark._jvm.org.apache.hadoop.fs.Path
-    fs = new(fresh).getFileSystem(spark._jsc.hadoopConfiguration())
-    last = new(f"{path}/seed={seed}/fold={fold}")
+    mend_run(spark, path, seed, fold)
+    fs, last, old = _run_paths(spark, path, seed, fold)
     fs.mkdirs(last.getParent())
-    fs.delete(last, True)
-    fs.rename(new(fresh), last)
+    if fs.exists(last) and not fs.rename(last, old):
+        raise OSError(f"{last} can't be moved")
+    if not fs.rename(spark._jvm.org.apache.hadoop.fs.Path(fresh), last):
+        mend_run(spark, path, seed, fold)
+        raise OSError(f"{last} can't be written")
+    fs.delete(old, True)
 
 
 def evolve(spark: SparkSession, path: str, schema: StructType, version: int, known: int) -> DataFrame:

@@ -106,27 +106,34 @@ def test_wilson_without_trials(spark):
     assert (r.l, r.h) == (0.0, 1.0)
 
 
-def test_bootstrap_query_takes_all_resamples_and_counts_agree_with_rows(spark, monkeypatch):
+def test_bootstrap_query_takes_all_resamples(spark, monkeypatch):
     from lakepress.plans import metric_queries
 
     seen = {}
-    monkeypatch.setattr(metric_queries.M, "paired_bootstrap", lambda *a, **k: seen.update(a=a[3:], k=k))
+    monkeypatch.setattr(metric_queries.M, "paired_bootstrap", lambda *a, **k: seen.update(a=a[2:], k=k))
     metric_queries.bootstrap_ci(spark, "/root/testdata/sf0.001")
     assert seen == {"a": (), "k": {}}
-    monkeypatch.undo()
-    rows = spark.createDataFrame([(i, (0, 0, 1, 1, -1)[i % 5]) for i in range(200)], "id int, d int")
-    counted = M.paired_bootstrap(rows, "id", F.col("d")).first()
-    monkeypatch.setattr(M, "DISTINCT", 2)
-    drawn = M.paired_bootstrap(rows, "id", F.col("d")).first()
-    assert counted.resamples == drawn.resamples == 4000
-    for c in ("median", "low", "high", "p_better"):
-        assert counted[c] == pytest.approx(drawn[c], abs=0.02), c
+
+
+@pytest.mark.parametrize("values", [lambda rng: rng.choice([0.0, 1.0, -1.0], 400, p=[0.5, 0.3, 0.2]), lambda rng: rng.normal(0.1, 2.0, 5000)])
+def test_bootstrap_equals_numpy_within_sampling_error(spark, values):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    d = values(rng)
+    got = M.paired_bootstrap(spark.createDataFrame([(float(x),) for x in d] + [(None,)], "d double").repartition(7), F.col("d")).first()
+    means = np.array([rng.choice(d, len(d)).mean() for _ in range(4000)])
+    assert got.resamples == 4000
+    for c, w in (("median", np.median(means)), ("low", np.quantile(means, 0.025)), ("high", np.quantile(means, 0.975))):
+        assert got[c] == pytest.approx(w, abs=0.15 * means.std()), c
+    assert got.p_better == pytest.approx((means > 0).mean(), abs=0.03)
 
 
 def test_bootstrap_repeats(spark):
     rows = spark.range(40).select("id", F.when(F.col("id") % 4 == 0, 0.0).otherwise(1.0).alias("d"))
-    a, b = (M.paired_bootstrap(rows, "id", F.col("d"), 200, 3).first() for _ in range(2))
+    a, b = (M.paired_bootstrap(rows, F.col("d"), 200, 3).first() for _ in range(2))
     assert a == b and a.low <= 0.75 <= a.high and a.p_better == 1.0
+    assert M.paired_bootstrap(rows.where("id < 0"), F.col("d")).first().resamples == 0
 
 
 def test_group_folds(spark):
@@ -444,3 +451,25 @@ def test_grams_counted_in_python_are_those_of_the_columns(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "rep int, text string").withColumn("copies", F.lit(1).cast("bigint"))
     want = {r.rep: Counter(r.g) for r in df.select("rep", D.word_grams(F.col("text")).alias("g")).collect()}
     assert {r.rep: Counter(dict(zip(r.grams, r.tf, strict=True))) for r in D._counted(df).collect()} == want
+
+
+def test_a_constant_flag_makes_no_control(spark):
+    from lakepress.operators import baselines as B
+
+    rows = spark.createDataFrame([(i, i % 2, True, "ab"[i % 3 == 0]) for i in range(20)], "id int, fold int, has_body boolean, y string")
+    assert B.cross_predict(rows, "id", "fold", "y", B.has_body_model).count() == 0
+    mixed = rows.withColumn("has_body", F.col("id") < 10)
+    assert B.cross_predict(mixed, "id", "fold", "y", B.has_body_model).count() == 20
+
+
+def test_a_run_is_never_without_a_result(spark, tmp_path):
+    from lakepress.sources import tables as X
+
+    path = str(tmp_path / "runs")
+    X.write_run(spark.range(3), path, 1, 0)
+    # a writer died after the old result stepped aside
+    (tmp_path / "runs" / "seed=1" / "fold=0").rename(tmp_path / "runs" / "_old-seed=1-fold=0")
+    X.mend_run(spark, path, 1, 0)
+    assert spark.read.parquet(path).count() == 3
+    X.write_run(spark.range(5), path, 1, 0)
+    assert spark.read.parquet(path).count() == 5 and not list((tmp_path / "runs").glob("_old*"))
