@@ -18,7 +18,9 @@ product and the cells that a query doesn't visit are masked; the nearest are
 scored again in double precision, each by the same operations wherever it is.
 
 Vectors that are null, zero, or hold null or non-finite components take no
-part. Vectors of different dimensions have no angle; each dimension is an index
+part, nor do rows with a null id. Vectors of any magnitude do: a row is scaled
+by a power of two before anything is squared. Vectors of different dimensions
+have no angle; each dimension is an index
 of its own, and a query finds rows of its own dimension. An empty table gives
 no rows. Ties go to the smaller id. Rows are told apart by number, not by id:
 of repeated ids each is a candidate for the others and, where it is a query,
@@ -71,7 +73,13 @@ def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return _distances(x, c).argmin(1)
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows by a power of two that brings their largest component near one: no angle changes, and no square under- or overflows."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, initial=0.0))[1][:, None])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
@@ -105,7 +113,7 @@ class MultiIndex:
 
     def visit(self, query: np.ndarray, candidates: int) -> list[tuple[int, int]]:
         """Cells in order of summed distance until they hold enough rows."""
-        u = query / np.sqrt((query * query).sum())
+        u = _unit(query[None])[0]
         d1, d2 = (_distances(h[None], b)[0] for h, b in zip((u[: self.half], u[self.half :]), self.books, strict=True))
         o1, o2 = d1.argsort(kind="stable"), d2.argsort(kind="stable")
         heap, out, held = [(d1[o1[0]] + d2[o2[0]], 0, 0)], [], 0
@@ -152,6 +160,7 @@ def build(rows: DataFrame, n: int, seed: int = 7) -> MultiIndex:
 
 def _row_scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Cosines, each by the same sequence of operations whatever else is in ``x``."""
+    x, q = _scaled(x), _scaled(q[None])[0]
     return (x * q).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((q * q).sum()))
 
 

@@ -3,9 +3,10 @@
 import os
 import random
 
+import numpy as np
 import pytest
 
-from lakepress.llm import pii, secret_scan
+from lakepress.llm import ann, pii, secret_scan
 
 SF = "/root/testdata/sf0.01"
 PROBES = [
@@ -58,3 +59,20 @@ def test_tokens_beside_and_within_base_spans(spark):
         assert len(spans) == cases[r.doc_id][1] and spans == sorted(spans)
         base = [(a, b) for a, k, b in spans if k < 3]
         assert not any(k == 3 and a < y and x < b for a, k, b in spans for x, y in base)
+
+
+@pytest.mark.parametrize("size", [1e-300, 1e-170, 1.0, 1e200, 1e307])
+def test_neighbours_at_any_magnitude(spark, size):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 8))
+    own = x * rng.uniform(0.1, 1, size=(300, 1)) * size
+    rows = [(i, v.tolist()) for i, v in enumerate(own)] + [(None, own[0].tolist())]
+    got = {}
+    for r in ann.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    unit = x / np.sqrt((x * x).sum(1))[:, None]
+    for q in range(0, 300, 50):
+        cosines = unit @ unit[q]
+        assert len(got[q]) == 5 and all(abs(s - cosines[v]) < 1e-12 for v, s in got[q])
+    want = ann.brute_force(np.arange(300), own, np.arange(0, 300, 50))
+    assert np.mean([len({v for v, _ in got[q]} & set(w)) / 5 for q, w in want.items()]) >= 0.9
