@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakepress.functions import keywords as K
+from lakepress.functions import pages as PG
 from lakepress.functions import text as T
 from lakepress.functions import urls as U
 from lakepress.plans.registry import ART, NORM, Registry
@@ -95,6 +96,20 @@ def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", F.md5(T.html_text(F.col("html")).cast("binary")).alias("text_md5"), F.length(T.html_text(T.article_html(F.col("html")))).alias("article_chars"))
 
 
+@R.add("SELECT page_id, true AS precise, true AS complete, true AS marked_alike FROM pages")
+def article_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article found in pages whose article element is renamed, against the words of that element."""
+    p = S.table(spark, sf_dir, "pages")
+    renamed = F.regexp_replace("html", r"(?i)<(/?)article\b", "<$1div")
+    words = lambda c: F.split(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")), " ")
+    x = p.select("page_id", words(T.html_text(T.article_html(F.col("html")))).alias("gold"), PG.article_text(renamed).alias("found"), PG.article_text(F.col("html")).alias("marked"))
+    got = x.select("page_id", "gold", words(F.col("found")).alias("got"), words(F.col("marked")).alias("own"))
+    common = lambda a, b: F.size(F.array_intersect(a, b))
+    n = common("gold", "got")
+    share = 0.9
+    return got.select("page_id", (n >= share * F.size(F.array_distinct("got"))).alias("precise"), (n >= share * F.size(F.array_distinct("gold"))).alias("complete"), (common("gold", "own") >= share * F.size(F.array_distinct("gold"))).alias("marked_alike"))
+
+
 @R.add(
     r"WITH q AS (SELECT doc_id, text, replace(substr(text, 20, 30), ' ', '  ') || CASE WHEN doc_id % 2 = 0 THEN 'zqzq' ELSE '' END AS quote FROM documents), n AS (SELECT doc_id, trim(regexp_replace(lower(regexp_replace(text, '[\"''“”‘’]', '', 'g')), '\s+', ' ', 'g')) AS t, trim(regexp_replace(lower(regexp_replace(quote, '[\"''“”‘’]', '', 'g')), '\s+', ' ', 'g')) AS q FROM q)"
     " SELECT doc_id, length(q) >= 3 AND contains(t, q) AS found FROM n"

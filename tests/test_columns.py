@@ -122,3 +122,27 @@ def test_terms_in_one_pass_equal_one_pattern_a_term(spark):
         assert long.select(K.count(F.col("text"), words[:n]).alias("n")).agg(F.sum("n")).first()[0] == 400 * min(n, 400)
         took.append(time.time() - began)
     assert took[3] < 3 * took[2] + 1
+
+
+PROSE = "The river rose again on Monday and the town moved its market to higher ground, as it has done for years. "
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        (None, None),
+        ("", ""),
+        ("plain words, no tags at all but quite a lot of them", "plain words, no tags at all but quite a lot of them"),
+        (f"<nav><a href=x>Home</a></nav><div class='ad banner'>{PROSE}</div><div><h1>Flood</h1><p>{PROSE * 2}<p>Short one.<p>{PROSE}</div><ul><li><a href=y>{PROSE}</a><li><a>More</a></ul><footer>{PROSE}</footer>", f"Flood\n{PROSE * 2}\nShort one.\n{PROSE}"),
+        (f"<article><a href=1>teaser one</a></article><article><p>{PROSE}</p><p>{PROSE}</p></article><p>{PROSE * 9}</p>", f"{PROSE}\n{PROSE}"),
+        (f"<body><script>var a = '<p>{PROSE}</p>'</script><p>A &amp; B: {PROSE}</p><br/><div id=sidebar><p>{PROSE * 3}</p></div></div></p>", f"A & B: {PROSE}"),
+        ("<nav>menu</nav><p><a href=x>only links here</a>", ""),
+        (f"<div><h2>Tiny</h2><p>{PROSE}</p><p>The end.</p><p><a href=z>next</a></p></div><div>Elsewhere.</div>", f"Tiny\n{PROSE}\nThe end."),
+        ("<nav>menu</nav><div><p>One.<p>Two.</div>", "One.\nTwo."),
+    ],
+)
+def test_article_of_a_page(html, want):
+    from lakepress.functions.pages import main_text
+
+    got = main_text(html)
+    assert got == (want if want is None else "\n".join(" ".join(x.split()) for x in want.split("\n")))
