@@ -83,14 +83,14 @@ def page_title(html: Column) -> Column:
     return F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
 
 
-_ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
+ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
 
 
 def html_text(html: Column) -> Column:
     """Visible text, a line for each tag-separated piece, without scripts, styles and feed footers."""
     bare = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style|noscript|iframe)\b[^>]*>.*?</\1\s*>", "\n")
     bare = F.regexp_replace(bare, r"(?s)<[^>]*>", "\n")
-    for name, char in _ENTITIES:
+    for name, char in ENTITIES:
         bare = F.replace(bare, F.lit(name), F.lit(char))
     lines = F.filter(F.transform(F.split(bare, "\n"), strip_all), lambda x: x != "")
     return F.regexp_replace(F.array_join(lines, "\n"), FEED_FOOTER, "")

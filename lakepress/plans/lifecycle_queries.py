@@ -10,6 +10,7 @@ from lakepress.functions import urls as U
 from lakepress.operators import lifecycle as L
 from lakepress.plans.registry import ART, NORM, Registry
 from lakepress.plans.workdir import spill
+from lakepress.sources import feeds as FD
 from lakepress.sources import mapped as S
 from lakepress.sources import tables as X
 
@@ -151,9 +152,22 @@ def planned_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.planned_runs(runs, plan).select("doc_id", "quality").join(S.table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "doc_id", "left")
 
 
-@R.add()
+_NO_TAGS = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<noscript\b[^>]*>.*?</noscript\s*>|<iframe\b[^>]*>.*?</iframe\s*>"
+_LINES = f"regexp_replace(regexp_replace(html, '{_NO_TAGS}', chr(10), 'g'), '(?s)<[^>]*>', chr(10), 'g')"
+for _name, _char in T.ENTITIES:
+    _LINES = f"replace({_LINES}, '{_name}', '{_char.replace(chr(39), chr(39) * 2)}')"
+_TEXT = f"array_to_string(list_filter(list_transform(string_split({_LINES}, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10))"
+
+
+@R.add(
+    f"SELECT page_id AS source, 0 AS pos, 'Page ' || page_id AS headline, url, length({_TEXT}) >= 1000 AS is_body, '2024-01-15T09:00:00Z' AS published_at, regexp_replace(lower(regexp_extract(url, '^[^:]+://([^/?#]*)', 1)), '^www\\.', '') AS source_domain, NULL::VARCHAR AS error FROM pages "
+    "UNION ALL SELECT page_id + 1000000000, NULL, NULL, NULL, NULL, NULL, NULL, 'not a feed' FROM pages"
+)
 def feed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages wrapped as RSS and parsed back."""
+    """Pages wrapped as RSS and parsed back, and the same pages as they are, which are no feeds."""
     p = S.table(spark, sf_dir, "pages")
-    xml = F.concat(F.lit("<rss><channel><item><title>"), F.concat(F.lit("Page "), F.col("page_id").cast("string")), F.lit("</title><link>"), "url", F.lit("</link><pubDate>Mon, 15 Jan 2024 10:00:00 +0100</pubDate><description><![CDATA["), "html", F.lit("]]></description></item></channel></rss>"))
-    return X.parse_feeds(p.select(F.col("page_id").alias("source"), xml.alias("xml"))).select("source", "pos", "headline", "url", "is_body", "published_at", "source_domain")
+    head = "<?xml version='1.0' encoding='iso-8859-1'?><rss xmlns:content='http://purl.org/rss/1.0/modules/content/'><channel><title>Pages&nbsp;</title><item><title>"
+    xml = F.concat(F.lit(head), F.concat(F.lit("Page "), F.col("page_id").cast("string")), F.lit("</title><link>"), "url", F.lit("</link><pubDate>Mon, 15 Jan 2024 10:00:00 +0100</pubDate><content:encoded><![CDATA["), "html", F.lit("]]></content:encoded></item></channel></rss>"))
+    feeds = p.select(F.col("page_id").alias("source"), xml.alias("xml")).unionByName(p.select((F.col("page_id") + 1_000_000_000).alias("source"), F.col("html").alias("xml")))
+    items = FD.parse_feeds(feeds).select("source", "pos", "headline", "url", "is_body", "published_at", "source_domain")
+    return items.unionByName(FD.rejected_feeds(feeds).select("source", F.substring("error", 1, 10).alias("error")), allowMissingColumns=True)

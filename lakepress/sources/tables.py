@@ -8,9 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lakepress.functions import text as T
-from lakepress.functions import urls as U
-
 
 def read_corpus(spark: SparkSession, path: str, schema: StructType | str, keep: list[str]) -> DataFrame:
     """A CSV corpus with quoted line breaks, projected; a missing column raises."""
@@ -128,32 +125,6 @@ def evolve(spark: SparkSession, path: str, schema: StructType, version: int, kno
     return old.select(*[F.col(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
 
 
-_ITEM = r"(?s)<(?:item|entry)\b.*?</(?:item|entry)>"
-
-
-def _tag(name: str):
-    inner = F.regexp_extract("item", rf"(?s)<{name}\b[^>]*>(.*?)</{name}>", 1)
-    return F.trim(F.regexp_replace(inner, r"(?s)^\s*<!\[CDATA\[(.*?)\]\]>\s*$", "$1"))
-
-
-def parse_feeds(feeds: DataFrame, most: int = 200, body_chars: int = T.BODY_CHARS) -> DataFrame:
-    """Items of RSS and Atom documents (source, xml): pos, headline, url, text, is_body, published_at.
-
-    Items without a title or link are left out; of the rest the first ``most``
-    of a document count. A document that is no feed gives no items.
-    """
-    items = feeds.select("source", F.posexplode(F.regexp_extract_all("xml", F.lit(_ITEM), F.lit(0))).alias("at", "item"))
-    link = F.coalesce(F.nullif(_tag("link"), F.lit("")), F.nullif(F.regexp_extract("item", r"""<link\b[^>]*href=["']([^"']+)["']""", 1), F.lit("")))
-    body = F.coalesce(F.nullif(_tag("content:encoded"), F.lit("")), F.nullif(_tag("content"), F.lit("")), F.nullif(_tag("description"), F.lit("")), _tag("summary"))
-    date = F.coalesce(F.nullif(_tag("pubDate"), F.lit("")), F.nullif(_tag("published"), F.lit("")), F.nullif(_tag("updated"), F.lit("")))
-    full = items.select("source", "at", T.html_text(_tag("title")).alias("headline"), link.alias("url"), T.html_text(T.html_text(body)).alias("text"), T.feed_date(date).alias("published_at"))
-    kept = full.where("headline <> '' and url is not null")
-    ranked = kept.groupBy("source").agg(F.slice(F.sort_array(F.collect_list(F.struct("at", "headline", "url", "text", "published_at"))), 1, most).alias("x"))
-    return ranked.select("source", F.posexplode("x").alias("pos", "i")).select(
-        "source", "pos", "i.headline", "i.url", "i.text", T.is_full_text(F.col("i.text"), body_chars).alias("is_body"), "i.published_at", U.domain(F.col("i.url")).alias("source_domain")
-    )
-
-
 def catalogue(entries: DataFrame) -> DataFrame:
     """Sources (name, url, kind, gate, queries): an entry with queries becomes one source a query; equal names raise."""
     each = entries.select("name", "url", "kind", "gate", F.explode_outer("queries").alias("q"))

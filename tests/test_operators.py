@@ -14,7 +14,7 @@ from lakepress.operators import metrics as M
 from lakepress.operators import views as V
 from lakepress.operators.graph import connected_components
 from lakepress.plans import cluster_queries
-from lakepress.sources import config, tables
+from lakepress.sources import config, feeds, tables
 from lakepress.streaming import cycle
 
 
@@ -398,7 +398,7 @@ def test_sources(spark, tmp_path):
     with pytest.raises(ValueError, match="unknown labels"):
         tables.encode_labels(spark.createDataFrame([("q",)], "y string"), "y", ["a"], "n")
     xml = "<rss><item><title>T1</title><link>https://www.x.org/a</link></item><item><title>no link</title></item><item><title>T2</title><link>https://x.org/b</link></item></rss>"
-    got = tables.parse_feeds(spark.createDataFrame([("s", xml), ("bad", "no feed")], "source string, xml string"), most=5).collect()
+    got = feeds.parse_feeds(spark.createDataFrame([("s", xml), ("bad", "no feed")], "source string, xml string"), most=5).collect()
     assert [(r.headline, r.source_domain) for r in sorted(got, key=lambda r: r.pos)] == [("T1", "x.org"), ("T2", "x.org")]
     assert tables.source_list(spark, [{"name": "g", "url": "u", "queries": ["a b", "c"]}]).count() == 2
     with pytest.raises(ValueError, match="unique"):

@@ -9,7 +9,7 @@ import pytest
 from lakepress.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
-NAMES = ("headline_keys", "canonical_urls", "keyword_group_counts", "relevance_gate", "exact_dup_columns", "view_alerts", "view_counts", "breakdown", "daily_trend", "article_page", "routing_records", "macro_f1_by_fold", "reliability_table", "threshold_sweep", "near_dup_pairs", "near_dup_components", "ingest_store", "ingest_report", "expire_pending", "encoded_labels", "bodied_rows", "plain_kfold", "blind_sheet", "overfit_rows", "review_buckets", "random_sample", "group_kfold_invariants", "benchmark_leaks", "corpus_csv", "split_rows", "fold_table", "source_catalogue", "checkpoint_lines", "resumed_runs", "cool_downs", "leases", "cycle_reports", "taxonomy_table", "api_articles", "unfetchable_pages", "review_estimates")
+NAMES = ("headline_keys", "canonical_urls", "keyword_group_counts", "relevance_gate", "exact_dup_columns", "view_alerts", "view_counts", "breakdown", "daily_trend", "article_page", "routing_records", "macro_f1_by_fold", "reliability_table", "threshold_sweep", "near_dup_pairs", "near_dup_components", "ingest_store", "ingest_report", "expire_pending", "encoded_labels", "bodied_rows", "plain_kfold", "blind_sheet", "overfit_rows", "review_buckets", "random_sample", "group_kfold_invariants", "benchmark_leaks", "corpus_csv", "split_rows", "fold_table", "source_catalogue", "checkpoint_lines", "resumed_runs", "cool_downs", "leases", "cycle_reports", "taxonomy_table", "api_articles", "unfetchable_pages", "review_estimates", "live_store", "pending_deadlines", "store_versions", "article_words", "feed_items", "keyword_term_counts", "rule_classifier", "headline_tfidf", "near_dup_summary")
 
 
 @pytest.fixture(scope="module")
