@@ -70,13 +70,14 @@ def source_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add("SELECT o_custkey AS id, max(o_orderkey) AS line, arg_max(o_orderstatus, o_orderkey) AS answer FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 2 = 0 GROUP BY o_custkey")
 def checkpoint_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A JSON-lines checkpoint of one model and prompt, the last line of each key."""
+    """A JSON-lines checkpoint of one model and prompt in several files, the last line of each key."""
     o, path = S.table(spark, sf_dir, "orders"), _folder(spark, "lines")
     lines = o.select(
         F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("line"), F.when(F.col("o_orderkey") % 3 == 0, "old").otherwise("new").alias("model"),
         F.when(F.col("o_orderkey") % 2 == 0, "p1").otherwise("p2").alias("prompt"), F.col("o_orderstatus").alias("answer"),
     )
-    lines.write.json(path)
+    # the order of lines is that of the files alone
+    lines.orderBy("line").write.json(path)
     return X.last_lines(spark, path, "id bigint, line bigint, model string, prompt string, answer string", "id", "new", "p1").select("id", "line", "answer")
 
 

@@ -61,11 +61,18 @@ def read_folds(spark: SparkSession, path: str, corpus: DataFrame, key: str = "id
 
 
 def last_lines(spark: SparkSession, path: str, schema: str, key: str, model: str, prompt: str | None = None) -> DataFrame:
-    """JSON-lines checkpoint of one model, and of one prompt where it is given: the last line of each key, by its ``line`` number."""
-    rows = spark.read.schema(schema).json(path).where(F.col("model") == model)
+    """JSON-lines checkpoint of one model, and of one prompt where it is given: the last line of each key.
+
+    Lines follow one another as they lie in their file, and files by name; no
+    field says so. A split's place in its file orders splits, and a line's turn
+    orders lines within one. Lines that are no JSON, such as one that a writer
+    left half done, are passed over.
+    """
+    lines = spark.read.text(path).select("value", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("__at"))
+    rows = lines.select(F.from_json("value", schema).alias("x"), "__at").select("x.*", "__at").where((F.col("model") == model) & F.col(key).isNotNull())
     rows = rows if prompt is None else rows.where(F.col("prompt") == prompt)
-    rest = [c for c in rows.columns if c != key]
-    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), "line").alias("x")).select(key, "x.*")
+    rest = [c for c in rows.columns if c not in (key, "__at")]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), "__at").alias("x")).select(key, "x.*")
 
 
 def planned_runs(runs: DataFrame, plan: DataFrame) -> DataFrame:

@@ -473,3 +473,22 @@ def test_a_run_is_never_without_a_result(spark, tmp_path):
     assert spark.read.parquet(path).count() == 3
     X.write_run(spark.range(5), path, 1, 0)
     assert spark.read.parquet(path).count() == 5 and not list((tmp_path / "runs").glob("_old*"))
+
+
+def test_the_last_line_is_the_last_in_the_files(spark, tmp_path):
+    import json
+
+    from lakepress.sources import tables as X
+
+    at = tmp_path / "lines"
+    at.mkdir()
+    line = lambda i, n, **more: json.dumps({"id": i, "model": "m", "prompt": "p", "n": n, **more})
+    (at / "a.jsonl").write_text("\n".join([*[line(i % 50, i) for i in range(20_000)], line(3, -1)]) + "\n")
+    (at / "b.jsonl").write_text("\n".join([line(7, -2), line(7, -3), line(7, -4, model="old"), line(7, -5, prompt="q"), '{"id": 7, "mod']))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50k")  # many splits
+    try:
+        got = {r.id: r.n for r in X.last_lines(spark, str(at), "id int, model string, prompt string, n int", "id", "m", "p").collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {**{i: 19_950 + i for i in range(50)}, 3: -1, 7: -3}
