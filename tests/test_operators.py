@@ -492,3 +492,29 @@ def test_the_last_line_is_the_last_in_the_files(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert got == {**{i: 19_950 + i for i in range(50)}, 3: -1, 7: -3}
+
+
+def test_folds_of_very_different_groups_are_even_and_planned_from_few_rows(spark, monkeypatch):
+    import random
+    from collections import Counter, defaultdict
+
+    rng = random.Random(12)
+    rows = []
+    for g in range(1500):  # hardly two groups alike
+        n = int(rng.paretovariate(1.1)) + 1
+        share = rng.random()
+        rows += [(g, "rare" if rng.random() < 0.02 else "x" if rng.random() < share else "y") for _ in range(min(n, 400))]
+    rows += [(None, "y")] * 30
+    df = spark.createDataFrame(rows, "grp int, y string")
+    seen, make = [], type(spark).createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *a, **k: (seen.append(len(data)), make(self, data, *a, **k))[1])
+    got = X.group_folds(df, "grp", "y", 5, 3).collect()
+    assert len(got) == len(rows) and max(seen) < 250  # of 1,501 groups
+    of, by = defaultdict(set), defaultdict(Counter)
+    for r in got:
+        of[r.grp].add(r.fold)
+        by[r.y][r.fold] += 1
+    assert all(len(f) == 1 for f in of.values())
+    for y, c in by.items():
+        n, largest = sum(c.values()), max(Counter(r[0] for r in rows if r[1] == y).values())
+        assert max(c.values()) - min(c.values()) <= max(0.1 * n / 5, 1.5 * largest), (y, c)
