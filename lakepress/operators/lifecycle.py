@@ -33,8 +33,8 @@ def _entry(relevant: Column, is_body: Column) -> tuple[Column, Column]:
 Lookup = Callable[[DataFrame], DataFrame]
 
 
-def ingest_changes(items: DataFrame, urls: Lookup, headlines: Lookup, load: Lookup) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(new and changed articles, headline keys now taken, report by source) of a batch; the rest of the store isn't read.
+def ingest_changes(items: DataFrame, urls: Lookup, headlines: Lookup, load: Lookup) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(new and changed articles, headline keys now taken, addresses (url_hash) of copies, report by source) of a batch; the rest of the store isn't read.
 
     ``items``: pos (global order of arrival), url, url_hash, headline,
     headline_key, text, is_body, source, source_domain, collected_at, blocked,
@@ -42,9 +42,10 @@ def ingest_changes(items: DataFrame, urls: Lookup, headlines: Lookup, load: Look
     is stored or came earlier; then items whose headline key is stored or came
     earlier, which lend their body to an article that lacks one; the rest is
     stored. A later copy's body makes its article new again unless that is
-    irrelevant or a duplicate.
+    irrelevant or a duplicate. A copy is not stored, yet its URL has come: it
+    must be kept for the batches that follow.
 
-    ``urls`` maps (url_hash) to those stored, ``headlines`` maps (headline_key)
+    ``urls`` maps (url_hash) to those known, ``headlines`` maps (headline_key)
     to the stored (headline_key, article_id), ``load`` maps (article_id) to
     articles. Items are judged without their texts, by the least position of
     an address or key, so that a very common one is summed up where it lies.
@@ -103,13 +104,17 @@ def ingest_changes(items: DataFrame, urls: Lookup, headlines: Lookup, load: Look
         n(stored_now & F.col("relevant") & F.col("is_body")).alias("with_body"),
     )
     own = judged.where("not dup_headline and headline_key is not null").select("headline_key", F.concat(F.lit("a_"), "url_hash").alias("article_id"))
-    return changed, own, report
+    return changed, own, judged.where("dup_headline").select("url_hash"), report
 
 
-def ingest(items: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(articles after the batch, report by source), of a store that is one table; see ``ingest_changes``."""
+def ingest(items: DataFrame, stored: DataFrame, seen: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(articles after the batch, report by source), of a store that is one table; see ``ingest_changes``.
+
+    ``seen`` has the addresses (url_hash) that came before, those of copies too, which ``stored`` lacks.
+    """
+    known = stored.select("url_hash") if seen is None else stored.select("url_hash").unionByName(seen.select("url_hash"))
     first = stored.where("headline_key is not null").groupBy("headline_key").agg(F.min_by("article_id", F.struct("collected_at", "article_id")).alias("article_id"))
-    changed, _, report = ingest_changes(items, lambda _: stored, lambda _: first, lambda ids: stored.join(ids.distinct(), "article_id", "left_semi"))
+    changed, _, _, report = ingest_changes(items, lambda _: known, lambda _: first, lambda ids: stored.join(ids.distinct(), "article_id", "left_semi"))
     return stored.join(changed.select("article_id"), "article_id", "left_anti").select(*changed.columns).unionByName(changed), report
 
 

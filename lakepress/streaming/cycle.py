@@ -20,6 +20,8 @@ SCHEMAS = {
     "articles": L.ARTICLE_SCHEMA,
     # the article that holds a headline key
     "headlines": "headline_key string, article_id string",
+    # where copies of stored articles came from
+    "addresses": "url_hash string",
     # relevant articles that are not classified yet
     "waiting": "article_id string, fetch_status string, collected_at timestamp",
     "predictions": "article_id string, label string, confidence double",
@@ -28,7 +30,7 @@ SCHEMAS = {
     "runs": "run_id bigint, stage string, ok boolean, detail string",
     "leases": "name string, owner string, until timestamp",
 }
-KEYS = {"articles": "article_id", "headlines": "headline_key", "waiting": "article_id", "predictions": "article_id", "explanations": "article_id"}
+KEYS = {"articles": "article_id", "headlines": "headline_key", "addresses": "url_hash", "waiting": "article_id", "predictions": "article_id", "explanations": "article_id"}
 VERSION = 3
 
 
@@ -51,10 +53,12 @@ def _queue(articles: DataFrame) -> DataFrame:
 
 
 def _ingest(store: Store, items: DataFrame) -> None:
-    urls = lambda some: store.lookup("articles", some.select(F.concat(F.lit("a_"), "url_hash").alias("article_id")), ["url_hash"])
-    changed, keys, _ = L.ingest_changes(items, urls, lambda some: store.lookup("headlines", some), lambda some: store.lookup("articles", some))
+    articles = lambda some: store.lookup("articles", some.select(F.concat(F.lit("a_"), "url_hash").alias("article_id")), ["url_hash"])
+    urls = lambda some: articles(some).unionByName(store.lookup("addresses", some))
+    changed, keys, copies, _ = L.ingest_changes(items, urls, lambda some: store.lookup("headlines", some), lambda some: store.lookup("articles", some))
     store.add("articles", changed)
     store.add("headlines", keys)
+    store.add("addresses", copies)
     store.add("waiting", _queue(changed))
 
 

@@ -195,6 +195,21 @@ def test_ingest_order_and_body_upgrade(spark):
     assert again.count() == 2 and sum(r.new for r in rep2.collect()) == 0
 
 
+def test_addresses_of_copies_are_kept(spark, tmp_path):
+    import datetime as dt
+
+    t = dt.datetime(2024, 1, 1)
+    item = lambda pos, url, key: (pos, url, f"h{url}", "A", key, "full", True, "pub", "d", t, False, True)
+    first, second = _items(spark, [item(1, "u1", "k1"), item(2, "u2", "k1")]), _items(spark, [item(3, "u2", "k2"), item(4, "u3", "k3")])
+    after, _ = L.ingest(first, spark.createDataFrame([], L.ARTICLE_SCHEMA))
+    got, report = L.ingest(second, after, first.select("url_hash"))
+    assert sorted(r.url for r in got.collect()) == ["u1", "u3"] and report.first().dup_url == 1
+    scorer = lambda df: df.select("article_id", F.lit("x").alias("label"), F.lit(0.5).alias("confidence"))
+    for n, batch in enumerate((first, second)):
+        cycle.run_cycle(cycle.open_store(spark, str(tmp_path)), batch, scorer, F.lit(t), n, strict=True)
+    assert sorted(r.url for r in cycle.open_store(spark, str(tmp_path)).read("articles").collect()) == ["u1", "u3"]
+
+
 def test_cycle_and_stream(spark, tmp_path):
     store = cycle.open_store(spark, str(tmp_path / "store"))
     import datetime as dt
