@@ -86,6 +86,12 @@ def page_title(html: Column) -> Column:
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
 
 
+def whole_references(html: Column) -> Column:
+    """Character references that HTML reads without a semicolon, as a cut text leaves them, with one; apostrophes by number in one form."""
+    closed = F.regexp_replace(html, "&(amp|lt|gt|quot|nbsp)(?!;)", "&$1;")
+    return F.regexp_replace(closed, "(?i)&#(?:x0*27(?![0-9a-f])|0*39(?![0-9]));?", "&#39;")
+
+
 def html_text(html: Column) -> Column:
     """Visible text, a line for each tag-separated piece, without scripts, styles and feed footers."""
     bare = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style|noscript|iframe)\b[^>]*>.*?</\1\s*>", "\n")

@@ -102,7 +102,7 @@ def article_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = S.table(spark, sf_dir, "pages")
     renamed = F.regexp_replace("html", r"(?i)<(/?)article\b", "<$1div")
     words = lambda c: F.split(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")), " ")
-    x = p.select("page_id", words(T.html_text(T.article_html(F.col("html")))).alias("gold"), PG.article_text(renamed).alias("found"), PG.article_text(F.col("html")).alias("marked"))
+    x = p.select("page_id", words(T.html_text(T.whole_references(T.article_html(F.col("html"))))).alias("gold"), PG.article_text(renamed).alias("found"), PG.article_text(F.col("html")).alias("marked"))
     got = x.select("page_id", "gold", words(F.col("found")).alias("got"), words(F.col("marked")).alias("own"))
     common = lambda a, b: F.size(F.array_intersect(a, b))
     n = common("gold", "got")

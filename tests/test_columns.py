@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from lakepress.functions import keywords as K
 from lakepress.functions import text as T
 from lakepress.functions import urls as U
+from lakepress.plans import text_queries
 
 
 def one(spark, column, **values):
@@ -146,3 +147,12 @@ def test_article_of_a_page(html, want):
 
     got = main_text(html)
     assert got == (want if want is None else "\n".join(" ".join(x.split()) for x in want.split("\n")))
+
+
+def test_article_words_of_cut_references(spark, tmp_path):
+    page = "<html><body><nav><a href='/a'>a</a></nav><article><h1>{}</h1><p><b>{}<br></article><footer>x</footer></body></html>"
+    heads = [("one two&amp;&amp;&amp", "one two&amp;&amp;&amp;&amp;"), ("one two &lt", "one two &lt; three"), ("a &quot", "a &quot;b&quot;"), ("it&#x27s &#39", "it&#x27;s"), ("a &am", "a &amp; c d e f g h i")]
+    rows = [(i, page.format(*h)) for i, h in enumerate(heads)]
+    spark.createDataFrame(rows, "page_id bigint, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = text_queries.article_words(spark, str(tmp_path)).collect()
+    assert len(got) == 5 and all(r.precise and r.complete and r.marked_alike for r in got)
