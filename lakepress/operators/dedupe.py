@@ -122,27 +122,31 @@ def _gram_counts(words: list[str]) -> Counter:
     return out
 
 
-def _raw(counted: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """((gram, df), (rep, gram, df, w)); a gram's frequency counts the copies of texts, of ``n`` rows in all."""
+def _raw(texts: DataFrame, n: int) -> DataFrame:
+    """(rep, gram, df, w); a gram's frequency counts the copies of texts, of ``n`` rows in all.
+
+    A text's few bytes become many rows of grams, which no estimate of sizes
+    knows of, so the tables of grams are merged and never broadcast.
+    """
+    counted = spill(_counted(texts), "counted")
     df = counted.select("copies", F.explode("grams").alias("gram")).groupBy("gram").agg(F.sum("copies").alias("df"))
     flat = counted.select("rep", F.explode(F.arrays_zip("grams", "tf")).alias("x")).select("rep", F.col("x.grams").alias("gram"), F.col("x.tf").alias("tf"))
     w = (1 + F.log("tf")) * (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1)
-    return df, flat.join(df, "gram").select("rep", "gram", "df", w.alias("w"))
+    return flat.hint("merge").join(df, "gram").select("rep", "gram", "df", w.alias("w"))
 
 
 def tfidf(rows: DataFrame, key: str = "doc_id", text: str = "headline") -> DataFrame:
     """(key, gram, df, weight): 1 + ln tf, times ln((1 + N) / (1 + df)) + 1, scaled to length one."""
     members, texts = distinct_texts(rows, key, text)
-    raw = _raw(_counted(texts), rows.count())[1]
-    norm = raw.groupBy("rep").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    weights = raw.join(norm, "rep").select("rep", "gram", "df", (F.col("w") / F.col("norm")).alias("weight"))
-    return members.join(weights, "rep").select(key, "gram", "df", "weight")
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("rep")))
+    weights = _raw(texts, rows.count()).select("rep", "gram", "df", (F.col("w") / norm).alias("weight"))
+    return members.join(weights.hint("merge"), "rep").select(key, "gram", "df", "weight")
 
 
 def _vectors(weights: DataFrame, key: str) -> DataFrame:
     """(key, ids, weights) of (key, gram, df, w): one row for each vector, of length one, its grams numbered from rare to frequent."""
     vocabulary = number_in_order(weights.select("df", "gram").distinct(), ["df", "gram"], "id").select("gram", "id")
-    each = weights.join(vocabulary, "gram").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("id", "w"))).alias("x"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    each = weights.hint("merge").join(vocabulary, "gram").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("id", "w"))).alias("x"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return each.select(key, F.col("x.id").alias("ids"), F.transform("x", lambda e: e["w"] / F.col("norm")).alias("weights"))
 
 
@@ -181,7 +185,7 @@ def similar_vectors(vectors: DataFrame, least: float = SIMILAR, key: str = "rep"
     others = lambda first, last: F.explode(F.sequence(first, last))
     left = dealt.select(F.col("k").alias("a0"), "id", F.col("weight").alias("wa"), F.col("after").alias("ra"), F.col("block").alias("i"), others(F.col("block"), F.col("blocks") - 1).alias("j"))
     right = dealt.select(F.col("k").alias("b0"), "id", F.col("weight").alias("wb"), F.col("after").alias("rb"), others(F.lit(0).cast("bigint"), F.col("block")).alias("i"), F.col("block").alias("j"))
-    met = left.join(right, ["id", "i", "j"]).where((F.col("a0") < F.col("b0")) | (F.col("i") < F.col("j")))
+    met = left.hint("merge").join(right, ["id", "i", "j"]).where((F.col("a0") < F.col("b0")) | (F.col("i") < F.col("j")))
     # without an order of the blocks' keys, a pair of two blocks comes once, in either order
     bound = met.groupBy(F.least("a0", "b0").alias("a"), F.greatest("a0", "b0").alias("b")).agg(F.sum(F.col("wa") * F.col("wb")).alias("s"), F.min(F.col("ra") * F.col("rb")).alias("rest"))
     close = bound.where(F.col("s") + F.col("rest") >= least - 1e-6).select("a", "b")
@@ -200,7 +204,7 @@ def similar_vectors(vectors: DataFrame, least: float = SIMILAR, key: str = "rep"
 
 
 def _text_vectors(texts: DataFrame, n: int) -> DataFrame:
-    return spill(_vectors(spill(_raw(_counted(texts), n)[1], "weights"), "rep"), "vectors")
+    return spill(_vectors(spill(_raw(texts, n), "weights"), "rep"), "vectors")
 
 
 def near_pairs(rows: DataFrame, least: float = SIMILAR, key: str = "doc_id", text: str = "headline") -> DataFrame:

@@ -533,3 +533,9 @@ def test_folds_of_very_different_groups_are_even_and_planned_from_few_rows(spark
     for y, c in by.items():
         n, largest = sum(c.values()), max(Counter(r[0] for r in rows if r[1] == y).values())
         assert max(c.values()) - min(c.values()) <= max(0.1 * n / 5, 1.5 * largest), (y, c)
+
+
+def test_tables_of_grams_are_not_broadcast(spark):
+    texts = spark.createDataFrame([(i, f"storm over the bay number {i}", 1) for i in range(9)], "rep bigint, text string, copies bigint")
+    plan = D._raw(texts, 9)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "BroadcastExchange" not in plan
