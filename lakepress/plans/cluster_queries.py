@@ -189,7 +189,7 @@ def text_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add()
 def keyword_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M3: logistic regression on keyword features."""
-    rows = S.table(spark, sf_dir, "documents").select("doc_id", "text").join(S.scored(spark, sf_dir).select("doc_id", "fold", F.col("true_narrative").alias("label")), "doc_id")
+    rows = S.texts(spark, sf_dir).select("doc_id", "text").join(S.scored(spark, sf_dir).select("doc_id", "fold", F.col("true_narrative").alias("label")), "doc_id")
     return B.cross_predict(rows, "doc_id", "fold", "label", B.keyword_model(S.GROUPS))
 
 

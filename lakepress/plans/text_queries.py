@@ -144,7 +144,7 @@ _GROUP_SUMS = {g: "(" + " + ".join(_count_sql(t) for t in ts) + ")" for g, ts in
 @R.add(f"WITH x AS (SELECT doc_id, {_DOUBLED} AS d FROM documents) SELECT doc_id, " + ", ".join(f"CAST({s} AS INT) AS n_{g}" for g, s in _GROUP_SUMS.items()) + " FROM x")
 def keyword_group_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K1, K3: occurrences of each group's terms."""
-    return S.table(spark, sf_dir, "documents").select("doc_id", *K.counts(F.col("text"), S.GROUPS))
+    return S.texts(spark, sf_dir).select("doc_id", *K.counts(F.col("text"), S.GROUPS))
 
 
 @R.add(
@@ -155,7 +155,7 @@ def keyword_group_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keyword_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K4: group features."""
     t = F.col("text")
-    df = S.table(spark, sf_dir, "documents").select("doc_id", *K.features(t, S.GROUPS), *K.features(t, S.GROUPS, "binary"))
+    df = S.texts(spark, sf_dir).select("doc_id", *K.features(t, S.GROUPS), *K.features(t, S.GROUPS, "binary"))
     return df.select("doc_id", *[F.round(f"log1p_{g}", 9).alias(f"log1p_{g}") for g in S.GROUPS], *[f"binary_{g}" for g in S.GROUPS])
 
 
@@ -169,7 +169,7 @@ _TERMS = [(g, t) for g, ts in S.GROUPS.items() for t in ts]
 )
 def keyword_term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K2, K5: terms that occur, in long form."""
-    d = S.table(spark, sf_dir, "documents").select("doc_id", F.explode(K.term_counts(F.col("text"), S.GROUPS)).alias("x"))
+    d = S.texts(spark, sf_dir).select("doc_id", F.explode(K.term_counts(F.col("text"), S.GROUPS)).alias("x"))
     return d.select("doc_id", F.col("x.group").alias("grp"), "x.term", "x.n")
 
 
@@ -179,7 +179,7 @@ def keyword_term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def rule_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K6, M4: the group of most hits, first of equals, else the fallback."""
-    return S.table(spark, sf_dir, "documents").select("doc_id", F.coalesce(K.top_group(F.col("text"), S.GROUPS), F.lit("Other")).alias("label"))
+    return S.texts(spark, sf_dir).select("doc_id", F.coalesce(K.top_group(F.col("text"), S.GROUPS), F.lit("Other")).alias("label"))
 
 
 def _present(t: str, x: str, case: bool = False) -> str:
@@ -204,7 +204,7 @@ def keyword_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inline marks, exclusion of noisy terms, hits as text."""
     groups = K.without(S.GROUPS, ["THAT"])
     t = F.col("text")
-    return S.table(spark, sf_dir, "documents").select("doc_id", F.md5(K.mark(t, groups["Alpha"]).cast("binary")).alias("marked_md5"), K.hits_text(t, groups).alias("hits"))
+    return S.texts(spark, sf_dir).select("doc_id", F.md5(K.mark(t, groups["Alpha"]).cast("binary")).alias("marked_md5"), K.hits_text(t, groups).alias("hits"))
 
 
 @R.add(

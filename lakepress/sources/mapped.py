@@ -19,6 +19,8 @@ GROUPS = {"Alpha": ["thing", "attion"], "Beta": ["ertion", "oning"], "Gamma": ["
 GATE_WORDS = ["thing", "attion", "thanea"]
 GATE_ACRONYMS = ["OF", "IS"]
 ANALYSIS_SOURCES = ("src3", "src7")
+#: bytes of rows that go to a Python worker at once
+BATCH_BYTES = 8 << 20
 BLOCKED = ["src5.example.org", "example.net"]
 
 
@@ -31,6 +33,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, in a session that sends rows to Python by bytes and not by number alone, so long texts don't pile up; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+    return table(spark, sf_dir, "documents")
+
+
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, headline, body (null when blank), has_body, source, lang, collected_at, published_at."""
     d = table(spark, sf_dir, "documents")

@@ -156,3 +156,14 @@ def test_article_words_of_cut_references(spark, tmp_path):
     spark.createDataFrame(rows, "page_id bigint, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = text_queries.article_words(spark, str(tmp_path)).collect()
     assert len(got) == 5 and all(r.precise and r.complete and r.marked_alike for r in got)
+
+
+def test_keyword_texts_go_to_python_by_bytes(spark, tmp_path):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.createDataFrame([(1, "that thing")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    before = spark.conf.get(name)
+    spark.conf.unset(name)
+    try:
+        assert text_queries.keyword_features(spark, str(tmp_path)).count() == 1 and spark.conf.get(name) == str(8 << 20)
+    finally:
+        spark.conf.set(name, before)
