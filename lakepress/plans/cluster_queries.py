@@ -11,6 +11,7 @@ from lakepress.operators import dedupe as D
 from lakepress.operators import folds as X
 from lakepress.operators.graph import connected_components
 from lakepress.plans.registry import ART, NORM, SCORED, Registry
+from lakepress.plans.workdir import spill
 from lakepress.sources import mapped as S
 
 R = Registry()
@@ -183,17 +184,20 @@ def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word-gram TF-IDF and balanced logistic regression, each row predicted by other folds."""
     rows = S.table(spark, sf_dir, "documents").select("doc_id", "text").join(S.scored(spark, sf_dir).select("doc_id", "fold", F.col("true_severity").alias("label")), "doc_id")
-    return B.cross_predict(rows, "doc_id", "fold", "label", B.text_model(rows))
+    vectors, model = B.text_model(rows)
+    return B.cross_predict(vectors, "doc_id", "fold", "label", model)
 
 
 @R.add()
 def keyword_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M3: logistic regression on keyword features."""
     rows = S.texts(spark, sf_dir).select("doc_id", "text").join(S.scored(spark, sf_dir).select("doc_id", "fold", F.col("true_narrative").alias("label")), "doc_id")
-    return B.cross_predict(rows, "doc_id", "fold", "label", B.keyword_model(S.GROUPS))
+    counted, model = B.keyword_model(rows, S.GROUPS)
+    return B.cross_predict(counted, "doc_id", "fold", "label", model)
 
 
 @R.add()
 def has_body_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M5: the control that sees only whether there is a body."""
-    return B.cross_predict(S.scored(spark, sf_dir).select("doc_id", "fold", "has_body", F.col("true_severity").alias("label")), "doc_id", "fold", "label", B.has_body_model)
+    rows = spill(S.scored(spark, sf_dir).select("doc_id", "fold", "has_body", F.col("true_severity").alias("label")), "flags")
+    return B.cross_predict(rows, "doc_id", "fold", "label", B.has_body_model)
