@@ -177,7 +177,7 @@ def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     No SQL: a recursive closure over all of lineitem does not end in time; held against union-find instead.
     """
     li = S.table(spark, sf_dir, "lineitem")
-    return connected_components(li.select(F.col("l_orderkey").cast("bigint").alias("a"), (-1 - F.col("l_partkey").cast("bigint")).alias("b")).distinct())
+    return connected_components(li.select(F.col("l_orderkey").cast("bigint").alias("a"), (-1 - F.col("l_partkey").cast("bigint")).alias("b")))
 
 
 @R.add()
