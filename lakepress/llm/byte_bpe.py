@@ -7,7 +7,9 @@ buckets, one for each merge rank, which hold the positions of their first
 parts in a linked list of parts. A bitmap marks the buckets that hold
 something, and a bitmap above it marks the words of the lower one that aren't
 zero, so finding the first set bit of one number on either level gives the next
-rank. An entry whose pair has changed since is stale and passed over. A
+rank. Only a pair that comes before both pairs beside it waits, as another one's
+turn can't come before theirs; joining two parts makes at most the two pairs on
+either side wait. An entry whose pair has changed since is stale and passed over. A
 match of n bytes costs O(n log n) whatever its length.
 
 Decoding joins the tokens' bytes, so the bytes of every text come back.
@@ -41,26 +43,30 @@ from lakepress.llm.frames import bounded, quoted, tidy, unused, without
 REMEMBERED, REMEMBERED_CHARS = 300_000, 64
 #: bits in a word of the bitmap
 WORD = 256
+#: of a pair that is no token, beyond every rank
+NO_RANK = 1 << 62
 _BITS = [1 << i for i in range(WORD)]
 
 
 class RankQueue:
     """(rank, position) pairs, the least rank first and in it the least position."""
 
-    __slots__ = ("buckets", "top", "words")
+    __slots__ = ("buckets", "spots", "top", "words")
 
     def __init__(self, n_ranks: int):
         self.words = [0] * -(-n_ranks // WORD)
         self.top = 0
         self.buckets: dict[int, list[int]] = {}
+        #: of each rank its word, its bit there and the word's bit above
+        self.spots = [(r // WORD, _BITS[r % WORD], 1 << r // WORD) for r in range(n_ranks)]
 
     def push(self, rank: int, at: int) -> None:
         held = self.buckets.get(rank)
         if held is None:
             self.buckets[rank] = [at]
-            word = rank // WORD
-            self.words[word] |= _BITS[rank % WORD]
-            self.top |= 1 << word
+            word, bit, above = self.spots[rank]
+            self.words[word] |= bit
+            self.top |= above
         else:
             heappush(held, at)
 
@@ -105,28 +111,44 @@ class Ranks:
         part = list(map(self.single.__getitem__, piece))  # the id of the part that begins here
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         # the rank of the pair whose first part begins here
-        pair = [ranks.get(piece[i : i + 2]) for i in range(n - 1)]
-        pair.append(None)
         push, pop, find = queue.push, queue.pop, ranks.get
-        for i, rank in enumerate(pair):
-            if rank is not None:
+        pair = [find(piece[i : i + 2], NO_RANK) for i in range(n - 1)]
+        pair.append(NO_RANK)
+        left = NO_RANK
+        for i in range(n - 1):
+            rank = pair[i]
+            if rank < left and rank <= pair[i + 1]:
                 push(rank, i)
+            left = rank
         while (top := pop()) is not None:
             rank, i = top
             if pair[i] != rank:
                 continue  # stale
             j = after[i]
             end = after[i] = after[j]
-            part[i], pair[i], pair[j] = rank, None, None
+            was_right, part[i], pair[j] = pair[j], rank, NO_RANK
+            right = beyond = left = before_left = was_left = NO_RANK
             if end < n:
                 before[end] = i
-                if (last := after[end]) - i <= longest and (rank := find(piece[i:last])) is not None:
-                    pair[i] = rank
-                    push(rank, i)
+                beyond = pair[end]
+                if (last := after[end]) - i <= longest:
+                    right = find(piece[i:last], NO_RANK)
+            pair[i] = right
             if (b := before[i]) >= 0:
-                pair[b] = rank = find(piece[b:end]) if end - b <= longest else None
-                if rank is not None:
-                    push(rank, b)
+                was_left = pair[b]
+                if end - b <= longest:
+                    left = find(piece[b:end], NO_RANK)
+                pair[b] = left
+                if (c := before[b]) >= 0:
+                    before_left = pair[c]
+                    if was_left < before_left <= left and before_left < NO_RANK:
+                        push(before_left, c)
+                if left < before_left and left <= right:
+                    push(left, b)
+            if right < left and right <= beyond:
+                push(right, i)
+            if was_right <= beyond < right:
+                push(beyond, end)
         ids, i = [], 0
         while i < n:
             ids.append(part[i])
