@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakepress.operators.graph import connected_components
+from lakepress.operators.graph import connected_components, contracted
 from lakepress.plans.workdir import spill
 
 #: similarity from which two headlines are near duplicates
@@ -313,7 +313,7 @@ def _compared(x: _Block, y: _Block, same: bool, least: float) -> Iterator[pd.Dat
             yield pd.DataFrame({"a": x.keys[a[near]], "b": y.keys[b[near]], "cosine": cosine[near]})
 
 
-def _block_pairs(blocks: DataFrame, n: int, least: float) -> DataFrame:
+def _block_pairs(blocks: DataFrame, n: int, least: float, links: bool = False) -> DataFrame:
     """(a, b, cosine) of pairs from ``least`` on, by prefix filtering within each two of the ``n`` blocks.
 
     A pair can reach the threshold only if it shares a gram within the prefixes
@@ -322,7 +322,8 @@ def _block_pairs(blocks: DataFrame, n: int, least: float) -> DataFrame:
     cosine; pairs that pass are compared vector by vector. Each two blocks meet
     in a task of their own, which reads them from one exchange and writes only
     the pairs that it finds: neither postings nor candidates are shuffled, and
-    a gram that many prefixes hold is spread over all tasks.
+    a gram that many prefixes hold is spread over all tasks. ``links``: (a, b)
+    alone, and of each task's pairs only as many as connect the same vectors.
     """
     kind = blocks.schema["keys"].dataType.elementType.simpleString()
     cells = ("block", "keys", "sizes", "local", "part", "ids", "scale")
@@ -330,13 +331,16 @@ def _block_pairs(blocks: DataFrame, n: int, least: float) -> DataFrame:
     side = lambda name: placed.select(*[F.col(c).alias(f"{c}_{name}") for c in cells])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for r in f.itertuples(index=False):
-                x, y = (_unpacked_block(*(getattr(r, f"{c}_{name}") for c in cells[1:])) for name in "xy")
-                yield from _compared(x, y, r.block_x == r.block_y, least)
+        found = (pairs for f in frames for r in f.itertuples(index=False) for pairs in compare(r))
+        yield from contracted(found) if links else found
+
+    def compare(r) -> Iterator[pd.DataFrame]:
+        x, y = (_unpacked_block(*(getattr(r, f"{c}_{name}") for c in cells[1:])) for name in "xy")
+        return _compared(x, y, r.block_x == r.block_y, least)
 
     met = side("x").hint("shuffle_replicate_nl").join(side("y"), F.col("block_x") <= F.col("block_y"))
-    return met.mapInPandas(run, f"a {kind}, b {kind}, cosine double").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cosine")
+    got = met.mapInPandas(run, f"a {kind}, b {kind}" + (", cosine double" if not links else ""))
+    return got.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *[c for c in got.columns if c == "cosine"])
 
 
 def _spaces() -> np.ndarray:
@@ -464,7 +468,7 @@ def near_clusters(rows: DataFrame, least: float = SIMILAR, key: str = "doc_id",
     """
     members, texts = distinct_texts(rows, key, text)
     blocks, n = _text_blocks(texts, rows.count())
-    cc = connected_components(_block_pairs(blocks, n, least)).withColumnRenamed("node", "rep")
+    cc = connected_components(_block_pairs(blocks, n, least, links=True)).withColumnRenamed("node", "rep")
     placed = members.join(blocks.select(F.explode("keys").alias("rep")), "rep").join(cc, "rep", "left").select(key, F.coalesce("component", "rep").alias("component"))
     return rows.select(key).join(placed, key, "left").select(key, F.coalesce("component", key).alias("component"))
 

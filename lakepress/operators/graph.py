@@ -35,7 +35,7 @@ def forest(edges: Iterator[tuple]) -> list[tuple]:
     return out + [(n, n) for n in parent if parent[n] == n and n not in linked]
 
 
-def _contracted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def contracted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The edges of a task as the stars of their own components: the same links, fewer edges, short paths.
 
     Stars take further edges in as long as they fill half of ``LOCAL_EDGES`` at most.
@@ -67,7 +67,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     """
     known = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("a"), F.col(b).alias("b"))
     kind = known.schema["a"].dataType.simpleString()
-    contract = lambda df: df.mapInPandas(_contracted, f"a {kind}, b {kind}")
+    contract = lambda df: df.mapInPandas(contracted, f"a {kind}, b {kind}")
     stars = spill(contract(known), "stars")
     if stars.count() <= LOCAL_EDGES:
         whole = spill(contract(stars.coalesce(1)).select(F.col("b").alias("node"), F.col("a").alias("component")), "labels")

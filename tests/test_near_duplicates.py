@@ -111,3 +111,12 @@ def test_writes_follow_the_texts_and_not_their_pairs(spark):
     before = written()
     assert D.near_clusters(rows).select(F.countDistinct("doc_id")).first()[0] == 2000
     assert written() - before < 20 * sum(map(len, texts))
+
+
+def test_near_copies_are_linked_and_not_paired(spark):
+    rng = random.Random(2)
+    shared = " ".join("".join(rng.choices("abcdefgh", k=8)) for _ in range(120))
+    rows = [(i, f"{shared} {i}", 1) for i in range(60)]
+    blocks, n = D._text_blocks(spark.createDataFrame(rows, "rep bigint, text string, copies bigint"), 60)
+    assert D._block_pairs(blocks, n, D.SIMILAR).count() == 60 * 59 // 2
+    assert D._block_pairs(blocks, n, D.SIMILAR, links=True).count() == 59
